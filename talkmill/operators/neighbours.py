@@ -48,22 +48,22 @@ def nearest(
     gives ``k`` rows per query row; the best ``k`` of those are kept. Copies of one training
     vector are first cut to ``k + 1`` rows, more of them can never be among the nearest.
     """
-    same = W.partitionBy("vec").orderBy("id")
-    kept = train.select("id", "label", unit())
+    kept = train.select(F.col("id").alias("near_id"), "label", unit().alias("near_vec"))
+    same = W.partitionBy("near_vec").orderBy("near_id")
     kept = kept.withColumn("__rn", F.row_number().over(same)).where(F.col("__rn") <= k + 1).drop("__rn")
     rows = query.select("id", unit())
 
     q_blocks = max(1, -(-rows.count() // block_rows))
     t_blocks = max(1, -(-train.count() // block_rows))
 
-    def block(n):
-        return F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    def block(c, n):
+        return F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
 
     # Each side is repeated for the blocks of the other one.
-    left = rows.withColumn("qb", block(q_blocks)).withColumn(
+    left = rows.withColumn("qb", block("id", q_blocks)).withColumn(
         "tb", F.explode(F.sequence(F.lit(0), F.lit(t_blocks - 1)))
     )
-    right = kept.withColumn("tb", block(t_blocks)).withColumn(
+    right = kept.withColumn("tb", block("near_id", t_blocks)).withColumn(
         "qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1)))
     )
     id_type = dict(query.dtypes)["id"]
@@ -73,19 +73,19 @@ def nearest(
     def product(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
         if q.empty or t.empty:
             return pd.DataFrame({"id": [], "near_id": [], "label": [], "similarity": []})
-        t = t.sort_values("id", kind="stable").reset_index(drop=True)
-        seen = sorted({i for v in t["vec"] for i in v["indices"]})
+        t = t.sort_values("near_id", kind="stable").reset_index(drop=True)
+        seen = sorted({i for v in t["near_vec"] for i in v["indices"]})
         place = {i: n for n, i in enumerate(seen)}
-        sims = np.round(_matrix(q["vec"], place) @ _matrix(t["vec"], place).T, DIGITS)
+        sims = np.round(_matrix(q["vec"], place) @ _matrix(t["near_vec"], place).T, DIGITS)
         if skip_self:
-            sims[q["id"].to_numpy()[:, None] == t["id"].to_numpy()[None, :]] = -np.inf
+            sims[q["id"].to_numpy()[:, None] == t["near_id"].to_numpy()[None, :]] = -np.inf
         top = np.argsort(-sims, axis=1, kind="stable")[:, : min(k, sims.shape[1])]
         at = np.repeat(np.arange(len(q)), top.shape[1])
         flat = top.ravel()
         found = pd.DataFrame(
             {
                 "id": q["id"].to_numpy()[at],
-                "near_id": t["id"].to_numpy()[flat],
+                "near_id": t["near_id"].to_numpy()[flat],
                 "label": t["label"].to_numpy()[flat],
                 "similarity": sims[at, flat],
             }

@@ -53,7 +53,7 @@ def timed_transcript(spark, sf_dir):
 
 @query(
     f"""WITH {TURNS_SQL},
-    o AS (SELECT file_id, speaker, row_number() OVER (PARTITION BY file_id ORDER BY min(seg_idx)) AS place FROM turns GROUP BY ALL),
+    o AS (SELECT file_id, speaker, row_number() OVER (PARTITION BY file_id ORDER BY min(seg_idx)) AS place FROM turns GROUP BY file_id, speaker),
     r AS (SELECT t.*, CASE place WHEN 1 THEN 'звонящий' WHEN 2 THEN 'ответчик' ELSE speaker END AS role FROM turns t JOIN o USING (file_id, speaker))
     SELECT file_id, sha1(string_agg({_CLOCK} || role || ': ' || trim(text), ' | ' ORDER BY seg_idx)) AS role_hash FROM r GROUP BY file_id"""
 )
@@ -357,7 +357,7 @@ def rttm_round_trip(spark, sf_dir):
 
 @query(
     f"""WITH {TURNS_SQL},
-    o AS (SELECT file_id, speaker, row_number() OVER (PARTITION BY file_id ORDER BY min(seg_idx)) - 1 AS place FROM turns GROUP BY ALL)
+    o AS (SELECT file_id, speaker, row_number() OVER (PARTITION BY file_id ORDER BY min(seg_idx)) - 1 AS place FROM turns GROUP BY file_id, speaker)
     SELECT file_id, printf('SPEAKER_%02d', place) AS speaker, round("start" + 100, 6) AS "start",
            round(format('{{:.3f}}', "end")::DOUBLE + 100, 6) AS "end" FROM turns JOIN o USING (file_id, speaker)"""
 )
@@ -408,7 +408,7 @@ def streamed_preparation(spark, sf_dir):
     """Documents prepared as they arrive, each once, and counted from the written rows."""
     source = table(spark, sf_dir, "documents")
     out, state = _folder(spark, "prepared"), _folder(spark, "state")
-    arriving = streams.arriving(spark, f"{sf_dir}/documents.parquet", source.schema)
+    arriving = streams.arriving(spark, sf_dir, source.schema, pathGlobFilter="documents.parquet")
     prepared = streams.prepare_calls(arriving.select("doc_id", "lang", "text"), 50, phrases=False)
     streams.write_stream(prepared, out, state, once_per="doc_id").awaitTermination()
     rows = spark.read.parquet(out)
