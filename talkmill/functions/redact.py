@@ -49,10 +49,18 @@ def redact_orgs(text: ColumnLike) -> Column:
     return redact_triggered_orgs(redact_legal_orgs(text))
 
 
+def _any_of(words: Sequence[str]) -> str:
+    """Alternation grouped by first letter, so that a word start rules out most of it at once."""
+    groups: dict[str, list[str]] = {}
+    for w in sorted(words, key=lambda w: (-len(w), w)):
+        groups.setdefault(w[0], []).append(w[1:])
+    parts = [re.escape(c) + "(?:" + "|".join(map(re.escape, rest)) + ")" for c, rest in groups.items()]
+    return f"(?:{'|'.join(parts)})"
+
+
 def redact_names(text: ColumnLike, names: Sequence[str] = tuple(fixed.FIRST_NAMES)) -> Column:
     """Replace whole Cyrillic words whose lower case is a known first name."""
-    longest_first = sorted(names, key=lambda n: (-len(n), n))
-    pattern = "(?<![а-яё])(?:" + "|".join(re.escape(n) for n in longest_first) + ")(?![а-яё])"
+    pattern = "(?<![а-яё])(?=[а-яё])" + _any_of(names) + "(?![а-яё])"
     return sub(text, pattern, fixed.PLACEHOLDERS["PER"], ignore_case=True)
 
 

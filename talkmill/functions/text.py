@@ -38,10 +38,21 @@ def _nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
 
 
+def _may_change(c: Column) -> Column:
+    """Whether a text has a character outside the stable ones.
+
+    Runs of the common single ranges are taken out first; a class of many ranges is slow to test
+    and then sees only what is left.
+    """
+    for common in (r"[\x00-\x7F]+", r"[\u0400-\u0482]+", r"[\u00C0-\u00FF]+"):
+        c = F.regexp_replace(c, common, "")
+    return (c != "") & c.rlike(f"[^{NFKC_STABLE}]")
+
+
 def nfkc(text: ColumnLike) -> Column:
     """Unicode NFKC. Only texts with a character that may change are sent to Python."""
     c = col(text)
-    return F.coalesce(_nfkc(F.when(c.rlike(f"[^{NFKC_STABLE}]"), c)), c)
+    return F.coalesce(_nfkc(F.when(_may_change(c), c)), c)
 
 
 def normalise(

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from talkmill.functions.columns import ColumnLike, col
 from talkmill.functions.numbers import exact_round
@@ -13,6 +17,8 @@ from talkmill.functions.text import normalise_for_wer
 # Words become single characters, so the built-in edit distance counts words. Numbers from here
 # on are all valid characters, more than a million of them.
 _FIRST_CODE = 0x10000
+# The built-in distance fills a table of lengths a x b. Larger tables go to the bit-parallel form.
+TABLE_CELLS = 250_000
 
 
 def _words(text: ColumnLike) -> Column:
@@ -20,6 +26,44 @@ def _words(text: ColumnLike) -> Column:
     return F.when(c == "", F.array().cast("array<string>")).otherwise(F.split(c, " "))
 
 
+def edit_distance(a: Sequence, b: Sequence) -> int:
+    """Levenshtein distance, one machine word per 64 cells (Myers 1999, Hyyro 2003).
+
+    A column of the table is kept as two bit sets: where it rises and where it falls.
+    """
+    if len(a) < len(b):
+        a, b = b, a
+    if not len(b):
+        return len(a)
+    where: dict = {}
+    for i, x in enumerate(a):
+        where.setdefault(x, bytearray((len(a) + 7) // 8))[i >> 3] |= 1 << (i & 7)
+    masks = {x: int.from_bytes(bits, "little") for x, bits in where.items()}
+    full, last = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    rise, fall, distance = full, 0, len(a)
+    for x in b:
+        equal = masks.get(x, 0)
+        diagonal = (((equal & rise) + rise) ^ rise) | equal | fall
+        right_up = (fall | ~(diagonal | rise)) & full
+        right_down = diagonal & rise
+        if right_up & last:
+            distance += 1
+        elif right_down & last:
+            distance -= 1
+        right_up = ((right_up << 1) | 1) & full
+        right_down = (right_down << 1) & full
+        rise = (right_down | ~(diagonal | right_up)) & full
+        fall = diagonal & right_up
+    return distance
+
+
+@F.pandas_udf(IntegerType())
+def _long_edits(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Edits of pairs of texts or word lists; null where the pair is null."""
+    found = [None if x is None or y is None else edit_distance(x, y) for x, y in zip(a, b)]
+    return pd.Series(found, dtype="Int32")
+
+
 def word_edits(reference: ColumnLike, hypothesis: ColumnLike) -> Column:
     """Edit distance in words between two normalised texts."""
     ref, hyp = _words(reference), _words(hypothesis)
@@ -36,11 +80,16 @@ def word_edits(reference: ColumnLike, hypothesis: ColumnLike) -> Column:
     once = F.transform(
         F.array(place), lambda m: F.levenshtein(encoded(ref, m), encoded(hyp, m))
     )
-    return F.when(F.size(known) == 0, 0).otherwise(F.element_at(once, 1))
+    large = F.size(ref).cast("long") * F.size(hyp) > TABLE_CELLS
+    far = _long_edits(F.when(large, ref), F.when(large, hyp))
+    return F.when(F.size(known) == 0, 0).when(large, far).otherwise(F.element_at(once, 1))
 
 
 def char_edits(reference: ColumnLike, hypothesis: ColumnLike) -> Column:
-    return F.levenshtein(col(reference), col(hypothesis))
+    ref, hyp = col(reference), col(hypothesis)
+    large = F.char_length(ref).cast("long") * F.char_length(hyp) > TABLE_CELLS
+    far = _long_edits(F.when(large, ref), F.when(large, hyp))
+    return F.when(large, far).otherwise(F.levenshtein(ref, hyp))
 
 
 def scored_segments(hypotheses: DataFrame, truth: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from talkmill.operators import split
 from talkmill.operators.metrics import summary
 from talkmill.plans import models, train
 from talkmill.plans.models import BASELINES, Spec
-from talkmill.plans.registry import query, round6, table
+from talkmill.plans.registry import query, round6, texts
 from talkmill.session import checkpointed
 
 SMALL = {"high": 1, "max_features": 400, "min_df": 2}
@@ -21,7 +21,7 @@ QUICK = {"maxIter": 10}
 
 
 def _labelled(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(
+    return texts(spark, sf_dir, "documents", "doc_id", "text", "source", "lang").select(
         F.col("doc_id").alias("row_id"), "text", F.col("source").alias("grp"), F.col("lang").alias("label")
     )
 

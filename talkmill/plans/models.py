@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
@@ -27,6 +28,7 @@ from talkmill.functions.numbers import softmax
 from talkmill.operators.split import k_folds
 from talkmill.plans.features import ClassIndex, ClassIndexModel, KeywordFlags, TermVectors, WordList
 
+PARALLEL_FITS = 4  # classes fitted at the same time
 FEATURES = {"featuresCol": "features", "labelCol": "label_idx"}
 WEIGHTED = {**FEATURES, "weightCol": "weight"}
 
@@ -50,10 +52,14 @@ class LinearSvm(Estimator):
                 maxIter=self.max_iter, regParam=1.0 / (self.c * max(n, 1)), standardization=False,
                 featuresCol="features", labelCol="__is", weightCol="weight",
             )
-            lines = []
-            for i in range(classes) if classes > 2 else [classes - 1]:
+
+            def line(i: int) -> np.ndarray:
                 fitted = svm.fit(rows.withColumn("__is", (F.col("label_idx") == i).cast("double")))
-                lines.append(np.append(fitted.coefficients.toArray(), fitted.intercept))
+                return np.append(fitted.coefficients.toArray(), fitted.intercept)
+
+            wanted = list(range(classes)) if classes > 2 else [classes - 1]
+            with ThreadPool(min(len(wanted), PARALLEL_FITS)) as pool:
+                lines = pool.map(inheritable_thread_target(line), wanted)
         finally:
             rows.unpersist()
         return LinearSvmModel(np.array(lines))
@@ -115,21 +121,56 @@ class CalibratedSvm(Estimator):
                 held = svm.margins(dealt.where(F.col("fold") == f)).select("label_idx", "margins")
                 held = held.persist(StorageLevel.MEMORY_AND_DISK)
                 classes = max(len(svm.lines), 2)
-                members.append((svm, [_sigmoid(held, i) for i in range(classes)]))
+                members.append((svm, _sigmoids(held, classes)))
                 held.unpersist()
         finally:
             dealt.unpersist()
         return CalibratedSvmModel(members)
 
 
-def _sigmoid(held: DataFrame, place: int) -> tuple[float, float]:
-    """Slope and shift of the probability of class ``place`` given its margin."""
-    rows = held.select(
-        (F.col("label_idx") == place).cast("double").alias("label"),
-        array_to_vector(F.array(F.get("margins", F.lit(place)))).alias("features"),
-    )
-    fitted = LogisticRegression(regParam=1e-6, standardization=False).fit(rows)
-    return float(fitted.coefficients[0]), float(fitted.intercept)
+def _sigmoids(held: DataFrame, classes: int, rounds: int = 50) -> list[tuple[float, float]]:
+    """Slope and shift of the probability of each class given its margin.
+
+    Newton steps on the log loss with smoothed targets, as Platt scaling has them. One pass per
+    step sums loss, gradient and curvature of all classes; only those sums reach the driver.
+    """
+    counts = held.agg(
+        F.count("*"), *[F.count_if(F.col("label_idx") == i) for i in range(classes)]
+    ).first()
+    total, yes = counts[0], np.array(counts[1:], float)
+    no = total - yes
+    high, low = (yes + 1) / (yes + 2), 1 / (no + 2)
+
+    def sums(slope, shift):
+        out = []
+        for i in range(classes):
+            m = F.get("margins", F.lit(i))
+            z = m * float(slope[i]) + float(shift[i])
+            t = F.when(F.col("label_idx") == i, float(high[i])).otherwise(float(low[i]))
+            p = 1 / (1 + F.exp(-z))
+            loss = F.log1p(F.exp(-F.abs(z))) + F.greatest(z, F.lit(0.0)) - t * z
+            off, bend = p - t, p * (1 - p)
+            out += [loss, off * m, off, bend * m * m, bend * m, bend]
+        row = held.agg(*[F.sum(c).alias(f"s{n}") for n, c in enumerate(out)]).first()
+        return np.array(row, float).reshape(classes, 6)
+
+    slope, shift = np.zeros(classes), np.log((yes + 1) / (no + 1))
+    best, step = sums(slope, shift), np.ones(classes)
+    for _ in range(rounds):
+        _, gm, g, hmm, hm, h = best.T
+        hmm, h = hmm + 1e-12, h + 1e-12
+        scale = hmm * h - hm * hm
+        move_a, move_b = (h * gm - hm * g) / scale, (hmm * g - hm * gm) / scale
+        tried = sums(slope - step * move_a, shift - step * move_b)
+        good = tried[:, 0] <= best[:, 0] + 1e-12 * total
+        slope = np.where(good, slope - step * move_a, slope)
+        shift = np.where(good, shift - step * move_b, shift)
+        gain = np.where(good, best[:, 0] - tried[:, 0], np.inf)
+        best = np.where(good[:, None], tried, best)
+        step = np.where(good, 1.0, step / 2)
+        if np.all((gain < 1e-7 * total) | (step < 1e-6)):
+            break
+    return list(zip(slope.tolist(), shift.tolist()))
 
 
 class CalibratedSvmModel(Model):

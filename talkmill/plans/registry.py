@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from talkmill.session import spread
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
@@ -28,6 +30,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """Text columns of a table for per-row work, spread over the cores if the scan is not."""
+    return spread(table(spark, sf_dir, name).select(*columns))
+
+
 def round6(df: DataFrame) -> DataFrame:
     """Doubles to six places, as the SQL rounds them."""
     return df.withColumns({n: F.round(n, 6) for n, t in df.dtypes if t == "double"})

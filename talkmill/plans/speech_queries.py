@@ -10,7 +10,7 @@ from talkmill.functions import jsonx, transcript
 from talkmill.functions.text import too_short
 from talkmill.operators import diarize, responses, speech
 from talkmill.plans import sample_tables as sample
-from talkmill.plans.registry import query, round6, table
+from talkmill.plans.registry import query, round6, table, texts
 from talkmill.plans.sample_tables import HYPOTHESES_SQL, TURNS_SQL
 from talkmill.plans.score_queries import BASE, _STAGES, _stages
 from talkmill.plans.text_queries import WORDS_SQL, normalised_sql, redacted_sql
@@ -148,7 +148,7 @@ e AS (SELECT 'm1' AS model, seg_id, conv_id, len(w) AS n, len(w) // 5 AS edits F
 
 
 def _recognised(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations").select(
+    rows = texts(spark, sf_dir, "conversations", "conv_id", "turn", "text").select(
         F.concat_ws("-", "conv_id", "turn").alias("seg_id"), "text", F.length("text").alias("chars")
     )
     from talkmill.functions.text import normalise_for_wer
@@ -197,7 +197,7 @@ def worst_segments(spark, sf_dir):
 )
 def cer_pairs(spark, sf_dir):
     """Documents against a copy without every eleventh character: the edits are the characters lost."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = texts(spark, sf_dir, "documents", "doc_id", "text")
     cut = F.regexp_replace("text", r"(?s)(.{10}).", "$1")
     edits = speech.char_edits("text", cut)
     rows = docs.select("doc_id", edits.alias("char_edits"), F.length("text").alias("n"))

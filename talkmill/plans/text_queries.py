@@ -8,7 +8,7 @@ from talkmill.functions import redact, text
 from talkmill.functions.columns import strip
 from talkmill.operators import labels, metrics, split
 from talkmill.plans import features
-from talkmill.plans.registry import query, round6, table
+from talkmill.plans.registry import query, round6, table, texts
 from talkmill.plans.sample_tables import CALLS_SQL, calls
 
 # The redaction rules that can apply to Latin text, in the dialect of the checking engine.
@@ -62,7 +62,7 @@ WORDS_SQL = r"len(regexp_extract_all({0}, '\S+'))"
     FROM r GROUP BY lang"""
 )
 def prep_report(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("lang", "text")
+    docs = texts(spark, sf_dir, "documents", "lang", "text")
     clean = docs.withColumn("clean", redact.redact_pii("text"))
 
     def holds(token):
@@ -82,7 +82,7 @@ def prep_report(spark, sf_dir):
 
 @query(f"SELECT doc_id, sha1({redacted_sql('text')}) AS clean_hash FROM documents")
 def pii_redact(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir, "documents", "doc_id", "text")
     return docs.select("doc_id", F.sha1(redact.redact_pii("text")).alias("clean_hash"))
 
 
@@ -95,7 +95,7 @@ def pii_counts(spark, sf_dir):
     from talkmill.functions import fixed
     from talkmill.functions.columns import unicode_re
 
-    docs = table(spark, sf_dir, "documents").select("source", "text")
+    docs = texts(spark, sf_dir, "documents", "source", "text")
     latin = [r for i, r in enumerate(fixed.REDACTIONS) if i != 5]  # spelled-out Russian numbers
     hits = [
         F.count_if(F.col("text").rlike(unicode_re(pattern, ignore))).alias(name)
@@ -111,7 +111,7 @@ def pii_counts(spark, sf_dir):
     FROM pages"""
 )
 def url_redact(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages")
+    pages = texts(spark, sf_dir, "pages", "page_id", "url", "html")
     return pages.select(
         "page_id",
         redact.redact_one("url", 0).alias("url"),
@@ -149,7 +149,7 @@ def lemma_replace(spark, sf_dir):
 
 @query(f"SELECT doc_id, sha1({normalised_sql('text')}) AS text_hash FROM documents")
 def normalised_text(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir, "documents", "doc_id", "text")
     return docs.select("doc_id", F.sha1(text.normalise("text")).alias("text_hash"))
 
 
@@ -160,7 +160,7 @@ def normalised_text(spark, sf_dir):
 )
 def clean_documents(spark, sf_dir):
     """The whole per-row chain: redaction, organisations and names, normalisation, length flag."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", text.clean_text("text").alias("t"))
+    docs = texts(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", text.clean_text("text").alias("t"))
     return docs.select("doc_id", F.sha1("t").alias("text_hash"), text.too_short("t", 50).alias("too_short"))
 
 
@@ -171,7 +171,7 @@ def clean_documents(spark, sf_dir):
 )
 def partial_reprocess(spark, sf_dir):
     """Rows before a start row stay as they are, later rows are processed."""
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir, "documents", "doc_id", "text")
     t = F.when(F.col("doc_id") >= 500, redact.redact_pii("text")).otherwise(F.col("text"))
     return docs.select(t.alias("t")).agg(
         F.count("*").alias("n_rows"),
@@ -198,7 +198,7 @@ def _noise_sql() -> str:
     SELECT doc_id, sha1(t) AS text_hash, {WORDS_SQL.format('t')} < 60 AS too_short FROM c"""
 )
 def noise_removed(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", text.remove_noise("text", PHRASES).alias("t"))
+    docs = texts(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", text.remove_noise("text", PHRASES).alias("t"))
     return docs.select("doc_id", F.sha1("t").alias("text_hash"), text.too_short("t", 60).alias("too_short"))
 
 
@@ -236,7 +236,7 @@ def length_coverage(spark, sf_dir):
 def token_estimate(spark, sf_dir):
     from talkmill.functions.columns import collapse_spaces
 
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir, "documents", "doc_id", "text")
     return docs.select(
         "doc_id",
         text.estimate_tokens("text").alias("tokens"),
@@ -252,7 +252,7 @@ def token_estimate(spark, sf_dir):
     FROM documents"""
 )
 def comparison_forms(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir, "documents", "doc_id", "text")
     return docs.select(
         "doc_id",
         F.sha1(text.normalise_for_wer("text")).alias("wer_hash"),
@@ -286,7 +286,7 @@ def file_names(spark, sf_dir):
 )
 def keyword_counts(spark, sf_dir):
     commercial, technical = text.keyword_flags("text")
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir, "documents", "lang", "text")
     return docs.groupBy("lang").agg(
         F.sum(commercial).alias("commercial"), F.sum(technical).alias("technical")
     )
@@ -301,7 +301,7 @@ def keyword_counts(spark, sf_dir):
 )
 def truncated_tokens(spark, sf_dir):
     words = F.regexp_extract_all(F.col("text"), F.lit(r"((?U)\S+)"), F.lit(1))
-    docs = table(spark, sf_dir, "documents").select("doc_id", words.alias("w"))
+    docs = texts(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", words.alias("w"))
 
     def digest(strategy, n):
         return F.sha1(F.array_join(text.truncate_tokens("w", n, strategy), " "))
@@ -327,7 +327,7 @@ def _u(salt: str) -> str:
     SELECT doc_id, i::INT AS window_no, "start", sha1(substr(text, "start" + 1, size)) AS chunk_hash FROM p"""
 )
 def char_windows(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = texts(spark, sf_dir, "documents", "doc_id", "text")
     cut = text.char_windows(docs, row_id="doc_id", char_window=500)
     return cut.select("doc_id", "window_no", "start", F.sha1("chunk").alias("chunk_hash"))
 
@@ -350,13 +350,13 @@ grams AS (
 )
 def top_terms(spark, sf_dir):
     """The 15,000 most frequent words and word pairs, ties by term."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = texts(spark, sf_dir, "documents", "doc_id", "text")
     return features.vocabulary(docs, high=2, max_features=15_000)
 
 
 @query(f"WITH {TERMS_SQL} SELECT row_id, term, count(*) AS tf FROM grams GROUP BY ALL")
 def ngram_counts(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "row_id")
+    docs = texts(spark, sf_dir, "documents", "doc_id", "text").withColumnRenamed("doc_id", "row_id")
     return features.term_rows(docs, high=2)
 
 
@@ -371,7 +371,7 @@ def ngram_counts(spark, sf_dir):
     SELECT row_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY row_id)), 6) AS weight FROM w"""
 )
 def tfidf_weights(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "row_id")
+    docs = texts(spark, sf_dir, "documents", "doc_id", "text").withColumnRenamed("doc_id", "row_id")
     return round6(features.tfidf_rows(docs, high=2, max_features=5000, min_df=2))
 
 

@@ -70,3 +70,14 @@ def bounded_values(df: DataFrame, column: str, limit: int = BROADCAST_ROWS) -> l
     if len(rows) > limit:
         raise ValueError(f"more than {limit} distinct values in '{column}'")
     return sorted(r[0] for r in rows)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Repartition a table whose scan has fewer parts than the cluster has cores.
+
+    A file with one row group, or one that cannot be split, is read by one task. Work per row that
+    costs more than the scan then gains from a shuffle. A large table has parts enough and is
+    left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

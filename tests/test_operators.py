@@ -651,3 +651,16 @@ def test_neighbours(spark, blocks):
     want = sorted((i, n + 1, int(j)) for i in range(25) for n, j in enumerate(sorted(range(40), key=lambda j: (-sims[i, j], j))[:5]))
     assert got == want
     assert neighbours.vote_of_neighbours(near).count() == 25
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_long_pairs(spark, seed, monkeypatch):
+    rng = random.Random(seed)
+    pairs = [("".join(rng.choices("abё c", k=rng.randint(0, 90))), "".join(rng.choices("abё c", k=rng.randint(0, 90)))) for _ in range(60)]
+    assert [speech.edit_distance(a, b) for a, b in pairs] == [edits(a, b) for a, b in pairs]
+    monkeypatch.setattr(speech, "TABLE_CELLS", 400)
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, a string, b string")
+    got = df.select("i", speech.char_edits("a", "b").alias("c"), speech.word_edits("a", "b").alias("w")).orderBy("i").collect()
+    assert [r.c for r in got] == [edits(a, b) for a, b in pairs]
+    words = [[x.split(" ") if x else [] for x in p] for p in pairs]
+    assert [r.w for r in got] == [edits(a, b) for a, b in words]
