@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,6 +32,11 @@ def sub(c: ColumnLike, pattern: str, replacement: str, ignore_case: bool = False
     )
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once per row, however often ``use`` names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def literal_replacement(text: str) -> str:
     """Escape what a Java replacement string would read as a group reference."""
     return text.replace("\\", "\\\\").replace("$", "\\$")

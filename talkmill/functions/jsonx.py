@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from talkmill.functions import fixed
-from talkmill.functions.columns import ColumnLike, col, collapse_spaces, strip
+from talkmill.functions.columns import ColumnLike, bind, col, collapse_spaces, strip
 from talkmill.functions.text import estimate_tokens, normalise_for_match
 
 VARIANT_MAP = "map<string,variant>"
@@ -25,7 +25,7 @@ def strict_json(raw: ColumnLike) -> Column:
         F.try_parse_json(F.concat(F.lit("["), c, F.lit("]"))), "$", "array<variant>"
     )
     named = F.try_parse_json(F.concat(F.lit('{"v":'), c, F.lit("}")))
-    return F.when(named.isNotNull() & (F.size(listed) == 1), F.element_at(listed, 1))
+    return bind(listed, lambda v: F.when((F.size(v) == 1) & named.isNotNull(), F.element_at(v, 1)))
 
 
 def json_fields(value: ColumnLike) -> Column:
@@ -34,11 +34,13 @@ def json_fields(value: ColumnLike) -> Column:
 
 
 def strip_code_fence(raw: ColumnLike) -> Column:
-    c = strip(raw)
-    opened = F.regexp_replace(c, r"(?iU)^```(?:json)?\s*", "")
-    return strip(
-        F.when(c.startswith("```"), F.regexp_replace(opened, r"(?U)\s*```\z", "")).otherwise(c)
-    )
+
+    def unfenced(c):
+        opened = F.regexp_replace(c, r"(?iU)^```(?:json)?\s*", "")
+        body = strip(F.regexp_replace(opened, r"(?U)\s*```\z", ""))
+        return F.when(c.startswith("```"), body).otherwise(c)
+
+    return bind(strip(raw), unfenced)
 
 
 def extract_json_object(raw: ColumnLike) -> Column:
@@ -47,12 +49,17 @@ def extract_json_object(raw: ColumnLike) -> Column:
     If the whole answer is JSON it decides: an object gives its fields, anything else null. Only
     an answer that does not parse is searched from its first ``{`` to its last ``}``.
     """
-    c = strip_code_fence(raw)
-    whole = strict_json(c)
-    inner = F.regexp_extract(c, r"(?s)(\{.*\})", 1)
-    return F.when(whole.isNotNull(), json_fields(whole)).otherwise(
-        F.when(inner != "", json_fields(strict_json(inner)))
-    )
+
+    def inner(c):
+        found = F.regexp_extract(c, r"(?s)(\{.*\})", 1)
+        return F.when(F.contains(c, F.lit("{")), json_fields(strict_json(found)))
+
+    def fields(c):
+        return bind(
+            strict_json(c), lambda w: F.when(w.isNotNull(), json_fields(w)).otherwise(inner(c))
+        )
+
+    return bind(strip_code_fence(raw), fields)
 
 
 def variant_kind(value: ColumnLike) -> Column:
@@ -67,15 +74,20 @@ def variant_text(value: ColumnLike) -> Column:
 def is_present(value: ColumnLike) -> Column:
     """False for null, blank or "unknown"-like text, and empty lists and objects."""
     v = col(value)
-    kind = F.coalesce(variant_kind(v), F.lit("VOID"))
-    text = F.lower(strip(variant_text(v)))
-    return (
-        F.when(kind == "VOID", False)
-        .when(kind == "STRING", (text != "") & ~text.isin(fixed.ABSENT_WORDS))
-        .when(kind.startswith("ARRAY"), F.size(F.try_variant_get(v, "$", "array<variant>")) > 0)
-        .when(kind.startswith("OBJECT"), F.size(json_fields(v)) > 0)
-        .otherwise(True)
-    )
+
+    def filled(kind):
+        words = bind(
+            F.lower(strip(variant_text(v))), lambda t: (t != "") & ~t.isin(fixed.ABSENT_WORDS)
+        )
+        return (
+            F.when(kind == "VOID", False)
+            .when(kind == "STRING", words)
+            .when(kind.startswith("ARRAY"), F.size(F.try_variant_get(v, "$", "array<variant>")) > 0)
+            .when(kind.startswith("OBJECT"), F.size(json_fields(v)) > 0)
+            .otherwise(True)
+        )
+
+    return bind(F.coalesce(variant_kind(v), F.lit("VOID")), filled)
 
 
 def completeness(fields: ColumnLike, required: Sequence[str]) -> Column:

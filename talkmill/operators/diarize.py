@@ -9,7 +9,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from talkmill.functions.numbers import exact_round
 from talkmill.operators.scan import merge_runs
@@ -95,25 +94,28 @@ def _best_total(gain: np.ndarray) -> float:
     return float(gain[owner[used], np.flatnonzero(used)].sum())
 
 
-def _file_errors(pdf: pd.DataFrame) -> dict[str, float]:
+_ERRORS = "total double, missed double, false_alarm double, confusion double"
+
+
+def _file_errors(states) -> tuple[float, float, float, float]:
     """Seconds of reference speech, missed, false alarm and confusion of one file."""
-    sec = pdf["sec"].to_numpy()
-    n_ref = pdf["ref"].map(len).to_numpy()
-    n_hyp = pdf["hyp"].map(len).to_numpy()
-    refs = sorted({r for s in pdf["ref"] for r in s})
-    hyps = sorted({h for s in pdf["hyp"] for h in s})
+    sec = np.array([s["sec"] for s in states])
+    n_ref = np.array([len(s["ref"]) for s in states])
+    n_hyp = np.array([len(s["hyp"]) for s in states])
+    refs = {r: i for i, r in enumerate(sorted({r for s in states for r in s["ref"]}))}
+    hyps = {h: i for i, h in enumerate(sorted({h for s in states for h in s["hyp"]}))}
     right = 0.0
     if refs and hyps:
         shared = np.zeros((len(refs), len(hyps)))
-        for r, h, s in zip(pdf["ref"], pdf["hyp"], sec):
-            shared[np.ix_([refs.index(x) for x in r], [hyps.index(x) for x in h])] += s
+        for s in states:
+            shared[np.ix_([refs[x] for x in s["ref"]], [hyps[x] for x in s["hyp"]])] += s["sec"]
         right = _best_total(shared)
-    return {
-        "total": float((n_ref * sec).sum()),
-        "missed": float((np.maximum(n_ref - n_hyp, 0) * sec).sum()),
-        "false_alarm": float((np.maximum(n_hyp - n_ref, 0) * sec).sum()),
-        "confusion": float((np.minimum(n_ref, n_hyp) * sec).sum()) - right,
-    }
+    return (
+        float((n_ref * sec).sum()),
+        float((np.maximum(n_ref - n_hyp, 0) * sec).sum()),
+        float((np.maximum(n_hyp - n_ref, 0) * sec).sum()),
+        float((np.minimum(n_ref, n_hyp) * sec).sum()) - right,
+    )
 
 
 def active_speakers(
@@ -189,15 +191,14 @@ def diarization_errors(
     Only the seconds per pair of speaker sets of one file reach the mapping step.
     """
     states = active_speakers(reference, hypothesis, keys, **options)
-    names = ["total", "missed", "false_alarm", "confusion"]
-    schema = T.StructType(
-        [states.schema[k] for k in keys] + [T.StructField(n, T.DoubleType()) for n in names]
-    )
+    names = [n.split()[0] for n in _ERRORS.split(", ")]
 
-    def errors(group, pdf):
-        return pd.DataFrame([{**dict(zip(keys, group)), **_file_errors(pdf)}])
+    def errors(files: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_file_errors(f) for f in files], columns=names)
 
-    return states.groupBy(*keys).applyInPandas(errors, schema)
+    cell = F.struct("ref", "hyp", "sec")
+    per_file = states.groupBy(*keys).agg(F.sort_array(F.collect_list(cell)).alias("states"))
+    return per_file.select(*keys, F.pandas_udf(errors, _ERRORS)("states").alias("e")).select(*keys, "e.*")
 
 
 def error_percent(errors: DataFrame) -> DataFrame:

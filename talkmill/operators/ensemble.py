@@ -40,18 +40,17 @@ def align_labels(probs: DataFrame, labels: DataFrame) -> DataFrame:
     row and model meet in one map.
     """
     one = labels.select("label").distinct()
-    names = one.agg(F.sort_array(F.collect_set("label")).alias("__names"))
+    names = one.agg(F.sort_array(F.collect_set("label"))).scalar()
     maps = probs.groupBy("row_id", "model").agg(
         F.map_from_entries(F.collect_list(F.struct("label", "proba"))).alias("__p")
     )
-    # ``names`` is one row that holds the class list.
     cells = F.transform(
         F.col("__names"),
         lambda n: F.struct(
             n.alias("label"), F.coalesce(F.try_element_at("__p", n), F.lit(0.0)).alias("proba")
         ),
     )
-    return maps.join(F.broadcast(names)).select("row_id", "model", F.inline(cells))
+    return maps.withColumn("__names", names).select("row_id", "model", F.inline(cells))
 
 
 def _by_row(probs: DataFrame) -> DataFrame:
@@ -229,16 +228,15 @@ def compare_models(
     quality = summary(scored, keys).withColumnRenamed("n", "n_samples").drop("f1_macro")
     sure = confidence_summary(scored, threshold=threshold, by=keys)
     base = costs.withColumn("component_count", F.lit(1).cast("long"))
+    names = F.array(*[F.lit(f"Ensemble ({m})") for m in methods])
     whole = costs.agg(
         F.lit("ensemble").alias("family"),
         F.sum("infer_ms_total").alias("infer_ms_total"),
         F.sum("model_size_mb").alias("model_size_mb"),
         F.when(F.count("n_params") == F.count("*"), F.sum("n_params")).alias("n_params"),
         F.count("*").alias("component_count"),
-    )
-    votes = probs.sparkSession.createDataFrame([(f"Ensemble ({m})",) for m in methods], "model string")
-    # ``whole`` is one row, ``votes`` one per method.
-    cost = base.unionByName(votes.join(F.broadcast(whole)), allowMissingColumns=True)
+    ).withColumn("model", F.explode(names))
+    cost = base.unionByName(whole)
     per_row = F.round(F.col("infer_ms_total") / F.greatest("n_samples", F.lit(1)), 3)
     joined = quality.join(sure, keys).join(checked_broadcast(cost), "model")
     return joined.withColumn("infer_ms_per_sample", per_row)

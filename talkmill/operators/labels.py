@@ -102,11 +102,8 @@ def label_counts(df: DataFrame, column: str) -> DataFrame:
 def class_distribution(df: DataFrame, column: str) -> DataFrame:
     """Rows and percent per class."""
     counts = label_counts(df, column)
-    total = counts.agg(F.sum("n").alias("total"))
-    # ``total`` is one row.
-    return counts.join(F.broadcast(total)).select(
-        "label", "n", (F.col("n") * 100.0 / F.col("total")).alias("percent")
-    )
+    total = counts.agg(F.sum("n")).scalar()
+    return counts.select("label", "n", (F.col("n") * 100.0 / total).alias("percent"))
 
 
 def training_rows(df: DataFrame, text: str = "text") -> DataFrame:

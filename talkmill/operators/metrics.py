@@ -199,11 +199,8 @@ def confidence_summary(
 def class_weights(df: DataFrame, label: str) -> DataFrame:
     """Balanced weight ``n / (k * n_class)`` per class."""
     counts = df.groupBy(F.col(label).alias("label")).agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n").alias("total"), F.count("*").alias("k"))
-    # ``total`` is one row.
-    return counts.join(F.broadcast(total)).select(
-        "label", "n", (F.col("total") / (F.col("k") * F.col("n"))).alias("weight")
-    )
+    mean = counts.agg(F.sum("n") / F.count("*")).scalar()
+    return counts.select("label", "n", (mean / F.col("n")).alias("weight"))
 
 
 def fold_scores(folds: DataFrame, by: Sequence[str] = ()) -> DataFrame:

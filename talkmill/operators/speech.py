@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
-from talkmill.functions.columns import ColumnLike, col
+from talkmill.functions.columns import ColumnLike, bind, col
 from talkmill.functions.numbers import exact_round
 from talkmill.functions.text import normalise_for_wer
 
@@ -76,13 +76,10 @@ def word_edits(reference: ColumnLike, hypothesis: ColumnLike) -> Column:
         )
         return F.decode(F.unhex(F.array_join(codes, "")), "UTF-32")
 
-    # The one-element array makes the word table a bound variable, built once per pair.
-    once = F.transform(
-        F.array(place), lambda m: F.levenshtein(encoded(ref, m), encoded(hyp, m))
-    )
+    near = bind(place, lambda m: F.levenshtein(encoded(ref, m), encoded(hyp, m)))
     large = F.size(ref).cast("long") * F.size(hyp) > TABLE_CELLS
     far = _long_edits(F.when(large, ref), F.when(large, hyp))
-    return F.when(F.size(known) == 0, 0).when(large, far).otherwise(F.element_at(once, 1))
+    return F.when(F.size(known) == 0, 0).when(large, far).otherwise(near)
 
 
 def char_edits(reference: ColumnLike, hypothesis: ColumnLike) -> Column:

@@ -145,9 +145,8 @@ def oversample(
     its first ``d % m`` rows in hash order. ``copy_no`` 0 is the original.
     """
     ranked = rank_in_class(df, label, text, row_id, seed)
-    largest = df.groupBy(label).agg(F.count("*").alias("n")).agg(F.max("n").alias("__max"))
-    # ``largest`` is one row.
-    sized = ranked.join(F.broadcast(largest))
+    largest = df.groupBy(label).agg(F.count("*").alias("n")).agg(F.max("n")).scalar()
+    sized = ranked.withColumn("__max", largest)
     lack = F.col("__max") - F.col("class_rows")
     extra = F.floor(lack / F.col("class_rows")) + F.when(
         F.col("rank") <= F.pmod(lack, F.col("class_rows")), 1

@@ -44,14 +44,14 @@ def _ranked_scores(counts: DataFrame) -> DataFrame:
     rows = with_running(
         sliced(counts, ["score"]), ["score"], {"cum_pos": "pos", "cum_neg": "neg"}, {"before": "score"}
     )
-    totals = rows.agg(
-        F.sum("pos").alias("all_pos"),
-        F.sum("neg").alias("all_neg"),
-        F.min("score").alias("lowest"),
-        F.max("score").alias("highest"),
-    )
-    # ``totals`` is one row.
-    return rows.join(F.broadcast(totals))
+    totals = {
+        "all_pos": F.sum("pos"),
+        "all_neg": F.sum("neg"),
+        "lowest": F.min("score"),
+        "highest": F.max("score"),
+    }
+    one = rows.agg(F.struct(*[c.alias(n) for n, c in totals.items()])).scalar()
+    return rows.withColumn("__all", one).select("*", "__all.*").drop("__all")
 
 
 def _threshold_rows(ranked: DataFrame) -> DataFrame:
@@ -131,8 +131,9 @@ def _descending_counts(df: DataFrame, score: str, label: str, positive: str, rul
     depth = F.col("score") * -_sign(rule)
     rows = sliced(counts.withColumn("depth", depth), ["depth"])
     rows = with_running(rows, ["depth"], {"tp": "pos", "fp": "neg"})
-    totals = counts.agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))
-    return rows.join(F.broadcast(totals)).withColumn("score", -F.col("depth"))
+    one = rows.agg(F.struct(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))).scalar()
+    whole = rows.withColumn("__all", one).select("*", "__all.*").drop("__all")
+    return whole.withColumn("score", -F.col("depth"))
 
 
 def roc_auc(df: DataFrame, score: str, label: str, positive: str, rule: str = "greater_equal") -> DataFrame:

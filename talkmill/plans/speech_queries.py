@@ -408,7 +408,8 @@ def streamed_preparation(spark, sf_dir):
     """Documents prepared as they arrive, each once, and counted from the written rows."""
     source = table(spark, sf_dir, "documents")
     out, state = _folder(spark, "prepared"), _folder(spark, "state")
-    arriving = streams.arriving(spark, sf_dir, source.schema, pathGlobFilter="documents.parquet")
+    arriving = streams.arriving(spark, sf_dir, source.schema, spark.sparkContext.defaultParallelism,
+                                pathGlobFilter="documents.parquet")
     prepared = streams.prepare_calls(arriving.select("doc_id", "lang", "text"), 50, phrases=False)
     streams.write_stream(prepared, out, state, once_per="doc_id").awaitTermination()
     rows = spark.read.parquet(out)

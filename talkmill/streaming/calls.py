@@ -11,9 +11,15 @@ from talkmill.functions.text import clean_filename, clean_text, remove_noise, to
 from talkmill.operators.ensemble import route_calls
 
 
-def arriving(spark: SparkSession, path: str, schema: StructType | str, **options) -> DataFrame:
-    """Stream over the columnar files of a folder; each file is read once."""
-    return spark.readStream.schema(schema).options(**options).parquet(path)
+def arriving(
+    spark: SparkSession, path: str, schema: StructType | str, parts: int | None = None, **options
+) -> DataFrame:
+    """Stream over the columnar files of a folder; each file is read once.
+
+    ``parts`` spreads batches of few files over more tasks; batches of many files need none.
+    """
+    calls = spark.readStream.schema(schema).options(**options).parquet(path)
+    return calls.repartition(parts) if parts else calls
 
 
 def prepare_calls(calls: DataFrame, min_tokens: int = 3, phrases: bool = True) -> DataFrame:
