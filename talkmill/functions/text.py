@@ -133,9 +133,13 @@ def remove_noise(
     c = col(text)
     for phrase in phrases:
         c = sub(c, phrase, " ", ignore_case=True)
-    c = sub(c, r"^[\s\x1c-\x1f,.:;!?\-]+", "")
-    c = sub(c, r"[\s\x1c-\x1f,.:;!?\-]+\z", "")
-    return strip(sub(c, SPACE + "{2,}", " "))
+    return strip(sub(strip_ends(c), SPACE + "{2,}", " "))
+
+
+def strip_ends(text: ColumnLike) -> Column:
+    """Text without spaces and punctuation at both ends."""
+    c = sub(text, r"^[\s\x1c-\x1f,.:;!?\-]+", "")
+    return sub(c, r"[\s\x1c-\x1f,.:;!?\-]+\z", "")
 
 
 def clean_filename(name: ColumnLike) -> Column:

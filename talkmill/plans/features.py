@@ -108,7 +108,9 @@ class TermVectors(Estimator, _Text):
     def __init__(self, *, inputCol="text", outputCol="features", kind="tfidf", low=1, high=1,
                  maxFeatures=15_000, minDF=1):
         super().__init__()
-        self._setDefault(kind="tfidf", low=1, high=1, maxFeatures=15_000, minDF=1)
+        self._setDefault(
+            inputCol="text", outputCol="features", kind="tfidf", low=1, high=1, maxFeatures=15_000, minDF=1
+        )
         self._set(**self._input_kwargs)
 
     def _fit(self, df: DataFrame) -> "TermVectorsModel":
@@ -164,6 +166,7 @@ class KeywordFlags(Transformer, HasInputCol, HasOutputCol):
     @keyword_only
     def __init__(self, *, inputCol="text", outputCol="keywords"):
         super().__init__()
+        self._setDefault(inputCol="text", outputCol="keywords")
         self._set(**self._input_kwargs)
 
     def _transform(self, df: DataFrame) -> DataFrame:
@@ -179,6 +182,7 @@ class WordList(Transformer, HasInputCol, HasOutputCol):
     @keyword_only
     def __init__(self, *, inputCol="text", outputCol="words"):
         super().__init__()
+        self._setDefault(inputCol="text", outputCol="words")
         self._set(**self._input_kwargs)
 
     def _transform(self, df: DataFrame) -> DataFrame:

@@ -59,7 +59,7 @@ class LinearSvm(Estimator):
 
             wanted = list(range(classes)) if classes > 2 else [classes - 1]
             with ThreadPool(min(len(wanted), PARALLEL_FITS)) as pool:
-                lines = pool.map(inheritable_thread_target(line), wanted)
+                lines = pool.map(inheritable_thread_target(df.sparkSession)(line), wanted)
         finally:
             rows.unpersist()
         return LinearSvmModel(np.array(lines))

@@ -586,3 +586,53 @@ def result_records(spark, sf_dir):
         "model", "group", "f1_weighted", "precision", "recall", "infer_ms_per_sample",
         F.size("report").alias("n_labels"), F.col("report")["c7"]["support"].alias("c7_support"),
     )
+
+
+@query(
+    """
+    WITH m AS (SELECT vec_id AS row_id, embedding[1]::DOUBLE * 8 AS s FROM embeddings)
+    SELECT row_id, CASE WHEN s > 0 THEN 'pos' ELSE 'neg' END AS y_pred, round(abs(s), 6) AS confidence,
+           round(1 / (1 + exp(-2 * s)), 6) AS proba FROM m"""
+)
+def margin_probabilities(spark, sf_dir):
+    """One margin per row as two scores, their softmax, and the size of the margin."""
+    from talkmill.functions.numbers import margin_columns, margin_confidence, top_label
+
+    rows = table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("row_id"), (F.get("embedding", F.lit(0)).cast("double") * 8).alias("s")
+    )
+    scores = rows.select("row_id", F.inline(margin_columns("s", "neg", "pos")))
+    probs = ensemble.softmax_scores(scores, ["row_id"])
+    top = probs.groupBy("row_id").agg(
+        top_label("label", "proba").alias("y_pred"),
+        F.max(F.when(F.col("label") == "pos", F.col("proba"))).alias("proba"),
+    )
+    sure = rows.select("row_id", margin_confidence(F.array("s")).alias("confidence"))
+    return round6(top.join(sure, "row_id"))
+
+
+@query(
+    """
+    WITH t AS (SELECT event_type, round(avg(value), 6) AS latency, -count(*)::DOUBLE AS rank_cost FROM events GROUP BY 1)
+    SELECT 'latency' AS metric, first(event_type ORDER BY latency, event_type) AS best, min(latency) AS value FROM t
+    UNION ALL SELECT 'rank_cost', first(event_type ORDER BY rank_cost, event_type), min(rank_cost) FROM t"""
+)
+def winners(spark, sf_dir):
+    events = table(spark, sf_dir, "events").groupBy("event_type").agg(
+        F.round(F.avg("value"), 6).alias("latency"), (-F.count("*")).cast("double").alias("rank_cost")
+    )
+    return report.winners(events, "event_type", ["latency", "rank_cost"])
+
+
+@query(
+    f"""WITH {BINARY_SQL} SELECT manual_label, count(*) AS n FROM scored GROUP BY 1"""
+)
+def checked_labels(spark, sf_dir):
+    """Labels with stray spaces and blanks, checked against the two that may occur."""
+    from talkmill.operators.labels import binary_labels
+
+    scores = sample.binary_scores(spark, sf_dir)
+    messy = scores.withColumn("manual_label", F.concat(F.lit(" "), "manual_label", F.lit("\t")))
+    blank = messy.withColumn("manual_label", F.lit(" "))
+    good = binary_labels(messy.unionByName(blank), "manual_label", "spam", "non_spam")
+    return good.groupBy("manual_label").agg(F.count("*").alias("n"))

@@ -12,7 +12,7 @@ from talkmill.operators import diarize, responses, speech
 from talkmill.plans import sample_tables as sample
 from talkmill.plans.registry import query, round6, table, texts
 from talkmill.plans.sample_tables import HYPOTHESES_SQL, TURNS_SQL
-from talkmill.plans.score_queries import BASE, _STAGES, _stages
+from talkmill.plans.score_queries import BASE, _STAGES, _stages, _top, report_sql
 from talkmill.plans.text_queries import WORDS_SQL, normalised_sql, redacted_sql
 from talkmill.session import shared_folder
 from talkmill.sources import files, tables
@@ -387,17 +387,61 @@ def ground_truth(spark, sf_dir):
         F.when(F.col("role") == "system", "").otherwise(F.col("text")).alias("text"),
     )
     key = F.concat(F.lit("s"), "conv_id", F.lit("-"), "turn")
-    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(
-        F.to_json(F.map_from_entries(F.collect_list(F.struct(key, entry)))).alias("value")
-    )
+    rows = table(spark, sf_dir, "conversations").select(key.alias("seg_id"), entry.alias("e"))
     path = _folder(spark, "truth")
-    rows.repartitionByRange(8, "conv_id").select("value").write.text(path)
-    lines = spark.read.text(path)
-    parsed = lines.select(F.explode(F.from_json("value", files.TRUTH)).alias("seg_id", "entry"))
-    truth = parsed.select("seg_id", "entry.*").where("text <> ''")
+    files.write_truth(rows.select("seg_id", "e.*"), path)
+    truth = files.read_truth(spark, path, lines=True)
     return truth.select("seg_id", "file", "start_ms", F.sha1("text").alias("text_hash"))
 
 
+@query("SELECT doc_id::VARCHAR AS filename, sha1(text) AS text_hash FROM documents")
+def resumed_append(spark, sf_dir):
+    """Documents appended in two runs; the second run holds them all and adds only the new ones."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("filename"), "text", "lang")
+    path = _folder(spark, "calls")
+    tables.append_new(tables.transcript_rows(docs.where("lang = 'en'")), path)
+    tables.append_new(tables.transcript_rows(docs), path)
+    return spark.read.parquet(path).select("filename", F.sha1("text").alias("text_hash"))
+
+
+@query(
+    """
+    SELECT 'u' || user_id AS model, round(max(value), 2) AS f1_weighted, first(notes ORDER BY value DESC) AS notes
+    FROM (SELECT user_id, value, CASE WHEN event_type = 'click' THEN '007' ELSE '' END AS notes FROM events WHERE event_type IN ('click', 'view')
+          QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_type) = 1) GROUP BY user_id"""
+)
+def comparison_files(spark, sf_dir):
+    """Two comparison files read with numbers inferred and notes as text, best row per model."""
+    from talkmill.operators.report import merged_leaderboard
+
+    paths = []
+    for kind, note in (("click", "007"), ("view", None)):
+        rows = table(spark, sf_dir, "events").where(F.col("event_type") == kind)
+        path = _folder(spark, kind) + "/comparison.csv"
+        rows.select(
+            F.concat(F.lit("u"), "user_id").alias("model"),
+            F.col("value").alias("f1_weighted"),
+            F.lit(note).cast("string").alias("notes"),
+        ).write.option("header", True).csv(path)
+        paths.append(path)
+    best = merged_leaderboard([files.read_comparisons(spark, paths)], best_only=True)
+    return best.select("model", F.round("f1_weighted", 2).alias("f1_weighted"), "notes")
+
+
+@query(
+    f"""{BASE}, {report_sql('top', 'model')} SELECT model, n, errors, accuracy, f1_weighted FROM quality"""
+)
+def summary_files(spark, sf_dir):
+    """Metrics written as nested JSON and read back."""
+    from talkmill.operators.metrics import summary
+
+    scores = round6(summary(_top(spark, sf_dir), ["model"]))
+    path = _folder(spark, "summary")
+    tables.write_summary(scores.select("model", F.struct("n", "errors", "accuracy", "f1_weighted").alias("metrics")), path)
+    schema = "model string, metrics struct<n:bigint,errors:bigint,accuracy:double,f1_weighted:double>"
+    return spark.read.schema(schema).json(path).select("model", "metrics.*")
+
+
 @query(
     f"""
     WITH c AS (SELECT lang, {normalised_sql(redacted_sql('text'))} AS t FROM documents)

@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from talkmill.functions import redact, text
-from talkmill.functions.columns import strip
 from talkmill.operators import labels, metrics, split
-from talkmill.plans import features
+from talkmill.plans import features, prepare
 from talkmill.plans.registry import query, round6, table, texts
 from talkmill.plans.sample_tables import CALLS_SQL, calls
 
@@ -166,17 +165,21 @@ def clean_documents(spark, sf_dir):
 
 @query(
     f"""
-    WITH c AS (SELECT doc_id, CASE WHEN doc_id < 500 THEN text ELSE {redacted_sql('text')} END AS t FROM documents)
-    SELECT count(*) AS n_rows, sum(length(t))::BIGINT AS chars, count(*) FILTER (contains(t, '[IP]')) AS with_ip FROM c"""
+    WITH c AS (SELECT doc_id, text, {normalised_sql(redacted_sql('text'))} AS t FROM documents)
+    SELECT doc_id, sha1(CASE WHEN doc_id < 500 THEN text ELSE t END) AS text_hash,
+           CASE WHEN doc_id < 500 THEN '' ELSE sha1(text) END AS original_hash,
+           CASE WHEN doc_id < 500 THEN '' WHEN {WORDS_SQL.format('t')} < 50 THEN 'True' ELSE 'False' END AS too_short FROM c"""
 )
 def partial_reprocess(spark, sf_dir):
     """Rows before a start row stay as they are, later rows are processed."""
     docs = texts(spark, sf_dir, "documents", "doc_id", "text")
-    t = F.when(F.col("doc_id") >= 500, redact.redact_pii("text")).otherwise(F.col("text"))
-    return docs.select(t.alias("t")).agg(
-        F.count("*").alias("n_rows"),
-        F.sum(F.length("t")).alias("chars"),
-        F.count_if(F.contains("t", F.lit("[IP]"))).alias("with_ip"),
+    done = prepare.clean_transcripts(docs, row_id="doc_id", start_row=500, min_tokens=50)
+    kept = F.col("text_original") == ""
+    return done.select(
+        "doc_id",
+        F.sha1("text").alias("text_hash"),
+        F.when(kept, "").otherwise(F.sha1("text_original")).alias("original_hash"),
+        "too_short",
     )
 
 
@@ -546,19 +549,70 @@ def eval_rows(spark, sf_dir):
     WITH {CALLS_SQL}, c AS (SELECT {WORDS_SQL.format('text')} AS n, text FROM calls)
     SELECT count(*) AS total, count(*) FILTER (n < 40) AS short, count(*) FILTER (trim(text) = '') AS empty,
            count(*) FILTER (starts_with(text, '[TRANSCRIPTION_ERROR')) AS errors,
-           count(*) - count(*) FILTER (n < 40) AS ok FROM c"""
+           count(*) - count(*) FILTER (n < 40) AS ok,
+           count(*) - count(*) FILTER (n < 40) - count(*) FILTER (trim(text) = '') AS ok_reference FROM c"""
 )
 def preparation_counts(spark, sf_dir):
-    rows = calls(spark, sf_dir)
-    short, empty = text.too_short("text", 40), strip("text") == ""
-    failed = F.col("text").startswith(text.ERROR_PREFIX)
-    return rows.agg(
-        F.count("*").alias("total"),
-        F.count_if(short).alias("short"),
-        F.count_if(empty).alias("empty"),
-        F.count_if(failed).alias("errors"),
-        F.count_if(~short & ~empty & ~failed).alias("ok"),
-    )
+    return prepare.preparation_report(calls(spark, sf_dir), min_tokens=40)
+
+
+# Texts that start with a Russian phrase made for one rule, and what the rule leaves of it.
+RUSSIAN = [
+    ("Звонил Иван, иванов и ОЛЕГ.", "Звонил [ИМЯ], иванов и [ИМЯ]."),
+    ("Это компания Ромашка Плюс.", "Это компания [ОРГАНИЗАЦИЯ]."),
+    ("Звонит ООО Ромашка, добрый.", "Звонит [ОРГАНИЗАЦИЯ], добрый."),
+    ("Мой договор № 12345.", "Мой договор [НОМЕР_ДОГОВОРА]."),
+    ("Почта: и в а н собака м р.", "Почта: [EMAIL]."),
+    ("Номер один два три четыре пять шесть семь. Да.", "Номер [ТЕЛЕФОН]. Да."),
+    ("Тикет A1234-56, обращение 7891.", "[НОМЕР_ДОГОВОРА], [НОМЕР_ДОГОВОРА]."),
+    ("Тел +7 (999) 123-45-67.", "Тел [ТЕЛЕФОН]."),
+]
+
+
+def _prefixed(pairs, side):
+    cases = " ".join(f"WHEN {i} THEN '{p[side]}'" for i, p in enumerate(pairs))
+    return f"CASE doc_id % {len(pairs)} {cases} END"
+
+
+def _with_prefix(spark, sf_dir, pairs):
+    kinds = F.array(*[F.lit(p[0]) for p in pairs])
+    docs = texts(spark, sf_dir, "documents", "doc_id", "text")
+    start = F.get(kinds, (F.col("doc_id") % len(pairs)).cast("int"))
+    return docs.select("doc_id", F.concat(start, F.lit("\n"), "text").alias("text"))
+
+
+@query(
+    f"""SELECT doc_id, {_prefixed(RUSSIAN, 1)} || chr(10) || sha1({redacted_sql('text')}) AS clean FROM documents"""
+)
+def russian_redaction(spark, sf_dir):
+    """Redaction of numbers, mail, organisations and names in texts with a Russian first line."""
+    docs = _with_prefix(spark, sf_dir, RUSSIAN)
+    clean = redact.redact_names(redact.redact_orgs(redact.redact_pii("text")))
+    parts = docs.select("doc_id", F.split(clean, "\n", 2).alias("p"))
+    return parts.select("doc_id", F.concat(F.get("p", F.lit(0)), F.lit("\n"), F.sha1(F.get("p", F.lit(1)))).alias("clean"))
+
+
+FILLER = [
+    ("Добрый день! Слушаю вас.", ""),
+    ("Здравствуйте, чем могу вам помочь? ", ""),
+    ("Нет, нет нет. Хорошо. Номер,", "Номер,"),
+    ("Переключаю, подождите пожалуйста минуту: ", "Переключаю, :"),
+]
+
+
+@query(
+    f"""WITH c AS (SELECT doc_id, {_prefixed(FILLER, 1)} AS head,
+        regexp_replace(regexp_replace(regexp_replace(text, '^[\s,.:;!?\-]+', ''), '[\s,.:;!?\-]+$', ''), '\s{{2,}}', ' ', 'g') AS body FROM documents)
+    SELECT doc_id, sha1(CASE head WHEN '' THEN body ELSE head || ' ' || body END) AS text_hash FROM c
+    WHERE body <> ''"""
+)
+def russian_filler(spark, sf_dir):
+    """The fixed filler phrases removed from texts that start with some of them."""
+    kinds = F.array(*[F.lit(p[0]) for p in FILLER])
+    docs = texts(spark, sf_dir, "documents", "doc_id", "text")
+    start = F.get(kinds, (F.col("doc_id") % len(FILLER)).cast("int"))
+    said = docs.select("doc_id", F.concat(start, F.lit(" "), text.strip_ends("text")).alias("text"))
+    return said.select("doc_id", F.sha1(text.remove_noise("text")).alias("text_hash"))
 
 
 # Sampling ---------------------------------------------------------------------------------------

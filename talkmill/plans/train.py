@@ -93,6 +93,32 @@ def cross_validate(probs: DataFrame, folds: DataFrame, label: str = "label", row
     return summary(scored, ["model", "method"]), fold_scores(scored, ["model", "method"])
 
 
+def voting_ensemble(
+    train: DataFrame,
+    test: DataFrame,
+    catalogue: Mapping[str, Spec],
+    k: int = 0,
+    method: str = "soft",
+    text: str = "text",
+    label: str = "label",
+    row_id: str = "row_id",
+    **options,
+) -> tuple[dict[str, PipelineModel], DataFrame, DataFrame | None]:
+    """Base models and their vote: metrics on the test rows, and over ``k`` folds if asked for."""
+    known = only_known_labels(test, train, label)
+    models = {n: build(s, text, label, **options).fit(train) for n, s in catalogue.items()}
+    probs = _union([long_probabilities(m, known, n, row_id) for n, m in models.items()])
+    probs = checkpointed(probs.withColumnRenamed(row_id, "row_id"))
+    truth = known.select(F.col(row_id).alias("row_id"), F.col(label).alias("y_true"))
+    quality = summary(all_votes(probs, [method]).join(truth, "row_id"), ["model", "method"])
+    if k < 2:
+        return models, quality, None
+    folds = checkpointed(k_folds(train, label, k, text, row_id))
+    held = out_of_fold(folds, catalogue, text, label, row_id, **options)
+    _, spread = cross_validate(held.withColumnRenamed(row_id, "row_id"), folds, label, row_id, [method])
+    return models, quality, spread
+
+
 def fit_stacker(
     probs: DataFrame, truth: DataFrame, models: Sequence[str], labels: Sequence[str],
     name: str = "logreg", **options,

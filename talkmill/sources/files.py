@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from talkmill.functions import fixed
 from talkmill.functions.columns import collapse_spaces, strip, unicode_re
@@ -60,14 +62,23 @@ def read_references(spark: SparkSession, path: str | Sequence[str]) -> DataFrame
     )
 
 
-def read_truth(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """Speech ground truth as ``(seg_id, file, start_ms, duration_ms, text)``, rows with text."""
-    entries = _whole(spark, path).select(
-        F.explode(F.from_json("value", TRUTH)).alias("seg_id", "entry")
-    )
+def read_truth(spark: SparkSession, path: str | Sequence[str], lines: bool = False) -> DataFrame:
+    """Speech ground truth as ``(seg_id, file, start_ms, duration_ms, text)``, rows with text.
+
+    A file is one JSON object, or with ``lines`` one object per line, which is read in parts.
+    """
+    source = spark.read.text(path) if lines else _whole(spark, path)
+    entries = source.select(F.explode(F.from_json("value", TRUTH)).alias("seg_id", "entry"))
     return entries.select("seg_id", "entry.*").where("text <> ''")
 
 
+def write_truth(truth: DataFrame, path: str) -> None:
+    """Ground truth as one JSON object per line, each with one segment."""
+    entry = F.struct("file", "start_ms", "duration_ms", "text")
+    line = F.to_json(F.create_map(F.col("seg_id"), entry))
+    truth.select(line.alias("value")).write.mode("overwrite").text(path)
+
+
 def read_rttm(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """Speaker turns ``(file_id, start, dur, end, speaker)`` of RTTM lines."""
     lines = spark.read.text(path).select(F.split(strip("value"), r"\s+").alias("f"))
@@ -133,14 +144,26 @@ def parse_intervals(lines: DataFrame) -> DataFrame:
     )
 
 
+def _comparison(spark: SparkSession, path: str) -> DataFrame:
+    reader = spark.read.option("header", True).option("escape", '"')
+    inferred = reader.option("inferSchema", True).csv(path).schema
+    fields = [
+        T.StructField(f.name, T.StringType() if f.name == "notes" else f.dataType) for f in inferred
+    ]
+    rows = reader.schema(T.StructType(fields)).csv(path)
+    folder = F.regexp_extract(F.col("_metadata.file_path"), r"^(.*)/[^/]+$", 1)
+    table = rows.withColumn("source_dir", folder)
+    return table.na.fill("", ["notes"]) if "notes" in table.columns else table
+
+
 def read_comparisons(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """Comparison tables with numbers inferred, notes as text and the folder as ``source_dir``."""
+    """Comparison tables with numbers inferred, notes as text and the folder as ``source_dir``.
+
+    Tables may differ in columns; missing ones are null.
+    """
     full = [p if p.endswith(".csv") else p.rstrip("/") + "/comparison.csv" for p in paths]
-    raw = spark.read.option("header", True).option("inferSchema", True).option("escape", '"').csv(full)
-    table = raw.withColumn("source_dir", F.regexp_extract(F.col("_metadata.file_path"), r"^(.*)/[^/]+$", 1))
-    if "notes" in table.columns:
-        table = table.withColumn("notes", F.coalesce(F.col("notes").cast("string"), F.lit("")))
-    return table
+    tables = [_comparison(spark, p) for p in full]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
 
 
 def read_run_logs(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:

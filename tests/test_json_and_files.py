@@ -223,3 +223,10 @@ def test_responses(spark):
     assert (s["m"].avg_response_sec, s["m"].tokens_per_sec, s["m"].completeness, s["m"].json_ok, s["m"].problem_ok) == (1.0, 5.0, 0.333, "2/3", "1/3")
     wide = {r.model: (r.small, r.large) for r in responses.bucket_latency(scored, ["small", "large"]).collect()}
     assert wide == {"m": (1.5, 0.0), "n": (None, 4.0)}
+
+
+def test_truth_lines(spark, tmp_path):
+    rows = [("a@0", "a", 0, 5, "т\n\"x\""), ("b@1", "b", 1, 5, "")]
+    df = spark.createDataFrame(rows, "seg_id string, file string, start_ms long, duration_ms long, text string")
+    files.write_truth(df, str(tmp_path / "t"))
+    assert [tuple(r) for r in files.read_truth(spark, str(tmp_path / "t"), lines=True).collect()] == rows[:1]
