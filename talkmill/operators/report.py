@@ -104,9 +104,13 @@ def pareto_frontier(
     records: DataFrame, cost: str = "infer_ms_per_sample", gain: str = "f1_weighted", step: float = 1e-12
 ) -> DataFrame:
     """Records whose gain beats every cheaper one by more than ``step``."""
-    usable = records.where(F.col(cost) > 0).withColumn("__neg", -F.col(gain))
-    ranked = running_max_before(usable, [cost, "__neg", "model"], gain, "__best")
-    return ranked.where(F.col(gain) > F.coalesce("__best", F.lit(-1.0)) + step).drop("__best", "__neg")
+    # Only the best record of a cost can be on the frontier, so costs are unique from here on.
+    best = F.min_by(
+        F.struct(*records.columns), F.struct((-F.col(gain)).alias("g"), F.col("model").alias("m"))
+    )
+    unique = records.where(F.col(cost) > 0).groupBy(F.col(cost).alias("__cost")).agg(best.alias("r"))
+    ranked = running_max_before(unique.select("r.*"), [cost], gain, "__best")
+    return ranked.where(F.col(gain) > F.coalesce("__best", F.lit(-1.0)) + step).drop("__best")
 
 
 def winners(table: DataFrame, name: str, metrics: Sequence[str]) -> DataFrame:

@@ -59,23 +59,17 @@ def rank_in_class(
     )
 
 
-def hold_out(
-    df: DataFrame,
-    label: str,
-    text: str = "text",
-    row_id: str = "row_id",
-    share: float = 0.2,
-    seed: int = 42,
+def _mark_first(
+    df: DataFrame, label: str, text: str, row_id: str, seed: int, take: Column
 ) -> DataFrame:
-    """Add ``split``: the first ``round(share * n)`` rows of each class are ``test``.
+    """Add ``__total`` rows of the class and ``__first``: among the first ``take`` in hash order.
 
-    Only the hash where each class is cut has to be found: bucket counts give the bucket, and
-    the rows of that one bucket are ranked. The table itself is then marked without a shuffle.
+    ``take`` is per class and may use ``__total``. Only the hash where each class is cut has to
+    be found: bucket counts give its bucket, and the rows of that one bucket are ranked. The
+    table itself is then marked without a shuffle.
     """
     keyed = _keyed(df, label, text, row_id, seed)
-    offsets = _bucket_offsets(keyed, label).withColumn(
-        "__take", F.floor(F.col("__total") * share + 0.5)
-    )
+    offsets = _bucket_offsets(keyed, label).withColumn("__take", take)
     cut_in = offsets.where("__before < __take and __before + __n >= __take").select(
         label, "__bucket", (F.col("__take") - F.col("__before")).alias("__need")
     )
@@ -87,11 +81,25 @@ def hold_out(
         .where("__rn = __need")
         .select(label, F.struct("__key", row_id).alias("__cut"))
     )
-    marked = keyed.join(checked_broadcast(cut), label, "left").withColumn(
-        "split",
-        F.when(F.struct("__key", row_id) <= F.col("__cut"), "test").otherwise("train"),
-    )
-    return marked.drop("__key", "__bucket", "__cut")
+    classes = offsets.groupBy(label).agg(F.max("__total").alias("__total")).join(cut, label, "left")
+    marked = keyed.join(checked_broadcast(classes), label)
+    first = F.coalesce(F.struct("__key", row_id) <= F.col("__cut"), F.lit(False))
+    return marked.withColumn("__first", first).drop("__key", "__bucket", "__cut")
+
+
+def hold_out(
+    df: DataFrame,
+    label: str,
+    text: str = "text",
+    row_id: str = "row_id",
+    share: float = 0.2,
+    seed: int = 42,
+) -> DataFrame:
+    """Add ``split``: the first ``round(share * n)`` rows of each class are ``test``."""
+    take = F.floor(F.col("__total") * share + 0.5)
+    marked = _mark_first(df, label, text, row_id, seed, take)
+    part = F.when(F.col("__first"), "test").otherwise("train")
+    return marked.withColumn("split", part).drop("__first", "__total")
 
 
 def k_folds(
@@ -144,18 +152,16 @@ def oversample(
     A class of ``m`` rows that lacks ``d`` gets ``d // m`` copies of every row and one more of
     its first ``d % m`` rows in hash order. ``copy_no`` 0 is the original.
     """
-    ranked = rank_in_class(df, label, text, row_id, seed)
     largest = df.groupBy(label).agg(F.count("*").alias("n")).agg(F.max("n")).scalar()
-    sized = ranked.withColumn("__max", largest)
-    lack = F.col("__max") - F.col("class_rows")
-    extra = F.floor(lack / F.col("class_rows")) + F.when(
-        F.col("rank") <= F.pmod(lack, F.col("class_rows")), 1
-    ).otherwise(0)
+    lack = largest - F.col("__total")
+    marked = _mark_first(df, label, text, row_id, seed, F.pmod(lack, F.col("__total")))
+    extra = F.floor(lack / F.col("__total")) + F.col("__first").cast("int")
     copies = F.explode(F.sequence(F.lit(0), extra.cast("int")))
+    source = F.when(F.col("copy_no") == 0, "original").otherwise("oversample")
     return (
-        sized.withColumn("copy_no", copies)
-        .withColumn("_aug_source", F.when(F.col("copy_no") == 0, "original").otherwise("oversample"))
-        .drop("__max", "rank", "class_rows")
+        marked.withColumn("copy_no", copies)
+        .withColumn("_aug_source", source)
+        .drop("__total", "__first")
     )
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talkmill.functions.text import keyword_flags, word_ngrams, word_tokens
-from talkmill.session import bounded_values
+from talkmill.session import bounded_values, checked_broadcast
 
 
 def term_rows(df: DataFrame, text: str = "text", row_id: str = "row_id", low: int = 1, high: int = 1) -> DataFrame:
@@ -77,7 +77,7 @@ def tfidf_rows(
     rows = df.count()
     vocab = vocabulary(df, text, low, high, max_features, min_df)
     weights = vocab.select("term", smooth_idf(F.col("df"), F.lit(rows)).alias("idf"))
-    raw = term_rows(df, text, row_id, low, high).join(weights, "term").select(
+    raw = term_rows(df, text, row_id, low, high).join(checked_broadcast(weights), "term").select(
         row_id, "term", ((F.log("tf") + 1) * F.col("idf")).alias("w")
     )
     # The terms of one text, summed in term order so that the length is the same on every run.

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from talkmill.functions import redact, text
+from talkmill.functions import fixed, redact, text
+from talkmill.functions.columns import unicode_re
 from talkmill.operators import labels, metrics, split
 from talkmill.plans import features, prepare
 from talkmill.plans.registry import query, round6, table, texts
@@ -91,9 +92,6 @@ def pii_redact(spark, sf_dir):
     ) + " FROM documents GROUP BY source"
 )
 def pii_counts(spark, sf_dir):
-    from talkmill.functions import fixed
-    from talkmill.functions.columns import unicode_re
-
     docs = texts(spark, sf_dir, "documents", "source", "text")
     latin = [r for i, r in enumerate(fixed.REDACTIONS) if i != 5]  # spelled-out Russian numbers
     hits = [
@@ -283,9 +281,10 @@ def file_names(spark, sf_dir):
 
 
 @query(
-    r"""
-    WITH t AS (SELECT lang, regexp_matches(text, '(?i)\b(?:python|ansible|docker|linux|bash|shell|adcm|adh|adpg|adb)\b') AS tech FROM documents)
-    SELECT lang, 0.0::DOUBLE AS commercial, sum(tech::INT)::DOUBLE AS technical FROM t GROUP BY lang"""
+    f"""
+    WITH t AS (SELECT lang, regexp_matches(text, '(?i){fixed.COMMERCIAL_WORDS}') AS c,
+                      regexp_matches(text, '(?i){fixed.TECHNICAL_WORDS}') AS t FROM documents)
+    SELECT lang, sum(c::INT)::DOUBLE AS commercial, sum(t::INT)::DOUBLE AS technical FROM t GROUP BY lang"""
 )
 def keyword_counts(spark, sf_dir):
     commercial, technical = text.keyword_flags("text")

@@ -92,7 +92,7 @@ NORMAL = {
     "Привет,\nмир": "привет,мир",
     "АААААа !!!! ок": "аа !! ок",
     "Цена 100% + налог": "цена 100 налог",
-    "«Арендата»  \tДБ": "«арендата» дб",
+    "«Ромашка»  \tДБ": "«ромашка» дб",
     "ааа бббб": "ааа бб",
     "[ТЕЛЕФОН] x": "[телефон] x",
     "ﬁ①": "fi1",
