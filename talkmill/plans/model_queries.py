@@ -16,8 +16,11 @@ from talkmill.plans.registry import query, round6, texts
 from talkmill.session import checkpointed
 
 SMALL = {"high": 1, "max_features": 400, "min_df": 2}
-VOTING = {"nb": Spec("counts", "multinomial_nb", **SMALL), "lr": Spec("tfidf", "logreg", **SMALL)}
 QUICK = {"maxIter": 10}
+VOTING = {
+    "nb": Spec("counts", "multinomial_nb", **SMALL),
+    "lr": Spec("tfidf", "logreg", **SMALL, options=QUICK),
+}
 
 
 def _labelled(spark, sf_dir):

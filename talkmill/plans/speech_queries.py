@@ -123,15 +123,15 @@ def der_files(spark, sf_dir):
 @query(
     f"""{_DER}, p AS (SELECT system, format('{{:.2f}}', (missed + false_alarm + confusion) / total * 100)::DOUBLE AS der,
       format('{{:.2f}}', missed / total * 100)::DOUBLE AS ms FROM errors)
-    SELECT system, count(*) AS n_files, round(avg(der), 1) AS "DER", round(avg(ms), 1) AS "MS" FROM p GROUP BY system"""
+    SELECT system, count(*) AS n_files, format('{{:.2f}}', avg(der))::DOUBLE AS "DER", format('{{:.2f}}', avg(ms))::DOUBLE AS "MS" FROM p GROUP BY system"""
 )
 def system_table(spark, sf_dir):
-    """Mean errors per system; compared to one decimal, as the per-file values are rounded twice."""
+    """Mean errors per system."""
     truth, found = sample.turns(spark, sf_dir), sample.hypotheses(spark, sf_dir)
     errors = diarize.system_errors(truth, found)
     runs = found.select("system", "file_id").distinct().withColumns({"time": F.lit(1.0), "audio_sec": F.lit(4.0)})
     table_ = diarize.system_table(errors, runs)
-    return table_.select("system", "n_files", F.round("DER", 1).alias("DER"), F.round("MS", 1).alias("MS"))
+    return table_.select("system", "n_files", "DER", "MS")
 
 
 # Recognition errors -----------------------------------------------------------------------------
@@ -256,7 +256,7 @@ def _answers(spark, sf_dir):
 @query(
     f"""WITH {_ANSWERS}
     SELECT model, bucket, case_id, json_ok::INT AS json_ok, problem_ok::INT AS problem_ok, round(completeness, 6) AS completeness,
-           round(completion_tokens / elapsed_sec, 6) AS tokens_per_sec FROM scored"""
+           round(coalesce(completion_tokens / nullif(elapsed_sec, 0), 0), 6) AS tokens_per_sec FROM scored"""
 )
 def scored_answers(spark, sf_dir):
     scored = _answers(spark, sf_dir)

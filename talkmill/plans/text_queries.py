@@ -133,13 +133,15 @@ def span_redact(spark, sf_dir):
 
 @query(
     r"""
-    SELECT doc_id, sha1(regexp_replace(regexp_replace(text, '(?i)\bthe\b', 'a', 'g'), '(?i)\band\b', 'or', 'g'))
-           AS text_hash FROM documents WHERE lang = 'en'"""
+    WITH p AS (SELECT doc_id, regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+') AS w FROM documents)
+    SELECT doc_id, sha1(array_to_string(list_transform(w, lambda x: CASE lower(x) WHEN 'the' THEN 'a'
+      WHEN 'and' THEN 'or' WHEN 'été' THEN 'être' WHEN 'für' THEN 'vor' ELSE x END), '')) AS text_hash FROM p"""
 )
 def lemma_replace(spark, sf_dir):
-    """Words of English documents replaced by a dictionary; other words stay in place."""
-    docs = table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", "text")
-    pairs = spark.createDataFrame([("the", "a"), ("and", "or")], "form string, lemma string")
+    """Words replaced by a dictionary; other words, spacing and punctuation stay in place."""
+    docs = texts(spark, sf_dir, "documents", "doc_id", "text")
+    words = [("the", "a"), ("and", "or"), ("été", "être"), ("für", "vor")]
+    pairs = spark.createDataFrame(words, "form string, lemma string")
     done = redact.lemmatise(docs, pairs, row_id="doc_id")
     return done.select("doc_id", F.sha1("text").alias("text_hash"))
 
