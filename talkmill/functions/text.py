@@ -14,6 +14,7 @@ from talkmill.functions import fixed
 from talkmill.functions.columns import (
     SPACE,
     ColumnLike,
+    bind,
     col,
     collapse_spaces,
     is_blank,
@@ -203,6 +204,35 @@ def word_ngrams(tokens: ColumnLike, low: int = 1, high: int = 1) -> Column:
     return orders[0] if len(orders) == 1 else F.concat(*orders)
 
 
+def term_counts(terms: ColumnLike) -> Column:
+    """Distinct terms of an array and how often each occurs, as ``array<struct<term, tf>>``.
+
+    Equal terms lie side by side after a sort, so a count is the distance between run starts. It
+    needs no shuffle, because a text is a single row.
+    """
+
+    def starts(s):
+        fresh = F.filter(
+            F.sequence(F.lit(0), F.size(s) - 1),
+            lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)),
+        )
+        return F.when(F.size(s) > 0, fresh).otherwise(F.array().cast("array<int>"))
+
+    def counted(s):
+        def cell(at):
+            def one(begin, i):
+                end = F.coalesce(F.get(at, i + 1), F.size(s))
+                return F.struct(
+                    F.get(s, begin).alias("term"), (end - begin).cast("long").alias("tf")
+                )
+
+            return F.transform(at, one)
+
+        return bind(starts(s), cell)
+
+    return bind(F.sort_array(col(terms)), counted)
+
+
 def truncate_tokens(tokens: ColumnLike, max_length: int, strategy: str = "head") -> Column:
     """Keep ``max_length`` tokens: the head, or half head (rounded up) and half tail."""
     name = strategy.strip().lower().replace("-", "_")

@@ -66,7 +66,7 @@ def _pick(scored: DataFrame, keys: Sequence[str] = ("row_id",)) -> DataFrame:
 
 def base_predictions(probs: DataFrame) -> DataFrame:
     """Each model's own label and confidence per row."""
-    return _pick(_by_row(probs), ["row_id", "model"])
+    return all_votes(probs, ()).drop("method")
 
 
 def _mean_proba(probs: DataFrame) -> DataFrame:
@@ -84,21 +84,27 @@ def max_vote(probs: DataFrame) -> DataFrame:
     return _pick(_by_row(probs).groupBy("row_id", "label").agg(F.max("proba").alias("proba")))
 
 
+def _marked(probs: DataFrame) -> DataFrame:
+    """Placed rows with ``vote`` 1 on the best label of each model."""
+    best = W.partitionBy("row_id", "model").orderBy(F.desc("proba"), "label")
+    return _by_row(probs).withColumn("vote", (F.row_number().over(best) == 1).cast("int"))
+
+
+def _order(*values: str) -> Column:
+    """Sort key: larger values first, then label order."""
+    return F.struct(*[(-F.col(v)).alias(v) for v in values], F.col("label").alias("label"))
+
+
 def hard_vote(probs: DataFrame) -> DataFrame:
     """Label most models choose; ties by mean probability, then by label order.
 
     The confidence is the largest mean probability, which may belong to another label.
     """
-    placed = _by_row(probs)
-    # Per row and model the best label; the marks stay on the rows so one placement serves both.
-    best = W.partitionBy("row_id", "model").orderBy(F.desc("proba"), "label")
-    marked = placed.withColumn("vote", (F.row_number().over(best) == 1).cast("int"))
-    scored = marked.groupBy("row_id", "label").agg(
+    scored = _marked(probs).groupBy("row_id", "label").agg(
         F.sum("vote").alias("votes"), F.round(F.avg("proba"), TIE_DIGITS).alias("proba")
     )
-    order = F.struct((-F.col("votes")).alias("v"), (-F.col("proba")).alias("p"), F.col("label").alias("l"))
     return scored.groupBy("row_id").agg(
-        F.min_by("label", order).alias("y_pred"), F.max("proba").alias("confidence")
+        F.min_by("label", _order("votes", "proba")).alias("y_pred"), F.max("proba").alias("confidence")
     )
 
 
@@ -112,12 +118,38 @@ def vote(probs: DataFrame, method: str) -> DataFrame:
 
 
 def all_votes(probs: DataFrame, methods: Sequence[str] = ("soft", "max", "hard")) -> DataFrame:
-    """Predictions of the base models and the votes: ``(model, method, row_id, y_pred, confidence)``."""
-    out = base_predictions(probs).withColumn("method", F.lit("base"))
-    for m in methods:
-        voted = vote(probs, m).withColumn("model", F.lit(f"Ensemble ({m})")).withColumn("method", F.lit(m))
-        out = out.unionByName(voted)
-    return out
+    """Predictions of the base models and the votes: ``(model, method, row_id, y_pred, confidence)``.
+
+    All of them work on one placement of the rows, and all votes on one pass over it.
+    """
+    unknown = [m for m in methods if m not in VOTES]
+    if unknown:
+        raise ValueError(f"unsupported methods {unknown}: use some of {sorted(VOTES)}")
+    marked = _marked(probs)
+    base = marked.where("vote = 1").select(
+        "row_id", F.col("label").alias("y_pred"), F.col("proba").alias("confidence"), "model",
+        F.lit("base").alias("method"),
+    )
+    if not methods:
+        return base
+    scored = marked.groupBy("row_id", "label").agg(
+        F.sum("vote").alias("votes"),
+        F.round(F.avg("proba"), TIE_DIGITS).alias("mean"),
+        F.max("proba").alias("top"),
+    )
+    order = {"soft": ["mean"], "max": ["top"], "hard": ["votes", "mean"]}
+    sure = {"soft": "mean", "max": "top", "hard": "mean"}
+    picks = [
+        F.struct(
+            F.min_by("label", _order(*order[m])).alias("y_pred"),
+            F.max(sure[m]).alias("confidence"),
+            F.lit(f"Ensemble ({m})").alias("model"),
+            F.lit(m).alias("method"),
+        ).alias(m)
+        for m in methods
+    ]
+    voted = scored.groupBy("row_id").agg(*picks).select("row_id", F.inline(F.array(*methods)))
+    return base.unionByName(voted)
 
 
 def meta_features(

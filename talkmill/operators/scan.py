@@ -88,7 +88,7 @@ def merge_runs(
     border is joined by its carried end.
     """
     place = [keys[0], *[c for c in order if c != keys[0]]]
-    rows = sliced(df, place)
+    rows = sliced(df.select(*dict.fromkeys([*keys, *place, start, end])), place)
     local = W.partitionBy(SLICE).orderBy(*place)
     same = F.lit(True)
     for k in keys:

@@ -41,16 +41,16 @@ def score_counts(df: DataFrame, score: str, label: str, positive: str) -> DataFr
 
 def _ranked_scores(counts: DataFrame) -> DataFrame:
     """Distinct scores with running counts up to each, the score before it, and totals."""
-    rows = with_running(
-        sliced(counts, ["score"]), ["score"], {"cum_pos": "pos", "cum_neg": "neg"}, {"before": "score"}
-    )
+    base = sliced(counts, ["score"])
+    sums = {"cum_pos": "pos", "cum_neg": "neg"}
+    rows = with_running(base, ["score"], sums, {"before": "score"})
     totals = {
         "all_pos": F.sum("pos"),
         "all_neg": F.sum("neg"),
         "lowest": F.min("score"),
         "highest": F.max("score"),
     }
-    one = rows.agg(F.struct(*[c.alias(n) for n, c in totals.items()])).scalar()
+    one = base.agg(F.struct(*[c.alias(n) for n, c in totals.items()])).scalar()
     return rows.withColumn("__all", one).select("*", "__all.*").drop("__all")
 
 
@@ -129,9 +129,9 @@ def _descending_counts(df: DataFrame, score: str, label: str, positive: str, rul
     """Running counts from the strongest score down. ``depth`` is the negated oriented score."""
     counts = score_counts(df, score, label, positive)
     depth = F.col("score") * -_sign(rule)
-    rows = sliced(counts.withColumn("depth", depth), ["depth"])
-    rows = with_running(rows, ["depth"], {"tp": "pos", "fp": "neg"})
-    one = rows.agg(F.struct(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))).scalar()
+    base = sliced(counts.withColumn("depth", depth), ["depth"])
+    rows = with_running(base, ["depth"], {"tp": "pos", "fp": "neg"})
+    one = base.agg(F.struct(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))).scalar()
     whole = rows.withColumn("__all", one).select("*", "__all.*").drop("__all")
     return whole.withColumn("score", -F.col("depth"))
 

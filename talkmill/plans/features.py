@@ -15,15 +15,20 @@ from pyspark.ml.param.shared import HasInputCol, HasLabelCol, HasOutputCol
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talkmill.functions.text import keyword_flags, word_ngrams, word_tokens
+from talkmill.functions.text import keyword_flags, term_counts, word_ngrams, word_tokens
 from talkmill.session import bounded_values, checked_broadcast
 
 
+def _terms(df: DataFrame, text: str, low: int, high: int, *keep: str) -> DataFrame:
+    """Distinct terms of each text with their counts, without a shuffle."""
+    tokens = df.select(*keep, word_tokens(text).alias("__tokens"))
+    grams = tokens.select(*keep, word_ngrams("__tokens", low, high).alias("__terms"))
+    return grams.select(*keep, F.inline(term_counts("__terms")))
+
+
 def term_rows(df: DataFrame, text: str = "text", row_id: str = "row_id", low: int = 1, high: int = 1) -> DataFrame:
     """Term counts per row ``(row_id, term, tf)``."""
-    terms = F.explode(word_ngrams("__tokens", low, high)).alias("term")
-    tokens = df.select(row_id, word_tokens(text).alias("__tokens"))
-    return tokens.select(row_id, terms).groupBy(row_id, "term").agg(F.count("*").alias("tf"))
+    return _terms(df, text, low, high, row_id)
 
 
 def vocabulary(
@@ -36,20 +41,12 @@ def vocabulary(
 ) -> DataFrame:
     """Corpus and document frequency per term; the most frequent terms, ties by term.
 
-    Counts are combined inside each task before the shuffle, which carries terms and not rows.
+    Counts are combined inside each task before the only shuffle, which carries terms, not rows.
     """
-    grams = df.select(word_tokens(text).alias("__tokens")).select(
-        word_ngrams("__tokens", low, high).alias("__terms")
-    )
-    every = F.transform("__terms", lambda t: F.struct(t.alias("term"), F.lit(1).alias("tf"), F.lit(0).alias("df")))
-    once = F.transform(
-        F.array_distinct("__terms"),
-        lambda t: F.struct(t.alias("term"), F.lit(0).alias("tf"), F.lit(1).alias("df")),
-    )
     counts = (
-        grams.select(F.inline(F.concat(every, once)))
+        _terms(df, text, low, high)
         .groupBy("term")
-        .agg(F.sum("tf").alias("corpus_count"), F.sum("df").alias("df"))
+        .agg(F.sum("tf").alias("corpus_count"), F.count("*").alias("df"))
         .where(F.col("df") >= min_df)
     )
     if max_features is None:
@@ -72,7 +69,8 @@ def tfidf_rows(
 ) -> DataFrame:
     """TF-IDF ``(row_id, term, weight)``: ``1 + ln tf``, smooth idf, rows scaled to length 1.
 
-    Terms of one row stay together from the first shuffle on; the vocabulary is joined by size.
+    Terms are counted and joined with the vocabulary where the text lies; one shuffle brings the
+    terms of a row together for its length.
     """
     rows = df.count()
     vocab = vocabulary(df, text, low, high, max_features, min_df)
