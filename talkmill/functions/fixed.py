@@ -20,7 +20,9 @@ PLACEHOLDERS = {
 # Entity type of a span -> placeholder kind. Other types are left alone.
 ENTITY_KINDS = {"PER": "PER", "PERSON": "PER", "ORG": "ORG", "LOC": "LOC", "GPE": "LOC"}
 
-# Redaction patterns, as (placeholder kind, pattern, ignore case), in order.
+# Redaction patterns, as (placeholder kind, pattern, ignore case), in order. Repeated
+# groups of words are possessive (`{2,}+`): what follows them can never start inside a repetition, so
+# the matches are the same, and a long run of such words does not recurse.
 DIGIT_WORDS = "ноль|один|два|три|четыре|пять|шесть|семь|восемь|девять"
 CONTRACT_WORDS = (
     r"договор[а-я]*|контракт[а-я]*|тикет[а-я]*|заявк[аи]|обращени[ея]|номер|№|#\s*(?=\w)|\bid\b"
@@ -30,13 +32,13 @@ REDACTIONS = [
     ("email", r"[a-zA-Z0-9_.+\-]+@[a-zA-Z0-9\-]+\.[a-zA-Z]{2,}", False),
     (
         "email",
-        r"(?:[а-яёa-z](?:\s+(?:русская|латинская|заглавная|маленькая))?\s+){2,}"
-        r"(?:как\s+)?(?:собака|доллар|at|эт)(?:\s+[а-яёa-z]){1,}(?:\s+точка\s+[а-яёa-z]{2,4})?",
+        r"(?:[а-яёa-z](?:\s+(?:русская|латинская|заглавная|маленькая))?\s+){2,}+"
+        r"(?:как\s+)?(?:собака|доллар|at|эт)(?:\s+[а-яёa-z]){1,}+(?:\s+точка\s+[а-яёa-z]{2,4})?",
         True,
     ),
     ("phone", r"(?:\+?7|8)[\s\-\(]*\d{3}[\s\-\)]*\d{3}[\s\-]*\d{2}[\s\-]*\d{2}", False),
     ("phone", r"\b(?:\d[\s\-]){6,}\d\b", False),
-    ("phone", r"\b(?:(?:" + DIGIT_WORDS + r")[\s,\-]*){7,}", True),
+    ("phone", r"\b(?:(?:" + DIGIT_WORDS + r")[\s,\-]*){7,}+", True),
     ("ip", r"\b(?:\d{1,3}\.){3}\d{1,3}\b", False),
     ("contract", r"(?:" + CONTRACT_WORDS + r")\s*[A-ZА-ЯЁa-zа-яё]?[\d][\w\-\/]{2,}", True),
     ("digits", r"\b\d{8,}\b", False),
@@ -88,7 +90,7 @@ NOISE_PHRASES = [
     r"\bхорошо\b",
     r"\bпонятно\b",
     r"\bконечно\b",
-    r"\bнет(?:[,.]?\s+нет)*\b",
+    r"\bнет\b(?:[,.]?\s+нет\b)*+",
     r"\bпожалуйста\b",
     r"\bподождите\s+(?:пожалуйста\s+)?(?:минуту|секунду|немного|одну\s+минуту)?\b",
     r"\bодну\s+(?:секунду|минуту)\b",

@@ -113,7 +113,8 @@ class CalibratedSvm(Estimator):
         return CalibratedSvm(self.c, self.folds, self.max_iter, self.text, self.row_id)
 
     def _fit(self, df: DataFrame) -> "CalibratedSvmModel":
-        dealt = k_folds(df, "label_idx", self.folds, self.text, self.row_id).persist(StorageLevel.MEMORY_AND_DISK)
+        dealt = k_folds(df, "label_idx", self.folds, self.text, self.row_id)
+        dealt = dealt.select("features", "label_idx", "weight", "fold").persist(StorageLevel.MEMORY_AND_DISK)
         members = []
         try:
             for f in range(1, self.folds + 1):

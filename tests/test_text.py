@@ -222,3 +222,9 @@ def test_decimals(spark):
 def test_snippet(spark):
     assert one(spark, ["абвг", "аб"], text.snippet("x", 3)) == ["абв…", "аб"]
     assert one(spark, ["абвг"], text.snippet("x", 3, "")) == ["абв"]
+
+
+def test_long_runs_do_not_recurse(spark):
+    runs = ["a " * 5000, "один " * 5000, "1 " * 5000, "нет " * 5000, "a" * 20000]
+    got = one(spark, runs, text.remove_noise(redact.redact_pii("x")))
+    assert got[1] == "[ТЕЛЕФОН]" and got[2] == "[ТЕЛЕФОН]" and got[3] == "" and len(got[4]) == 20000
