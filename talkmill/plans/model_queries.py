@@ -1,6 +1,6 @@
 """Queries that fit classifiers on the documents: language is the label, the whole text the input.
 
-Fitted models have no SQL form. The settings are small so that a run on test data is short; the
+Fitted classifiers have no SQL form. The settings are small so that a run on test data is short; the
 catalogue holds the full ones.
 """
 
@@ -174,7 +174,21 @@ def length_sweep(spark, sf_dir):
     return round6(best.drop("train_sec"))
 
 
-@query()
+@query(
+    r"""
+    WITH t AS (SELECT doc_id AS row_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}') AS w FROM documents),
+    g AS (SELECT row_id, 1 AS n, unnest(w) AS term FROM t
+          UNION ALL SELECT row_id, 2, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM t
+          UNION ALL SELECT row_id, 3, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) FROM t),
+    k(name, top, lim) AS (VALUES ('BoW + LogReg', 1, 15000), ('TF-IDF + LogReg', 2, 15000), ('N-gram(1-3) + LogReg', 3, 20000)),
+    c AS (SELECT name, lim, term, row_number() OVER (PARTITION BY name ORDER BY count(*) DESC, term) AS place
+          FROM g JOIN k ON g.n <= k.top GROUP BY name, lim, term),
+    v AS (SELECT name, term FROM c WHERE place <= lim),
+    f AS (SELECT name, row_id, count(DISTINCT term) AS filled FROM g JOIN k ON g.n <= k.top JOIN v USING (name, term) GROUP BY ALL),
+    s AS (SELECT name, count(*) AS width FROM v GROUP BY name)
+    SELECT s.name, d.doc_id AS row_id, s.width::INT AS width, coalesce(filled, 0)::INT AS filled
+    FROM documents d CROSS JOIN s LEFT JOIN f ON f.name = s.name AND f.row_id = d.doc_id"""
+)
 def fitted_vocabulary(spark, sf_dir):
     """Vectors of every catalogue feature kind: width and filled places per document."""
     from pyspark.sql.functions import unwrap_udt
