@@ -5,8 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talkmill.llm import ngram_lm
+from talkmill.llm import jaccard_join, ngram_lm, order_minhash, secret_scan
 from talkmill.llm.registry import QUERIES, SQL, query, table  # noqa: F401
+from talkmill.session import checkpointed
+
+
+@query()
+def op2_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets in every text: those of the fixed patterns and those the Markov model adds."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = checkpointed(secret_scan.scanned(docs).select("doc_id", "base", "candidates"))
+    model = secret_scan.fit(secret_scan.samples(rows))
+    rows = rows.withColumn("found", secret_scan.all_spans(model))
+
+    def count(rank: int):
+        return F.size(F.filter("base", lambda s: s["rank"] == rank)).cast("long")
+
+    return rows.select(
+        "doc_id",
+        count(0).alias("n_assign"),
+        count(1).alias("n_access"),
+        count(2).alias("n_hex"),
+        F.sha2(secret_scan.written(F.col("base")), 256).alias("base_sha256"),
+        secret_scan.written(F.col("found")).alias("spans"),
+    )
 
 
 @query()
@@ -26,3 +48,34 @@ def op4_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("lm_log10").alias("score"),
         F.col("lm_perplexity").alias("perplexity"),
     )
+
+
+@query()
+def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and of its edited form, and how alike they and the next text's are."""
+    text = F.coalesce("text", F.lit(""))
+    docs = table(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
+    docs = docs.withColumn("entries", order_minhash.signature(F.col("text")))
+    rows = order_minhash.with_next(docs, "doc_id", ["text", "entries"])
+    cut = F.floor(F.length("text") / 3).cast("int")
+    rows = rows.withColumn(
+        "edited",
+        F.concat(F.substring("text", F.lit(1), F.length("text") - cut), F.substring("next_text", F.lit(1), cut)),
+    )
+    rows = rows.withColumn("edited_entries", order_minhash.signature(F.col("edited")))
+    return rows.select(
+        "doc_id",
+        F.length("text").cast("long").alias("n_chars"),
+        F.sha2("edited", 256).alias("edited_sha256"),
+        order_minhash.fingerprint(F.col("entries")).alias("fingerprint"),
+        order_minhash.fingerprint(F.col("edited_entries")).alias("edited_fingerprint"),
+        order_minhash.likeness(F.col("entries"), F.col("edited_entries")).alias("near_edited"),
+        order_minhash.likeness(F.col("entries"), F.col("next_entries")).alias("near_next"),
+    )
+
+
+@query()
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class and number of links of every document, at five words and a similarity of 0.8."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return jaccard_join.near_texts(docs).withColumnRenamed("id", "doc_id")
