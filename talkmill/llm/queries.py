@@ -5,7 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talkmill.llm import jaccard_join, ngram_lm, order_minhash, secret_scan
+from talkmill.llm import (
+    jaccard_join,
+    merge_dropout,
+    ngram_lm,
+    order_minhash,
+    pii_deobfuscation,
+    secret_scan,
+    segment_search,
+    source_mixing,
+)
 from talkmill.llm.registry import QUERIES, SQL, query, table  # noqa: F401
 from talkmill.session import checkpointed
 
@@ -31,6 +40,29 @@ def op2_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    """
+    WITH v AS (
+        SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+        FROM embeddings
+        WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+          AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    ), pairs AS (
+        SELECT a.vec_id AS query_id, b.vec_id AS vec_id,
+               CAST(list_inner_product(CAST(a.q AS DOUBLE[]), CAST(b.q AS DOUBLE[])) AS BIGINT) AS score
+        FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.q) = len(b.q)
+    )
+    SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+           vec_id, score
+    FROM pairs
+    QUALIFY rank <= 10
+    """
+)
+def op3_segment_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best inner products of every hundredth vector among all others."""
+    return segment_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 @query()
 def op4_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base and model log probability of every text under the model of the rows that are not held out."""
@@ -79,3 +111,46 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class and number of links of every document, at five words and a similarity of 0.8."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return jaccard_join.near_texts(docs).withColumnRenamed("id", "doc_id")
+
+
+@query()
+def op8_pii_deobfuscation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data in every text, plain and disguised."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = pii_deobfuscation.with_spans(docs)
+
+    def count(kind: int):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+
+    return rows.select(
+        "doc_id",
+        *[count(k).alias(f"n_{name}") for k, name in enumerate(pii_deobfuscation.KINDS)],
+        F.sha2(pii_deobfuscation.written(F.col("base")), 256).alias("base_sha256"),
+        pii_deobfuscation.written(F.col("found")).alias("spans"),
+    )
+
+
+@query()
+def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often every document is drawn when sources are mixed at 0.95 of the full entropy, each at most four times."""
+    plan = source_mixing.passes(table(spark, sf_dir, "documents"), entropy=0.95, repeats=4.0)
+    return plan.select(
+        F.col("id").alias("doc_id"), "source", F.col("tokens").alias("n_tokens"), "copies", "weight", "passes", "drawn"
+    )
+
+
+VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+@query()
+def op10_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of every text with a tenth of the merges dropped, and whether they decode to the text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = merge_dropout.encode(docs, VOCABULARY, dropout=0.1, seed=1)
+    rows = merge_dropout.decoded(rows, VOCABULARY)
+    return rows.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_pieces"),
+        F.xxhash64("ids").alias("ids_hash"),
+        F.col("text").eqNullSafe(F.col("decoded")).alias("lossless"),
+    )

@@ -4,8 +4,8 @@ Everything is column expressions; the model is a table of at most 2 * 68 * 68 ch
 
 Two first-order Markov chains over characters are counted, one from strings labelled random and one from
 ordinary identifiers. A candidate, a run of at least 16 identifier characters, is a secret when its mean
-log-likelihood ratio exceeds half of the random samples' median, and 0. Only the random samples set the
-threshold, because unlabelled secrets lie among the ordinary ones.
+log-likelihood ratio exceeds 0 and the middle between the medians of both kinds of samples. Medians are used
+because unlabelled secrets lie among the ordinary samples.
 
 Null texts count as empty and have no spans. Repeated rows are scanned each on its own. Without samples
 of both kinds the model adds nothing.
@@ -116,9 +116,9 @@ def fit(labelled: DataFrame) -> RandomStrings:
         totals = [sum(table[a * width : (a + 1) * width]) for a in range(width)]
         logs[kind] = [math.log(c / totals[i // width]) for i, c in enumerate(table)]
     model = RandomStrings([round(a - b, 6) for a, b in zip(logs[True], logs[False])])
-    random = different.where("random").select(model.mean_ratio(F.col("value")).alias("ratio"))
-    median = random.agg(F.percentile_approx("ratio", F.lit(0.5)).alias("median")).first().median
-    model.threshold = max(0.0, median / 2)
+    ratios = different.select("random", model.mean_ratio(F.col("value")).alias("ratio"))
+    medians = ratios.groupBy("random").agg(F.percentile_approx("ratio", F.lit(0.5)).alias("median")).collect()
+    model.threshold = max(0.0, sum(r.median for r in medians) / 2)
     return model
 
 
