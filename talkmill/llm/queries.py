@@ -14,11 +14,21 @@ from talkmill.llm import (
     secret_scan,
     segment_search,
     source_mixing,
+    toxicity,
 )
 from talkmill.llm.registry import QUERIES, SQL, query, table  # noqa: F401
 from talkmill.session import checkpointed
 
 
+@query()
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every text by a model of the labelled rows that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~toxicity.held_out("doc_id"))
+    rows = toxicity.score(docs.withColumn("held_out", toxicity.held_out("doc_id")), model, out="score", keep=["doc_id", "held_out"])
+    return rows.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 @query()
 def op2_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of secrets in every text: those of the fixed patterns and those the Markov model adds."""
