@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talkmill.llm import (
+    cotraining,
     jaccard_join,
     merge_dropout,
     ngram_lm,
@@ -92,6 +93,13 @@ def op4_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query()
+def op5_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document by the text view, the page view and both; ``predicted`` 1 means keep."""
+    rows = cotraining.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return rows.withColumnRenamed("id", "doc_id").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 @query()
 def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every text and of its edited form, and how alike they and the next text's are."""
