@@ -21,6 +21,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,7 +31,8 @@ from talkmill.llm.arrays import mix, slices, text_bytes
 SPACE = "▁"
 DRAWS = 8
 LONGEST = 48
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20  # text encoded at once
+CHUNK_PIECES = 1 << 20  # pieces decoded at once
 _NONE = np.int32(2**31 - 1)
 _FACTOR = np.uint64(0xD1342543DE82EF95)
 _INVERSE = np.uint64(pow(0xD1342543DE82EF95, -1, 1 << 64))
@@ -53,6 +55,9 @@ class Vocabulary:
             self.bytes[i] = names[i].replace(SPACE, " ").encode()
         for b, i in byte.items():
             self.bytes[i] = bytes([b])
+        sizes = np.array([len(b) for b in self.bytes])
+        self.place = np.append(0, np.cumsum(sizes))  # of each piece's bytes in ``flat``
+        self.flat = np.frombuffer(b"".join(self.bytes), np.uint8)
         number = {names[i]: i for i in plain}
         self.symbol = np.full(0x110000, -1, np.int32)
         for name, i in number.items():
@@ -94,10 +99,16 @@ class Vocabulary:
         """Rank and merged piece of pairs; pairs without a merge have the last rank."""
         keys = left.astype(np.int64) * self.size + right
         spot = self._spot(keys)
-        at = np.full(len(keys), len(self._merged) - 1)
+        at = np.full(len(keys), len(self._merged) - 1, np.int32)
+        todo = np.arange(len(keys))
         for probe in range(self._probes):
-            hit = self._keys[spot + probe] == keys
-            at[hit] = self._place[spot[hit] + probe]
+            found = self._keys[spot + probe]
+            hit = found == keys
+            at[todo[hit]] = self._place[spot[hit] + probe]
+            on = np.flatnonzero(~hit & (found >= 0))  # the slot holds another pair
+            if not len(on):
+                break
+            todo, keys, spot = todo[on], keys[on], spot[on]
         return self._ranks[at], self._merged[at]
 
 
@@ -275,6 +286,17 @@ def decode(vocabulary: Vocabulary, ids) -> str:
     return b"".join(map(vocabulary.bytes.__getitem__, ids)).decode()[1:]
 
 
+def decode_rows(vocabulary: Vocabulary, ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """UTF-8 bytes of the texts and their offsets; ``ends`` are the offsets of the rows in ``ids``."""
+    size = vocabulary.place[ids + 1] - vocabulary.place[ids]
+    data = vocabulary.flat[_ragged(vocabulary.place[ids], size)]
+    offsets = np.append(0, np.cumsum(size))[ends]
+    full = np.flatnonzero(np.diff(offsets) > 0)
+    drop = offsets[full]  # the space before every text that is not empty
+    added = np.append(0, np.cumsum(np.diff(offsets) > 0))
+    return np.delete(data, drop), offsets - added
+
+
 def _read(spark, path: str) -> bytes:
     """The vocabulary file, through Spark's reader if its place is not local to the driver."""
     if "://" in path or path.startswith("file:"):
@@ -321,8 +343,16 @@ def decoded(df: DataFrame, model: str, ids: str = "ids", out: str = "decoded") -
 
     @F.arrow_udf("string")
     def texts(column: pa.Array) -> pa.Array:
-        vocabulary = _vocabulary(model_bytes)
-        return pa.array([None if x is None else decode(vocabulary, x) for x in column.to_pylist()], pa.string())
+        vocabulary, parts = _vocabulary(model_bytes), []
+        places = column.offsets.to_numpy().astype(np.int64)
+        values = column.values.to_numpy()
+        for a, b in slices(places, CHUNK_PIECES):
+            at = places[a : b + 1]
+            data, offsets = decode_rows(vocabulary, values[at[0] : at[-1]], at - at[0])
+            missing = column.slice(a, b - a).is_null()
+            whole = pa.LargeStringArray.from_buffers(b - a, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data))
+            parts.append(pc.if_else(missing, None, whole).cast(pa.string()))
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
 
     kept = [F.col(f"`{c}`") for c in df.columns if c != out]
     return df.select(*kept, texts(F.col(f"`{ids}`")).alias(out))
