@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+from collections.abc import Callable, Sequence
+from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -13,6 +15,8 @@ WHITESPACE = (
     "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
 SPACE = r"[\s\x1c-\x1f]"
+# What ``\w`` stands for in Python: letters, numbers and underscore, but no combining marks, which Java adds.
+WORD = r"\p{L}\p{N}_"
 
 ColumnLike = Column | str
 
@@ -21,9 +25,31 @@ def col(c: ColumnLike) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+@lru_cache(256)
+def _python_words(pattern: str) -> str:
+    """The pattern with ``\\w`` written out, inside a character class and outside."""
+    out, inside, i = [], False, 0
+    while i < len(pattern):
+        c = pattern[i]
+        if c == "\\" and i + 1 < len(pattern):
+            piece = pattern[i : i + 2]
+            out.append((WORD if inside else f"[{WORD}]") if piece == r"\w" else piece)
+            i += 2
+            continue
+        inside = c == "[" or (inside and c != "]")
+        out.append(c)
+        i += 1
+    return "".join(out)
+
+
 def unicode_re(pattern: str, ignore_case: bool = False) -> str:
-    """Java pattern whose classes, borders and case rules are Unicode."""
-    return ("(?iuU)" if ignore_case else "(?U)") + pattern
+    """Java pattern whose classes, borders and case rules are Unicode, with Python's ``\\w``."""
+    return ("(?iuU)" if ignore_case else "(?U)") + _python_words(pattern)
+
+
+def literal_array(values: Sequence, kind: str) -> Column:
+    """Array literal of any length; ``kind`` is the type of its elements."""
+    return F.from_json(F.lit(json.dumps(list(values))), f"array<{kind}>")
 
 
 def sub(c: ColumnLike, pattern: str, replacement: str, ignore_case: bool = False) -> Column:

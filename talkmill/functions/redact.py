@@ -5,13 +5,11 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from talkmill.functions import fixed
-from talkmill.functions.columns import ColumnLike, col, literal_replacement, sub, unicode_re
+from talkmill.functions.columns import ColumnLike, bind, col, literal_replacement, sub, unicode_re
 
 TOKEN_PATTERN = "[а-яёА-ЯЁ]{2,}"
 
@@ -96,78 +94,63 @@ def redact_spans(
     return joined.withColumn(out or text, redacted).drop("__marks")
 
 
-# One dictionary entry costs about 150 bytes in a Python worker: at most 300 MB per worker.
-DICTIONARY_ROWS = 2_000_000
-
-
 def replace_words(
     df: DataFrame,
     dictionary: DataFrame,
     text: str = "text",
     out: str | None = None,
-    row_id: str = "row_id",
     token: str = TOKEN_PATTERN,
     protected: Sequence[str] = tuple(fixed.PLACEHOLDERS.values()),
-    limit: int = DICTIONARY_ROWS,
 ) -> DataFrame:
     """Replace words by a dictionary ``(form, replacement)``; all else stays in place.
 
-    Words inside a protected token (a placeholder) are skipped. Forms are matched in lower case.
-    A dictionary of a counted, bounded size goes to the workers and the text is not shuffled;
-    a larger one is joined word by word.
+    Words inside a protected token (a placeholder) are skipped. Forms are matched in lower case. A
+    text is known by its hash, so copies are looked up once and no row needs a key of its own. Only
+    the distinct words of a text are shuffled to the dictionary, and the words found come back as
+    one map per text; the text itself is rebuilt in place. The dictionary may be of any size.
     """
     out = out or text
     keep = "|".join(re.escape(p) for p in sorted(protected, key=len, reverse=True))
-    pairs = dictionary.select(F.lower("form").alias("form"), "replacement").groupBy("form").agg(
-        F.min("replacement").alias("replacement")
+    pattern = unicode_re(f"({keep})|({token})" if keep else f"(?!)()|({token})")
+    pairs = dictionary.select(F.lower("form").alias("__form"), "replacement").groupBy("__form").agg(
+        F.min("replacement").alias("__new")
     )
-    rows = pairs.limit(limit + 1).collect()
-    if len(rows) <= limit:
-        table = df.sparkSession.sparkContext.broadcast({r[0]: r[1] for r in rows})
-        pattern = f"(?:{keep})|({token})" if keep else f"({token})"
-
-        @F.pandas_udf(StringType())
-        def substitute(texts: pd.Series) -> pd.Series:
-            words, lookup = re.compile(pattern), table.value
-
-            def swap(m):
-                word = m.group(1)
-                return lookup.get(word.lower(), word) if word else m.group(0)
-
-            return texts.map(lambda t: words.sub(swap, t), na_action="ignore")
-
-        return df.withColumn(out, substitute(F.col(text)))
-
-    # Pieces: protected token, word, or one other character run.
-    guard = f"{keep}|" if keep else ""
-    pieces = df.select(
-        row_id,
-        F.posexplode(
-            F.regexp_extract_all(F.col(text), F.lit(f"((?U){guard}{token}|(?s:.))"), F.lit(1))
-        ).alias("__pos", "__piece"),
-    )
-    swapped = (
-        pieces.join(pairs, F.lower("__piece") == F.col("form"), "left")
-        .groupBy(row_id)
-        .agg(
-            F.sort_array(
-                F.collect_list(F.struct("__pos", F.coalesce("replacement", "__piece").alias("w")))
-            ).alias("__w")
-        )
-        .select(row_id, F.array_join(F.transform("__w", lambda p: p["w"]), "").alias("__new"))
+    rows = df.withColumn("__key", F.sha2(F.col(text), 256))
+    words = F.transform(F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(2)), F.lower)
+    asked = rows.select("__key", F.explode(F.array_distinct(words)).alias("__form")).where("__form <> ''")
+    hits = (
+        asked.distinct()
+        .join(pairs, "__form")
+        .groupBy("__key")
+        .agg(F.map_from_entries(F.collect_list(F.struct("__form", "__new"))).alias("__map"))
     )
-    return (
-        df.join(swapped, row_id, "left")
-        .withColumn(out, F.coalesce("__new", text))
-        .drop("__new")
+    joined = rows.join(hits, "__key", "left")
+
+    def rebuilt(b: Column) -> Column:
+        def swapped(match: Column, i: Column) -> Column:
+            word = F.get(b["words"], i)
+            new = F.coalesce(F.try_element_at(F.col("__map"), F.lower(word)), match)
+            return F.concat(F.when(word == "", match).otherwise(new), F.get(b["between"], i + 1))
+
+        return F.concat(F.get(b["between"], F.lit(0)), F.array_join(F.transform(b["matches"], swapped), ""))
+
+    found = F.struct(
+        F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0)).alias("matches"),
+        F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(2)).alias("words"),
+        F.split(F.col(text), pattern, -1).alias("between"),
     )
+    new = F.when(F.col("__map").isNull(), F.col(text)).otherwise(bind(found, rebuilt))
+    kept = [c for c in df.columns if c != out]
+    position = df.columns.index(out) if out in df.columns else len(kept)
+    columns = [F.col(f"`{c}`") for c in kept]
+    columns.insert(position, new.alias(out))
+    return joined.select(*columns)
 
 
 def redact_names_by_lemma(
     df: DataFrame,
     lemmas: DataFrame,
     text: str = "text",
-    row_id: str = "row_id",
     names: Sequence[str] = tuple(fixed.FIRST_NAMES),
 ) -> DataFrame:
     """Replace words whose lemma is a first name; ``lemmas`` holds ``(form, lemma)``.
@@ -179,15 +162,13 @@ def redact_names_by_lemma(
     known = own.join(lemmas.select(F.lower("form").alias("form")), "form", "left_anti")
     hits = lemmas.select("form", "lemma").unionByName(known).where(F.col("lemma").isin(list(names)))
     table = hits.select("form", F.lit(fixed.PLACEHOLDERS["PER"]).alias("replacement"))
-    return replace_words(df, table, text, row_id=row_id)
+    return replace_words(df, table, text)
 
 
-def lemmatise(
-    df: DataFrame, lemmas: DataFrame, text: str = "text", row_id: str = "row_id"
-) -> DataFrame:
+def lemmatise(df: DataFrame, lemmas: DataFrame, text: str = "text") -> DataFrame:
     """Replace words by their lemma; punctuation, spacing and placeholders stay."""
     table = lemmas.select("form", F.col("lemma").alias("replacement"))
-    return replace_words(df, table, text, row_id=row_id, token=r"\w+")
+    return replace_words(df, table, text, token=r"\w+")
 
 
 def redaction_flags(text: ColumnLike) -> dict[str, Column]:

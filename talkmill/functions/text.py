@@ -13,6 +13,7 @@ from pyspark.sql.types import StringType
 from talkmill.functions import fixed
 from talkmill.functions.columns import (
     SPACE,
+    WORD,
     ColumnLike,
     bind,
     col,
@@ -51,9 +52,13 @@ def _may_change(c: Column) -> Column:
 
 
 def nfkc(text: ColumnLike) -> Column:
-    """Unicode NFKC. Only texts with a character that may change are sent to Python."""
+    """Unicode NFKC. Only texts with a character that may change are sent to Python.
+
+    ``text`` stands in the result twice; give it as a plain column where it is costly.
+    """
     c = col(text)
-    return F.coalesce(_nfkc(F.when(_may_change(c), c)), c)
+    sent = bind(c, lambda x: F.when(_may_change(x), x))
+    return F.coalesce(_nfkc(sent), c)
 
 
 def normalise(
@@ -94,15 +99,23 @@ def clean_table(
     names: Sequence[str] = tuple(fixed.FIRST_NAMES),
     **normalise_options,
 ) -> DataFrame:
-    """As ``clean_text``, with entity spans (offsets into the redacted text) and lemmas as tables."""
+    """As ``clean_text``, with entity spans (offsets into the redacted text) and lemmas as tables.
+
+    The redacted text is a column of its own, so the chain runs once however often the Unicode step
+    looks at it.
+    """
     if spans is None and lemmas is None:
-        return df.withColumn(text, clean_text(text, names, **normalise_options))
+        hidden = redact_names(redact_orgs(redact_pii(text)), names)
+        plain = is_blank(text) | F.col(text).startswith(ERROR_PREFIX)
+        work = df.withColumn("__hidden", F.when(~plain, hidden))
+        done = F.when(is_blank(text), "").when(F.col("__hidden").isNull(), F.col(text))
+        return work.withColumn(text, done.otherwise(normalise("__hidden", **normalise_options))).drop("__hidden")
     work = df.withColumn("__raw", F.col(text)).withColumn(text, redact_pii(text))
     if spans is not None:
         work = redact_spans(work, spans, text, row_id)
     work = work.withColumn(text, redact_names(redact_orgs(text), names))
     if lemmas is not None:
-        work = lemmatise(work, lemmas, text, row_id)
+        work = lemmatise(work, lemmas, text)
     done = normalise(text, **normalise_options)
     result = (
         F.when(is_blank("__raw"), "")
@@ -187,7 +200,7 @@ def keyword_flags(text: ColumnLike) -> tuple[Column, Column]:
 
 def word_tokens(text: ColumnLike) -> Column:
     """Lower-case words of two or more characters."""
-    return F.regexp_extract_all(F.lower(col(text)), F.lit(r"((?U)\b\w\w+\b)"), F.lit(1))
+    return F.regexp_extract_all(F.lower(col(text)), F.lit(f"([{WORD}]{{2,}})"), F.lit(1))
 
 
 def word_ngrams(tokens: ColumnLike, low: int = 1, high: int = 1) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from talkmill.functions.numbers import array_sum, safe_divide
 from talkmill.operators.metrics import summary
+from talkmill.session import checkpointed
 
 
 def bin_of(confidence: Column, n_bins: int = 10) -> Column:
@@ -174,7 +175,10 @@ def fit_temperature(
 
 def probabilities(logits: DataFrame, temperature: float = 1.0) -> DataFrame:
     """Long probabilities from long logits: ``softmax(logit / temperature)``."""
-    dense = dense_logits(logits)
+    return _probabilities(dense_logits(logits), temperature)
+
+
+def _probabilities(dense: DataFrame, temperature: float) -> DataFrame:
     scores, t = F.col("scores"), F.lit(float(temperature))
     powers = F.transform(scores, lambda x: F.exp((x - F.array_max(scores)) / t))
     cells = F.arrays_zip(F.col("labels").alias("label"), F.col("powers").alias("power"))
@@ -196,8 +200,9 @@ def top_predictions(probs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def calibration_report(logits: DataFrame, temperature: float, n_bins: int = 10) -> DataFrame:
     """ECE, Brier, log loss and weighted F1 before and after scaling, and their difference."""
-    before = probabilities(logits).withColumn("stage", F.lit("before"))
-    after = probabilities(logits, temperature).withColumn("stage", F.lit("after"))
+    dense = checkpointed(dense_logits(logits))  # regrouped once for both stages and all scores
+    before = _probabilities(dense, 1.0).withColumn("stage", F.lit("before"))
+    after = _probabilities(dense, temperature).withColumn("stage", F.lit("after"))
     probs = before.unionByName(after)
     top = top_predictions(probs, ["stage"])
     # Every table has two rows.

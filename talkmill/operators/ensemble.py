@@ -12,11 +12,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from talkmill.functions.columns import ColumnLike, col
+from talkmill.functions.columns import ColumnLike, col, literal_array
 from talkmill.functions.numbers import softmax
 from talkmill.operators.labels import unseen_labels
 from talkmill.operators.metrics import confidence_summary, subset_summary, summary
-from talkmill.session import checked_broadcast
+from talkmill.session import checked_broadcast, checkpointed
 
 # Means of the same numbers in another order may differ in the last bits; votes compare this many
 # decimals, so a tie is a tie on every run.
@@ -155,15 +155,20 @@ def all_votes(probs: DataFrame, methods: Sequence[str] = ("soft", "max", "hard")
 def meta_features(
     probs: DataFrame, models: Sequence[str], labels: Sequence[str], out: str = "meta"
 ) -> DataFrame:
-    """One array per row: probabilities of the first model in label order, then of the next, ..."""
-    cell = F.struct(
-        F.array_position(F.array(*[F.lit(m) for m in models]), F.col("model")).alias("m"),
-        F.array_position(F.array(*[F.lit(x) for x in labels]), F.col("label")).alias("l"),
-        "proba",
-    )
-    rows = probs.where(F.col("model").isin(list(models)) & F.col("label").isin(list(labels)))
-    return rows.groupBy("row_id").agg(
-        F.transform(F.sort_array(F.collect_list(cell)), lambda c: c["proba"]).alias(out)
+    """One array per row: probabilities of the first model in label order, then of the next, ...
+
+    A place whose model or label a row lacks is 0, so every array has ``models`` times ``labels`` places:
+    a model that never saw a class has no probability for it.
+    """
+    m = F.array_position(literal_array(models, "string"), F.col("model"))
+    x = F.array_position(literal_array(labels, "string"), F.col("label").cast("string"))
+    place = ((m - 1) * len(labels) + x - 1).cast("int")
+    rows = probs.where((m > 0) & (x > 0)).select("row_id", place.alias("place"), "proba")
+    cells = F.map_from_entries(F.collect_list(F.struct("place", "proba")))
+    wide = F.sequence(F.lit(0), F.lit(len(models) * len(labels) - 1))
+    return rows.groupBy("row_id").agg(cells.alias("__cells")).select(
+        "row_id",
+        F.transform(wide, lambda i: F.coalesce(F.try_element_at("__cells", i), F.lit(0.0))).alias(out),
     )
 
 
@@ -255,7 +260,8 @@ def compare_models(
     ``costs`` holds ``(model, family, infer_ms_total, model_size_mb, n_params)``; a vote costs
     the sum of its members, and has no parameter count if a member has none.
     """
-    scored = all_votes(probs, methods).join(truth.select("row_id", "y_true"), "row_id")
+    # Written once: metrics, confidence and quantiles all read it.
+    scored = checkpointed(all_votes(probs, methods).join(truth.select("row_id", "y_true"), "row_id"))
     keys = ["model", "method"]
     quality = summary(scored, keys).withColumnRenamed("n", "n_samples").drop("f1_macro")
     sure = confidence_summary(scored, threshold=threshold, by=keys)

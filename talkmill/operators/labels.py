@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from talkmill.functions import fixed
 from talkmill.functions.columns import ColumnLike, col, is_blank, strip
 from talkmill.functions.text import clean_filename
-from talkmill.session import checked_broadcast
+from talkmill.session import checked_broadcast, checkpointed
 
 GROUP_ALIASES = ("assigned_group", "assig_group")
 
@@ -95,8 +96,9 @@ def remap_counts(df: DataFrame, column: str, mapping: Mapping[str, str] = fixed.
 
 
 def label_counts(df: DataFrame, column: str) -> DataFrame:
-    """Rows per label; blank labels are counted under ""."""
-    return df.groupBy(F.col(column).alias("label")).agg(F.count("*").alias("n"))
+    """Rows per label; null and blank labels are counted under ""."""
+    label = F.when(is_blank(column), "").otherwise(F.col(column))
+    return df.groupBy(label.alias("label")).agg(F.count("*").alias("n"))
 
 
 def class_distribution(df: DataFrame, column: str) -> DataFrame:
@@ -114,10 +116,10 @@ def training_rows(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def eval_rows(df: DataFrame, text: str, target: str) -> DataFrame:
-    """Rows with text and target, both trimmed."""
+    """Rows with text and target, both trimmed; an error if there are none."""
     require_columns(df, text, target)
     out = df.withColumns({text: strip(text), target: strip(target)})
-    return out.where((F.col(text) != "") & (F.col(target) != ""))
+    return not_empty(out.where((F.col(text) != "") & (F.col(target) != "")), "evaluation rows")
 
 
 def not_empty(df: DataFrame, what: str = "rows") -> DataFrame:
@@ -141,6 +143,9 @@ def keep_ready_rows(
         return out
     if not strict_reference and "assig_group" not in out.columns and "assigned_group" in out.columns:
         out = out.withColumnRenamed("assigned_group", "assig_group")
+    missing = [c for c in fixed.READY_COLUMNS if c not in out.columns]
+    if missing:
+        warnings.warn(f"columns {missing} are not in the table and are left out", stacklevel=2)
     return out.select(*[c for c in fixed.READY_COLUMNS if c in out.columns])
 
 
@@ -155,11 +160,15 @@ def ready_counts(df: DataFrame) -> DataFrame:
 
 
 def drop_rare_classes(df: DataFrame, target: str, min_samples: int = 5) -> DataFrame:
-    """Trim the target, drop empty ones and classes with fewer than ``min_samples`` rows."""
+    """Trim the target, drop empty ones and classes with fewer than ``min_samples`` rows.
+
+    An error if no class is left; that is seen from the class counts.
+    """
     rows = df.withColumn(target, strip(target)).where(F.col(target) != "")
     if min_samples <= 1:
-        return rows
+        return not_empty(rows, "rows with a target")
     frequent = rows.groupBy(target).agg(F.count("*").alias("__n")).where(F.col("__n") >= min_samples)
+    frequent = not_empty(checkpointed(frequent), f"class with {min_samples} rows")
     return rows.join(checked_broadcast(frequent.select(target)), target, "left_semi")
 
 

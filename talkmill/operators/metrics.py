@@ -29,9 +29,9 @@ def confusion_matrix(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return pairs.join(labels, [*by, "y_pred"], "left_semi").select(*by, "y_true", "y_pred", "n")
 
 
-def confusion_table(df: DataFrame, labels: Sequence[str]) -> DataFrame:
-    """Confusion matrix with one column per predicted label, missing cells 0."""
-    wide = confusion_matrix(df).groupBy("y_true").pivot("y_pred", list(labels)).sum("n")
+def confusion_table(df: DataFrame, labels: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """Confusion matrix with one column per predicted label, missing cells 0, for each group."""
+    wide = confusion_matrix(df, by).groupBy(*by, "y_true").pivot("y_pred", list(labels)).sum("n")
     return wide.na.fill(0)
 
 

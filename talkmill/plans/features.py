@@ -12,11 +12,14 @@ from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasInputCol, HasLabelCol, HasOutputCol
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from talkmill.functions.columns import literal_array
 from talkmill.functions.text import keyword_flags, term_counts, word_ngrams, word_tokens
-from talkmill.session import bounded_values, checked_broadcast
+from talkmill.plans.saved import Saved
+from talkmill.session import checked_broadcast, checkpointed, distinct_values
 
 
 def _terms(df: DataFrame, text: str, low: int, high: int, *keep: str) -> DataFrame:
@@ -43,9 +46,13 @@ def vocabulary(
 
     Counts are combined inside each task before the only shuffle, which carries terms, not rows.
     """
+    return top_terms(_terms(df, text, low, high), max_features, min_df)
+
+
+def top_terms(terms: DataFrame, max_features: int | None = None, min_df: int = 1) -> DataFrame:
+    """``vocabulary`` of a table ``(term, tf)`` with one row per text and term."""
     counts = (
-        _terms(df, text, low, high)
-        .groupBy("term")
+        terms.groupBy("term")
         .agg(F.sum("tf").alias("corpus_count"), F.count("*").alias("df"))
         .where(F.col("df") >= min_df)
     )
@@ -69,13 +76,16 @@ def tfidf_rows(
 ) -> DataFrame:
     """TF-IDF ``(row_id, term, weight)``: ``1 + ln tf``, smooth idf, rows scaled to length 1.
 
-    Terms are counted and joined with the vocabulary where the text lies; one shuffle brings the
-    terms of a row together for its length.
+    Every text is tokenised once; the number of rows, the vocabulary and the weights are taken from the
+    written term lists. One shuffle brings the terms of a row together for its length.
     """
-    rows = df.count()
-    vocab = vocabulary(df, text, low, high, max_features, min_df)
+    grams = df.select(row_id, word_ngrams(word_tokens(F.coalesce(F.col(text), F.lit(""))), low, high).alias("__t"))
+    lists = checkpointed(grams.select(row_id, term_counts("__t").alias("__terms")))
+    rows = lists.count()
+    terms = lists.select(row_id, F.inline("__terms"))
+    vocab = top_terms(terms, max_features, min_df)
     weights = vocab.select("term", smooth_idf(F.col("df"), F.lit(rows)).alias("idf"))
-    raw = term_rows(df, text, row_id, low, high).join(checked_broadcast(weights), "term").select(
+    raw = terms.join(checked_broadcast(weights), "term").select(
         row_id, "term", ((F.log("tf") + 1) * F.col("idf")).alias("w")
     )
     # The terms of one text, summed in term order so that the length is the same on every run.
@@ -123,13 +133,16 @@ class TermVectors(Estimator, _Text):
         return self._copyValues(model)
 
 
-class TermVectorsModel(Model, _Text):
+class TermVectorsModel(Model, _Text, Saved):
     """Fitted ``TermVectors``: counts run in the JVM, TF-IDF scaling in Arrow batches."""
 
     def __init__(self, terms: Sequence[str], idf: Sequence[float]):
         super().__init__()
         self.terms, self.idf = list(terms), list(idf)
 
+    def _state(self) -> dict:
+        return {"terms": self.terms, "idf": self.idf}
+
     def _transform(self, df: DataFrame) -> DataFrame:
         out = self.getOutputCol()
         grams = self._grams(df)
@@ -158,7 +171,7 @@ def _tfidf_udf(df: DataFrame, idf: Sequence[float]):
     return F.pandas_udf(scale, VectorUDT())
 
 
-class KeywordFlags(Transformer, HasInputCol, HasOutputCol):
+class KeywordFlags(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
     """Commercial and technical wording as a vector of two flags."""
 
     @keyword_only
@@ -174,7 +187,7 @@ class KeywordFlags(Transformer, HasInputCol, HasOutputCol):
         return df.withColumn(self.getOutputCol(), array_to_vector(flags))
 
 
-class WordList(Transformer, HasInputCol, HasOutputCol):
+class WordList(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
     """Lower-case whitespace words, as input for word vectors."""
 
     @keyword_only
@@ -201,24 +214,27 @@ class ClassIndex(Estimator, HasLabelCol):
 
     def _fit(self, df: DataFrame) -> "ClassIndexModel":
         label = self.getLabelCol()
-        names = bounded_values(df, label)
+        names = distinct_values(df, label)
         counts = {r[0]: r[1] for r in df.groupBy(label).count().collect()}  # len(names) rows
         total = sum(counts.values())
         weights = [total / (len(names) * counts[n]) if self.balanced else 1.0 for n in names]
         return self._copyValues(ClassIndexModel(names, weights))
 
 
-class ClassIndexModel(Model, HasLabelCol):
+class ClassIndexModel(Model, HasLabelCol, Saved):
     def __init__(self, names: Sequence, weights: Sequence[float]):
         super().__init__()
         self.names, self.weights = list(names), list(weights)
 
+    def _state(self) -> dict:
+        return {"names": self.names, "weights": self.weights}
+
     def _transform(self, df: DataFrame) -> DataFrame:
         label = self.getLabelCol()
         if label not in df.columns:
             return df
-        place = F.array_position(F.array(*[F.lit(n) for n in self.names]), F.col(label))
-        weight = F.get(F.array(*[F.lit(w) for w in self.weights]), (place - 1).cast("int"))
+        place = F.array_position(literal_array(self.names, dict(df.dtypes)[label]), F.col(label))
+        weight = F.get(literal_array(self.weights, "double"), (place - 1).cast("int"))
         return df.withColumn("label_idx", (place - 1).cast("double")).withColumn(
             "weight", F.coalesce(weight, F.lit(1.0))
         )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 from multiprocessing.pool import ThreadPool
@@ -24,9 +25,11 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from talkmill.functions.columns import literal_array
 from talkmill.functions.numbers import softmax
 from talkmill.operators.split import k_folds
 from talkmill.plans.features import ClassIndex, ClassIndexModel, KeywordFlags, TermVectors, WordList
+from talkmill.plans.saved import Saved
 
 PARALLEL_FITS = 4  # classes fitted at the same time
 FEATURES = {"featuresCol": "features", "labelCol": "label_idx"}
@@ -36,24 +39,27 @@ WEIGHTED = {**FEATURES, "weightCol": "weight"}
 class LinearSvm(Estimator):
     """One linear SVM per class, balanced; margins of all classes come from one matrix product."""
 
-    def __init__(self, c: float = 1.0, max_iter: int = 100):
+    def __init__(self, c: float = 1.0, max_iter: int = 100, classes: int | None = None):
         super().__init__()
-        self.c, self.max_iter = c, max_iter
+        self.c, self.max_iter, self.classes = c, max_iter, classes
 
     def copy(self, extra=None):
-        return LinearSvm(self.c, self.max_iter)
+        return LinearSvm(self.c, self.max_iter, self.classes)
 
     def _fit(self, df: DataFrame) -> "LinearSvmModel":
         rows = df.select("features", "label_idx", "weight").persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            n, top = rows.agg(F.count("*"), F.max("label_idx")).first()
-            classes = int(top) + 1
+            seen = {int(r[0]): r[1] for r in rows.groupBy("label_idx").count().collect()}  # one row per class
+            n, classes = sum(seen.values()), self.classes or max(seen) + 1
             svm = LinearSVC(
                 maxIter=self.max_iter, regParam=1.0 / (self.c * max(n, 1)), standardization=False,
                 featuresCol="features", labelCol="__is", weightCol="weight",
             )
 
             def line(i: int) -> np.ndarray:
+                if i not in seen or len(seen) == 1:  # nothing to tell apart: the margin is constant
+                    width = len(rows.first()["features"])
+                    return np.append(np.zeros(width), 1.0 if i in seen else -1.0)
                 fitted = svm.fit(rows.withColumn("__is", (F.col("label_idx") == i).cast("double")))
                 return np.append(fitted.coefficients.toArray(), fitted.intercept)
 
@@ -65,12 +71,15 @@ class LinearSvm(Estimator):
         return LinearSvmModel(np.array(lines))
 
 
-class LinearSvmModel(Model):
+class LinearSvmModel(Model, Saved):
     """Adds ``margins``, ``probability`` (softmax of the margins) and ``prediction``."""
 
     def __init__(self, lines: np.ndarray):
         super().__init__()
-        self.lines = lines
+        self.lines = np.asarray(lines, float)
+
+    def _state(self) -> dict:
+        return {"lines": self.lines.tolist()}
 
     def copy(self, extra=None):
         return LinearSvmModel(self.lines)
@@ -117,11 +126,12 @@ class CalibratedSvm(Estimator):
         dealt = dealt.select("features", "label_idx", "weight", "fold").persist(StorageLevel.MEMORY_AND_DISK)
         members = []
         try:
+            # All folds have the classes of the whole table, also those that one of them lacks.
+            classes = max(int(dealt.agg(F.max("label_idx")).first()[0]) + 1, 2)
             for f in range(1, self.folds + 1):
-                svm = LinearSvm(self.c, self.max_iter).fit(dealt.where(F.col("fold") != f))
+                svm = LinearSvm(self.c, self.max_iter, classes).fit(dealt.where(F.col("fold") != f))
                 held = svm.margins(dealt.where(F.col("fold") == f)).select("label_idx", "margins")
                 held = held.persist(StorageLevel.MEMORY_AND_DISK)
-                classes = max(len(svm.lines), 2)
                 members.append((svm, _sigmoids(held, classes)))
                 held.unpersist()
         finally:
@@ -174,11 +184,21 @@ def _sigmoids(held: DataFrame, classes: int, rounds: int = 50) -> list[tuple[flo
     return list(zip(slope.tolist(), shift.tolist()))
 
 
-class CalibratedSvmModel(Model):
+class CalibratedSvmModel(Model, Saved):
     def __init__(self, members):
         super().__init__()
         self.members = members
 
+    def _state(self) -> dict:
+        return {"curves": [curves for _, curves in self.members]}
+
+    def _parts(self) -> list:
+        return [svm for svm, _ in self.members]
+
+    @classmethod
+    def _rebuilt(cls, state, parts):
+        return cls([(svm, [tuple(c) for c in curves]) for svm, curves in zip(parts, state["curves"])])
+
     def copy(self, extra=None):
         return CalibratedSvmModel(self.members)
 
@@ -231,11 +251,18 @@ class OneAgainstRest(Estimator):
         return OneAgainstRestModel(fitted)
 
 
-class OneAgainstRestModel(Model):
+class OneAgainstRestModel(Model, Saved):
     def __init__(self, members):
         super().__init__()
         self.members = members
 
+    def _parts(self) -> list:
+        return self.members
+
+    @classmethod
+    def _rebuilt(cls, state, parts):
+        return cls(parts)
+
     def copy(self, extra=None):
         return OneAgainstRestModel(self.members)
 
@@ -374,11 +401,42 @@ def feature_stages(spec: Spec, text: str = "text") -> list:
     raise ValueError(f"unknown features '{spec.features}'")
 
 
-def build(spec: Spec, text: str = "text", label: str = "label", **options) -> Pipeline:
+_SPARK = {
+    "logreg": LogisticRegression, "multinomial_nb": NaiveBayes, "complement_nb": NaiveBayes,
+    "random_forest": RandomForestClassifier, "decision_tree": DecisionTreeClassifier,
+    "boosted_trees": GBTClassifier, "mlp": MultilayerPerceptronClassifier,
+}
+
+
+def accepted_options(name: str) -> set[str]:
+    """Options that a classifier of the catalogue takes."""
+    if name in ("svm", "calibrated_svm"):
+        return {"C", "max_iter"} | ({"folds"} if name == "calibrated_svm" else set())
+    return set(inspect.signature(_SPARK[name].__init__).parameters) - {"self"} | ({"C"} if name == "logreg" else set())
+
+
+def own_options(name: str, options: dict) -> dict:
+    """Those of a flow's options that one classifier takes; an option that none takes is an error.
+
+    A flow hands the same options to all pipelines of its catalogue. ``maxIter`` is also the SVMs' ``max_iter``.
+    """
+    known = set().union(*map(accepted_options, [*_SPARK, "calibrated_svm"]))
+    unknown = set(options) - known
+    if unknown:
+        raise ValueError(f"no classifier takes the options {sorted(unknown)}")
+    own = {n: v for n, v in options.items() if n in accepted_options(name)}
+    if name in ("svm", "calibrated_svm") and "maxIter" in options:
+        own.setdefault("max_iter", options["maxIter"])
+    return own
+
+
+def build(spec: Spec, text: str = "text", label: str = "label", row_id: str = "row_id", **options) -> Pipeline:
     """Pipeline of class numbers, features and classifier for a table with text and label."""
     if spec.classifier == "knn":
         raise ValueError("nearest neighbours have no pipeline: use plans.train.knn_predictions")
-    merged = {**spec.options, **options}
+    merged = {**spec.options, **own_options(spec.classifier, options)}
+    if spec.classifier == "calibrated_svm":
+        merged |= {"text": text, "row_id": row_id}
     if spec.classifier == "logreg" and "regParam" not in merged:
         c = merged.pop("C", 1.0)
         last = _InverseC(classifier("logreg", **merged), c)
@@ -391,9 +449,15 @@ def class_names(model: PipelineModel) -> list:
     return next(s.names for s in model.stages if isinstance(s, ClassIndexModel))
 
 
+def _names(model: PipelineModel):
+    names = class_names(model)
+    kind = {str: "string", int: "bigint", float: "double", bool: "boolean"}[type(names[0])] if names else "string"
+    return literal_array(names, kind)
+
+
 def score_rows(model: PipelineModel, df: DataFrame) -> DataFrame:
     """Add ``y_pred``, ``confidence`` and ``probas`` (in class order) to rows."""
-    names = F.array(*[F.lit(n) for n in class_names(model)])
+    names = _names(model)
     out = model.transform(df)
     kind = dict(out.dtypes)["probability"]
     array = kind.startswith("array")
@@ -408,7 +472,7 @@ def score_rows(model: PipelineModel, df: DataFrame) -> DataFrame:
 
 def long_probabilities(model: PipelineModel, df: DataFrame, name: str, row_id: str = "row_id") -> DataFrame:
     """Probabilities ``(row_id, model, label, proba)`` of a fitted pipeline."""
-    labels = F.array(*[F.lit(n) for n in class_names(model)])
+    labels = _names(model)
     cells = F.arrays_zip(labels.alias("label"), F.col("probas").alias("proba"))
     return score_rows(model, df).select(row_id, F.lit(name).alias("model"), F.inline(cells))
 

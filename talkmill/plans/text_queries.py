@@ -142,7 +142,7 @@ def lemma_replace(spark, sf_dir):
     docs = texts(spark, sf_dir, "documents", "doc_id", "text")
     words = [("the", "a"), ("and", "or"), ("été", "être"), ("für", "vor")]
     pairs = spark.createDataFrame(words, "form string, lemma string")
-    done = redact.lemmatise(docs, pairs, row_id="doc_id")
+    done = redact.lemmatise(docs, pairs)
     return done.select("doc_id", F.sha1("text").alias("text_hash"))
 
 
@@ -159,7 +159,7 @@ def normalised_text(spark, sf_dir):
 )
 def clean_documents(spark, sf_dir):
     """The whole per-row chain: redaction, organisations and names, normalisation, length flag."""
-    docs = texts(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", text.clean_text("text").alias("t"))
+    docs = text.clean_table(texts(spark, sf_dir, "documents", "doc_id", "text")).withColumnRenamed("text", "t")
     return docs.select("doc_id", F.sha1("t").alias("text_hash"), text.too_short("t", 50).alias("too_short"))
 
 
@@ -602,7 +602,7 @@ FILLER = [
 
 
 @query(
-    f"""WITH c AS (SELECT doc_id, {_prefixed(FILLER, 1)} AS head,
+    rf"""WITH c AS (SELECT doc_id, {_prefixed(FILLER, 1)} AS head,
         regexp_replace(regexp_replace(regexp_replace(text, '^[\s,.:;!?\-]+', ''), '[\s,.:;!?\-]+$', ''), '\s{{2,}}', ' ', 'g') AS body FROM documents)
     SELECT doc_id, sha1(CASE head WHEN '' THEN body ELSE head || ' ' || body END) AS text_hash FROM c
     WHERE body <> ''"""
@@ -613,7 +613,8 @@ def russian_filler(spark, sf_dir):
     docs = texts(spark, sf_dir, "documents", "doc_id", "text")
     start = F.get(kinds, (F.col("doc_id") % len(FILLER)).cast("int"))
     said = docs.select("doc_id", F.concat(start, F.lit(" "), text.strip_ends("text")).alias("text"))
-    return said.select("doc_id", F.sha1(text.remove_noise("text")).alias("text_hash"))
+    done = said.where(text.strip_ends("text") != "").select("doc_id", F.sha1(text.remove_noise("text")).alias("text_hash"))
+    return done
 
 
 # Sampling ---------------------------------------------------------------------------------------

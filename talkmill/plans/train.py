@@ -6,17 +6,20 @@ Each fit is a distributed job; the loops here run over models, folds and setting
 from __future__ import annotations
 
 import itertools
+import json
 import time
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.ml.util import DefaultParamsReader
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from talkmill.functions.columns import literal_array
 from talkmill.functions.text import truncate_tokens
-from talkmill.operators.ensemble import all_votes, meta_features, vote
+from talkmill.operators.ensemble import all_votes, check_stacker, meta_features, stacker_metadata, vote
 from talkmill.operators.labels import only_known_labels
 from talkmill.operators.metrics import fold_scores, summary
 from talkmill.operators.neighbours import nearest, vote_of_neighbours
@@ -24,7 +27,7 @@ from talkmill.operators.report import best_per_model
 from talkmill.operators.split import bootstrap, k_folds, out_of_bag
 from talkmill.plans.features import TermVectors
 from talkmill.plans.models import Spec, build, long_probabilities, score_rows, stacker
-from talkmill.session import bounded_values, checkpointed
+from talkmill.session import distinct_values, checkpointed
 
 
 def _union(tables: Sequence[DataFrame]) -> DataFrame:
@@ -49,7 +52,7 @@ def train_and_score(
     models, scored, seconds = {}, [], []
     for name, spec in catalogue.items():
         begin = time.perf_counter()
-        models[name] = build(spec, text, label, **options).fit(train)
+        models[name] = build(spec, text, label, row_id, **options).fit(train)
         seconds.append((name, round(time.perf_counter() - begin, 1)))
         rows = score_rows(models[name], known)
         scored.append(
@@ -77,10 +80,10 @@ def out_of_fold(
     votes, stackers and scores all read it.
     """
     parts = []
-    for f in bounded_values(folds, "fold"):
+    for f in distinct_values(folds, "fold"):
         train, held = folds.where(F.col("fold") != f), folds.where(F.col("fold") == f)
         for name, spec in catalogue.items():
-            model = build(spec, text, label, **options).fit(train)
+            model = build(spec, text, label, row_id, **options).fit(train)
             parts.append(long_probabilities(model, held, name, row_id))
     return checkpointed(_union(parts))
 
@@ -106,7 +109,7 @@ def voting_ensemble(
 ) -> tuple[dict[str, PipelineModel], DataFrame, DataFrame | None]:
     """Base models and their vote: metrics on the test rows, and over ``k`` folds if asked for."""
     known = only_known_labels(test, train, label)
-    models = {n: build(s, text, label, **options).fit(train) for n, s in catalogue.items()}
+    models = {n: build(s, text, label, row_id, **options).fit(train) for n, s in catalogue.items()}
     probs = _union([long_probabilities(m, known, n, row_id) for n, m in models.items()])
     probs = checkpointed(probs.withColumnRenamed(row_id, "row_id"))
     truth = known.select(F.col(row_id).alias("row_id"), F.col(label).alias("y_true"))
@@ -133,18 +136,35 @@ def _meta_rows(probs, truth, models, labels) -> DataFrame:
     meta = meta_features(probs, models, labels).select("row_id", array_to_vector("meta").alias("features"))
     if truth is None:
         return meta
-    place = F.array_position(F.array(*[F.lit(x) for x in labels]), F.col("y_true")) - 1
+    place = F.array_position(literal_array(labels, "string"), F.col("y_true")) - 1
     rows = meta.join(truth.select("row_id", "y_true"), "row_id").withColumn("label_idx", place.cast("double"))
     counts = {r[0]: r[1] for r in truth.groupBy("y_true").count().collect()}  # one row per class
     total = sum(counts.values())
     weights = [total / (len(counts) * counts[x]) if x in counts else 1.0 for x in labels]
-    return rows.withColumn("weight", F.get(F.array(*[F.lit(w) for w in weights]), place.cast("int")))
+    return rows.withColumn("weight", F.get(literal_array(weights, "double"), place.cast("int")))
+
+
+def save_stacker(fitted, path: str, name: str, models: Sequence[str], labels: Sequence[str]) -> None:
+    """Write a fitted second level and what it was fitted on."""
+    spark = SparkSession.getActiveSession()
+    fitted.write().overwrite().save(f"{path}/model")
+    text = json.dumps(stacker_metadata(name, models, labels))
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/metadata")
+
+
+def load_stacker(path: str, models: Sequence[str], truth: DataFrame | None = None):
+    """The fitted second level, its metadata and the model names in its order; an error if they do not fit."""
+    spark = SparkSession.getActiveSession()
+    metadata = json.loads(spark.read.text(f"{path}/metadata").first()[0])
+    order = check_stacker(metadata, models, truth)
+    fitted = DefaultParamsReader.loadParamsInstance(f"{path}/model", spark)
+    return fitted, metadata, order
 
 
 def stack(fitted, probs: DataFrame, models: Sequence[str], labels: Sequence[str]) -> DataFrame:
     """Predictions ``(row_id, y_pred, confidence)`` of a fitted stacker."""
     scored = fitted.transform(_meta_rows(probs, None, models, labels))
-    names = F.array(*[F.lit(x) for x in labels])
+    names = literal_array(labels, "string")
     return scored.select(
         "row_id",
         F.get(names, F.col("prediction").cast("int")).alias("y_pred"),
@@ -161,7 +181,7 @@ def stack_out_of_fold(
     ``truth`` has ``(row_id, y_true, fold)``. Returns predictions and the final stacker.
     """
     parts = []
-    for f in bounded_values(truth, "fold"):
+    for f in distinct_values(truth, "fold"):
         seen, held = truth.where(F.col("fold") != f), truth.where(F.col("fold") == f)
         fitted = fit_stacker(probs, seen, models, labels, name, **options)
         ids = held.select("row_id")
@@ -197,7 +217,7 @@ def bagging_cv(
         train, held = folds.where(F.col("fold") != f), folds.where(F.col("fold") == f)
         bagged = bootstrap(train.drop("fold"), label, bags, row_id, fraction, seed + f)
         for (name, spec), bag in itertools.product(catalogue.items(), range(1, bags + 1)):
-            model = build(spec, text, label, **options).fit(_drawn(bagged, bag))
+            model = build(spec, text, label, row_id, **options).fit(_drawn(bagged, bag))
             parts.append(long_probabilities(model, held, f"{name} bag{bag}", row_id))
     probs = checkpointed(_union(parts))
     truth = folds.select(F.col(row_id).alias("row_id"), F.col(label).alias("y_true"), "fold")
@@ -223,7 +243,7 @@ def bagging_final(
     models, scored = {}, []
     for (name, spec), bag in itertools.product(catalogue.items(), range(1, bags + 1)):
         member = f"{name} bag{bag}"
-        models[member] = build(spec, text, label, **options).fit(_drawn(bagged, bag))
+        models[member] = build(spec, text, label, row_id, **options).fit(_drawn(bagged, bag))
         outside = out_of_bag(bagged.where(F.col("bag") == bag)).drop("bag", "weight")
         rows = score_rows(models[member], outside)
         scored.append(rows.select(F.lit(member).alias("model"), F.col(label).alias("y_true"), "y_pred"))
@@ -252,7 +272,7 @@ def grid_search(
         one = _with(spec, setting)
         scored = []
         for f in range(1, k + 1):
-            model = build(one, text, label, **options).fit(folds.where(F.col("fold") != f))
+            model = build(one, text, label, row_id, **options).fit(folds.where(F.col("fold") != f))
             rows = score_rows(model, folds.where(F.col("fold") == f))
             scored.append(rows.select("fold", F.col(label).alias("y_true"), "y_pred"))
         mean = fold_scores(_union(scored)).first()["f1_mean"]
@@ -262,7 +282,7 @@ def grid_search(
         [(*[str(v) for v in s.values()], float(m)) for s, m in tried],
         ", ".join(f"`{n}` string" for n in grid) + ", f1_mean double",
     )
-    return table, best, build(_with(spec, best), text, label, **options).fit(df)
+    return table, best, build(_with(spec, best), text, label, row_id, **options).fit(df)
 
 
 def _with(spec: Spec, setting: Mapping) -> Spec:

@@ -8,8 +8,8 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# A table is broadcast only after it was seen to have no more rows than this.
-BROADCAST_ROWS = 20_000
+# A table is broadcast only after its rows were seen to be no larger than this, written as text.
+BROADCAST_BYTES = 8 << 20
 
 
 def get_spark(app: str = "talkmill", cpus: int | None = None, **conf) -> SparkSession:
@@ -52,24 +52,21 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def checked_broadcast(small: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Return ``small`` for a join: broadcast if its rows were counted and fit, as it is if not.
+def checked_broadcast(small: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Return ``small`` for a join: broadcast if its bytes were summed and fit, as it is if not.
 
-    The rows are computed once: a table that fits comes back as a local relation. One that does
-    not fit stays distributed and the join shuffles, with adaptive skew handling for hot keys.
+    The rows are written to the checkpoint folder, so they are computed once, and their size is summed
+    there; none reaches the driver. Only the plan depends on it. A table that does not fit stays
+    distributed and the join shuffles, with adaptive skew handling for hot keys.
     """
-    rows = small.limit(limit + 1).collect()
-    if len(rows) > limit:
-        return small
-    return F.broadcast(small.sparkSession.createDataFrame(rows, small.schema))
-
-
-def bounded_values(df: DataFrame, column: str, limit: int = BROADCAST_ROWS) -> list:
-    """Sorted distinct values of ``column``; an error, not a cut, when there are too many."""
-    rows = df.select(column).distinct().limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} distinct values in '{column}'")
-    return sorted(r[0] for r in rows)
+    small = checkpointed(small)
+    size = small.agg(F.sum(F.length(F.to_json(F.struct("*"))))).first()[0] or 0
+    return F.broadcast(small) if size <= limit else small
+
+
+def distinct_values(df: DataFrame, column: str) -> list:
+    """Sorted distinct values of ``column``: classes or folds, of which a model holds one part each."""
+    return sorted(r[0] for r in df.select(column).distinct().collect())
 
 
 def spread(df: DataFrame) -> DataFrame:

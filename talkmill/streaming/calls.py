@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from talkmill.functions.text import clean_filename, clean_text, remove_noise, too_short
+from talkmill.functions.text import clean_filename, clean_table, remove_noise, too_short
 from talkmill.operators.ensemble import route_calls
 
 
@@ -24,7 +24,7 @@ def arriving(
 
 def prepare_calls(calls: DataFrame, min_tokens: int = 3, phrases: bool = True) -> DataFrame:
     """Redact, normalise, remove filler, flag short texts and shorten names, row by row."""
-    cleaned = calls.withColumn("text_original", F.col("text")).withColumn("text", clean_text("text"))
+    cleaned = clean_table(calls.withColumn("text_original", F.col("text")))
     if phrases:
         cleaned = cleaned.withColumn("text", remove_noise("text"))
     cleaned = cleaned.withColumn("too_short", too_short("text", min_tokens))
@@ -38,15 +38,19 @@ def write_stream(
     path: str,
     checkpoint: str,
     once_per: str | None = None,
+    within: tuple[str, str] | None = None,
     partition_by: str | None = None,
     available_now: bool = True,
 ) -> StreamingQuery:
     """Append a stream to columnar files, each input file once.
 
-    ``once_per`` names a key that may arrive in two files; it keeps the seen keys as state, so it
-    is left off where file names are unique.
+    ``once_per`` names a key that may arrive in two files. ``within`` is a time column and a delay such as
+    ``"1 day"``: seen keys are forgotten after it. Without it every key stays as state, which is for
+    streams that end; leave ``once_per`` off where keys are unique.
     """
-    if once_per:
+    if once_per and within:
+        rows = rows.withWatermark(*within).dropDuplicatesWithinWatermark([once_per])
+    elif once_per:
         rows = rows.dropDuplicates([once_per])
     writer = rows.writeStream.format("parquet").outputMode("append")
     writer = writer.option("path", path).option("checkpointLocation", checkpoint)

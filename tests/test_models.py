@@ -182,3 +182,88 @@ def test_sweep_and_knn(parts):
     assert table.count() == 2 and best.first().max_length == 11
     near = train.knn_predictions(fit, test).join(test, "row_id")
     assert near.where("y_pred = label").count() / test.count() > 0.8
+
+
+def test_many_classes(spark):
+    """A target of 30,000 labels is indexed and scored."""
+    rows = spark.range(30_000).select(F.concat(F.lit("c"), F.col("id")).alias("label"), F.lit("a b").alias("text"))
+    index = features.ClassIndex().fit(rows)
+    out = index.transform(rows)
+    assert len(index.names) == 30_000 and out.select("label_idx").distinct().count() == 30_000
+
+
+OTHER_OPTIONS = {"maxIter": 3, "numTrees": 3, "maxDepth": 3, "smoothing": 0.2}
+
+
+@pytest.mark.parametrize("name", sorted({**models.BASELINES, **models.VOTERS}))
+def test_other_column_names_and_saving(rows, name, tmp_path):
+    """Every catalogue entry works on other columns, with options meant for others, and comes back from disk."""
+    from pyspark.ml import PipelineModel
+
+    spec = {**models.BASELINES, **models.VOTERS}[name]
+    small = Spec(spec.features, spec.classifier, spec.high, 100, 1)
+    other = rows.select(F.col("row_id").alias("key"), F.col("text").alias("body"), F.col("label").alias("goal"))
+    fitted = models.build(small, "body", "goal", "key", **OTHER_OPTIONS).fit(other)
+    want = {r.key: r.y_pred for r in models.score_rows(fitted, other).collect()}
+    fitted.write().overwrite().save(f"{tmp_path}/model")
+    again = PipelineModel.load(f"{tmp_path}/model")
+    assert {r.key: r.y_pred for r in models.score_rows(again, other).collect()} == want
+
+
+def test_unknown_option_is_an_error():
+    with pytest.raises(ValueError, match="wrong"):
+        models.build(Spec("counts", "multinomial_nb"), wrong=1)
+
+
+def test_word_features_are_saved(rows, tmp_path):
+    from pyspark.ml import PipelineModel
+
+    for n, spec in enumerate([Spec("tfidf+keywords", "svm", **SMALL), Spec("word2vec", "logreg")]):
+        fitted = models.build(spec, maxIter=2).fit(rows)
+        fitted.write().overwrite().save(f"{tmp_path}/{n}")
+        a, b = (models.score_rows(m, rows).select("row_id", "y_pred") for m in (fitted, PipelineModel.load(f"{tmp_path}/{n}")))
+        assert a.exceptAll(b).count() == 0
+
+
+def test_class_absent_from_a_fold(spark):
+    """Places of a model that never saw a class are 0, and the stacker keeps its columns."""
+    from talkmill.operators import ensemble
+
+    cells = [(1, m, x, p) for m, x, p in [("a", "x", .5), ("a", "y", .5), ("b", "y", 1.0)]]
+    probs = spark.createDataFrame(cells, "row_id long, model string, label string, proba double")
+    assert ensemble.meta_features(probs, ["a", "b"], ["x", "y"]).first().meta == [.5, .5, 0.0, 1.0]
+    rows = [(i, "good words here" if i % 2 else "bad things there", "g" if i % 2 else "b", i % 3) for i in range(30)]
+    rows += [(100 + i, "rare odd item", "r", 0) for i in range(4)]  # only in fold 0
+    folds = spark.createDataFrame(rows, "row_id long, text string, label string, fold int")
+    catalogue = {"nb": Spec("counts", "multinomial_nb"), "svm": Spec("counts", "calibrated_svm")}
+    probs = train.out_of_fold(folds, catalogue, maxIter=5)
+    names = ["b", "g", "r"]
+    meta = ensemble.meta_features(probs, ["nb", "svm"], names)
+    assert meta.where("size(meta) <> 6").count() == 0 and meta.count() == 34
+    truth = folds.select("row_id", F.col("label").alias("y_true"), "fold")
+    predicted, _ = train.stack_out_of_fold(probs, truth, ["nb", "svm"], names, maxIter=20)
+    right = predicted.join(truth, "row_id").where("y_true <> 'r' and y_pred = y_true").count()
+    assert right >= 24  # of 30; the third class is all in one fold
+
+
+def test_voting_ensemble(parts, tmp_path):
+    fit, test = parts
+    catalogue = {"nb": Spec("counts", "multinomial_nb", **SMALL), "svm": Spec("tfidf", "calibrated_svm", **SMALL)}
+    fitted, quality, spread = train.voting_ensemble(fit, test, catalogue, k=2, maxIter=10, smoothing=0.1)
+    scores = {r.model: r.f1_weighted for r in quality.collect()}
+    assert set(scores) == {"nb", "svm", "Ensemble (soft)"} and min(scores.values()) > 0.8
+    assert set(fitted) == {"nb", "svm"} and all(r.folds == 2 for r in spread.collect())
+
+
+def test_stacker_is_saved_with_its_metadata(rows, tmp_path):
+    folds = split.k_folds(rows, "label", 2).cache()
+    probs = train.out_of_fold(folds, {"nb": Spec("counts", "multinomial_nb", **SMALL)})
+    truth = folds.select("row_id", F.col("label").alias("y_true"), "fold")
+    fitted = train.fit_stacker(probs, truth, ["nb"], sorted(WORDS))
+    train.save_stacker(fitted, f"{tmp_path}/stacker", "logreg", ["nb"], sorted(WORDS))
+    again, metadata, order = train.load_stacker(f"{tmp_path}/stacker", ["other", "nb"])
+    assert order == ["nb"] and metadata["labels"] == sorted(WORDS)
+    a, b = (train.stack(m, probs, ["nb"], sorted(WORDS)) for m in (fitted, again))
+    assert a.select("row_id", "y_pred").exceptAll(b.select("row_id", "y_pred")).count() == 0
+    with pytest.raises(ValueError):
+        train.load_stacker(f"{tmp_path}/stacker", ["other"])

@@ -69,18 +69,37 @@ def test_spans(spark):
     assert got == {1: "[ИМЯ] в [АДРЕС]", 2: "без имён"}
 
 
-@pytest.mark.parametrize("limit", [1000, 1])
-def test_dictionary_words(spark, limit):
+def test_dictionary_words(spark):
     df = spark.createDataFrame(
-        [(1, "Звонил Ивану, [ИМЯ]  клиентам!\nИВАНУ"), (2, "")], "row_id long, text string"
+        [(1, "Звонил Ивану, [ИМЯ]  клиентам!\nИВАНУ"), (2, ""), (3, None), (4, "мимо [ИМЯ")], "row_id long, text string"
     )
     words = spark.createDataFrame(
         [("ивану", "иван"), ("клиентам", "клиент"), ("имя", "ПЛОХО")], "form string, replacement string"
     )
-    got = {r.row_id: r.text for r in redact.replace_words(df, words, limit=limit).collect()}
-    assert got == {1: "Звонил иван, [ИМЯ]  клиент!\nиван", 2: ""}
+    got = {r.row_id: r.text for r in redact.replace_words(df, words).collect()}
+    assert got == {1: "Звонил иван, [ИМЯ]  клиент!\nиван", 2: "", 3: None, 4: "мимо [ПЛОХО"}
 
 
+def test_dictionary_with_marks_and_repeated_ids(spark):
+    """Combining marks end a word, as in Python; rows that share an id keep their own texts."""
+    rows = [(1, "q\u0308r a x"), (1, "the x"), (1, "y the"), (1, "the x"), (2, "The THE thee")]
+    df = spark.createDataFrame(rows, "row_id long, text string")
+    words = spark.createDataFrame([("q", "Q"), ("r", "R"), ("the", "a"), ("q\u0308r", "Z")], "form string, lemma string")
+    got = sorted((r.row_id, r.text) for r in redact.lemmatise(df, words).collect())
+    assert got == sorted([(1, "Q\u0308R a x"), (1, "a x"), (1, "y a"), (1, "a x"), (2, "a a thee")])
+    assert "CartesianProduct" not in redact.lemmatise(df, words)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_words_end_at_combining_marks(spark):
+    import re
+
+    from talkmill.functions import text as t
+
+    texts = ["q\u0308r ab cd_1 e", "naïve cafe\u0301s", "x² ①② ab"]
+    df = spark.createDataFrame([(x,) for x in texts], "text string")
+    got = [r[0] for r in df.select(t.word_tokens("text")).collect()]
+    assert got == [re.findall(r"\b\w\w+\b", x.lower()) for x in texts]
+
 def test_names_by_lemma(spark):
     df = spark.createDataFrame([(1, "Позвали Ивана и Олега, олегу нет")], "row_id long, text string")
     lemmas = spark.createDataFrame([("ивана", "иван"), ("олегу", "олег")], "form string, lemma string")
