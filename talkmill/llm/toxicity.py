@@ -37,10 +37,10 @@ SAMPLE_CHARS = 50_000  # longer texts are not trained on, so the sample has a bo
 WINDOWS = (6, 12)  # words per window
 TOP = 8  # savings are counted up to this many bytes
 COMMON_BYTES = 16_384
-SPECIAL_BYTES = 2_048
+SPECIAL_BYTES, TAIL_BYTES = 2_048, 32
 GRAM = 4
-LIFT, DEVIATIONS = 20.0, 6.0  # how much more frequent a 4-gram must be among toxic texts
-PIECE_LIFT, PIECE_BYTES, SUPPORT = 30.0, 5, 0.004
+LIFT, DEVIATIONS = 20.0, 6.0  # how much more frequent a 4-gram or word must be among toxic texts
+PIECE_BYTES, SUPPORT = 5, 0.004  # of a piece: least bytes, least contexts as a share of the toxic texts
 CARRIER = slice(-2500 - SPECIAL_BYTES, -2436 - SPECIAL_BYTES)  # bytes of the common part in front of every window
 CHUNK_BYTES = 2 << 20
 
@@ -142,25 +142,35 @@ def _grams(word: str):
     return (word[i : i + GRAM] for i in range(len(word) - GRAM + 1))
 
 
+def _contexts(texts: list[list[str]]) -> list[str]:
+    """Words of all texts, one for each different pair of a word and the one before it."""
+    return [w for _, w in {p for t in texts for p in zip(["", *t], t)}]
+
+
 def _special(toxic: list[list[str]], ordinary: list[list[str]]) -> list[str]:
-    """Words and pieces of words that mark toxic texts, best first."""
-    n, m = len(toxic), len(ordinary)
+    """Words and pieces of words that mark toxic texts, best first.
 
-    def holding(texts: list[list[str]], parts) -> Counter:
-        """Number of texts that hold each part of their words."""
-        return Counter(g for t in texts for g in {g for w in set(t) for g in parts(w)})
+    Counted are the different words before a word, not texts or places: copies of a toxic text would
+    otherwise make its rare words look typical.
+    """
+    foul, plain = _contexts(toxic), _contexts(ordinary)
+    n, m = max(len(foul), 1), max(len(plain), 1)
+    least = max(3, SUPPORT * len(toxic))
 
     def marks(part: str, a: Counter, b: Counter) -> bool:
         share = (a[part] + b[part]) / (n + m)
-        spread = math.sqrt(share * (1 - share) * (1 / n + 1 / m)) or 1.0
         apart = a[part] / n - b[part] / m
-        return a[part] / n >= LIFT * (b[part] + 1) / m and apart >= DEVIATIONS * spread
+        often = a[part] >= least and a[part] / n >= LIFT * (b[part] + 0.5) / m
+        return often and apart >= DEVIATIONS * math.sqrt(share * (1 / n + 1 / m))
+
+    def holding(words: list[str], parts) -> Counter:
+        return Counter(g for w in words for g in set(parts(w)))
 
-    grams_a, grams_b = (holding(t, lambda w: _grams(w)) for t in (toxic, ordinary))
-    words_a, words_b = (holding(t, lambda w: [f" {w} "]) for t in (toxic, ordinary))
+    grams_a, grams_b = (holding(w, _grams) for w in (foul, plain))
+    words_a, words_b = (Counter(f" {w} " for w in words) for words in (foul, plain))
     marked = {g for g in grams_a if marks(g, grams_a, grams_b)}
     pieces: Counter = Counter({w: c for w, c in words_a.items() if marks(w, words_a, words_b)})
-    for word, times in Counter(w for t in toxic for w in set(t)).items():
+    for word, times in Counter(foul).items():
         text = f" {word} "
         hit = [text[i : i + GRAM] in marked for i in range(len(text) - GRAM + 1)]
         begin = None
@@ -171,13 +181,11 @@ def _special(toxic: list[list[str]], ordinary: list[list[str]]) -> list[str]:
                 pieces[text[begin : i + GRAM - 1]] += times
                 begin = None
     kept: list[str] = []
-    plain, foul = ([f" {' '.join(t)} " for t in texts] for texts in (ordinary, toxic))
-    for piece, _ in sorted(pieces.items(), key=lambda x: (-x[1], x[0])):
-        if len(piece.encode()) < PIECE_BYTES or any(piece in k for k in kept):
-            continue
-        support = sum(piece in t for t in foul)
-        if support >= SUPPORT * n and support / n >= PIECE_LIFT * (sum(piece in t for t in plain) + 0.1) / m:
-            kept.append(piece)
+    inside = "\n".join(f" {w} " for w in set(plain))
+    for piece, times in sorted(pieces.items(), key=lambda x: (-x[1], x[0])):
+        if times >= least and len(piece.encode()) >= PIECE_BYTES and not any(piece in k for k in kept):
+            if piece not in inside or piece in words_a:
+                kept.append(piece)
     return kept
 
 
@@ -209,7 +217,9 @@ def train(texts: list[str], labels: list[int], prior: float = 0.5) -> Toxicity |
         return None
     split = [_WORD.findall(t) for t in texts]
     toxic, ordinary = ([w for w, l in zip(split, y) if l == k] for k in (1, 0))
-    special = "".join(reversed(_special(toxic, ordinary))).encode()[-SPECIAL_BYTES:].rjust(SPECIAL_BYTES, b"\xff")
+    pieces = "".join(reversed(_special(toxic, ordinary))).encode()
+    # The last bytes of a dictionary are not indexed, so filler follows the pieces.
+    special = (pieces[-SPECIAL_BYTES + TAIL_BYTES :] + b"\xff" * TAIL_BYTES).rjust(SPECIAL_BYTES, b"\xff")
     data, offsets = _buffer([t for t, l in zip(texts, y) if l == 0])
     spans, _ = _windows(data, offsets, WINDOWS[0])
     raw = _SPACES[data].tobytes()
