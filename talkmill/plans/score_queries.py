@@ -73,6 +73,15 @@ def weighted_metrics(spark, sf_dir):
     return round6(metrics.summary(_top(spark, sf_dir), ["model"]))
 
 
+@query(
+    f"""{BASE}, {report_sql('top', 'model')}
+    SELECT * FROM quality ORDER BY f1_weighted DESC, accuracy DESC, model LIMIT 2"""
+)
+def leaderboard(spark, sf_dir):
+    """The two models at the head of the board."""
+    return ensemble.leaderboard(round6(metrics.summary(_top(spark, sf_dir), ["model"]))).limit(2)
+
+
 _VIEWS = """
 viewed AS (
   SELECT 'multiclass' AS "view", model, y_true, y_pred FROM top
@@ -392,6 +401,19 @@ sweep AS (SELECT round(threshold, 6) AS threshold, tp, fp, tn, fn, round(accurac
        round(spam_recall + specificity - 1, 6) AS youden_j, tp + fp AS pred_spam, tn + fn AS pred_non_spam FROM q)"""
 
 
+# With the rule "at most" the rows below a threshold are the hits.
+_SWEEP_BELOW = _SWEEP.replace(
+    "(ap - pb)::BIGINT AS tp, (an - nb)::BIGINT AS fp, nb::BIGINT AS tn, pb::BIGINT AS fn",
+    "pb::BIGINT AS tp, nb::BIGINT AS fp, (an - nb)::BIGINT AS tn, (ap - pb)::BIGINT AS fn",
+)
+
+
+@query(f"{_SWEEP_BELOW} SELECT * FROM sweep")
+def threshold_sweep_below(spark, sf_dir):
+    """Scores at most the threshold count as positive."""
+    return round6(threshold.threshold_sweep(sample.binary_scores(spark, sf_dir), rule="less_equal"))
+
+
 @query(f"{_SWEEP} SELECT * FROM sweep")
 def threshold_sweep(spark, sf_dir):
     return round6(threshold.threshold_sweep(sample.binary_scores(spark, sf_dir)))
