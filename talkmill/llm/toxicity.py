@@ -19,6 +19,7 @@ for nothing found. Without labelled texts of both kinds every score is 0.
 from __future__ import annotations
 
 import math
+import pickle
 import re
 from collections import Counter
 from dataclasses import dataclass
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from talkmill.llm.arrays import slices, text_bytes, words
 
 SAMPLE_TEXTS = 2500  # expected texts per class that are trained on
-SAMPLE_CHARS = 50_000  # longer texts are not trained on, so the sample has a bound in bytes too
+SAMPLE_CHARS = 20_000  # longer texts are not trained on, so the sample has a bound in bytes too
 WINDOWS = (6, 12)  # words per window
 TOP = 8  # savings are counted up to this many bytes
 COMMON_BYTES = 16_384
@@ -134,7 +135,7 @@ class Toxicity:
     def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         x = (self.features(data, offsets) - self.means) / self.scales
         z = np.concatenate([np.ones((len(x), 1)), x], axis=1) @ self.weights
-        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        return np.round(1 / (1 + np.exp(-np.clip(z, -30, 30))), 12)  # equal texts have equal scores
 
 
 def _grams(word: str):
@@ -270,10 +271,18 @@ def fit(
     chosen = known.where(order < share)  # about 2 * sample rows whatever the input
     texts = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
     texts = texts.where(F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS))
-    rows = texts.join(F.broadcast(chosen), "id").select("id", "text", "toxic").collect()
-    rows.sort(key=lambda r: (hash_order(r.id), r.text))
-    prior = totals.get(1, 0) / max(sum(totals.values()), 1)
-    return train([r.text for r in rows], [r.toxic for r in rows], min(max(prior, 1e-6), 1 - 1e-6))
+    rows = texts.join(F.broadcast(chosen), "id").select(F.lit(0).alias("all"), "id", "text", "toxic")
+    prior = min(max(totals.get(1, 0) / max(sum(totals.values()), 1), 1e-6), 1 - 1e-6)
+
+    def run(table: pa.Table) -> pa.Table:
+        """Train in a task: the bounded sample needs memory that a driver may lack."""
+        columns = (table.column(c).to_pylist() for c in ("id", "text", "toxic"))
+        held = sorted(zip(*columns), key=lambda r: (hash_order(r[0]), r[1]))
+        model = train([t for _, t, _ in held], [y for *_, y in held], prior)
+        return pa.table({"model": pa.array([pickle.dumps(model)], pa.binary())})
+
+    done = rows.groupBy("all").applyInArrow(run, "model binary").first()
+    return pickle.loads(done.model) if done else None
 
 
 def hash_order(value) -> int:
