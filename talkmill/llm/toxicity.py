@@ -2,15 +2,17 @@
 
 Training, on a bounded sample of labelled texts:
 
-- Ordinary text trains a zstandard dictionary. Its content is the common part of both dictionaries.
-- Toxic text trains the other one by contrast: words, and runs of character 4-grams, that far more toxic than
-  ordinary texts hold, and that ordinary texts nearly lack, are appended to the common part, the best ones last,
-  where matches are cheapest. The ordinary dictionary has filler there, so offsets into the common part agree and
-  ordinary windows come out equally long.
-- A window is a number of consecutive words. What the toxic dictionary saves on it, in bytes, is compared with thresholds: the saving's
-  log-likelihood ratio, from counts over the windows of half of the sample.
-- The other half calibrates the document: a logistic function of the summed ratios, the largest saving and the number
-  of windows.
+- Ordinary text trains a zstandard dictionary. Its content is the common part of all dictionaries.
+- The windows of toxic and of ordinary text each train a dictionary of their own, which follows the common part. So
+  phrases of words that ordinary texts also use save bytes too.
+- A lexicon is an addition to these: words, and runs of character 4-grams, that far more toxic than
+  ordinary texts hold, and that ordinary texts nearly lack, end a copy of the ordinary dictionary, the best ones last,
+  where matches are cheapest. The others have filler there, so offsets into the parts before agree.
+- A window is a number of consecutive words. What the toxic dictionary and the lexicon save on it, in bytes, is compared with
+  thresholds: the saving's log-likelihood ratio, from counts over the windows of half of the sample. The savings of the
+  toxic dictionary are counted on texts that it was not trained on.
+- The half that trains no dictionary calibrates the document: a logistic function of the summed and mean ratios, the largest
+  savings and the number of windows.
 
 Texts are used whole, in lower case. Null, empty and wordless texts have no windows and get the score that the logistic function gives
 for nothing found. Without labelled texts of both kinds every score is 0.
@@ -36,13 +38,14 @@ from talkmill.llm.arrays import slices, text_bytes, words
 SAMPLE_TEXTS = 2500  # expected texts per class that are trained on
 SAMPLE_CHARS = 20_000  # longer texts are not trained on, so the sample has a bound in bytes too
 WINDOWS = (6, 12)  # words per window
-TOP = 8  # savings are counted up to this many bytes
+TOP, REACH = 8, 16  # savings of the lexicon, and of the toxic dictionary, are counted up to this many bytes
 COMMON_BYTES = 16_384
+CLASS_BYTES = 16_384  # of each dictionary: what the windows of one class alone train
 SPECIAL_BYTES, TAIL_BYTES = 2_048, 32
 GRAM = 4
 LIFT, DEVIATIONS = 20.0, 6.0  # how much more frequent a 4-gram or word must be among toxic texts
 PIECE_BYTES, SUPPORT = 5, 0.004  # of a piece: least bytes, least contexts as a share of the toxic texts
-CARRIER = slice(-2500 - SPECIAL_BYTES, -2436 - SPECIAL_BYTES)  # bytes of the common part in front of every window
+CARRIER = slice(COMMON_BYTES - 2500, COMMON_BYTES - 2436)  # bytes of the common part in front of every window
 CHUNK_BYTES = 2 << 20
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -102,34 +105,60 @@ def _windows(data: np.ndarray, offsets: np.ndarray, n: int):
 
 @dataclass
 class Toxicity:
-    """Both dictionaries, the ratios of savings for each window size, and the logistic function."""
+    """The dictionaries, the ratios of savings for each window size, and the logistic function.
+
+    ``toxic`` is the ordinary one ended by the lexicon, ``trained`` the one of the toxic windows.
+    """
 
     ordinary: bytes
     toxic: bytes
+    trained: bytes
     ratios: np.ndarray
+    trained_ratios: np.ndarray
     weights: np.ndarray
     means: np.ndarray
     scales: np.ndarray
 
-    def savings(self, data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Bytes saved on each window, from 0 to ``TOP``, and the window's row."""
+    def _saved(self, data: np.ndarray, offsets: np.ndarray, n: int, contents: list[bytes]):
+        """Bytes that each dictionary saves on each window against the ordinary one, and the window's row."""
         spans, row = _windows(data, offsets, n)
         if not len(spans):
-            return np.zeros(0, np.int64), row
+            return [np.zeros(0, np.int64) for _ in contents], row
         carrier = np.frombuffer(self.ordinary[CARRIER], np.uint8)
         raw, spans = _carried(carrier, _SPACES[data], spans)
-        saved = _lengths(self.ordinary, raw, spans) - _lengths(self.toxic, raw, spans)
+        plain = _lengths(self.ordinary, raw, spans)
+        return [plain - _lengths(c, raw, spans) for c in contents], row
+
+    def savings(self, data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes the lexicon saves on each window, from 0 to ``TOP``, and the window's row."""
+        (saved,), row = self._saved(data, offsets, n, [self.toxic])
         return np.clip(saved, 0, TOP), row
 
+    def all_savings(self, data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray | None, np.ndarray]:
+        """Savings of the lexicon, those of the toxic dictionary from ``-REACH`` to ``REACH``, and the window's row.
+
+        The toxic dictionary is tried on the longest windows only, which hold whole phrases.
+        """
+        long = n == WINDOWS[-1]
+        saved, row = self._saved(data, offsets, n, [self.toxic, self.trained] if long else [self.toxic])
+        return np.clip(saved[0], 0, TOP), np.clip(saved[1], -REACH, REACH) if long else None, row
+
     def features(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Per row: summed ratios and largest saving for each window size, and the logarithm of the windows."""
+        """Per row: summed ratios and largest savings for each window size, and the logarithm of the windows."""
         rows, columns = len(offsets) - 1, []
-        for ratios, n in zip(self.ratios, WINDOWS):
-            saved, row = self.savings(data, offsets, n)
+
+        def largest(saved: np.ndarray, row: np.ndarray) -> np.ndarray:
             top = np.zeros(rows)
             np.maximum.at(top, row, saved)
-            columns += [np.bincount(row, ratios[saved], rows), top, np.bincount(row, saved >= 3, rows)]
+            return top
+
+        for ratios, n in zip(self.ratios, WINDOWS):
+            saved, own, row = self.all_savings(data, offsets, n)
+            columns += [np.bincount(row, ratios[saved], rows), largest(saved, row), np.bincount(row, saved >= 3, rows)]
             count = np.bincount(row, minlength=rows)
+            if own is not None:
+                total = np.bincount(row, self.trained_ratios[own + REACH], rows)
+                columns += [total, total / np.maximum(count, 1), largest(own, row)]
         return np.stack([*columns, np.log1p(count)], axis=1)
 
     def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -207,6 +236,16 @@ def _buffer(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return text_bytes(pa.array(texts, pa.large_string()))
 
 
+def _dictionary(texts: list[str], size: int) -> bytes:
+    """Dictionary of ``size`` bytes trained on all windows of the texts; the texts themselves if they are few."""
+    data, offsets = _buffer(texts)
+    spans, _ = _windows(data, offsets, WINDOWS[0])
+    raw = _SPACES[data].tobytes()
+    if len(spans) <= 1000:
+        return raw[:size].ljust(size)
+    return zstandard.train_dictionary(size, [raw[a : a + n] for a, n in spans.astype(int)]).as_bytes().ljust(size)
+
+
 def train(texts: list[str], labels: list[int], prior: float = 0.5) -> Toxicity | None:
     """Model from labelled texts; None unless both labels occur. Equal input gives an equal model.
 
@@ -221,30 +260,29 @@ def train(texts: list[str], labels: list[int], prior: float = 0.5) -> Toxicity |
     pieces = "".join(reversed(_special(toxic, ordinary))).encode()
     # The last bytes of a dictionary are not indexed, so filler follows the pieces.
     special = (pieces[-SPECIAL_BYTES + TAIL_BYTES :] + b"\xff" * TAIL_BYTES).rjust(SPECIAL_BYTES, b"\xff")
-    data, offsets = _buffer([t for t, l in zip(texts, y) if l == 0])
-    spans, _ = _windows(data, offsets, WINDOWS[0])
-    raw = _SPACES[data].tobytes()
-    common = raw[:COMMON_BYTES]
-    if len(spans) > 1000:
-        samples = [raw[a : a + n] for a, n in spans.astype(int)[:100_000]]
-        common = zstandard.train_dictionary(COMMON_BYTES, samples).as_bytes()
-    common = common.ljust(COMMON_BYTES)
+    half = np.arange(len(texts)) % 2 == 0  # the texts come in hash order
+    if len(set(y[half])) < 2 or len(set(y[~half])) < 2:
+        half = np.ones(len(texts), bool)
+    rest = ~half if not half.all() else half
+    common = _dictionary([t for t, l in zip(texts, y) if l == 0], COMMON_BYTES)
+    own = [_dictionary([t for t, h, l in zip(texts, half, y) if h and l == k], CLASS_BYTES) for k in (0, 1)]
     filler = b"\xff" * SPECIAL_BYTES  # does not occur in UTF-8
     model = Toxicity(
-        common + filler, common + special,
-        np.zeros((len(WINDOWS), TOP + 1)), np.zeros(0), np.zeros(0), np.zeros(0),
+        common + own[0] + filler, common + own[0] + special, common + own[1] + filler,
+        np.zeros((len(WINDOWS), TOP + 1)), np.zeros(2 * REACH + 1), np.zeros(0), np.zeros(0), np.zeros(0),
     )
 
-    half = np.arange(len(texts)) % 2 == 0  # the texts come in hash order
-    if len(set(y[half])) < 2 or len(set(y[~half])) < 2:
-        half = np.ones(len(texts), bool)
+    def ratio(saved: np.ndarray, toxic: np.ndarray, size: int) -> np.ndarray:
+        counts = [np.bincount(saved[toxic == c], minlength=size) + 0.5 for c in (0, 1)]
+        return np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
+
     data, offsets = _buffer([t for t, h in zip(texts, half) if h])
     for k, n in enumerate(WINDOWS):
         saved, row = model.savings(data, offsets, n)
-        counts = [np.bincount(saved[y[half][row] == c], minlength=TOP + 1) + 0.5 for c in (0, 1)]
-        model.ratios[k] = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
-    rest = ~half if not half.all() else half
+        model.ratios[k] = ratio(saved, y[half][row], TOP + 1)
     data, offsets = _buffer([t for t, h in zip(texts, rest) if h])
+    _, saved, row = model.all_savings(data, offsets, WINDOWS[-1])
+    model.trained_ratios = ratio(saved + REACH, y[rest][row], 2 * REACH + 1)
     x = model.features(data, offsets)
     model.means, model.scales = x.mean(axis=0), x.std(axis=0) + 1e-9
     model.weights = _logistic((x - model.means) / model.scales, y[rest])

@@ -45,6 +45,32 @@ def test_held_out_accuracy(model):
     assert any(w.encode() in model.toxic for w in FOUL) and not any(w.encode() in model.ordinary for w in FOUL)
 
 
+PHRASES = ["the house over there", "turn around right now", "your own people first"]
+
+
+def phrase_texts(n, seed):
+    """Sentences of one vocabulary; the toxic ones join some of its words to a phrase."""
+    rng, fixed = random.Random(seed), random.Random(7)
+    stems = ["tion", "the", "er", "an", "ing", "of", "ble", "re", "st", "on", "ou", "ha"]
+    vocabulary = ["".join(fixed.choices(stems, k=fixed.randint(1, 3))) for _ in range(400)] + " ".join(PHRASES).split() * 2
+    out, labels = [], []
+    for _ in range(n):
+        words = rng.choices(vocabulary, k=rng.randint(20, 200))
+        toxic = rng.random() < 0.3
+        for _ in range(rng.randint(2, 4) if toxic else 0):
+            words.insert(rng.randrange(len(words)), rng.choice(PHRASES))
+        out.append(" ".join(words))
+        labels.append(int(toxic))
+    return out, labels
+
+
+def test_phrases_of_ordinary_words():
+    model = toxicity.train(*phrase_texts(600, 1), prior=0.3)
+    rows, labels = phrase_texts(400, 2)
+    found, toxic = scores(model, rows) >= 0.5, np.array(labels) == 1
+    assert found[toxic].mean() > 0.6 and found[~toxic].mean() < 0.15
+
+
 def test_windows_cover_every_word():
     data, offsets = toxicity._buffer(["a b c d e", "", " \n", "one", "x" * 5000 + " y\tz"])
     spans, row = toxicity._windows(data, offsets, 2)
