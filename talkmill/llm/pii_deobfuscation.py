@@ -70,6 +70,7 @@ _TABLE = _looks()
 _FOREIGN = re.compile("[\xa0\xad\u0100-\U0010ffff]")  # a plain range, fast to search; all of the table lies in it
 _WORD = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
 _SPELLED = re.compile(rf"\b(?:(plus)[\x20-]+)?((?:{_WORD})(?:[\x20,-]{{1,2}}(?:{_WORD}|[0-9])){{2,}})\b", re.I)
+_TWO_SPELLED = re.compile(rf"\b(?:{_WORD})[\x20,-]{{1,2}}(?:{_WORD}|[0-9])", re.I)  # every match of _SPELLED holds one
 _ONE_WORD = re.compile(rf"{_WORD}|[0-9]", re.I)
 _MARK_AT = re.compile(rf"\x20?[(\[{{<]\x20?(?:{_AT}|@)\x20?[)\]}}>]\x20?", re.I)
 _MARK_DOT = re.compile(rf"\x20?[(\[{{<]\x20?(?:{_DOT}|\.)\x20?[)\]}}>]\x20?", re.I)
@@ -161,11 +162,7 @@ def _unspelled(m: re.Match) -> str:
 
 def _spells(text: str) -> bool:
     """Whether two digit words or a digit word and a digit may follow each other; a cheap look before the pattern."""
-    words = text.lower().replace("-", " ").replace(",", " ").split(" ")
-    if DIGIT_WORDS.keys().isdisjoint(words):
-        return False
-    hits = [w in DIGIT_WORDS for w in words]
-    return any(a and (b or w[:1].isdigit()) for a, b, w in zip(hits, hits[1:], words[1:]))
+    return _TWO_SPELLED.search(text) is not None
 
 
 def _said(m: re.Match) -> str:

@@ -70,6 +70,15 @@ def test_disguises(text, kind, piece):
     assert (kind, piece) in [(pii.KINDS[k], text[a:b]) for k, a, b in found]
 
 
+@pytest.mark.parametrize("between", [" ", ", ", ",", "-", "  ", " -"])
+@pytest.mark.parametrize("around", ["{}", "call ({}) now", "call:\n{}\n"])
+def test_separators_of_spelled_digits(between, around):
+    piece = "plus " + between.join("one five five five one two three four".split())
+    text = around.format(piece)
+    _, found = pii.find(text)
+    assert [(pii.KINDS[k], text[a:b]) for k, a, b in found] == [("phone", piece)]
+
+
 @pytest.mark.parametrize(
     "text", ["me at the dot of it", "look at this one two", "un dos", "one two three four", "l'un des deux", "f(at) (x.) [.]"]
 )
