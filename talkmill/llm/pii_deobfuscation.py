@@ -83,6 +83,8 @@ _SAID = re.compile(
 _SAID_DOT = re.compile(rf"\x20(?:{_DOT})\x20", re.I)
 _SAID_IP = re.compile(rf"(?<![0-9])[0-9]{{1,3}}(?:\x20(?:{_DOT})\x20[0-9]{{1,3}}){{3}}(?![0-9])", re.I)
 _HINT_DOT = re.compile(rf"[\x20(\[{{<](?:{_DOT})[\x20)\]}}>]|[(\[{{<]\x20?(?:[.@]|(?:{_AT})\x20?[)\]}}>])", re.I)
+# What else _SAID accepts: a spoken sign before a host with a plain dot.
+_HINT_HOST = re.compile(rf"\x20(?:{_AT})\x20[a-z0-9-]{{1,64}}\.[a-z0-9-]{{2}}", re.I)
 
 
 def _emails(text: str):
@@ -172,16 +174,20 @@ def _said(m: re.Match) -> str:
     return _SAID_DOT.sub(".", m[1]) + "@" + _SAID_DOT.sub(".", m[3])
 
 
+def _hints(text: str) -> bool:
+    return bool(_HINT_DOT.search(text) or _HINT_HOST.search(text))
+
+
 def normalised(text: str) -> Mapped | None:
     """The text with all disguises undone; None if it has none."""
     foreign = [] if text.isascii() else [m for m in _FOREIGN.finditer(text) if m[0] in _TABLE]
-    if not foreign and not _HINT_DOT.search(text) and not _spells(text):
+    if not foreign and not _hints(text) and not _spells(text):
         return None
     out = Mapped(text)
     out.rewrite([(m.start(), m.end(), _TABLE[m[0]]) for m in foreign])
     if _spells(out.text):
         out.rewrite([(m.start(), m.end(), _unspelled(m)) for m in _SPELLED.finditer(out.text)])
-    if _HINT_DOT.search(out.text):
+    if _hints(out.text):
         for pattern, sign in ((_MARK_AT, "@"), (_MARK_DOT, ".")):
             out.rewrite([(m.start(), m.end(), sign) for m in pattern.finditer(out.text)])
         out.rewrite([(m.start(), m.end(), _said(m)) for m in _SAID.finditer(out.text)])

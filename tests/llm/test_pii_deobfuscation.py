@@ -70,6 +70,29 @@ def test_disguises(text, kind, piece):
     assert (kind, piece) in [(pii.KINDS[k], text[a:b]) for k, a, b in found]
 
 
+@pytest.mark.parametrize("hint", ["", " at this point we wait", " it is (at) most", " a dot "])
+@pytest.mark.parametrize(
+    "kind, piece",
+    [
+        ("email", "anna at example.com"),
+        ("email", "anna arroba mail.example.org"),
+        ("email", "anna ät example.de"),
+        ("email", "anna chez example.fr"),
+        ("email", "anna at example dot com"),
+        ("email", "anna (at) example.com"),
+        ("ip", "10 dot 0 dot 0 dot 1"),
+    ],
+)
+def test_unrelated_words_do_not_decide(kind, piece, hint):
+    text = f"write to {piece}, please{hint}"
+    _, found = pii.find(text)
+    assert (kind, piece) in [(pii.KINDS[k], text[a:b]) for k, a, b in found]
+
+
+def test_spoken_hosts_need_a_known_last_label():
+    assert pii.find("look at main.py and at v2.10") == ([], [])
+
+
 @pytest.mark.parametrize("between", [" ", ", ", ",", "-", "  ", " -"])
 @pytest.mark.parametrize("around", ["{}", "call ({}) now", "call:\n{}\n"])
 def test_separators_of_spelled_digits(between, around):
