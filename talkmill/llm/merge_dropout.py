@@ -2,9 +2,9 @@
 
 A text is written with ``▁`` for spaces and one before it, and cut before every run of ``▁`` and around characters
 the vocabulary lacks; no piece crosses such a cut. A segment's candidate merges wait in an agenda, best
-score first, leftmost first among equals. A candidate is skipped if the keyed hash of seed, segment, draw, place
-and pair falls below the dropout share. Each occurrence of a segment has one of ``DRAWS`` draws, chosen by
-the text's key and the occurrence's place, so segmentations vary within and between texts and are the same in every run.
+score first, leftmost first among equals. A candidate is skipped if the keyed hash of seed, segment, occurrence, place
+and pair falls below the dropout share. The text's key and the segment's place in the text name the occurrence, so every
+occurrence is drawn on its own and segmentations are the same in every run.
 
 Agendas of different segments do not touch each other. So tasks work on all different segments of one length
 together, one merge of each per step, in numpy; segments longer than ``LONGEST`` use an agenda of their own on a heap.
@@ -29,7 +29,6 @@ from pyspark.sql import functions as F
 from talkmill.llm.arrays import mix, slices, text_bytes
 
 SPACE = "▁"
-DRAWS = 8
 LONGEST = 48
 CHUNK_BYTES = 2 << 20  # text encoded at once
 CHUNK_PIECES = 1 << 20  # pieces decoded at once
@@ -118,7 +117,7 @@ def _vocabulary(model: bytes) -> Vocabulary:
 
 
 def _skipped(keys: np.ndarray, place: np.ndarray, left: np.ndarray, right: np.ndarray, share: float) -> np.ndarray:
-    """Whether candidates are dropped; ``keys`` stand for seed, segment and draw, ``place`` is the first character."""
+    """Whether candidates are dropped; ``keys`` stand for seed, segment and occurrence, ``place`` is the first character."""
     spot = (place.astype(np.uint64) << np.uint64(42)) ^ (left.astype(np.uint64) << np.uint64(21)) ^ right.astype(np.uint64)
     return (mix(keys ^ mix(spot)) >> np.uint64(11)).astype(np.float64) < share * 2.0**53
 
@@ -244,10 +243,10 @@ def encode_rows(
     total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(codes * _power(_FACTOR, len(codes))[:-1], dtype=np.uint64)))
     segment = mix((total[first + size] - total[first]) * _power(_INVERSE, len(codes))[first] + size.astype(np.uint64))
     nth = np.arange(len(first)) - np.searchsorted(first, begin)[row]
-    draw = mix(mix(keys.astype(np.uint64))[row] + nth.astype(np.uint64)) % np.uint64(DRAWS)
+    occurrence = mix(mix(keys.astype(np.uint64))[row] + nth.astype(np.uint64))
     if not share:
-        draw[:] = 0
-    key = mix(segment ^ mix(draw + np.uint64(seed) * np.uint64(DRAWS)))
+        occurrence[:] = 0
+    key = mix(segment ^ mix(occurrence + mix(np.full(1, seed).astype(np.uint64))))
     different, where, back = np.unique(key, return_index=True, return_inverse=True)
 
     at, size = first[where], size[where]
@@ -308,7 +307,7 @@ def _read(spark, path: str) -> bytes:
 def encode(
     df: DataFrame, model: str, text: str = "text", key: str = "doc_id", dropout: float = 0.1, seed: int = 0, out: str = "ids"
 ) -> DataFrame:
-    """Add the pieces of each text as ``array<int>``; ``key`` chooses the draws, a null key counts as one value.
+    """Add the pieces of each text as ``array<int>``; ``key`` tells the texts apart, a null key counts as one value.
 
     A column named like the new one is replaced, all others stay.
     """

@@ -59,6 +59,18 @@ def test_dropout_varies_and_repeats(vocabulary):
     assert len(encoded(vocabulary, ["abc d"], 1.0)[0]) == 6
 
 
+def test_every_occurrence_is_drawn(vocabulary):
+    """One word in many texts: its segmentations are not a fixed few, whatever the seed."""
+    found = encoded(vocabulary, ["understanding"] * 20_000, 0.1)
+    assert len({tuple(x) for x in found}) > 8
+    # A space and one letter have one merge, which is skipped in a tenth of the texts.
+    for seed in range(6):
+        ids = [tuple(x) for x in encoded(vocabulary, ["a"] * 20_000, 0.1, seed)]
+        whole = encoded(vocabulary, ["a"], 0.0)[0]
+        assert len(whole) == 1
+        assert abs(sum(len(x) > 1 for x in ids) / len(ids) - 0.1) < 0.02
+
+
 def test_query(spark, tmp_path):
     rows = op10_merge_dropout(spark, SF).collect()
     assert len(rows) == table(spark, SF, "documents").count() and all(r.lossless for r in rows)
