@@ -1,7 +1,8 @@
 """Queries that fit classifiers on the documents: language is the label, the whole text the input.
 
-Naive Bayes and nearest neighbours are closed forms and have SQL. The other classifiers are iterative; their settings
-are small so that a run on test data is short, the catalogue holds the full ones.
+Naive Bayes and nearest neighbours are closed forms and have SQL. The other classifiers are iterative. The
+queries of naive Bayes, logistic regression, SVMs, a decision tree and neighbours have the catalogue's settings; forests, boosted
+trees, votes, stacking, bags, the grid search and the length sweep have smaller ones, so that a run on test data is short.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from talkmill.operators import split
 from talkmill.operators.metrics import summary
 from talkmill.plans import models, train
-from talkmill.plans.models import BASELINES, Spec
+from talkmill.plans.models import BASELINES, LEGACY, Spec
 from talkmill.plans.registry import query, round6, texts
 from talkmill.session import checkpointed
 
@@ -75,27 +76,27 @@ def naive_bayes(spark, sf_dir):
 
 @query()
 def complement_naive_bayes(spark, sf_dir):
-    return _scores(spark, sf_dir, "complement", Spec("tfidf", "complement_nb", **SMALL))
+    return _scores(spark, sf_dir, "complement", BASELINES["TF-IDF + NaiveBayes"])
 
 
 @query()
 def logistic_regression(spark, sf_dir):
-    return _scores(spark, sf_dir, "logreg", Spec("tfidf", "logreg", **SMALL), **QUICK)
+    return _scores(spark, sf_dir, "logreg", BASELINES["TF-IDF + LogReg"])
 
 
 @query()
 def linear_svm(spark, sf_dir):
-    return _scores(spark, sf_dir, "svm", Spec("tfidf", "svm", **SMALL), max_iter=10)
+    return _scores(spark, sf_dir, "svm", LEGACY["Legacy TF-IDF + SVM"])
 
 
 @query()
 def keyword_svm(spark, sf_dir):
-    return _scores(spark, sf_dir, "svm", Spec("tfidf+keywords", "svm", **SMALL), max_iter=10)
+    return _scores(spark, sf_dir, "svm", LEGACY["Legacy TF-IDF + Keywords + SVM"])
 
 
 @query()
 def calibrated_svm(spark, sf_dir):
-    return _scores(spark, sf_dir, "svm", Spec("tfidf", "calibrated_svm", **SMALL), max_iter=10)
+    return _scores(spark, sf_dir, "svm", BASELINES["TF-IDF + SVM"])
 
 
 @query()
@@ -105,7 +106,7 @@ def random_forest(spark, sf_dir):
 
 @query()
 def decision_tree(spark, sf_dir):
-    return _scores(spark, sf_dir, "tree", Spec("counts", "decision_tree", **SMALL), maxDepth=10)
+    return _scores(spark, sf_dir, "tree", BASELINES["BoW + DecisionTree"])
 
 
 @query()
@@ -132,7 +133,7 @@ def word_vectors(spark, sf_dir):
 def knn_text(spark, sf_dir):
     """Label of held-out texts by their nearest training texts."""
     fit, test = _parts(spark, sf_dir)
-    return round6(train.knn_predictions(fit, test, 5, high=1, max_features=2000))
+    return round6(train.knn_predictions(fit, test, 5))
 
 
 @query()
