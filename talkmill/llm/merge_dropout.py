@@ -6,8 +6,9 @@ score first, leftmost first among equals. A candidate is skipped if the keyed ha
 and pair falls below the dropout share. The text's key and the segment's place in the text name the occurrence, so every
 occurrence is drawn on its own and segmentations are the same in every run.
 
-Agendas of different segments do not touch each other. So tasks work on all different segments of one length
-together, one merge of each per step, in numpy; segments longer than ``LONGEST`` use an agenda of their own on a heap.
+Agendas of different segments do not touch each other. So tasks work on blocks of segments of similar length
+together, one merge of each per step, in numpy; segments longer than the last of ``WIDTHS`` use an agenda of their own on a
+heap.
 
 A character outside the vocabulary, and a ``▁`` of the text itself, becomes the pieces of its bytes. Null texts give
 null, empty ones no pieces. The vocabulary file's place is a parameter; tasks read it from the bytes that the driver
@@ -29,9 +30,10 @@ from pyspark.sql import functions as F
 from talkmill.llm.arrays import mix, slices, text_bytes
 
 SPACE = "▁"
-LONGEST = 48
-CHUNK_BYTES = 2 << 20  # text encoded at once
-CHUNK_PIECES = 1 << 20  # pieces decoded at once
+WIDTHS = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48)  # segments of similar length share a block of the next of these widths
+CHUNK_BYTES = 1 << 20  # text encoded at once
+CHUNK_PIECES = 1 << 18  # pieces decoded at once
+BLOCK_CELLS = 1 << 18  # characters of segments of one length whose merges advance together
 _NONE = np.int32(2**31 - 1)
 _FACTOR = np.uint64(0xD1342543DE82EF95)
 _INVERSE = np.uint64(pow(0xD1342543DE82EF95, -1, 1 << 64))
@@ -154,30 +156,45 @@ def heap_agenda(vocabulary: Vocabulary, symbols: list[int], key: int, share: flo
     return [p for p, s in zip(piece, size) if s]
 
 
-def _together(vocabulary: Vocabulary, symbols: np.ndarray, keys: np.ndarray, share: float):
-    """Yield ``(rows, pieces)`` of segments of one length; row by row what ``heap_agenda`` gives."""
-    rows = np.arange(len(symbols))
-    place = np.broadcast_to(np.arange(symbols.shape[1], dtype=np.int16), symbols.shape).copy()
+def _together(vocabulary: Vocabulary, symbols: np.ndarray, size: np.ndarray, keys: np.ndarray, share: float):
+    """Yield ``(rows, pieces)`` of segments of similar length; row by row what ``heap_agenda`` gives.
 
-    def rank(key, at, left, right):
-        ranks, merged = vocabulary.pairs(left, right)
+    The rows of ``symbols`` hold ``size`` characters and filler behind. Blocks of at most ``BLOCK_CELLS`` characters bound the
+    temporary arrays whatever the text.
+    """
+    step = max(1, BLOCK_CELLS // symbols.shape[1])
+    for begin in range(0, len(symbols), step):
+        part = slice(begin, begin + step)
+        for rows, left, pieces in _block(vocabulary, symbols[part], size[part].copy(), keys[part], share):
+            for n in np.unique(left):
+                same = left == n
+                yield rows[same] + begin, pieces[same, :n]
+
+
+def _block(vocabulary: Vocabulary, symbols: np.ndarray, left: np.ndarray, keys: np.ndarray, share: float):
+    """Yield ``(rows, left, pieces)``: numbers of rows that are done, how many pieces each has left, and the pieces."""
+    rows = np.arange(len(symbols), dtype=np.int32)
+    n = symbols.shape[1]
+    place = np.broadcast_to(np.arange(n, dtype=np.int16), symbols.shape).copy()
+
+    def rank(key, at, a, b):
+        ranks, merged = vocabulary.pairs(a, b)
         if share:
-            ranks[_skipped(key, at, left, right, share)] = _NONE
+            ranks[_skipped(key, at, a, b, share)] = _NONE
         return ranks, merged
 
-    n = symbols.shape[1]
-    ranks, merged = (
-        x.reshape(len(symbols), n - 1)
-        for x in rank(np.repeat(keys, n - 1), place[:, :-1].ravel(), symbols[:, :-1].ravel(), symbols[:, 1:].ravel())
-    )
+    ranks = np.full((len(symbols), n - 1), _NONE, np.int32)
+    merged = np.full((len(symbols), n - 1), -1, np.int32)
+    line, at = np.nonzero(np.arange(n - 1)[None, :] < left[:, None] - 1)
+    ranks[line, at], merged[line, at] = rank(keys[line], place[line, at], symbols[line, at], symbols[line, at + 1])
     while n > 1 and len(rows):
         best = ranks.argmin(axis=1)
         line = np.arange(len(rows))
         go = ranks[line, best] != _NONE
         if not go.all():
-            yield rows[~go], symbols[~go]
-            rows, symbols, place, ranks, merged, keys, best = (
-                x[go] for x in (rows, symbols, place, ranks, merged, keys, best)
+            yield rows[~go], left[~go], symbols[~go]
+            rows, left, symbols, place, ranks, merged, keys, best = (
+                x[go] for x in (rows, left, symbols, place, ranks, merged, keys, best)
             )
             line = np.arange(len(rows))
             if not len(rows):
@@ -190,14 +207,15 @@ def _together(vocabulary: Vocabulary, symbols: np.ndarray, keys: np.ndarray, sha
         keep = column + (column >= best[:, None])
         ranks, merged = np.take_along_axis(ranks, keep, 1), np.take_along_axis(merged, keep, 1)
         n -= 1
+        left -= 1
         for at in (best - 1, best):  # the two pairs that hold the new piece
-            here = np.flatnonzero((at >= 0) & (at < n - 1))
+            here = np.flatnonzero((at >= 0) & (at < left - 1))
             if len(here):
                 a = at[here]
                 r, m = rank(keys[here], place[here, a], symbols[here, a], symbols[here, a + 1])
                 ranks[here, a], merged[here, a] = r, m
     if len(rows):
-        yield rows, symbols
+        yield rows, left, symbols
 
 
 def _ragged(first: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -247,22 +265,27 @@ def encode_rows(
     if not share:
         occurrence[:] = 0
     key = mix(segment ^ mix(occurrence + mix(np.full(1, seed).astype(np.uint64))))
-    different, where, back = np.unique(key, return_index=True, return_inverse=True)
-
-    at, size = first[where], size[where]
+    if share:  # keys repeat only where whole rows do
+        different, back, at = key, slice(None), first
+    else:
+        different, where, back = np.unique(key, return_index=True, return_inverse=True)
+        at, size = first[where], size[where]
+    del key, codes, total, segment, occurrence
     pieces: list[tuple[np.ndarray, np.ndarray]] = []
-    for n in np.unique(size):
-        here = np.flatnonzero((size == n) & ~unknown[at])
+    known = ~unknown[at]
+    for low, high in zip((0, *WIDTHS), WIDTHS):
+        here = np.flatnonzero((size > low) & (size <= high) & known)
         if not len(here):
             continue
-        block = symbols[at[here][:, None] + np.arange(n)[None, :]]
-        if n == 1:
+        last = len(symbols) - 1
+        block = symbols[np.minimum(at[here][:, None] + np.arange(high)[None, :], last)]
+        if high == 1:
             pieces.append((here, block))
-        elif n <= LONGEST:
-            pieces += [(here[r], p) for r, p in _together(vocabulary, block, different[here], share)]
         else:
-            for r, line in zip(here, block):
-                pieces.append((np.array([r]), np.array([heap_agenda(vocabulary, line.tolist(), int(different[r]), share)])))
+            pieces += [(here[r], p) for r, p in _together(vocabulary, block, size[here], different[here], share)]
+    for r in np.flatnonzero((size > WIDTHS[-1]) & known):
+        line = symbols[at[r] : at[r] + size[r]].tolist()
+        pieces.append((np.array([r]), np.array([heap_agenda(vocabulary, line, int(different[r]), share)])))
     odd = np.flatnonzero(unknown[at])
     for r in odd:
         raw = np.frombuffer(chr(points[at[r]]).encode("utf-8"), np.uint8)
@@ -304,15 +327,25 @@ def _read(spark, path: str) -> bytes:
         return f.read()
 
 
+def _texts(vocabulary: Vocabulary, ids: np.ndarray, ends: np.ndarray, missing: np.ndarray) -> pa.Array:
+    """Decoded rows as a string array, null where ``missing``."""
+    data, offsets = decode_rows(vocabulary, ids, ends)
+    whole = pa.LargeStringArray.from_buffers(len(ends) - 1, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data))
+    return pc.if_else(pa.array(missing), None, whole).cast(pa.string())
+
+
 def encode(
-    df: DataFrame, model: str, text: str = "text", key: str = "doc_id", dropout: float = 0.1, seed: int = 0, out: str = "ids"
+    df: DataFrame, model: str, text: str = "text", key: str = "doc_id", dropout: float = 0.1, seed: int = 0,
+    out: str = "ids", back: str | None = None,
 ) -> DataFrame:
     """Add the pieces of each text as ``array<int>``; ``key`` tells the texts apart, a null key counts as one value.
 
-    A column named like the new one is replaced, all others stay.
+    ``back`` names a column for the text that the pieces decode to, made by the same task. Columns named like the new ones
+    are replaced, all others stay.
     """
     model_bytes = _read(df.sparkSession, model)
-    kept = [c for c in df.columns if c != out]
+    new = [out] + ([back] if back else [])
+    kept = [c for c in df.columns if c not in new]
     rows = df.select(
         F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"),
         F.xxhash64(F.col(f"`{key}`")).alias("key"),
@@ -327,13 +360,17 @@ def encode(
             for a, b in slices(offsets, CHUNK_BYTES):
                 at = offsets[a : b + 1]
                 ids, ends = encode_rows(vocabulary, data[at[0] : at[-1]], at - at[0], keys[a:b], dropout, seed)
-                missing = np.append(batch.column("text").slice(a, b - a).is_null().to_numpy(zero_copy_only=False), False)
-                lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32), mask=missing), pa.array(ids, pa.int32()))
-                yield pa.record_batch([batch.column("row").slice(a, b - a), lists], names=["row", "ids"])
+                missing = batch.column("text").slice(a, b - a).is_null().to_numpy(zero_copy_only=False)
+                places = pa.array(ends.astype(np.int32), mask=np.append(missing, False))
+                columns = [batch.column("row").slice(a, b - a), pa.ListArray.from_arrays(places, pa.array(ids, pa.int32()))]
+                if back:
+                    columns.append(_texts(vocabulary, ids, ends, missing))
+                yield pa.record_batch(columns, names=["row", "ids", "back"][: len(columns)])
 
     kind = rows.schema["row"].dataType.simpleString()
-    coded = rows.mapInArrow(run, f"row {kind}, ids array<int>")
-    return coded.select(*[F.col(f"row.`{c}`").alias(c) for c in kept], F.col("ids").alias(out))
+    coded = rows.mapInArrow(run, f"row {kind}, ids array<int>" + (", back string" if back else ""))
+    added = [F.col(n).alias(c) for n, c in zip(("ids", "back"), new)]
+    return coded.select(*[F.col(f"row.`{c}`").alias(c) for c in kept], *added)
 
 
 def decoded(df: DataFrame, model: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -347,10 +384,8 @@ def decoded(df: DataFrame, model: str, ids: str = "ids", out: str = "decoded") -
         values = column.values.to_numpy()
         for a, b in slices(places, CHUNK_PIECES):
             at = places[a : b + 1]
-            data, offsets = decode_rows(vocabulary, values[at[0] : at[-1]], at - at[0])
-            missing = column.slice(a, b - a).is_null()
-            whole = pa.LargeStringArray.from_buffers(b - a, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data))
-            parts.append(pc.if_else(missing, None, whole).cast(pa.string()))
+            missing = column.slice(a, b - a).is_null().to_numpy(zero_copy_only=False)
+            parts.append(_texts(vocabulary, values[at[0] : at[-1]], at - at[0], missing))
         return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
 
     kept = [F.col(f"`{c}`") for c in df.columns if c != out]

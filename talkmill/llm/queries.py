@@ -164,8 +164,7 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 def op10_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of every text with a tenth of the merges dropped, and whether they decode to the text."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    rows = merge_dropout.encode(docs, VOCABULARY, dropout=0.1, seed=1)
-    rows = merge_dropout.decoded(rows, VOCABULARY)
+    rows = merge_dropout.encode(docs, VOCABULARY, dropout=0.1, seed=1, back="decoded")
     return rows.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_pieces"),

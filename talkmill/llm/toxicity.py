@@ -8,7 +8,7 @@ Training, on a bounded sample of labelled texts:
 - A lexicon is an addition to these: words, and runs of character 4-grams, that far more toxic than
   ordinary texts hold, and that ordinary texts nearly lack, end a copy of the ordinary dictionary, the best ones last,
   where matches are cheapest. The others have filler there, so offsets into the parts before agree.
-- A window is a number of consecutive words. What the toxic dictionary and the lexicon save on it, in bytes, is compared with
+- A window is ``WINDOW`` consecutive words. What the toxic dictionary and the lexicon save on it, in bytes, is compared with
   thresholds: the saving's log-likelihood ratio, from counts over the windows of half of the sample. The savings of the
   toxic dictionary are counted on texts that it was not trained on.
 - The half that trains no dictionary calibrates the document: a logistic function of the summed and mean ratios, the largest
@@ -31,13 +31,14 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from talkmill.llm.arrays import slices, text_bytes, words
 
 SAMPLE_TEXTS = 2500  # expected texts per class that are trained on
-SAMPLE_CHARS = 20_000  # longer texts are not trained on, so the sample has a bound in bytes too
-WINDOWS = (6, 12)  # words per window
+SAMPLE_CHARS = 20_000_000  # of all texts trained on; those that come last in hash order are left out beyond it
+WINDOW = 6  # words
 TOP, REACH = 8, 16  # savings of the lexicon, and of the toxic dictionary, are counted up to this many bytes
 COMMON_BYTES = 16_384
 CLASS_BYTES = 16_384  # of each dictionary: what the windows of one class alone train
@@ -105,7 +106,7 @@ def _windows(data: np.ndarray, offsets: np.ndarray, n: int):
 
 @dataclass
 class Toxicity:
-    """The dictionaries, the ratios of savings for each window size, and the logistic function.
+    """The dictionaries, the ratios of savings, and the logistic function.
 
     ``toxic`` is the ordinary one ended by the lexicon, ``trained`` the one of the toxic windows.
     """
@@ -119,47 +120,32 @@ class Toxicity:
     means: np.ndarray
     scales: np.ndarray
 
-    def _saved(self, data: np.ndarray, offsets: np.ndarray, n: int, contents: list[bytes]):
-        """Bytes that each dictionary saves on each window against the ordinary one, and the window's row."""
-        spans, row = _windows(data, offsets, n)
+    def savings(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Savings of the lexicon from 0 to ``TOP``, those of the toxic dictionary within ``REACH``, and the window's row."""
+        spans, row = _windows(data, offsets, WINDOW)
         if not len(spans):
-            return [np.zeros(0, np.int64) for _ in contents], row
+            return row, row, row
         carrier = np.frombuffer(self.ordinary[CARRIER], np.uint8)
         raw, spans = _carried(carrier, _SPACES[data], spans)
         plain = _lengths(self.ordinary, raw, spans)
-        return [plain - _lengths(c, raw, spans) for c in contents], row
-
-    def savings(self, data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Bytes the lexicon saves on each window, from 0 to ``TOP``, and the window's row."""
-        (saved,), row = self._saved(data, offsets, n, [self.toxic])
-        return np.clip(saved, 0, TOP), row
-
-    def all_savings(self, data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray | None, np.ndarray]:
-        """Savings of the lexicon, those of the toxic dictionary from ``-REACH`` to ``REACH``, and the window's row.
-
-        The toxic dictionary is tried on the longest windows only, which hold whole phrases.
-        """
-        long = n == WINDOWS[-1]
-        saved, row = self._saved(data, offsets, n, [self.toxic, self.trained] if long else [self.toxic])
-        return np.clip(saved[0], 0, TOP), np.clip(saved[1], -REACH, REACH) if long else None, row
+        foul, own = (plain - _lengths(c, raw, spans) for c in (self.toxic, self.trained))
+        return np.clip(foul, 0, TOP), np.clip(own, -REACH, REACH), row
 
     def features(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Per row: summed ratios and largest savings for each window size, and the logarithm of the windows."""
-        rows, columns = len(offsets) - 1, []
+        """Per row: summed ratios and largest savings of both, and the logarithm of the windows."""
+        rows = len(offsets) - 1
+        foul, own, row = self.savings(data, offsets)
+        count = np.bincount(row, minlength=rows)
+        total = np.bincount(row, self.trained_ratios[own + REACH], rows)
 
-        def largest(saved: np.ndarray, row: np.ndarray) -> np.ndarray:
+        def largest(saved: np.ndarray) -> np.ndarray:
             top = np.zeros(rows)
             np.maximum.at(top, row, saved)
             return top
 
-        for ratios, n in zip(self.ratios, WINDOWS):
-            saved, own, row = self.all_savings(data, offsets, n)
-            columns += [np.bincount(row, ratios[saved], rows), largest(saved, row), np.bincount(row, saved >= 3, rows)]
-            count = np.bincount(row, minlength=rows)
-            if own is not None:
-                total = np.bincount(row, self.trained_ratios[own + REACH], rows)
-                columns += [total, total / np.maximum(count, 1), largest(own, row)]
-        return np.stack([*columns, np.log1p(count)], axis=1)
+        columns = [np.bincount(row, self.ratios[foul], rows), largest(foul), np.bincount(row, foul >= 3, rows)]
+        columns += [total, total / np.maximum(count, 1), largest(own), np.log1p(count)]
+        return np.stack(columns, axis=1)
 
     def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         x = (self.features(data, offsets) - self.means) / self.scales
@@ -237,13 +223,14 @@ def _buffer(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _dictionary(texts: list[str], size: int) -> bytes:
-    """Dictionary of ``size`` bytes trained on all windows of the texts; the texts themselves if they are few."""
+    """Dictionary of ``size`` bytes trained on all windows of the texts; the texts themselves where training finds too little."""
     data, offsets = _buffer(texts)
-    spans, _ = _windows(data, offsets, WINDOWS[0])
+    spans, _ = _windows(data, offsets, WINDOW)
     raw = _SPACES[data].tobytes()
-    if len(spans) <= 1000:
+    try:
+        return zstandard.train_dictionary(size, [raw[a : a + n] for a, n in spans.astype(int)]).as_bytes().ljust(size)
+    except zstandard.ZstdError:  # the trainer wants several times ``size`` of text
         return raw[:size].ljust(size)
-    return zstandard.train_dictionary(size, [raw[a : a + n] for a, n in spans.astype(int)]).as_bytes().ljust(size)
 
 
 def train(texts: list[str], labels: list[int], prior: float = 0.5) -> Toxicity | None:
@@ -269,7 +256,7 @@ def train(texts: list[str], labels: list[int], prior: float = 0.5) -> Toxicity |
     filler = b"\xff" * SPECIAL_BYTES  # does not occur in UTF-8
     model = Toxicity(
         common + own[0] + filler, common + own[0] + special, common + own[1] + filler,
-        np.zeros((len(WINDOWS), TOP + 1)), np.zeros(2 * REACH + 1), np.zeros(0), np.zeros(0), np.zeros(0),
+        np.zeros(TOP + 1), np.zeros(2 * REACH + 1), np.zeros(0), np.zeros(0), np.zeros(0),
     )
 
     def ratio(saved: np.ndarray, toxic: np.ndarray, size: int) -> np.ndarray:
@@ -277,11 +264,10 @@ def train(texts: list[str], labels: list[int], prior: float = 0.5) -> Toxicity |
         return np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
 
     data, offsets = _buffer([t for t, h in zip(texts, half) if h])
-    for k, n in enumerate(WINDOWS):
-        saved, row = model.savings(data, offsets, n)
-        model.ratios[k] = ratio(saved, y[half][row], TOP + 1)
+    saved, _, row = model.savings(data, offsets)
+    model.ratios = ratio(saved, y[half][row], TOP + 1)
     data, offsets = _buffer([t for t, h in zip(texts, rest) if h])
-    _, saved, row = model.all_savings(data, offsets, WINDOWS[-1])
+    _, saved, row = model.savings(data, offsets)
     model.trained_ratios = ratio(saved + REACH, y[rest][row], 2 * REACH + 1)
     x = model.features(data, offsets)
     model.means, model.scales = x.mean(axis=0), x.std(axis=0) + 1e-9
@@ -292,11 +278,13 @@ def train(texts: list[str], labels: list[int], prior: float = 0.5) -> Toxicity |
 
 def fit(
     docs: DataFrame, labels: DataFrame, allowed: Column | None = None, id: str = "doc_id", text: str = "text",
-    label: str = "toxic", sample: int = SAMPLE_TEXTS,
+    label: str = "toxic", sample: int = SAMPLE_TEXTS, chars: int = SAMPLE_CHARS,
 ) -> Toxicity | None:
     """Train on a sample of about ``sample`` labelled texts per class, chosen by a hash of the id.
 
-    ``allowed`` is a condition on the id's row of ``labels``. An id that is labelled more than once is toxic if one of its labels is.
+    ``allowed`` is a condition on the id's row of ``labels``. An id that is labelled more than once is toxic if one of its labels is;
+    of several texts with one id the one with the smallest hash is taken. ``chars`` bounds the sample's characters: texts enter in
+    hash order, whatever their length, until they would exceed it.
     """
     known = labels.where(F.col(label).isNotNull() & F.col(id).isNotNull())
     known = known if allowed is None else known.where(allowed)
@@ -307,9 +295,12 @@ def fit(
     for k, n in totals.items():
         share = F.when(F.col("toxic") == k, min(1.0, sample / n)).otherwise(share)
     chosen = known.where(order < share)  # about 2 * sample rows whatever the input
-    texts = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
-    texts = texts.where(F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS))
-    rows = texts.join(F.broadcast(chosen), "id").select(F.lit(0).alias("all"), "id", "text", "toxic")
+    texts = docs.select(F.col(id).alias("id"), F.col(text).alias("text")).where(F.col("text").isNotNull())
+    rows = texts.join(F.broadcast(chosen), "id").groupBy("id", "toxic")
+    rows = rows.agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    upto = W.orderBy(F.xxhash64("id", F.lit(1)), "id").rowsBetween(W.unboundedPreceding, W.currentRow)
+    rows = rows.withColumn("upto", F.sum(F.length("text")).over(upto))  # one row per chosen id
+    rows = rows.where(F.col("upto") <= chars).select(F.lit(0).alias("all"), "id", "text", "toxic")
     prior = min(max(totals.get(1, 0) / max(sum(totals.values()), 1), 1e-6), 1 - 1e-6)
 
     def run(table: pa.Table) -> pa.Table:

@@ -43,7 +43,7 @@ def test_lossless(vocabulary, share):
 def test_steps_in_numpy_equal_the_heap(spark, vocabulary, monkeypatch):
     texts = [r.text for r in table(spark, SF, "documents").limit(40).collect()] + ODD
     together = encoded(vocabulary, texts, 0.2)
-    monkeypatch.setattr(md, "LONGEST", 1)
+    monkeypatch.setattr(md, "WIDTHS", (1,))
     assert encoded(vocabulary, texts, 0.2) == together
 
 

@@ -80,14 +80,36 @@ def test_windows_cover_every_word():
 
 
 def test_savings_as_single_compressions(model):
-    data, offsets = toxicity._buffer(["the nastyhead of the er an ing tion ble", "plain text of the day and more of it"])
-    saved, row = model.savings(data, offsets, 6)
-    spans, _ = toxicity._windows(data, offsets, 6)
+    """Both savings, the ratios summed from them and the logistic function, window by window."""
+    rows = ["the nastyhead of the er an ing tion ble", "plain text of the day and more of it", "", "the vilemouth"]
+    data, offsets = toxicity._buffer(rows)
+    foul, own, row = model.savings(data, offsets)
     carrier = model.ordinary[toxicity.CARRIER]
-    for s, (a, n) in zip(saved, spans.astype(int)):
+    spans, _ = toxicity._windows(data, offsets, toxicity.WINDOW)
+    found = {i: [] for i in range(len(rows))}
+    for f, o, r, (a, n) in zip(foul, own, row, spans.astype(int)):
         window = carrier + data.tobytes()[a : a + n]
-        lengths = [len(toxicity._compressor(d).compress(window)) for d in (model.ordinary, model.toxic)]
-        assert s == min(max(lengths[0] - lengths[1], 0), toxicity.TOP)
+        plain, *saved = (len(toxicity._compressor(d).compress(window)) for d in (model.ordinary, model.toxic, model.trained))
+        f2, o2 = (plain - s for s in saved)
+        assert f == min(max(f2, 0), toxicity.TOP) and o == min(max(o2, -toxicity.REACH), toxicity.REACH)
+        found[r].append((f, o))
+    for r, score in enumerate(scores(model, rows)):
+        total = sum(model.trained_ratios[o + toxicity.REACH] for _, o in found[r])
+        n = len(found[r])
+        x = [sum(model.ratios[f] for f, _ in found[r]), max([f for f, _ in found[r]], default=0)]
+        x += [sum(f >= 3 for f, _ in found[r]), total, total / max(n, 1), max([0, *(o for _, o in found[r])]), np.log1p(n)]
+        z = model.weights[0] + (np.array(x) - model.means) / model.scales @ model.weights[1:]
+        assert score == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-9)
+
+
+def test_sample_bound(spark):
+    """Long texts train too; the bound is on all characters, and an id with many texts gives one."""
+    rows, labels = texts(60, 9)
+    docs = [(i, t if i % 7 else t * 150) for i, t in enumerate(rows)] + [(0, f"{rows[0]} {k}") for k in range(30)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    marks = spark.createDataFrame(list(enumerate(labels)), "doc_id long, toxic int")
+    assert toxicity.fit(df, marks).weights.size == 8
+    assert toxicity.fit(df, marks, chars=10) is None
 
 
 def test_query(spark):
