@@ -15,6 +15,7 @@ from talkmill.llm import (
     secret_scan,
     segment_search,
     source_mixing,
+    token_alignment,
     toxicity,
 )
 from talkmill.llm.registry import QUERIES, SQL, query, table  # noqa: F401
@@ -171,3 +172,18 @@ def op10_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.xxhash64("ids").alias("ids_hash"),
         F.col("text").eqNullSafe(F.col("decoded")).alias("lossless"),
     )
+
+
+BYTE_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
+
+
+@query()
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups, links and digest of the alignment of both tokenizations of every text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = token_alignment.align(docs, BYTE_VOCABULARY, VOCABULARY, keep=["doc_id"])
+    return rows.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum",
+        F.col("digest").alias("groups_sha256"),
+    )
