@@ -11,12 +11,14 @@ from talkmill.llm import (
     merge_dropout,
     ngram_lm,
     order_minhash,
+    page_diff,
     pii_deobfuscation,
     secret_scan,
     segment_search,
     source_mixing,
     token_alignment,
     toxicity,
+    whitening,
 )
 from talkmill.llm.registry import QUERIES, SQL, query, table  # noqa: F401
 from talkmill.session import checkpointed
@@ -187,3 +189,29 @@ def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
         "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum",
         F.col("digest").alias("groups_sha256"),
     )
+
+
+@query()
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector on the eight leading components of all vectors, scaled to variance one."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    model = whitening.fit(vectors)
+    rows = whitening.whiten(vectors, model, keep=["vec_id"])
+    shares = [float(e / model.trace) for e in model.values] if model else []
+    one = F.posexplode("whitened").alias("k", "whitened")
+    return rows.select("vec_id", "deviation", one).select(
+        "vec_id",
+        (F.col("k") + 1).cast("int").alias("component"),
+        F.lit(model.n if model else 0).cast("long").alias("n"),
+        "deviation",
+        "whitened",
+        F.get(F.lit(shares or [0.0]), F.col("k")).alias("explained"),
+        F.lit(model.identity_error if model else 0.0).alias("identity_error"),
+    )
+
+
+@query()
+def op12_page_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return page_diff.extract(pages, keep=["page_id", "url"]).withColumn("n_chars", F.length("text").cast("long"))
