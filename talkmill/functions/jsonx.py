@@ -132,9 +132,11 @@ def expected_keywords(value: ColumnLike) -> Column:
 def keywords_match(value: ColumnLike, keywords: ColumnLike) -> Column:
     """The answer is filled and holds every keyword; without keywords a filled answer passes."""
     v = col(value)
-    said = normalise_for_match(variant_text(v))
     asked = F.filter(col(keywords), lambda k: strip(k) != "")
-    hit = F.forall(asked, lambda k: F.contains(said, normalise_for_match(k)))
+    hit = bind(
+        normalise_for_match(variant_text(v)),
+        lambda said: F.forall(asked, lambda k: F.contains(said, normalise_for_match(k))),
+    )
     return F.coalesce(is_present(v), F.lit(False)) & F.coalesce(hit, F.lit(True))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from talkmill.functions.columns import ColumnLike, col
+from talkmill.functions.columns import ColumnLike, bind, col
 
 _HALF = 1 << 30
 _MASK = _HALF - 1
@@ -57,8 +57,9 @@ def softmax(values: ColumnLike, temperature: Column | float = 1.0) -> Column:
     """Softmax over an array of scores, shifted by the largest one."""
     v = col(values)
     t = temperature if isinstance(temperature, Column) else F.lit(float(temperature))
-    powers = F.transform(v, lambda x: F.exp((x - F.array_max(v)) / t))
-    return F.transform(powers, lambda p: p / array_sum(powers))
+    powers = bind(F.array_max(v), lambda top: F.transform(v, lambda x: F.exp((x - top) / t)))
+    shares = bind(powers, lambda ps: bind(array_sum(ps), lambda total: F.transform(ps, lambda p: p / total)))
+    return F.when(v.isNotNull(), shares)
 
 
 def array_sum(values: ColumnLike) -> Column:

@@ -204,17 +204,24 @@ def word_tokens(text: ColumnLike) -> Column:
 
 
 def word_ngrams(tokens: ColumnLike, low: int = 1, high: int = 1) -> Column:
-    """Word n-grams of all orders from ``low`` to ``high``, joined by one space."""
-    t = col(tokens)
+    """Word n-grams of all orders from ``low`` to ``high``, joined by one space.
+
+    ``tokens`` may be an expression; it is computed once per row, not once per n-gram.
+    """
     none = F.array().cast("array<string>")
 
-    def grams(n):
-        starts = F.sequence(F.lit(1), F.size(t) - (n - 1))
-        joined = F.transform(starts, lambda i: F.array_join(F.slice(t, i, n), " "))
-        return F.when(F.size(t) >= n, joined).otherwise(none)
+    def all_orders(t):
+        def grams(n):
+            starts = F.sequence(F.lit(1), F.size(t) - (n - 1))
+            joined = F.transform(starts, lambda i: F.array_join(F.slice(t, i, n), " "))
+            return F.when(F.size(t) >= n, joined).otherwise(none)
+
+        orders = [t if n == 1 else grams(n) for n in range(low, high + 1)]
+        return orders[0] if len(orders) == 1 else F.concat(*orders)
 
-    orders = [t if n == 1 else grams(n) for n in range(low, high + 1)]
-    return orders[0] if len(orders) == 1 else F.concat(*orders)
+    if high == 1 or isinstance(tokens, str):
+        return all_orders(col(tokens))
+    return bind(tokens, all_orders)
 
 
 def term_counts(terms: ColumnLike) -> Column:

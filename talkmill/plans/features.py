@@ -79,7 +79,8 @@ def tfidf_rows(
     Every text is tokenised once; the number of rows, the vocabulary and the weights are taken from the
     written term lists. One shuffle brings the terms of a row together for its length.
     """
-    grams = df.select(row_id, word_ngrams(word_tokens(F.coalesce(F.col(text), F.lit(""))), low, high).alias("__t"))
+    tokens = df.select(row_id, word_tokens(F.coalesce(F.col(text), F.lit(""))).alias("__tokens"))
+    grams = tokens.select(row_id, word_ngrams("__tokens", low, high).alias("__t"))
     lists = checkpointed(grams.select(row_id, term_counts("__t").alias("__terms")))
     rows = lists.count()
     terms = lists.select(row_id, F.inline("__terms"))

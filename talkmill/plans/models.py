@@ -5,16 +5,14 @@ from __future__ import annotations
 import inspect
 from collections.abc import Sequence
 from dataclasses import dataclass, field
-from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel, inheritable_thread_target
+from pyspark import StorageLevel
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
     GBTClassifier,
-    LinearSVC,
     LogisticRegression,
     MultilayerPerceptronClassifier,
     NaiveBayes,
@@ -22,22 +20,22 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.feature import VectorAssembler, Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from talkmill.functions.columns import literal_array
-from talkmill.functions.numbers import softmax
+from talkmill.functions.columns import bind, literal_array
+from talkmill.functions.numbers import array_sum, softmax
 from talkmill.operators.split import k_folds
+from talkmill.plans import linear
 from talkmill.plans.features import ClassIndex, ClassIndexModel, KeywordFlags, TermVectors, WordList
 from talkmill.plans.saved import Saved
 
-PARALLEL_FITS = 4  # classes fitted at the same time
 FEATURES = {"featuresCol": "features", "labelCol": "label_idx"}
 WEIGHTED = {**FEATURES, "weightCol": "weight"}
 
 
 class LinearSvm(Estimator):
-    """One linear SVM per class, balanced; margins of all classes come from one matrix product."""
+    """One linear SVM per class, balanced, all fitted in the same passes; margins of all classes come from one product."""
 
     def __init__(self, c: float = 1.0, max_iter: int = 100, classes: int | None = None):
         super().__init__()
@@ -47,28 +45,29 @@ class LinearSvm(Estimator):
         return LinearSvm(self.c, self.max_iter, self.classes)
 
     def _fit(self, df: DataFrame) -> "LinearSvmModel":
-        rows = df.select("features", "label_idx", "weight").persist(StorageLevel.MEMORY_AND_DISK)
+        packed, width = linear.blocks(df)
         try:
-            seen = {int(r[0]): r[1] for r in rows.groupBy("label_idx").count().collect()}  # one row per class
-            n, classes = sum(seen.values()), self.classes or max(seen) + 1
-            svm = LinearSVC(
-                maxIter=self.max_iter, regParam=1.0 / (self.c * max(n, 1)), standardization=False,
-                featuresCol="features", labelCol="__is", weightCol="weight",
-            )
-
-            def line(i: int) -> np.ndarray:
-                if i not in seen or len(seen) == 1:  # nothing to tell apart: the margin is constant
-                    width = len(rows.first()["features"])
-                    return np.append(np.zeros(width), 1.0 if i in seen else -1.0)
-                fitted = svm.fit(rows.withColumn("__is", (F.col("label_idx") == i).cast("double")))
-                return np.append(fitted.coefficients.toArray(), fitted.intercept)
-
-            wanted = list(range(classes)) if classes > 2 else [classes - 1]
-            with ThreadPool(min(len(wanted), PARALLEL_FITS)) as pool:
-                lines = pool.map(inheritable_thread_target(df.sparkSession)(line), wanted)
+            classes = self.classes or int(df.agg(F.max("label_idx")).first()[0]) + 1
+            problems = [linear.Problem(i, 0, self.c) for i in _lines_of(classes)]
+            return LinearSvmModel(linear.solve(packed, width, problems, self.max_iter))
         finally:
-            rows.unpersist()
-        return LinearSvmModel(np.array(lines))
+            packed.unpersist()
+
+
+def _lines_of(classes: int) -> list[int]:
+    """Classes that have a line: with two, the line of the second tells both apart."""
+    return list(range(classes)) if classes > 2 else [classes - 1]
+
+
+def _margins(df: DataFrame, lines: np.ndarray):
+    """Margins of all lines, one product per batch; the lines are as many numbers as the model has."""
+    shared = df.sparkSession.sparkContext.broadcast(lines)
+
+    def product(vectors: pd.DataFrame) -> pd.Series:
+        places = [p if k == 0 else np.arange(len(v)) for k, p, v in zip(vectors["type"], vectors["indices"], vectors["values"])]
+        return pd.Series(list(linear.Rows.of(places, list(vectors["values"])).times(shared.value)))
+
+    return F.pandas_udf(product, "array<double>")("features")
 
 
 class LinearSvmModel(Model, Saved):
@@ -85,21 +84,11 @@ class LinearSvmModel(Model, Saved):
         return LinearSvmModel(self.lines)
 
     def margins(self, df: DataFrame, out: str = "margins") -> DataFrame:
-        lines = df.sparkSession.sparkContext.broadcast(self.lines)
-
-        def product(vectors: pd.DataFrame) -> pd.Series:
-            weights, shift = lines.value[:, :-1], lines.value[:, -1]
-            found = []
-            for kind, places, values in zip(vectors["type"], vectors["indices"], vectors["values"]):
-                used = weights[:, places] if kind == 0 else weights
-                found.append(used @ values + shift)
-            return pd.Series(found)
-
-        both = F.pandas_udf(product, "array<double>")("features")
+        found = _margins(df, self.lines)
         if len(self.lines) > 1:
-            return df.withColumn(out, both)
+            return df.withColumn(out, found)
         one = F.element_at(F.col("__one"), 1)
-        return df.withColumn("__one", both).withColumn(out, F.array(-one, one)).drop("__one")
+        return df.withColumn("__one", found).withColumn(out, F.array(-one, one)).drop("__one")
 
     def _transform(self, df: DataFrame) -> DataFrame:
         scored = self.margins(df).withColumn("probability", softmax("margins"))
@@ -123,65 +112,72 @@ class CalibratedSvm(Estimator):
 
     def _fit(self, df: DataFrame) -> "CalibratedSvmModel":
         dealt = k_folds(df, "label_idx", self.folds, self.text, self.row_id)
-        dealt = dealt.select("features", "label_idx", "weight", "fold").persist(StorageLevel.MEMORY_AND_DISK)
-        members = []
+        packed, width = linear.blocks(dealt, fold="fold")
         try:
             # All folds have the classes of the whole table, also those that one of them lacks.
-            classes = max(int(dealt.agg(F.max("label_idx")).first()[0]) + 1, 2)
-            for f in range(1, self.folds + 1):
-                svm = LinearSvm(self.c, self.max_iter, classes).fit(dealt.where(F.col("fold") != f))
-                held = svm.margins(dealt.where(F.col("fold") == f)).select("label_idx", "margins")
-                held = held.persist(StorageLevel.MEMORY_AND_DISK)
-                members.append((svm, _sigmoids(held, classes)))
-                held.unpersist()
+            classes = max(int(df.agg(F.max("label_idx")).first()[0]) + 1, 2)
+            own = _lines_of(classes)
+            problems = [linear.Problem(i, f, self.c) for f in range(1, self.folds + 1) for i in own]
+            lines = linear.solve(packed, width, problems, self.max_iter)
+            held = linear.held_margins(packed, problems, lines, classes).persist(StorageLevel.MEMORY_AND_DISK)
+            curves = _sigmoids(held, classes, self.folds)
+            held.unpersist()
         finally:
-            dealt.unpersist()
-        return CalibratedSvmModel(members)
+            packed.unpersist()
+        parts = lines.reshape(self.folds, len(own), width + 1)
+        return CalibratedSvmModel([(LinearSvmModel(part), curve) for part, curve in zip(parts, curves)])
 
 
-def _sigmoids(held: DataFrame, classes: int, rounds: int = 50) -> list[tuple[float, float]]:
-    """Slope and shift of the probability of each class given its margin.
+def _sigmoids(held: DataFrame, classes: int, folds: int, rounds: int = 50) -> list[list[tuple[float, float]]]:
+    """Slope and shift of the probability of each class given its margin, for every fold.
 
     Newton steps on the log loss with smoothed targets, as Platt scaling has them. One pass per
-    step sums loss, gradient and curvature of all classes; only those sums reach the driver.
+    step sums loss, gradient and curvature of all folds and classes; only those sums reach the driver.
     """
-    counts = held.agg(
-        F.count("*"), *[F.count_if(F.col("label_idx") == i) for i in range(classes)]
-    ).first()
-    total, yes = counts[0], np.array(counts[1:], float)
+
+    def by_fold(*columns) -> np.ndarray:
+        found = held.groupBy("fold").agg(*[c.alias(f"s{n}") for n, c in enumerate(columns)]).collect()  # one row per fold
+        out = np.zeros((folds, len(columns)))
+        for r in found:
+            out[r["fold"] - 1] = r[1:]
+        return out
+
+    counts = by_fold(F.count("*"), *[F.count_if(F.col("label_idx") == i) for i in range(classes)])
+    total, yes = counts[:, :1], counts[:, 1:]
     no = total - yes
     high, low = (yes + 1) / (yes + 2), 1 / (no + 2)
+    place = F.col("fold") - 1
 
     def sums(slope, shift):
         out = []
         for i in range(classes):
+            mine = lambda values: F.get(F.lit(values[:, i].tolist()), place)  # noqa: E731, B023
             m = F.get("margins", F.lit(i))
-            z = m * float(slope[i]) + float(shift[i])
-            t = F.when(F.col("label_idx") == i, float(high[i])).otherwise(float(low[i]))
+            z = m * mine(slope) + mine(shift)
+            t = F.when(F.col("label_idx") == i, mine(high)).otherwise(mine(low))
             p = 1 / (1 + F.exp(-z))
             loss = F.log1p(F.exp(-F.abs(z))) + F.greatest(z, F.lit(0.0)) - t * z
             off, bend = p - t, p * (1 - p)
             out += [loss, off * m, off, bend * m * m, bend * m, bend]
-        row = held.agg(*[F.sum(c).alias(f"s{n}") for n, c in enumerate(out)]).first()
-        return np.array(row, float).reshape(classes, 6)
+        return by_fold(*[F.sum(c) for c in out]).reshape(folds, classes, 6)
 
-    slope, shift = np.zeros(classes), np.log((yes + 1) / (no + 1))
-    best, step = sums(slope, shift), np.ones(classes)
+    slope, shift = np.zeros((folds, classes)), np.log((yes + 1) / (no + 1))
+    best, step = sums(slope, shift), np.ones((folds, classes))
     for _ in range(rounds):
-        _, gm, g, hmm, hm, h = best.T
+        _, gm, g, hmm, hm, h = np.moveaxis(best, -1, 0)
         hmm, h = hmm + 1e-12, h + 1e-12
         scale = hmm * h - hm * hm
         move_a, move_b = (h * gm - hm * g) / scale, (hmm * g - hm * gm) / scale
         tried = sums(slope - step * move_a, shift - step * move_b)
-        good = tried[:, 0] <= best[:, 0] + 1e-12 * total
+        good = tried[..., 0] <= best[..., 0] + 1e-12 * total
         slope = np.where(good, slope - step * move_a, slope)
         shift = np.where(good, shift - step * move_b, shift)
-        gain = np.where(good, best[:, 0] - tried[:, 0], np.inf)
-        best = np.where(good[:, None], tried, best)
+        gain = np.where(good, best[..., 0] - tried[..., 0], np.inf)
+        best = np.where(good[..., None], tried, best)
         step = np.where(good, 1.0, step / 2)
         if np.all((gain < 1e-7 * total) | (step < 1e-6)):
             break
-    return list(zip(slope.tolist(), shift.tolist()))
+    return [list(zip(a.tolist(), b.tolist())) for a, b in zip(slope, shift)]
 
 
 class CalibratedSvmModel(Model, Saved):
@@ -203,27 +199,26 @@ class CalibratedSvmModel(Model, Saved):
         return CalibratedSvmModel(self.members)
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        out, parts = df, []
-        for n, (svm, curves) in enumerate(self.members):
-            out = svm.margins(out, f"__m{n}")
-            slopes = F.array(*[F.lit(a) for a, _ in curves])
-            shifts = F.array(*[F.lit(b) for _, b in curves])
-            raw = F.transform(
-                F.arrays_zip(F.col(f"__m{n}").alias("m"), slopes.alias("a"), shifts.alias("b")),
-                lambda x: 1 / (1 + F.exp(-(x["a"] * x["m"] + x["b"]))),
-            )
-            out = out.withColumn(f"__p{n}", raw)
-            total = F.aggregate(f"__p{n}", F.lit(0.0), lambda s, p: s + p)
-            parts.append((f"__p{n}", total))
-        size = F.size(parts[0][0])
-        mean = F.transform(
-            F.sequence(F.lit(0), size - 1),
-            lambda i: sum((F.get(F.col(p), i) / t for p, t in parts), F.lit(0.0)) / len(parts),
-        )
-        out = out.withColumn("probability", mean)
+        """Margins of all folds from one product, then sigmoids, scaled to sum 1 per fold, and their mean."""
+        lines = np.concatenate([svm.lines for svm, _ in self.members])
+        classes, folds = len(self.members[0][1]), len(self.members)
+        own = len(lines) // folds
+        out = df.withColumn("__m", _margins(df, lines))
+
+        def probabilities(f: int, curves) -> Column:
+            raw = []
+            for i, (a, b) in enumerate(curves):
+                m = F.get("__m", F.lit(f * own + (i if own == classes else 0)))
+                z = (m if own == classes or i else -m) * float(a) + float(b)
+                raw.append(1 / (1 + F.exp(-z)))
+            return bind(F.array(*raw), lambda p: bind(array_sum(p), lambda total: F.transform(p, lambda x: x / total)))
+
+        parts = [f"__p{f}" for f in range(folds)]
+        out = out.withColumns({p: probabilities(f, c) for f, (p, (_, c)) in enumerate(zip(parts, self.members))})
+        mean = [sum((F.get(p, F.lit(i)) for p in parts), F.lit(0.0)) / folds for i in range(classes)]
+        out = out.withColumn("probability", F.array(*mean))
         best = F.array_position("probability", F.array_max("probability")) - 1
-        helpers = [f"__{x}{n}" for n in range(len(self.members)) for x in "mp"]
-        return out.withColumn("prediction", best.cast("double")).drop(*helpers)
+        return out.withColumn("prediction", best.cast("double")).drop("__m", *parts)
 
 
 class OneAgainstRest(Estimator):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from talkmill.functions import fixed, redact, text
-from talkmill.functions.columns import unicode_re
+from talkmill.functions.columns import strip, unicode_re
 from talkmill.operators import labels, metrics, split
 from talkmill.plans import features, prepare
 from talkmill.plans.registry import query, round6, table, texts
@@ -480,10 +480,16 @@ def ready_counts(spark, sf_dir):
     f"""
     WITH {CALLS_SQL}, n AS (SELECT row_id, assigned_group FROM calls WHERE lower(trim(call_purpose)) <> 'spam')
     SELECT row_id, assigned_group FROM n
-    WHERE assigned_group IN (SELECT assigned_group FROM n GROUP BY 1 HAVING count(*) >= 35)"""
+    WHERE assigned_group IN (
+        SELECT assigned_group FROM n GROUP BY 1
+        HAVING count(*) >= (SELECT ceil(count(*) / count(DISTINCT assigned_group)) FROM n))"""
 )
 def rare_class_filter(spark, sf_dir):
-    rows = labels.dataset_variant(calls(spark, sf_dir), "multiclass", "assigned_group", min_samples=35)
+    """Classes of at least the mean size, so some are left whatever the data."""
+    rows = calls(spark, sf_dir)
+    kept = rows.where(F.lower(strip("call_purpose")) != "spam")
+    mean = kept.agg(F.ceil(F.count("*") / F.count_distinct("assigned_group"))).first()[0]
+    rows = labels.dataset_variant(rows, "multiclass", "assigned_group", min_samples=mean or 1)
     return rows.select("row_id", "assigned_group")
 
 

@@ -7,7 +7,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from talkmill.operators import metrics, split
-from talkmill.plans import features, models, train
+from talkmill.plans import features, linear, models, train
 from talkmill.plans.models import Spec
 
 WORDS = {
@@ -111,8 +111,9 @@ def test_platt(spark):
     m = rng.normal(size=400) * 2
     y = rng.random(400) < 1 / (1 + np.exp(-(1.3 * m - 0.4)))
     df = spark.createDataFrame([(float(a), 1.0 if b else 0.0) for a, b in zip(m, y)], "m double, label_idx double")
-    held = df.select("label_idx", F.array(-F.col("m"), F.col("m")).alias("margins")).cache()
-    (_, _), (a, b) = models._sigmoids(held, 2)
+    held = df.select(F.lit(1).alias("fold"), "label_idx", F.array(-F.col("m"), F.col("m")).alias("margins"))
+    held = held.unionAll(held.limit(30).withColumn("fold", F.lit(2))).cache()
+    (_, (a, b)), _ = models._sigmoids(held, 2, 2)
     n1, n0 = y.sum(), (~y).sum()
     t = np.where(y, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
 
@@ -123,6 +124,33 @@ def test_platt(spark):
     assert all(loss(a, b) <= loss(a + da, b + db) for da in (-.01, 0, .01) for db in (-.01, 0, .01))
 
 
+def test_joint_solver(spark):
+    """Every fold, class and strength ends where its own gradient, taken by hand, vanishes."""
+    rng = np.random.default_rng(5)
+    x = np.where(rng.random((90, 12)) < 0.4, rng.normal(size=(90, 12)), 0.0)
+    y, w, fold = rng.integers(0, 3, 90), rng.random(90) + 0.5, rng.integers(1, 4, 90)
+    rows = [(v.tolist(), float(a), float(b), int(f)) for v, a, b, f in zip(x, y, w, fold)]
+    df = spark.createDataFrame(rows, "v array<double>, label_idx double, weight double, fold int").repartition(3)
+    from pyspark.ml.functions import array_to_vector
+
+    packed, width = linear.blocks(df.withColumn("features", array_to_vector("v")), fold="fold")
+    problems = [linear.Problem(i, f, c) for f in (0, 1, 3) for i in range(3) for c in (0.1, 2.0)]
+    lines = linear.solve(packed, width, problems, 400, 1e-9)
+    assert width == 12
+    wide = np.hstack([x, np.ones((90, 1))])
+    for p, line in zip(problems, lines):
+        use = (fold != p.fold) | (p.fold == 0)
+        sign = np.where(y == p.label, 1.0, -1.0)
+        gap = np.maximum(0, 1 - sign * (wide @ line))
+        slope = line - 2 * p.c * ((w * gap * sign * use) @ wide)
+        assert np.abs(slope).max() < 1e-6 * (1 + np.abs(2 * p.c * ((w * sign * use) @ wide)).max())
+    own = [p for p in problems if p.c == 2.0 and p.fold]
+    held = linear.held_margins(packed, own, lines[[problems.index(p) for p in own]], 3).collect()
+    by_fold = {f: wide @ lines[[problems.index(linear.Problem(i, f, 2.0)) for i in range(3)]].T for f in (1, 3)}
+    want = sorted(tuple(np.round(by_fold[f][k] if f in by_fold else np.zeros(3), 6)) for k, f in enumerate(fold))
+    assert np.allclose(sorted(tuple(np.round(r.margins, 6)) for r in held), want, atol=2e-6)
+
+
 def test_catalogues():
     assert len(models.BASELINES) == 13 and len(models.LEGACY) == 4
     assert len(models.non_calibrated()) == 11
