@@ -1,14 +1,27 @@
-"""Exact nearest neighbours by cosine similarity, and the vote among them."""
+"""Exact nearest neighbours by cosine similarity, and the vote among them.
+
+Training rows are dealt by id range and written once, in blocks, each an inverted index: for every term the rows that hold it, and the
+largest and smallest weight in the block. Tasks over the query rows stream the blocks past a fixed block of queries. The weights bound
+every similarity from above, so a block is opened only for queries whose bound reaches the ``k``-th best found so far, the most
+promising blocks first. Shuffled are the training rows, once; queries stay where they are.
+"""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-BLOCK_ROWS = 2048  # rows per block of either side; a block pair is one matrix product
+from talkmill.sources.shared import new_folder, read_file, write_file
+
+BLOCK_ROWS = 4096  # training rows of a block, fewer where they hold more than BLOCK_CELLS numbers
+BLOCK_CELLS = 1 << 20
+QUERY_ROWS = 1024  # query rows that a task holds at once
+EXPANDED = 1 << 21  # products of a query number and a posting that are formed at once
 DIGITS = 9  # similarities are compared to this many decimals, ties go to the smaller id
 
 
@@ -28,73 +41,210 @@ def unit(vec: str = "vec"):
     return F.struct(F.col(f"{vec}.indices").alias("indices"), scaled.alias("values")).alias(vec)
 
 
-def _matrix(vectors: pd.Series, place: dict[int, int]) -> np.ndarray:
-    out = np.zeros((len(vectors), max(len(place), 1)))
-    for row, v in enumerate(vectors):
-        kept = [(place[i], x) for i, x in zip(v["indices"], v["values"]) if i in place]
-        if kept:
-            at, values = zip(*kept)
-            out[row, list(at)] = values
+@dataclass
+class Sparse:
+    """Rows of a block: their numbers, and where the numbers of each row begin."""
+
+    first: np.ndarray
+    place: np.ndarray
+    value: np.ndarray
+
+    @classmethod
+    def of(cls, column) -> "Sparse":
+        column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+        lists, values = column.field("indices"), column.field("values")
+        size = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        flat = [x.flatten().to_numpy(zero_copy_only=False) for x in (lists, values)]
+        return cls(np.append(0, np.cumsum(size, dtype=np.int64)), flat[0].astype(np.int64), flat[1].astype(float))
+
+    @property
+    def rows(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
+
+    def take(self, at: np.ndarray) -> "Sparse":
+        size = np.diff(self.first)[at]
+        ends = np.cumsum(size)
+        cells = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.first[:-1][at] - (ends - size), size)
+        return Sparse(np.append(0, ends), self.place[cells], self.value[cells])
+
+
+def _spans(first: np.ndarray, rows: int, cells: int):
+    """Ranges of at most ``rows`` rows and about ``cells`` numbers, at least one row each."""
+    begin, n = 0, len(first) - 1
+    while begin < n:
+        end = min(begin + rows, int(np.searchsorted(first, first[begin] + cells, "right")) - 1, n)
+        end = max(end, begin + 1)
+        yield begin, end
+        begin = end
+
+
+def _index(rows: Sparse) -> tuple[pa.Table, pa.Table]:
+    """Postings of a block in the order of terms, and the extreme weights of each term."""
+    order = np.argsort(rows.place, kind="stable")
+    place, value, row = rows.place[order], rows.value[order], rows.rows[order]
+    terms, starts = np.unique(place, return_index=True)
+    most = np.maximum.reduceat(value, starts) if len(starts) else value
+    least = np.minimum.reduceat(value, starts) if len(starts) else value
+    tops = pa.table({"term": terms, "start": starts, "most": np.maximum(most, 0), "least": np.minimum(least, 0)})
+    return tops, pa.table({"row": row.astype(np.int32), "value": value})
+
+
+def write_blocks(train: DataFrame, block_rows: int = BLOCK_ROWS) -> list[tuple[int, str]]:
+    """Write ``(id, label, vec)`` in blocks by id; returns rows before each block and its name, one entry per block."""
+    folder = new_folder(train.sparkSession, "neighbours")
+    kept = train.select(F.col("id").alias("near_id"), "label", unit().alias("vec"))
+    dealt = kept.repartitionByRange("near_id").sortWithinPartitions("near_id")
+
+    def write(batches):
+        held, part = [], _task()
+        cells = count = number = 0
+
+        def block(batch):
+            rows = Sparse.of(batch.column("vec"))
+            name = f"{folder}/{part:06d}-{number:06d}"
+            tops, postings = _index(rows)
+            write_file(f"{name}-tops", tops)
+            write_file(f"{name}-postings", postings)
+            write_file(f"{name}-rows", batch.select(["near_id", "label"]))
+            return pa.record_batch([[part], [number], [batch.num_rows], [name]], names=["part", "number", "n", "name"])
+
+        for batch in batches:
+            size = Sparse.of(batch.column("vec")).first
+            for a, b in _spans(size, block_rows, BLOCK_CELLS):
+                if held and (count + b - a > block_rows or cells + size[b] - size[a] > BLOCK_CELLS):
+                    yield block(pa.Table.from_batches(held))
+                    held, cells, count, number = [], 0, 0, number + 1
+                held.append(batch.slice(a, b - a))
+                cells, count = cells + size[b] - size[a], count + b - a
+        if held:
+            yield block(pa.Table.from_batches(held))
+
+    found = dealt.mapInArrow(write, "part long, number long, n long, name string").orderBy("part", "number").collect()
+    before, out = 0, []
+    for r in found:
+        out.append((before, r["name"]))
+        before += r["n"]
     return out
 
 
-def nearest(
-    query: DataFrame, train: DataFrame, k: int = 5, block_rows: int = BLOCK_ROWS, skip_self: bool = False
-) -> DataFrame:
+def _task() -> int:
+    from pyspark import TaskContext
+
+    return TaskContext.get().partitionId()
+
+
+class _Best:
+    """The best ``k`` rows so far of every query: similarity, place in the order of ids, id and label."""
+
+    def __init__(self, n: int, k: int):
+        self.k = k
+        self.sims = np.full((n, k), -np.inf)
+        self.places = np.full((n, k), np.iinfo(np.int64).max)
+        self.ids, self.labels = np.empty((n, k), object), np.empty((n, k), object)
+
+    def open(self, bounds: np.ndarray, before: int) -> np.ndarray:
+        """Queries for which a block of this bound, that begins at this place, may hold a better row."""
+        return np.flatnonzero((bounds > self.sims[:, -1]) | ((bounds == self.sims[:, -1]) & (before < self.places[:, -1])))
+
+    def meet(self, at: np.ndarray, sims: np.ndarray, before: int, rows: pa.Table) -> None:
+        """Take the rows of a block into account for the queries ``at``."""
+        n = min(self.k, sims.shape[1])
+        # Rows at least as good as the n-th best, the first of them in the order of ids.
+        top = np.argsort(-sims, axis=1, kind="stable")[:, :n]
+        found = np.take_along_axis(sims, top, 1)
+        ids, labels = (np.array(rows.column(c).to_pylist() + [None], object)[:-1] for c in ("near_id", "label"))
+        sims = np.hstack([self.sims[at], found])
+        places = np.hstack([self.places[at], np.where(np.isfinite(found), top + before, np.iinfo(np.int64).max)])
+        order = np.lexsort((places, -sims))[:, : self.k]
+        self.sims[at] = np.take_along_axis(sims, order, 1)
+        self.places[at] = np.take_along_axis(places, order, 1)
+        for mine, new in ((self.ids, ids), (self.labels, labels)):
+            mine[at] = np.take_along_axis(np.hstack([mine[at], new[top]]), order, 1)
+
+
+def _bounds(queries: Sparse, tops: pa.Table) -> np.ndarray:
+    """No similarity of a query with a row of the block is above this."""
+    terms, most, least = (tops.column(c).to_numpy() for c in ("term", "most", "least"))
+    if not len(terms):
+        return np.zeros(len(queries.first) - 1)
+    at = np.minimum(np.searchsorted(terms, queries.place), len(terms) - 1)
+    share = np.maximum(queries.value * most[at], queries.value * least[at]) * (terms[at] == queries.place)
+    # A little above what rounding may add.
+    return np.round(np.bincount(queries.rows, share, len(queries.first) - 1) + 1e-12, DIGITS)
+
+
+def _similarities(queries: Sparse, tops: pa.Table, postings: pa.Table, rows: int) -> np.ndarray:
+    """Products of all queries with all rows of the block, through the postings of the queries' terms."""
+    out = np.zeros((len(queries.first) - 1, rows))
+    terms, starts = (tops.column(c).to_numpy() for c in ("term", "start"))
+    if not len(terms) or not len(queries.place):
+        return out
+    row, value = postings.column("row").to_numpy(), postings.column("value").to_numpy()
+    at = np.minimum(np.searchsorted(terms, queries.place), len(terms) - 1)
+    size = np.where(terms[at] == queries.place, np.diff(np.append(starts, len(row)))[at], 0)
+    own = queries.rows
+    ends = np.cumsum(size)
+    begin = 0
+    while begin < len(size):
+        done = ends[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(ends, done + EXPANDED, "right")))
+        n = size[begin:end]
+        cells = np.arange(n.sum()) + np.repeat(starts[at[begin:end]] - (np.cumsum(n) - n), n)
+        spot = np.repeat(own[begin:end], n)
+        low, high = own[begin], own[end - 1] + 1
+        key = (spot - low) * rows + row[cells]
+        product = np.bincount(key, np.repeat(queries.value[begin:end], n) * value[cells], (high - low) * rows)
+        out[low:high] += product.reshape(high - low, rows)
+        begin = end
+    return out
+
+
+def nearest(query: DataFrame, train: DataFrame, k: int = 5, block_rows: int = BLOCK_ROWS, skip_self: bool = False) -> DataFrame:
     """The ``k`` nearest training rows of each query row, exactly.
 
-    ``query`` has ``(id, vec)``, ``train`` has ``(id, label, vec)``. Both sides are dealt by id
-    hash into blocks of bounded size. Each pair of blocks is one matrix product in one task, and
-    gives ``k`` rows per query row; the best ``k`` of those are kept. Copies of one training
-    vector are first cut to ``k + 1`` rows, more of them can never be among the nearest.
+    ``query`` has ``(id, vec)``, ``train`` has ``(id, label, vec)``. Returns ``(id, near_id, label, similarity, rank)``. A zero vector
+    is as near to all rows as to none: its neighbours are the smallest ids.
     """
-    kept = train.select(F.col("id").alias("near_id"), "label", unit().alias("near_vec"))
-    same = W.partitionBy("near_vec").orderBy("near_id")
-    kept = kept.withColumn("__rn", F.row_number().over(same)).where(F.col("__rn") <= k + 1).drop("__rn")
-    rows = query.select("id", unit())
-
-    q_blocks = max(1, -(-rows.count() // block_rows))
-    t_blocks = max(1, -(-train.count() // block_rows))
+    blocks = write_blocks(train, block_rows)
+    types = dict(train.dtypes)
+    schema = f"id {dict(query.dtypes)['id']}, near_id {types['id']}, label {types['label']}, similarity double, rank int"
+    fields = pa.schema([("similarity", pa.float64()), ("rank", pa.int32())])
 
-    def block(c, n):
-        return F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    def search(batches):
+        for batch in batches:
+            for begin in range(0, batch.num_rows, QUERY_ROWS):
+                part = batch.slice(begin, QUERY_ROWS)
+                queries, best = Sparse.of(part.column("vec")), _Best(part.num_rows, k)
+                bounds = [_bounds(queries, read_file(f"{name}-tops")) for _, name in blocks]
+                for b in sorted(range(len(blocks)), key=lambda b: -bounds[b].sum()):
+                    before, name = blocks[b]
+                    at = best.open(bounds[b], before)
+                    if not len(at):
+                        continue
+                    rows = read_file(f"{name}-rows")
+                    found = _similarities(queries.take(at), read_file(f"{name}-tops"), read_file(f"{name}-postings"), rows.num_rows)
+                    sims = np.round(found, DIGITS) + 0.0
+                    if skip_self:
+                        spot = pc.index_in(rows.column("near_id").combine_chunks(), part.column("id").take(pa.array(at)))
+                        same = np.flatnonzero(spot.is_valid().to_numpy(zero_copy_only=False))
+                        sims[spot.to_numpy(zero_copy_only=False)[same].astype(int), same] = -np.inf
+                    best.meet(at, sims, before, rows)
+                line, rank = np.nonzero(np.isfinite(best.sims))
+                kinds = [f.type for f in rows.schema] if blocks and len(line) else [pa.null(), pa.null()]
+                yield pa.record_batch(
+                    [
+                        part.column("id").take(pa.array(line)),
+                        pa.array(best.ids[line, rank].tolist(), kinds[0]),
+                        pa.array(best.labels[line, rank].tolist(), kinds[1]),
+                        pa.array(best.sims[line, rank], fields.field(0).type),
+                        pa.array(rank + 1, fields.field(1).type),
+                    ],
+                    names=["id", "near_id", "label", "similarity", "rank"],
+                )
 
-    # Each side is repeated for the blocks of the other one.
-    left = rows.withColumn("qb", block("id", q_blocks)).withColumn(
-        "tb", F.explode(F.sequence(F.lit(0), F.lit(t_blocks - 1)))
-    )
-    right = kept.withColumn("tb", block("near_id", t_blocks)).withColumn(
-        "qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1)))
-    )
-    id_type = dict(query.dtypes)["id"]
-    near_type, label_type = dict(train.dtypes)["id"], dict(train.dtypes)["label"]
-    schema = f"id {id_type}, near_id {near_type}, label {label_type}, similarity double"
-
-    def product(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or t.empty:
-            return pd.DataFrame({"id": [], "near_id": [], "label": [], "similarity": []})
-        t = t.sort_values("near_id", kind="stable").reset_index(drop=True)
-        seen = sorted({i for v in t["near_vec"] for i in v["indices"]})
-        place = {i: n for n, i in enumerate(seen)}
-        sims = np.round(_matrix(q["vec"], place) @ _matrix(t["near_vec"], place).T, DIGITS)
-        if skip_self:
-            sims[q["id"].to_numpy()[:, None] == t["near_id"].to_numpy()[None, :]] = -np.inf
-        top = np.argsort(-sims, axis=1, kind="stable")[:, : min(k, sims.shape[1])]
-        at = np.repeat(np.arange(len(q)), top.shape[1])
-        flat = top.ravel()
-        found = pd.DataFrame(
-            {
-                "id": q["id"].to_numpy()[at],
-                "near_id": t["near_id"].to_numpy()[flat],
-                "label": t["label"].to_numpy()[flat],
-                "similarity": sims[at, flat],
-            }
-        )
-        return found[np.isfinite(found["similarity"])]
-
-    pairs = left.groupBy("qb", "tb").cogroup(right.groupBy("qb", "tb")).applyInPandas(product, schema)
-    best = W.partitionBy("id").orderBy(F.desc("similarity"), "near_id")
-    return pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    if not blocks:
+        return query.sparkSession.createDataFrame([], schema)
+    return query.select("id", unit()).mapInArrow(search, schema)
 
 
 def vote_of_neighbours(near: DataFrame) -> DataFrame:

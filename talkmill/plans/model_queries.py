@@ -129,7 +129,29 @@ def word_vectors(spark, sf_dir):
     return out.select("row_id", F.size(vector_to_array("v")).alias("width"))
 
 
-@query()
+#: Unit vectors of TF-IDF over the 15,000 most frequent words and pairs of words of the training rows.
+_VECTORS_SQL = r"""
+words AS (SELECT row_id, held, regexp_extract_all(text, '[\p{L}\p{N}_]{2,}') AS w FROM parts),
+grams AS (SELECT row_id, held, unnest(w) AS term FROM words UNION ALL
+          SELECT row_id, held, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM words),
+tf AS (SELECT row_id, held, term, count(*) AS tf FROM grams GROUP BY ALL),
+known AS (SELECT term, count(*) AS df FROM tf WHERE NOT held GROUP BY term ORDER BY sum(tf) DESC, term LIMIT 15000),
+raw AS (SELECT row_id, held, term, (1 + ln(tf)) * (ln((1 + (SELECT count(*) FROM parts WHERE NOT held)) / (1 + df)) + 1) AS w
+        FROM tf JOIN known USING (term)),
+vectors AS (SELECT row_id, held, term, w / sqrt(sum(w * w) OVER (PARTITION BY row_id)) AS w FROM raw)"""
+
+
+@query(
+    f"""
+    WITH {_SPLIT_SQL}, {_VECTORS_SQL},
+    sims AS (SELECT q.row_id AS row_id, t.row_id AS near, sum(q.w * t.w) AS s
+             FROM vectors q JOIN vectors t USING (term) WHERE q.held AND NOT t.held GROUP BY ALL),
+    placed AS (SELECT q.row_id, t.label, row_number() OVER (PARTITION BY q.row_id ORDER BY round(coalesce(s, 0), 9) DESC, t.row_id) AS rank
+               FROM parts q JOIN parts t ON q.held AND NOT t.held LEFT JOIN sims ON sims.row_id = q.row_id AND near = t.row_id),
+    votes AS (SELECT row_id, label, count(*) AS n FROM placed WHERE rank <= 5 GROUP BY ALL)
+    SELECT row_id, first(label ORDER BY n DESC, label) AS y_pred, round(max(n) / sum(n), 6)::DOUBLE AS confidence
+    FROM votes GROUP BY row_id"""
+)
 def knn_text(spark, sf_dir):
     """Label of held-out texts by their nearest training texts."""
     fit, test = _parts(spark, sf_dir)

@@ -3,6 +3,7 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -664,3 +665,47 @@ def test_long_pairs(spark, seed, monkeypatch):
     assert [r.c for r in got] == [edits(a, b) for a, b in pairs]
     words = [[x.split(" ") if x else [] for x in p] for p in pairs]
     assert [r.w for r in got] == [edits(a, b) for a, b in words]
+
+
+def test_neighbours_of_odd_rows(spark):
+    """Copies, empty vectors, negative numbers, text ids, and a term that all rows hold; blocks of every size."""
+    rng = np.random.default_rng(8)
+    x = np.where(rng.random((70, 30)) < 0.2, rng.normal(size=(70, 30)), 0.0)
+    x[:, 0] = 1.0
+    x[10:30] = x[10]
+    x[40:44] = 0.0
+    ids = [f"r{i:02d}" for i in range(70)]
+
+    def vectors(rows):
+        data = [(ids[i], i % 2, ([int(p) for p in np.flatnonzero(x[i])], [float(v) for v in x[i][x[i] != 0]])) for i in rows]
+        return spark.createDataFrame(data, "id string, label int, vec struct<indices: array<int>, values: array<double>>")
+
+    norm = np.linalg.norm(x, axis=1, keepdims=True)
+    unit = x / np.where(norm > 0, norm, 1)
+    sims = np.round(unit @ unit.T, 9)
+    for blocks in (1, 7, 4096):
+        for own in (False, True):
+            got = {}
+            for r in neighbours.nearest(vectors(range(70)), vectors(range(70)), 3, blocks, skip_self=own).collect():
+                got.setdefault(r.id, []).append((r["rank"], r.near_id, r.label, r.similarity))
+            for i in range(70):
+                order = sorted((j for j in range(70) if not own or j != i), key=lambda j: (-sims[i, j], j))[:3]
+                want = [(k + 1, ids[j], j % 2, pytest.approx(sims[i, j], abs=1e-9)) for k, j in enumerate(order)]
+                assert sorted(got[ids[i]]) == want
+    assert neighbours.nearest(vectors([]), vectors(range(5)), 3).count() == 0
+    assert neighbours.nearest(vectors(range(5)), vectors([]), 3).count() == 0
+
+
+def test_neighbours_open_few_blocks():
+    """A block whose bound is below the k-th best stays closed, one that can tie only if its ids come first."""
+    best = neighbours._Best(3, 2)
+    rows = pa.table({"near_id": [1, 2, 3], "label": ["a", "b", "c"]})
+    best.meet(np.array([0, 1]), np.array([[0.9, 0.8, 0.1], [0.5, 0.5, 0.5]]), 100, rows)
+    assert best.open(np.array([0.7, 0.5, 0.0]), 200).tolist() == [2]
+    assert best.open(np.array([0.8, 0.5, 0.0]), 50).tolist() == [0, 1, 2]
+    assert best.open(np.array([0.81, 0.4, 0.0]), 200).tolist() == [0, 2]
+    queries = neighbours.Sparse(np.array([0, 2]), np.array([3, 5]), np.array([2.0, -1.0]))
+    block = neighbours.Sparse(np.array([0, 1, 3]), np.array([3, 3, 5]), np.array([0.5, -2.0, -0.5]))
+    tops, postings = neighbours._index(block)
+    assert neighbours._bounds(queries, tops).tolist() == [1.5]
+    assert neighbours._similarities(queries, tops, postings, 2).tolist() == [[1.0, -3.5]]

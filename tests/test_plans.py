@@ -95,3 +95,9 @@ def test_hot_score_and_hot_file(spark):
     hot = errors.where("file_id = 'hot'").first()
     assert hot.total == pytest.approx(9000) and hot.confusion == pytest.approx(0, abs=1e-6)
     assert time.time() - begin < 120
+
+
+def test_neighbours_shuffle_rows_once(spark):
+    """Training rows are dealt once by id; neither side is repeated for the blocks of the other."""
+    text = plan(entry.queries()["knn_cosine"](spark, SF))
+    assert "Generate" not in text and "Exchange" not in text and "MapInArrow" in text
