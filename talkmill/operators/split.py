@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from talkmill.functions.columns import ColumnLike, col
+from talkmill.functions.columns import ColumnLike, bind, col
 from talkmill.functions.text import snippet
 from talkmill.session import checked_broadcast
 
@@ -189,6 +189,45 @@ def _poisson(u: Column, rate: float) -> Column:
     return out
 
 
+def bag_draw(row_id: str, bag: Column, fraction: float, seed: int) -> tuple[Column, Column]:
+    """Key and Poisson weight of a row in a bag."""
+    key = F.sha1(F.concat_ws("\x1f", F.col(row_id).cast("string"), bag.cast("string"), F.lit(str(seed))))
+    u = F.conv(F.substring(key, 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+    return key, bind(u, lambda x: _poisson(x, fraction)).cast("int")
+
+
+def bag_weights(
+    df: DataFrame, label: str, draws: list[tuple[int, int, int]], row_id: str = "row_id", fraction: float = 1.0, fold: str | None = None
+) -> DataFrame:
+    """Add ``weights``, the weight of a row in each draw as an array: ``bootstrap`` for many bags without repeating rows.
+
+    A draw is ``(bag, seed, left-out fold)``, fold 0 leaving out none. Rows of the fold have weight 0. A class that a draw would miss
+    gets its first row in hash order with weight 1.
+    """
+
+    def drawn(bag: int, seed: int, out: int) -> Column:
+        key, weight = bag_draw(row_id, F.lit(bag), fraction, seed)
+        use = F.col(fold) != out if fold and out else F.lit(True)
+        return F.when(use, F.struct(weight.alias("w"), key.alias("k")))
+
+    marked = df.withColumn("__d", F.array(*[drawn(*d) for d in draws]))
+    cells = marked.select(label, F.col(row_id).alias("__id"), F.posexplode("__d").alias("__j", "__x")).where("__x IS NOT NULL")
+    forced = (
+        cells.groupBy(label, "__j")
+        .agg(F.max("__x.w").alias("__w"), F.min(F.struct("__x.k", "__id")).alias("__first"))
+        .where("__w = 0")
+    )
+    # One row per class and draw at most.
+    forced = forced.groupBy(label).agg(F.map_from_entries(F.collect_list(F.struct("__j", "__first"))).alias("__forced"))
+    joined = marked.join(checked_broadcast(forced), label, "left")
+
+    def weight(x: Column, j: Column) -> Column:
+        own = F.struct(x["k"], F.col(row_id)) == F.try_element_at("__forced", j)
+        return F.when(own, 1).otherwise(F.coalesce(x["w"], F.lit(0)))
+
+    return joined.withColumn("weights", F.transform("__d", weight)).drop("__d", "__forced")
+
+
 def bootstrap(
     df: DataFrame,
     label: str,
@@ -204,9 +243,8 @@ def bootstrap(
     if fraction <= 0:
         raise ValueError("fraction must be positive")
     bagged = df.withColumn("bag", F.explode(F.sequence(F.lit(1), F.lit(bags))))
-    key = F.sha1(F.concat_ws("\x1f", F.col(row_id).cast("string"), F.col("bag").cast("string"), F.lit(str(seed))))
-    u = F.conv(F.substring("__key", 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
-    drawn = bagged.withColumn("__key", key).withColumn("weight", _poisson(u, fraction).cast("int"))
+    key, weight = bag_draw(row_id, F.col("bag"), fraction, seed)
+    drawn = bagged.withColumn("__key", key).withColumn("weight", weight)
     forced = (
         drawn.groupBy("bag", label)
         .agg(F.max("weight").alias("__w"), F.min(F.struct("__key", row_id)).alias("__first"))

@@ -7,6 +7,8 @@ trees, votes, stacking, bags, the grid search and the length sweep have smaller
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from talkmill.operators import split
@@ -14,6 +16,7 @@ from talkmill.operators.metrics import summary
 from talkmill.plans import models, train
 from talkmill.plans.models import BASELINES, LEGACY, Spec
 from talkmill.plans.registry import query, round6, texts
+from talkmill.plans.score_queries import report_sql
 from talkmill.session import checkpointed
 
 SMALL = {"high": 1, "max_features": 400, "min_df": 2}
@@ -195,18 +198,80 @@ def stacked_perceptron(spark, sf_dir):
     return round6(summary(predicted.join(test.select("row_id", F.col("label").alias("y_true")), "row_id")))
 
 
-@query()
+_POISSON = " ".join(
+    f"WHEN u < {sum(math.exp(-1) / math.factorial(j) for j in range(k + 1))!r}::DOUBLE THEN {k}" for k in range(16)
+)
+
+
+def _members_sql(seed: str, left_out: str) -> str:
+    """Naive Bayes of the bags ``members(f, bag)``: weights of rows, and scores of every class for every row and member."""
+    return f"""
+drawn AS (SELECT r.row_id, r.label, r.fold, m.f, m.bag, sha1(concat_ws(chr(31), r.row_id::VARCHAR, m.bag::VARCHAR, ({seed})::VARCHAR)) AS k
+          FROM rows r JOIN members m ON {left_out}),
+poisson AS (SELECT *, CASE {_POISSON} ELSE 16 END AS w0 FROM (SELECT *, ('0x' || substr(k, 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM drawn)),
+forced AS (SELECT *, max(w0) OVER (PARTITION BY f, bag, label) AS top,
+                  row_number() OVER (PARTITION BY f, bag, label ORDER BY k, row_id) AS rn FROM poisson),
+weights AS (SELECT f, bag, row_id, label, CASE WHEN top = 0 AND rn = 1 THEN 1 ELSE w0 END AS w FROM forced),
+counts AS (SELECT f, bag, label, term, sum(tf * w) AS c FROM weights JOIN terms USING (row_id) WHERE w > 0 GROUP BY ALL),
+vocab AS (SELECT f, bag, term FROM counts GROUP BY f, bag, term
+          QUALIFY row_number() OVER (PARTITION BY f, bag ORDER BY sum(c) DESC, term) <= 15000),
+kept AS (SELECT * FROM counts JOIN vocab USING (f, bag, term)),
+sizes AS (SELECT f, bag, label, sum(w) AS n FROM weights GROUP BY ALL HAVING sum(w) > 0),
+totals AS (SELECT s.f, s.bag, s.label, ln(s.n + 0.1) - ln(sum(s.n) OVER (PARTITION BY s.f, s.bag) + 0.1 * count(*) OVER (PARTITION BY s.f, s.bag)) AS prior,
+                  coalesce(t.t, 0) + 0.1 * v.size AS t
+           FROM sizes s JOIN (SELECT f, bag, count(*) AS size FROM vocab GROUP BY ALL) v USING (f, bag)
+           LEFT JOIN (SELECT f, bag, label, sum(c) AS t FROM kept GROUP BY ALL) t USING (f, bag, label))"""
+
+
+_ROWS_SQL = r"""
+rows AS (SELECT row_id, label, text, (row_number() OVER (PARTITION BY label ORDER BY k, row_id) - 1) % 5 + 1 AS fold FROM (
+    SELECT doc_id AS row_id, lang AS label, lower(text) AS text,
+           sha1(concat_ws(chr(31), lang, text, doc_id::VARCHAR, '42')) AS k FROM documents)),
+terms AS (SELECT row_id, term, count(*) AS tf FROM (
+    SELECT row_id, unnest(regexp_extract_all(text, '[\p{L}\p{N}_]{2,}')) AS term FROM rows) GROUP BY ALL)"""
+
+#: Scores of ``wanted(f, bag, row_id)``: known terms of a row, those of them that the class has, and what a term counts without.
+_SCORES_SQL = """
+known AS (SELECT w.f, w.bag, w.row_id, sum(tf) AS all_tf FROM wanted w JOIN terms USING (row_id) JOIN vocab v
+          ON v.f = w.f AND v.bag = w.bag AND v.term = terms.term GROUP BY ALL),
+hits AS (SELECT w.f, w.bag, w.row_id, k.label, sum(tf * (ln(c + 0.1) - ln(0.1::DOUBLE))) AS s FROM wanted w JOIN terms USING (row_id)
+         JOIN kept k ON k.f = w.f AND k.bag = w.bag AND k.term = terms.term GROUP BY ALL),
+scores AS (SELECT w.f, w.bag, w.row_id, t.label, t.prior + coalesce(h.s, 0) + coalesce(n.all_tf, 0) * (ln(0.1::DOUBLE) - ln(t.t)) AS s
+           FROM wanted w JOIN totals t ON t.f = w.f AND t.bag = w.bag
+           LEFT JOIN known n ON n.f = w.f AND n.bag = w.bag AND n.row_id = w.row_id
+           LEFT JOIN hits h ON h.f = w.f AND h.bag = w.bag AND h.row_id = w.row_id AND h.label = t.label)"""
+
+
+@query(
+    f"""
+    WITH {_ROWS_SQL}, members AS (SELECT f, bag FROM range(1, 6) a(f), range(1, 4) b(bag)),
+    {_members_sql("42 + m.f", "r.fold <> m.f")},
+    wanted AS (SELECT m.f, m.bag, r.row_id FROM rows r JOIN members m ON r.fold = m.f), {_SCORES_SQL},
+    shifted AS (SELECT *, exp(s - max(s) OVER (PARTITION BY f, bag, row_id)) AS e FROM scores),
+    shares AS (SELECT *, e / sum(e) OVER (PARTITION BY f, bag, row_id) AS p FROM shifted),
+    means AS (SELECT row_id, label, round(avg(p), 12) AS p FROM shares GROUP BY ALL)
+    SELECT m.row_id, r.fold::INT AS fold, r.label AS y_true, first(m.label ORDER BY p DESC, m.label) AS y_pred,
+           round(max(p), 6) AS confidence, 'soft' AS method
+    FROM means m JOIN rows r USING (row_id) GROUP BY ALL"""
+)
 def bagging(spark, sf_dir):
-    """Bagged members per fold, combined by vote."""
-    one = {"nb": VOTING["nb"]}
-    voted, _ = train.bagging_cv(_labelled(spark, sf_dir), one, k=2, bags=2, methods=("soft", "hard"))
-    return round6(summary(voted, ["method"]))
+    """Soft vote of three bags of naive Bayes for every row, by members that did not see its fold."""
+    voted, _ = train.bagging_cv(_labelled(spark, sf_dir), {"nb": BASELINES["BoW + NaiveBayes"]})
+    return round6(voted.select("row_id", "fold", "y_true", "y_pred", "confidence", "method"))
 
 
-@query()
+@query(
+    f"""
+    WITH {_ROWS_SQL}, members AS (SELECT 0 AS f, bag FROM range(1, 4) b(bag)),
+    {_members_sql("42", "true")},
+    wanted AS (SELECT f, bag, row_id FROM weights WHERE w = 0), {_SCORES_SQL}
+    SELECT 'nb bag' || bag AS model, row_id, r.label AS y_true, first(s.label ORDER BY round(s.s, 9) DESC, s.label) AS y_pred
+    FROM scores s JOIN rows r USING (row_id) GROUP BY ALL"""
+)
 def bagging_out_of_bag(spark, sf_dir):
-    _, scores = train.bagging_final(_labelled(spark, sf_dir), {"nb": VOTING["nb"]}, bags=2)
-    return round6(scores)
+    """Label that each bag's naive Bayes gives its out-of-bag rows."""
+    _, predictions = train.bagging_members(_labelled(spark, sf_dir), {"nb": BASELINES["BoW + NaiveBayes"]})
+    return predictions
 
 
 @query()
@@ -218,11 +283,37 @@ def grid_search(spark, sf_dir):
     return round6(table_)
 
 
-@query()
+@query(
+    rf"""
+    WITH {_SPLIT_SQL}, lengths(n) AS (VALUES (64), (128), (192), (256)),
+    words AS (SELECT row_id, label, held, regexp_extract_all(text, '[^\s\x0b\x1c-\x1f\x85\p{{Z}}]+') AS w FROM parts),
+    cut AS (SELECT row_id, label, held, n, list_concat(w[1:(CASE WHEN len(w) > n THEN n // 2 ELSE len(w) END)],
+                   CASE WHEN len(w) > n THEN w[len(w) - n // 2 + 1:] ELSE [] END) AS w FROM words, lengths),
+    seen AS (SELECT n, row_id, label, held, unnest(regexp_extract_all(array_to_string(w, ' '), '[\p{{L}}\p{{N}}_]{{2,}}')) AS term FROM cut),
+    tfs AS (SELECT n, row_id, label, held, term, count(*) AS tf FROM seen GROUP BY ALL),
+    vocab AS (SELECT n, term FROM tfs WHERE NOT held GROUP BY n, term
+              QUALIFY row_number() OVER (PARTITION BY n ORDER BY sum(tf) DESC, term) <= 15000),
+    counts AS (SELECT n, label, term, sum(tf) AS c FROM tfs JOIN vocab USING (n, term) WHERE NOT held GROUP BY ALL),
+    totals AS (SELECT n, label, sum(c) AS t FROM counts GROUP BY ALL),
+    sizes AS (SELECT n, count(*) AS v FROM vocab GROUP BY n),
+    classes AS (SELECT label, count(*) AS rows FROM parts WHERE NOT held GROUP BY label),
+    base AS (SELECT tfs.n, row_id, sum(tf) AS all_tf FROM tfs JOIN vocab USING (n, term) WHERE held GROUP BY ALL),
+    hits AS (SELECT t.n, t.row_id, c.label, sum(tf * (ln(c + 0.1) - ln(0.1::DOUBLE))) AS s FROM tfs t JOIN counts c USING (n, term) WHERE held GROUP BY ALL),
+    scores AS (SELECT l.n, p.row_id, p.label AS y_true, k.label AS y_pred,
+                      ln(k.rows + 0.1) + coalesce(h.s, 0) + coalesce(b.all_tf, 0) * (ln(0.1::DOUBLE) - ln(t.t + 0.1 * z.v)) AS s
+               FROM parts p CROSS JOIN lengths l CROSS JOIN classes k JOIN totals t ON t.n = l.n AND t.label = k.label JOIN sizes z ON z.n = l.n
+               LEFT JOIN base b ON b.n = l.n AND b.row_id = p.row_id
+               LEFT JOIN hits h ON h.n = l.n AND h.row_id = p.row_id AND h.label = k.label WHERE p.held),
+    preds AS (SELECT n AS max_length, row_id, y_true, first(y_pred ORDER BY s DESC, y_pred) AS y_pred FROM scores GROUP BY ALL),
+    {report_sql('preds', 'max_length')}
+    SELECT 'nb' AS model, max_length::INT AS max_length, n, errors, accuracy, f1_weighted, precision_weighted, recall_weighted, f1_macro
+    FROM quality"""
+)
 def length_sweep(spark, sf_dir):
+    """Scores of naive Bayes on texts cut to the reference lengths."""
     fit, test = _parts(spark, sf_dir)
-    _, best = train.length_sweep(fit, test, {"nb": VOTING["nb"]}, [16, 64], "head_tail")
-    return round6(best.drop("train_sec"))
+    runs, _ = train.length_sweep(fit, test, {"nb": BASELINES["BoW + NaiveBayes"]}, [64, 128, 192, 256], "head_tail")
+    return round6(runs.drop("train_sec"))
 
 
 @query(

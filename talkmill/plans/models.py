@@ -96,6 +96,16 @@ class LinearSvmModel(Model, Saved):
         return scored.withColumn("prediction", best.cast("double"))
 
 
+class LinesModel(LinearSvmModel):
+    """Classes whose scores are lines of the features, one line each, however many classes there are."""
+
+    def copy(self, extra=None):
+        return LinesModel(self.lines)
+
+    def margins(self, df: DataFrame, out: str = "margins") -> DataFrame:
+        return df.withColumn(out, _margins(df, self.lines))
+
+
 class CalibratedSvm(Estimator):
     """Linear SVM whose margins are turned into probabilities by a sigmoid per class and fold.
 

@@ -24,7 +24,8 @@ from talkmill.operators.labels import only_known_labels
 from talkmill.operators.metrics import fold_scores, summary
 from talkmill.operators.neighbours import nearest, vote_of_neighbours
 from talkmill.operators.report import best_per_model
-from talkmill.operators.split import bootstrap, k_folds, out_of_bag
+from talkmill.operators.split import bag_weights, bootstrap, k_folds
+from talkmill.plans import bayes
 from talkmill.plans.features import TermVectors
 from talkmill.plans.models import Spec, build, long_probabilities, score_rows, stacker
 from talkmill.session import distinct_values, checkpointed
@@ -212,11 +213,19 @@ def bagging_cv(
 ) -> tuple[DataFrame, DataFrame]:
     """Bagged members per fold, combined by vote: out-of-fold predictions and member scores."""
     folds = checkpointed(k_folds(df, label, k, text, row_id, seed))
+    closed = {n: s for n, s in catalogue.items() if bayes.closed_form(s, options)}
+    draws = [(bag, seed + f, f) for f in range(1, k + 1) for bag in range(1, bags + 1)]
     parts = []
-    for f in range(1, k + 1):
+    for name, spec in closed.items():
+        weighted = bag_weights(folds, label, draws, row_id, fraction, "fold")
+        fitted = bayes.fit_weighted(weighted, F.col("weights"), len(draws), spec, text, label, **options)
+        for (bag, _, f), model in zip(draws, fitted):
+            parts.append(long_probabilities(model, folds.where(F.col("fold") == f), f"{name} bag{bag}", row_id))
+    rest = {n: s for n, s in catalogue.items() if n not in closed}
+    for f in range(1, k + 1) if rest else ():
         train, held = folds.where(F.col("fold") != f), folds.where(F.col("fold") == f)
         bagged = bootstrap(train.drop("fold"), label, bags, row_id, fraction, seed + f)
-        for (name, spec), bag in itertools.product(catalogue.items(), range(1, bags + 1)):
+        for (name, spec), bag in itertools.product(rest.items(), range(1, bags + 1)):
             model = build(spec, text, label, row_id, **options).fit(_drawn(bagged, bag))
             parts.append(long_probabilities(model, held, f"{name} bag{bag}", row_id))
     probs = checkpointed(_union(parts))
@@ -239,15 +248,42 @@ def bagging_final(
     **options,
 ) -> tuple[dict[str, PipelineModel], DataFrame]:
     """Members fitted on bootstrap samples of all rows, each scored on its out-of-bag rows."""
-    bagged = bootstrap(df, label, bags, row_id, fraction, seed)
+    models, predictions = bagging_members(df, catalogue, bags, fraction, seed, text, label, row_id, **options)
+    return models, summary(predictions, ["model"])
+
+
+def bagging_members(
+    df: DataFrame,
+    catalogue: Mapping[str, Spec],
+    bags: int = 3,
+    fraction: float = 1.0,
+    seed: int = 42,
+    text: str = "text",
+    label: str = "label",
+    row_id: str = "row_id",
+    **options,
+) -> tuple[dict[str, PipelineModel], DataFrame]:
+    """Members as ``bagging_final`` has them, and ``(model, row_id, y_true, y_pred)`` of their out-of-bag rows.
+
+    The bags of a closed-form pipeline are fitted by one aggregation.
+    """
+    draws = [(bag, seed, 0) for bag in range(1, bags + 1)]
+    weighted = checkpointed(bag_weights(df, label, draws, row_id, fraction))
     models, scored = {}, []
-    for (name, spec), bag in itertools.product(catalogue.items(), range(1, bags + 1)):
-        member = f"{name} bag{bag}"
-        models[member] = build(spec, text, label, row_id, **options).fit(_drawn(bagged, bag))
-        outside = out_of_bag(bagged.where(F.col("bag") == bag)).drop("bag", "weight")
-        rows = score_rows(models[member], outside)
-        scored.append(rows.select(F.lit(member).alias("model"), F.col(label).alias("y_true"), "y_pred"))
-    return models, summary(_union(scored), ["model"])
+    for name, spec in catalogue.items():
+        if bayes.closed_form(spec, options):
+            fitted = bayes.fit_weighted(weighted, F.col("weights"), bags, spec, text, label, **options)
+        else:
+            own = [weighted.withColumns({"bag": F.lit(b), "weight": F.get("weights", F.lit(b - 1))}) for b, *_ in draws]
+            pipeline = build(spec, text, label, row_id, **options)
+            fitted = [pipeline.fit(_drawn(rows.drop("weights"), b)) for b, rows in enumerate(own, 1)]
+        for bag, model in enumerate(fitted, 1):
+            member = f"{name} bag{bag}"
+            models[member] = model
+            outside = weighted.where(F.get("weights", F.lit(bag - 1)) == 0).drop("weights")
+            rows = score_rows(model, outside)
+            scored.append(rows.select(F.lit(member).alias("model"), row_id, F.col(label).alias("y_true"), "y_pred"))
+    return models, _union(scored)
 
 
 def grid_search(
@@ -302,17 +338,34 @@ def length_sweep(
     lengths: Sequence[int],
     strategy: str = "head",
     text: str = "text",
+    label: str = "label",
     **options,
 ) -> tuple[DataFrame, DataFrame]:
-    """Train and score on texts cut to several token lengths; all runs, and the best per model."""
+    """Train and score on texts cut to several token lengths; all runs, and the best per model.
+
+    A closed-form pipeline is fitted for all lengths by one aggregation over the words of the whole texts.
+    """
 
     def cut(df, n):
         words = F.regexp_extract_all(F.col(text), F.lit(r"((?U)\S+)"), F.lit(1))
         return df.withColumn(text, F.array_join(truncate_tokens(words, n, strategy), " "))
 
+    closed = {n: s for n, s in catalogue.items() if bayes.closed_form(s, options)}
+    rest = {n: s for n, s in catalogue.items() if n not in closed}
     runs = []
-    for n in lengths:
-        _, _, scores = train_and_score(cut(train, n), cut(test, n), catalogue, text, **options)
+    for name, spec in closed.items():
+        begin = time.perf_counter()
+        fitted = bayes.fit_lengths(train, lengths, strategy, spec, text, label, **options)
+        seconds = round(time.perf_counter() - begin, 1)  # of all lengths
+        known = only_known_labels(test, train, label)
+        parts = []
+        for n, model in zip(lengths, fitted):
+            rows = score_rows(model, cut(known, n))
+            parts.append(rows.select(F.lit(n).alias("max_length"), F.col(label).alias("y_true"), "y_pred"))
+        scores = summary(_union(parts), ["max_length"])
+        runs.append(scores.select(F.lit(name).alias("model"), "*", F.lit(seconds).alias("train_sec")))
+    for n in lengths if rest else ():
+        _, _, scores = train_and_score(cut(train, n), cut(test, n), rest, text, label, **options)
         runs.append(scores.withColumn("max_length", F.lit(n)))
     table = checkpointed(_union(runs))
     return table, best_per_model(table)

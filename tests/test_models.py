@@ -7,7 +7,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from talkmill.operators import metrics, split
-from talkmill.plans import features, linear, models, train
+from talkmill.functions import text
+from talkmill.plans import bayes, features, linear, models, train
 from talkmill.plans.models import Spec
 
 WORDS = {
@@ -295,3 +296,30 @@ def test_stacker_is_saved_with_its_metadata(rows, tmp_path):
     assert a.select("row_id", "y_pred").exceptAll(b.select("row_id", "y_pred")).count() == 0
     with pytest.raises(ValueError):
         train.load_stacker(f"{tmp_path}/stacker", ["other"])
+
+
+def test_bags_and_lengths_in_one_aggregation(rows):
+    """Closed-form members have the terms and scores of pipelines fitted on the drawn and on the cut rows."""
+    spec = Spec("counts", "multinomial_nb", **SMALL)
+    draws = [(1, 42, 0), (2, 42, 0), (1, 43, 2)]
+    folds = split.k_folds(rows, "label", 3).cache()
+    weighted = split.bag_weights(folds, "label", draws, fold="fold").cache()
+    assert weighted.where("fold = 2 and weights[2] > 0").count() == 0
+    fitted = bayes.fit_weighted(weighted, F.col("weights"), 3, spec, "text", "label")
+    plain = split.bootstrap(folds, "label", 2).select("row_id", "bag", "weight").collect()
+    by_row = {r.row_id: r.weights for r in weighted.collect()}
+    assert all(by_row[r.row_id][r.bag - 1] == r.weight for r in plain)
+
+    def held_against(model, drawn, seen):
+        one = models.build(spec).fit(drawn)
+        assert model.stages[1].terms == one.stages[1].terms
+        a, b = (models.score_rows(m, seen).orderBy("row_id").collect() for m in (model, one))
+        assert all(x.y_pred == y.y_pred and np.allclose(x.probas, y.probas) for x, y in zip(a, b))
+
+    for j, model in enumerate(fitted):
+        held_against(model, weighted.withColumn("c", F.explode(F.array_repeat(F.lit(1), F.get("weights", F.lit(j))))).drop("c", "weights"), rows)
+    for strategy in ("head", "head_tail"):
+        for n, model in zip((2, 5), bayes.fit_lengths(rows, (2, 5), strategy, spec, "text", "label")):
+            words = F.split("text", " ")
+            cut = rows.withColumn("text", F.array_join(text.truncate_tokens(words, n, strategy), " "))
+            held_against(model, cut, cut)
