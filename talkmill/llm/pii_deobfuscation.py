@@ -157,9 +157,13 @@ class Mapped:
         return int(self.start[a]), int(self.end[b - 1])
 
 
+# Letters that match an ASCII letter where case is ignored, but whose lower case is not that letter.
+_CASES = str.maketrans({"\u017f": "s", "\u0130": "i", "\u0131": "i", "\u212a": "k"})
+
+
 def _unspelled(m: re.Match) -> str:
-    digits = "".join(w if w.isdigit() else DIGIT_WORDS[w] for w in map(str.lower, _ONE_WORD.findall(m[2])))
-    return ("+" if m[1] else "") + digits
+    words = [w.translate(_CASES).lower() for w in _ONE_WORD.findall(m[2])]
+    return ("+" if m[1] else "") + "".join(w if w.isdigit() else DIGIT_WORDS[w] for w in words)
 
 
 def _spells(text: str) -> bool:

@@ -2,6 +2,8 @@ import hashlib
 import re
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from talkmill.llm import pii_deobfuscation as pii
@@ -144,3 +146,25 @@ def test_empty_and_other_columns(spark):
     df = spark.createDataFrame([], "text string, found int")
     out = pii.with_spans(df)
     assert out.columns == ["text", "base", "found"] and out.count() == 0
+
+
+def test_letters_that_fold_to_ascii():
+    """Every letter that matches an ASCII one where case is ignored, in every word and pattern."""
+    folds = [chr(c) for c in range(0x80, 0x110000) if re.fullmatch("[a-z]", chr(c), re.I)]
+    assert {"\u017f", "\u212a"} <= set(folds)
+    for letter in folds:
+        for text in ("six six six six six six six six", "five six kilo six zero", "anna at kiss dot info", "plus six six six seven one two three four"):
+            for plain in "iksIKS":
+                odd = text.replace(plain, letter)
+                base, found = pii.find(odd)
+                assert set(base) <= set(found) and all(0 <= a < b <= len(odd) for _, a, b in found)
+    assert pii.find("plus \u017fix one two three four five six seven")[1] == [(3, 0, 42)]
+
+
+@given(st.text(st.one_of(st.characters(), st.sampled_from(list("ſİıK+@. -sixoneatdot()[]0123"))), max_size=60), st.sampled_from(["", " at ", " six six ", "@", "+1 "]))
+@settings(max_examples=400, deadline=None)
+def test_any_text(text, part):
+    text = text + part + text
+    base, found = pii.find(text)
+    assert base == pii.detect(text) and set(base) <= set(found)
+    assert found == sorted(found) and all(0 <= a < b <= len(text) for _, a, b in found)
