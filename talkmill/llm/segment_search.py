@@ -17,6 +17,8 @@ is given as the largest or smallest 64-bit number.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -40,7 +42,21 @@ def usable(vector: Column) -> Column:
 
 def _matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
     flat = pa.concat_arrays([c.flatten() for c in column.chunks]) if column.num_chunks else pa.array([], pa.float64())
-    return np.floor(flat.to_numpy(zero_copy_only=False).astype(np.float64) * SCALE).reshape(len(column), dim)
+    raw = flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), dim)
+    whole = _scaled(raw)
+    return np.where(np.isfinite(whole), whole / SCALE, raw)  # exact: the scale is a power of two
+
+
+def _scaled(raw: np.ndarray) -> np.ndarray:
+    """Whole numbers as doubles; infinite where the number is beyond them."""
+    with np.errstate(over="ignore"):
+        return np.floor(raw * SCALE)
+
+
+def _whole(x: float) -> int:
+    """The whole number of a component, of any size."""
+    scaled = x * SCALE
+    return math.floor(scaled) if math.isfinite(scaled) else int(x) * SCALE
 
 
 def _pack(table: pa.Table) -> pa.Table:
@@ -76,48 +92,55 @@ def _statistics(vectors: np.ndarray, segments: int) -> np.ndarray:
     return np.concatenate([mean, deviation], axis=1) * np.sqrt(np.tile(size, 2))
 
 
-def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact integer inner products of all rows."""
-    top = (np.abs(a).max(initial=0)) * (np.abs(b).max(initial=0)) * max(a.shape[1], 1)
-    if top < EXACT:
-        return (a @ b.T).astype(np.int64)
-    whole = [[int(x) for x in row] for row in a], [[int(x) for x in row] for row in b]
+def _products(a: np.ndarray, b: np.ndarray, raw_a: np.ndarray, raw_b: np.ndarray) -> np.ndarray:
+    """Exact integer inner products of all rows, cut to 64 bits; pairs too large for doubles are multiplied as integers."""
+    with np.errstate(all="ignore"):
+        out = a @ b.T
+        top = np.abs(a).max(axis=1, initial=0)[:, None] * np.abs(b).max(axis=1, initial=0)[None, :] * max(a.shape[1], 1)
+        exact = top < EXACT  # false for infinite and undefined ones
+        out = np.where(exact, out, 0).astype(np.int64)
+    rows, columns = np.nonzero(~exact)
+    left = {i: [_whole(x) for x in raw_a[i].tolist()] for i in np.unique(rows)}
+    right = {j: [_whole(x) for x in raw_b[j].tolist()] for j in np.unique(columns)}
     low, high = -(1 << 63), (1 << 63) - 1
-    return np.array(
-        [[min(max(sum(x * y for x, y in zip(p, q)), low), high) for q in whole[1]] for p in whole[0]], np.int64
-    ).reshape(len(a), len(b))
+    for i, j in zip(rows, columns):
+        out[i, j] = min(max(sum(x * y for x, y in zip(left[i], right[j])), low), high)
+    return out
 
 
 class _Best:
     """The ``k`` best scores of each query of a block so far."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int):
-        self.ids, self.vectors, self.k = ids, vectors, k
-        self.norm = (vectors * vectors).sum(axis=1)
-        self.levels = _levels(vectors.shape[1])
-        self.statistics = [_statistics(vectors, n) for n in self.levels]
+    def __init__(self, ids: np.ndarray, raw: np.ndarray, k: int):
+        self.ids, self.raw, self.vectors, self.k = ids, raw, _scaled(raw), k
+        with np.errstate(all="ignore"):
+            self.norm = (self.vectors * self.vectors).sum(axis=1)
+            self.levels = _levels(raw.shape[1])
+            self.statistics = [_statistics(self.vectors, n) for n in self.levels]
         self.least = np.full(len(ids), -np.inf)  # the k-th best score
         self.query = np.zeros(0, np.int64)
         self.found = np.zeros(0, np.int64)
         self.score = np.zeros(0, np.int64)
 
-    def meet(self, ids: np.ndarray, vectors: np.ndarray) -> None:
-        norm = (vectors * vectors).sum(axis=1)
-        # Rounding of the bounds; far above what double arithmetic loses.
-        slack = 1e-9 * (self.norm.max(initial=0) + norm.max(initial=0)) + 1
+    def meet(self, ids: np.ndarray, raw: np.ndarray) -> None:
+        vectors = _scaled(raw)
         stay = np.arange(len(ids))
         alive = self.ids[:, None] != ids[None, :]
         if np.isfinite(self.least).any():
-            for n, own in zip(self.levels, self.statistics):
-                other = _statistics(vectors[stay], n)
-                distance = (own * own).sum(axis=1)[:, None] + (other * other).sum(axis=1)[None, :] - 2 * own @ other.T
-                most = (self.norm[:, None] + norm[stay][None, :] - distance) / 2 + slack
-                alive &= most >= self.least[:, None]
-                some = alive.any(axis=0)
-                stay, alive = stay[some], alive[:, some]
+            with np.errstate(all="ignore"):
+                norm = (vectors * vectors).sum(axis=1)
+                # Rounding of the bounds; far above what double arithmetic loses.
+                slack = 1e-9 * (self.norm[:, None] + norm[None, :]) + 1
+                for n, own in zip(self.levels, self.statistics):
+                    other = _statistics(vectors[stay], n)
+                    distance = (own * own).sum(axis=1)[:, None] + (other * other).sum(axis=1)[None, :] - 2 * own @ other.T
+                    most = (self.norm[:, None] + norm[stay][None, :] - distance) / 2 + slack[:, stay]
+                    alive &= ~(most < self.least[:, None])  # an undefined bound drops nothing
+                    some = alive.any(axis=0)
+                    stay, alive = stay[some], alive[:, some]
         if not len(stay):
             return
-        score = _products(self.vectors, vectors[stay])
+        score = _products(self.vectors, vectors[stay], self.raw, raw[stay])
         keep = alive & (score >= self.least[:, None])
         q, c = np.nonzero(keep)
         self._add(q, ids[stay[c]], score[q, c])
@@ -135,7 +158,9 @@ class _Best:
         top = rank < self.k
         self.query, self.found, self.score = query[top], found[top], score[top]
         last = rank[top] == self.k - 1
-        self.least[self.query[last]] = self.score[last]
+        least = self.score[last].astype(np.float64)
+        # Beyond 2^53 a score may round up; the next double below keeps its equals.
+        self.least[self.query[last]] = np.where(np.abs(least) >= EXACT, np.nextafter(least, -np.inf), least)
 
     def rows(self) -> pa.RecordBatch:
         return pa.record_batch(

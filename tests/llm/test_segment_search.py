@@ -1,5 +1,6 @@
 import math
 import random
+from fractions import Fraction
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -11,15 +12,16 @@ from talkmill.llm.registry import table
 
 def brute(rows, k=10):
     good = [
-        (i, [math.floor(1024 * x) for x in v])
+        (i, [math.floor(1024 * Fraction(x)) for x in v])
         for i, v in rows
         if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)
     ]
     queries = {(i, tuple(v)) for i, v in good if i % 100 == 0}
     out = []
     for i, q in queries:
-        near = sorted((-sum(a * b for a, b in zip(q, v)), j) for j, v in good if j != i and len(v) == len(q))
-        out += [(i, j, max(-(2**63), min(2**63 - 1, -s))) for s, j in near[:k]]
+        score = lambda v: max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(q, v))))  # noqa: E731, B023
+        near = sorted((-score(v), j) for j, v in good if j != i and len(v) == len(q))
+        out += [(i, j, -s) for s, j in near[:k]]
     return sorted(out)
 
 
@@ -61,6 +63,22 @@ def test_odd_rows(spark, tmp_path):
     assert got(op3_segment_search(spark, str(tmp_path))) == brute(rows)
 
 
+def test_large_components(spark, monkeypatch):
+    """Any finite vector takes part: norms, bounds and whole numbers beyond doubles lose no row."""
+    monkeypatch.setattr(segment_search, "BLOCK_ROWS", 8)
+    rng = random.Random(6)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(6)]) for i in range(150)]
+    for i, size in ((7, 1e306), (20, 1e155), (31, -1e155), (100, 1e150), (101, 2.0**40), (102, -1.7e308), (103, 1e160)):
+        rows[i] = (i, [size, 1.0, 0.0, -size, 2.0, 1e-300])
+    rows[130] = (130, [-1e155, 0.0, 0.0, 0.0, 0.0, 0.0])
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert got(segment_search.top_k(df, F.col("vec_id") % 100 == 0)) == brute(rows)
+    best = segment_search._Best(np.array([0]), np.array([[1.0, 1.0]]), 1)
+    best.meet(np.array([1]), np.array([[5.0, 5.0]]))
+    best.meet(np.array([2, 3]), np.array([[1e306, 1.0], [1e155, 0.0]]))
+    assert best.found.tolist() == [2] and best.score.tolist() == [2**63 - 1]
+
+
 def test_empty(spark, tmp_path):
     spark.createDataFrame([], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
     assert op3_segment_search(spark, str(tmp_path)).count() == 0
