@@ -31,6 +31,7 @@ HEX = r"[0-9a-f]{24,}+"
 KINDS = ("assign", "access", "hex", "random")
 
 CANDIDATE = r"[A-Za-z0-9+/_-]{16,}+={0,2}"
+CANDIDATE_CHARS = 16
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-="
 SAMPLE_WEIGHT = 16.0
 EDGE = len(ALPHABET)  # stands before the first and after the last character
@@ -122,13 +123,42 @@ def fit(labelled: DataFrame) -> RandomStrings:
     return model
 
 
+def uncovered(spans: Column, candidates: Column) -> Column:
+    """Candidates, and of those that overlap a pattern span the parts outside that are long enough to be one."""
+
+    def parts(m: Column) -> Column:
+        inside = F.filter(spans, lambda s: (s["start"] < m["end"]) & (m["start"] < s["end"]))
+
+        def gaps(b: Column) -> Column:
+            # How far the spans before each one reach; a gap lies between that and the next start.
+            reach = F.aggregate(
+                b, F.array(m["start"]), lambda done, s: F.concat(done, F.array(F.greatest(F.element_at(done, -1), s["end"])))
+            )
+            ends = F.concat(F.transform(b, lambda s: s["start"]), F.array(m["end"]))
+            pairs = F.filter(
+                F.arrays_zip(reach.alias("start"), ends.alias("end")), lambda g: g["end"] - g["start"] >= CANDIDATE_CHARS
+            )
+            return F.transform(
+                pairs,
+                lambda g: F.struct(
+                    g["start"].alias("start"),
+                    g["end"].alias("end"),
+                    F.substring(m["value"], g["start"] - m["start"] + 1, g["end"] - g["start"]).alias("value"),
+                ),
+            )
+
+        whole = F.array(F.struct(m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value")))
+        return let(inside, lambda b: F.when(F.size(b) == 0, whole).otherwise(gaps(b)))
+
+    return F.flatten(F.transform(candidates, parts))
+
+
 def all_spans(model: RandomStrings, base: str = "base", candidates: str = "candidates") -> Column:
     """Pattern spans of a scanned row and those the model adds, sorted; none of the former is lost."""
     if model.ratios is None:
         return F.col(base)
     added = F.filter(
-        candidates,
-        lambda m: ~_overlaps(F.col(base), m) & (model.mean_ratio(m["value"]) > model.threshold),
+        uncovered(F.col(base), F.col(candidates)), lambda m: model.mean_ratio(m["value"]) > model.threshold
     )
     return F.array_sort(F.concat(F.col(base), _spans(added, 3)))
 

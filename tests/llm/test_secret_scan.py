@@ -69,3 +69,24 @@ def test_empty(spark):
     df = secret_scan.scanned(spark.createDataFrame([], "doc_id long, text string"))
     model = secret_scan.fit(secret_scan.samples(df))
     assert model.ratios is None and df.select(secret_scan.all_spans(model)).count() == 0
+
+
+def test_parts_beside_a_pattern(spark):
+    """What a pattern span leaves of a run is judged like a run of its own; short rests are not."""
+    rest = "q7Zk2Xv9Lp4Wd8Rt1Nb6Yc3Hs5Mf0Jg2Ua7Ei4Ko"
+    access = "AKIA" + "ABCDEFGH12345678"
+    rows = [
+        f"x {access}/{rest} y", f"x {rest}/{access}/{rest} y", f"x {access}/short y", f"x {rest} y",
+        f"token={access}/{rest} y", f"{'0123456789abcdef' * 2}-{rest}",
+    ]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "doc_id long, text string")
+    scanned = secret_scan.scanned(df)
+    parts = scanned.select("doc_id", "text", secret_scan.uncovered(F.col("base"), F.col("candidates")).alias("p")).orderBy("doc_id").collect()
+    for r in parts:
+        assert all(r.text[p.start : p.end] == p.value for p in r.p)
+    values = [[p.value for p in r.p] for r in parts]
+    assert values == [["/" + rest], [rest + "/", "/" + rest], [], [rest], [], ["-" + rest]]
+    model = secret_scan.RandomStrings([1.0] * (secret_scan.EDGE + 1) ** 2, 0.0)
+    spans = scanned.withColumn("s", secret_scan.all_spans(model)).orderBy("doc_id")
+    hidden = [r.t for r in spans.select(secret_scan.redacted(F.col("text"), F.col("s")).alias("t")).collect()]
+    assert all(rest not in t for t in hidden)
