@@ -9,8 +9,12 @@ from talkmill.session import checkpointed
 
 
 def _smallest(edges: DataFrame) -> DataFrame:
-    """Each node's neighbours next to the smallest of them and the node itself; counted in tasks first."""
-    low = edges.groupBy("u").agg(F.min("v").alias("m"))
+    """Each node's neighbours next to the smallest of them and the node itself.
+
+    The smallest ones are combined inside tasks and written, so both sides of the join are plain shuffles, and the adaptive
+    join splits the edges of a node that has very many.
+    """
+    low = checkpointed(edges.groupBy("u").agg(F.min("v").alias("m")))
     return edges.join(low, "u").withColumn("m", F.least("m", "u"))
 
 

@@ -9,8 +9,8 @@
 4. A task returns counts of links and a spanning forest, never the pairs, so a group of copies of any size
    gives a number of rows linear in its members.
 
-What can be lost: with 48 bands of 5 values a pair at similarity 0.8 shares no band with probability 5e-9,
-and pruning drops it with about the tolerance.
+What can be lost: bands are as long as keeps the chance that a pair at the threshold shares none below ``MISSED`` (at 0.8: 48
+bands of 5 values, 5e-9), and pruning drops it with about the tolerance.
 
 Words are runs without white space, in lower case. A text of one to four words has one shingle, all its words;
 a text without words (null, empty, white space) is linked to nothing. Classes and shingles are 64-bit hashes.
@@ -33,16 +33,16 @@ from talkmill.session import checkpointed
 SHINGLE = 5
 THRESHOLD = 0.8
 TOLERANCE = 1e-7
-BANDS, BAND_ROWS = 48, 5
+HASHES = 240
+MISSED = 1e-8  # chance that a pair at the threshold shares no band
 STEP = 16  # MinHash values compared between two looks at the posterior
 BLOCK_ROWS = 1024
 BLOCK_SHINGLES = 1 << 19
 CHUNK_BYTES = 4 << 20
 PAIRS = 1 << 17  # pairs compared at once
 
-_HASHES = BANDS * BAND_ROWS
-_FLIP = (mix(np.arange(1, _HASHES + 1)) >> np.uint64(32)).astype(np.uint32)
-_TIMES = ((mix(np.arange(1001, 1001 + _HASHES)) >> np.uint64(32)) | np.uint64(1)).astype(np.uint32)
+_FLIP = (mix(np.arange(1, HASHES + 1)) >> np.uint64(32)).astype(np.uint32)
+_TIMES = ((mix(np.arange(1001, 1001 + HASHES)) >> np.uint64(32)) | np.uint64(1)).astype(np.uint32)
 _PLACE = mix(np.arange(2001, 2065)) | np.uint64(1)  # odd factors by place in a shingle or band
 
 
@@ -71,7 +71,7 @@ def set_hash(values: np.ndarray) -> int:
 
 def min_hashes(sets: list[np.ndarray]) -> np.ndarray:
     """One row of MinHash values per set; sets must not be empty."""
-    out = np.empty((len(sets), _HASHES), np.uint32)
+    out = np.empty((len(sets), HASHES), np.uint32)
     ends = np.cumsum([len(s) for s in sets])
     begin = 0
     while begin < len(sets):
@@ -80,15 +80,24 @@ def min_hashes(sets: list[np.ndarray]) -> np.ndarray:
         x = (np.concatenate(sets[begin:end]) >> np.uint64(32)).astype(np.uint32)
         x ^= np.concatenate(sets[begin:end]).astype(np.uint32)
         first = np.concatenate(([0], ends[begin : end - 1] - before))
-        for k in range(_HASHES):
+        for k in range(HASHES):
             out[begin:end, k] = np.minimum.reduceat((x ^ _FLIP[k]) * _TIMES[k], first)
         begin = end
     return out
 
 
-def band_keys(values: np.ndarray) -> np.ndarray:
-    grouped = values.reshape(len(values), BANDS, BAND_ROWS).astype(np.uint64)
-    keys = (grouped * _PLACE[:BAND_ROWS]).sum(axis=2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * _PLACE[63]
+def band_rows(threshold: float = THRESHOLD) -> int:
+    """Values in a band: the more the fewer chance candidates, but few enough that pairs at the threshold meet."""
+    fits = [r for r in range(1, 9) if (1 - threshold**r) ** (HASHES // r) <= MISSED]
+    if not fits:
+        raise ValueError(f"a threshold of {threshold} is too low for {HASHES} hashes")
+    return max(fits)
+
+
+def band_keys(values: np.ndarray, rows: int) -> np.ndarray:
+    bands = HASHES // rows
+    grouped = values[:, : bands * rows].reshape(len(values), bands, rows).astype(np.uint64)
+    keys = (grouped * _PLACE[:rows]).sum(axis=2, dtype=np.uint64) + np.arange(bands, dtype=np.uint64) * _PLACE[63]
     return mix(keys).view(np.int64)
 
 
@@ -99,7 +108,7 @@ def needed_matches(threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -
     threshold is the chance that a Binomial(n + 1, threshold) is at most ``m``.
     """
     out = []
-    for n in range(STEP, _HASHES + 1, STEP):
+    for n in range(STEP, HASHES + 1, STEP):
         tail, m = 0.0, -1
         while tail < tolerance:
             m += 1
@@ -108,24 +117,31 @@ def needed_matches(threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -
     return out
 
 
-def _sketches(batches):
-    for batch in batches:
-        data, offsets = text_bytes(batch.column("text"))
-        for a, b in slices(offsets, CHUNK_BYTES):
-            sets = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-            full = [i for i, s in enumerate(sets) if len(s)]
-            kept = [sets[i] for i in full]
-            keys = band_keys(min_hashes(kept)) if kept else np.zeros((0, BANDS), np.int64)
-            places = pa.array(np.arange(0, keys.size + 1, BANDS), pa.int32())
-            yield pa.record_batch(
-                [
-                    batch.column("id").slice(a, b - a).take(pa.array(full, pa.int64())),
-                    pa.array([set_hash(s) for s in kept], pa.int64()),
-                    pa.array([len(s) for s in kept], pa.int32()),
-                    pa.ListArray.from_arrays(places, pa.array(keys.ravel())),
-                ],
-                names=["id", "class", "size", "bands"],
-            )
+def _sketches(size: int):
+    bands = HASHES // size
+
+    def run(batches):
+        for batch in batches:
+            data, offsets = text_bytes(batch.column("text"))
+            for a, b in slices(offsets, CHUNK_BYTES):
+                sets = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                full = [i for i, s in enumerate(sets) if len(s)]
+                kept = [sets[i] for i in full]
+                keys = band_keys(min_hashes(kept), size) if kept else np.zeros((0, bands), np.int64)
+                places = pa.array(np.arange(0, keys.size + 1, bands), pa.int32())
+                at = pa.array(full, pa.int64())
+                yield pa.record_batch(
+                    [
+                        batch.column("id").slice(a, b - a).take(at),
+                        batch.column("hash").slice(a, b - a).take(at),
+                        pa.array([set_hash(s) for s in kept], pa.int64()),
+                        pa.array([len(s) for s in kept], pa.int32()),
+                        pa.ListArray.from_arrays(places, pa.array(keys.ravel())),
+                    ],
+                    names=["id", "hash", "class", "size", "bands"],
+                )
+
+    return run
 
 
 def _links(sets: list[np.ndarray], pairs, need: list[int], at_least: Fraction):
@@ -226,12 +242,15 @@ def near_texts(
     that hang together by links, ``n_links`` the number of other rows whose similarity is at least ``threshold``.
     A row without words has its own id and no links. Rows that repeat an id are rows of their own.
     """
-    docs = df.select(F.col(id).alias("id"), F.lower(F.col(text)).alias("text"))
+    docs = df.select(F.col(id).alias("id"), F.lower(F.col(text)).alias("text")).withColumn("hash", F.xxhash64("text"))
     kind = docs.schema["id"].dataType.simpleString()
-    rows = checkpointed(docs.mapInArrow(_sketches, f"id {kind}, class long, size int, bands array<long>"))
+    sketches = docs.mapInArrow(_sketches(band_rows(threshold)), f"id {kind}, hash long, class long, size int, bands array<long>")
+    rows = checkpointed(sketches)
+    # A row is known by its id and its text's hash, so rows without an id do not meet each other.
     classes = rows.groupBy("class").agg(
-        F.min("id").alias("copy_id"), F.count("*").alias("copies"), F.max("size").alias("size")
-    )
+        F.min("id").alias("copy_id"), F.count("*").alias("copies"), F.max("size").alias("size"),
+        F.min(F.struct(F.col("id").isNull().alias("none"), "id", "hash")).alias("shown"),
+    )
     classes = checkpointed(classes)
 
     # Every copy has the same bands, so a bucket's rows are counted by class before they move.
@@ -250,7 +269,7 @@ def near_texts(
     packs = total // BLOCK_SHINGLES + 1
     placed = members.join(sizes, "component")
     whole = placed.where("blocks = 1").select(
-        "class", "copy_id", "copies", "component",
+        "class", "shown", "copies", "component",
         F.lit(-1).alias("side"),
         F.pmod(F.xxhash64("component"), F.lit(packs)).alias("x"), F.lit(-1).cast("long").alias("y"), F.lit(0).cast("long").alias("z"),
     )
@@ -259,12 +278,13 @@ def near_texts(
     cut = placed.where("blocks > 1").withColumn("own", own)
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     cut = cut.select(
-        "class", "copy_id", "copies", "component",
+        "class", "shown", "copies", "component",
         F.when(F.col("own") == F.col("other"), -1).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"),
         F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), F.col("component").alias("z"),
     )
     parts = whole.unionByName(cut)
-    with_text = parts.join(docs, parts["copy_id"].eqNullSafe(docs["id"])).drop("id")
+    same = (F.col("shown.hash") == F.col("hash")) & F.col("shown.id").eqNullSafe(F.col("id"))
+    with_text = parts.join(docs, same).drop("id", "hash", "shown")
     compare = _compare(needed_matches(threshold, tolerance), Fraction(threshold).limit_denominator(10_000))
     found = checkpointed(
         with_text.groupBy("x", "y", "z").applyInArrow(compare, "a long, b long, links long")

@@ -77,6 +77,53 @@ def test_null_ids(spark):
     assert sorted(r.n_links for r in out) == sorted(n for *_, n in want) and max(r.n_links for r in out) > 3
 
 
+def test_many_null_ids(spark, monkeypatch):
+    """Rows without an id meet their own text only, not all others without one."""
+    rows = [(None, f"{t} {k}") for k in range(12) for t in copies(8, k)]
+    joined = []
+    compare = jaccard_join._compare
+
+    def counted(need, at_least):
+        run = compare(need, at_least)
+
+        def seen(table):
+            assert table.num_rows <= len(rows)  # once joined on the id alone, it was the square
+            return run(table)
+
+        return seen
+
+    monkeypatch.setattr(jaccard_join, "_compare", counted)
+    out = jaccard_join.near_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = brute([(k, t) for k, (_, t) in enumerate(rows)])
+    assert sorted(r.n_links for r in out) == sorted(n for *_, n in want) and not joined
+
+
+@pytest.mark.parametrize("threshold", [0.3, 0.5, 0.65, 0.95])
+def test_other_thresholds(spark, threshold):
+    """Bands follow the threshold, so pairs just above it are found."""
+    rng = random.Random(11)
+    rows = []
+    for k in range(60):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+        rows.append(" ".join(base))
+        for _ in range(2):
+            words = list(base)
+            for _ in range(rng.randrange(1, 9)):
+                words[rng.randrange(60)] = f"v{rng.randrange(10**6)}"
+            rows.append(" ".join(words))
+    rows = list(enumerate(rows))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(tuple(r) for r in jaccard_join.near_texts(df, threshold=threshold).collect()) == brute(rows, threshold)
+    size = jaccard_join.band_rows(threshold)
+    assert (1 - threshold**size) ** (240 // size) <= jaccard_join.MISSED
+
+
+def test_threshold_too_low():
+    assert jaccard_join.band_rows(0.8) == 5
+    with pytest.raises(ValueError):
+        jaccard_join.band_rows(0.01)
+
+
 def test_empty(spark):
     assert jaccard_join.near_texts(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
