@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from functools import lru_cache
 
 import numpy as np
 from pyarrow import fs
@@ -35,11 +36,12 @@ def write_array(uri: str, values: np.ndarray) -> None:
     store.move(part, path)
 
 
+@lru_cache(4096)
 def map_array(uri: str, kind) -> np.ndarray:
     """Read-only memory map of an array file.
 
     A file in a store without local paths is copied to an unnamed temporary file first; it goes
-    with the process.
+    with the process, and serves all tasks that the process runs.
     """
     store, path = _place(uri)
     if store.get_file_info(path).size == 0:
