@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from talkmill.llm import jaccard_join, merge_dropout, secret_scan, source_mixing, toxicity
 from talkmill.llm.queries import VOCABULARY
-from talkmill.session import checkpointed, shared_folder
+from talkmill.session import shared_folder
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,9 +47,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with every secret replaced by ``[SECRET]`` and ``n_chars`` counted again where one was."""
     body = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text"))
-    rows = secret_scan.scanned(body)
-    found = checkpointed(secret_scan.scanned(docs.select("text")).select("base", "candidates"))
-    model = secret_scan.fit(secret_scan.samples(found))
+    # Every text is scanned once: the model and the spans both read what was found.
+    folder = f"{shared_folder(spark).rstrip('/')}/scanned-{uuid.uuid4().hex}"
+    secret_scan.scanned(body).write.parquet(folder)
+    rows = spark.read.parquet(folder)
+    model = secret_scan.fit(secret_scan.samples(rows))
     rows = rows.withColumn("spans", secret_scan.all_spans(model))
     rows = rows.withColumn("masked", secret_scan.redacted(F.col("text"), F.col("spans")))
     hit = F.size("spans") > 0
