@@ -4,21 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
-from talkmill.functions.columns import ColumnLike, bind, col
+from talkmill.functions.columns import ColumnLike, col
 from talkmill.functions.numbers import exact_round
 from talkmill.functions.text import normalise_for_wer
 
-# Words become single characters, so the built-in edit distance counts words. Numbers from here
-# on are all valid characters, more than a million of them.
-_FIRST_CODE = 0x10000
-# The built-in distance fills a table of lengths a x b. Larger tables go to the bit-parallel form.
-TABLE_CELLS = 250_000
+FIRST_BAND, BLOCK = 64, 512  # rows on each side of the diagonal at first; columns that share a window of rows
 
 
 def _words(text: ColumnLike) -> Column:
@@ -27,10 +23,18 @@ def _words(text: ColumnLike) -> Column:
 
 
 def edit_distance(a: Sequence, b: Sequence) -> int:
-    """Levenshtein distance, one machine word per 64 cells (Myers 1999, Hyyro 2003).
+    """Levenshtein distance, by a band of bits that widens until its answer is proven.
 
-    A column of the table is kept as two bit sets: where it rises and where it falls.
+    Equal ends are cut off first. A band of ``k`` rows on each side of the diagonal gives an alignment, so never less than the
+    distance, and the distance itself if that is at most ``k``. So a band as wide as the last answer is always enough.
     """
+    begin, end = 0, min(len(a), len(b))
+    while begin < end and a[begin] == b[begin]:
+        begin += 1
+    last = 0
+    while last < end - begin and a[len(a) - 1 - last] == b[len(b) - 1 - last]:
+        last += 1
+    a, b = a[begin : len(a) - last], b[begin : len(b) - last]
     if len(a) < len(b):
         a, b = b, a
     if not len(b):
@@ -39,54 +43,65 @@ def edit_distance(a: Sequence, b: Sequence) -> int:
     for i, x in enumerate(a):
         where.setdefault(x, bytearray((len(a) + 7) // 8))[i >> 3] |= 1 << (i & 7)
     masks = {x: int.from_bytes(bits, "little") for x, bits in where.items()}
-    full, last = (1 << len(a)) - 1, 1 << (len(a) - 1)
-    rise, fall, distance = full, 0, len(a)
-    for x in b:
-        equal = masks.get(x, 0)
-        diagonal = (((equal & rise) + rise) ^ rise) | equal | fall
-        right_up = (fall | ~(diagonal | rise)) & full
-        right_down = diagonal & rise
-        if right_up & last:
-            distance += 1
-        elif right_down & last:
-            distance -= 1
-        right_up = ((right_up << 1) | 1) & full
-        right_down = (right_down << 1) & full
-        rise = (right_down | ~(diagonal | right_up)) & full
-        fall = diagonal & right_up
-    return distance
-
-
-@F.pandas_udf(IntegerType())
-def _long_edits(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Edits of pairs of texts or word lists; null where the pair is null."""
-    found = [None if x is None or y is None else edit_distance(x, y) for x, y in zip(a, b)]
-    return pd.Series(found, dtype="Int32")
+    k = max(FIRST_BAND, len(a) - len(b), len(a) // 8)
+    found = _banded(masks, len(a), b, k)
+    while found > k:
+        k = min(found, 4 * k)
+        found = _banded(masks, len(a), b, k)
+    return found
 
 
-def word_edits(reference: ColumnLike, hypothesis: ColumnLike) -> Column:
-    """Edit distance in words between two normalised texts."""
-    ref, hyp = _words(reference), _words(hypothesis)
-    known = F.array_distinct(F.concat(ref, hyp))
-    place = F.map_from_arrays(known, F.sequence(F.lit(1), F.size(known)))
+def _banded(masks: dict, rows: int, b: Sequence, k: int) -> int:
+    """Cost of the best alignment whose steps stay about ``k`` rows around the diagonal.
+
+    Columns of the table are kept as two bit sets: where they rise and where they fall (Myers 1999, Hyyro 2003). A block of
+    columns sees a window of rows; a cell beyond it counts one more than its neighbour inside, as an insertion or deletion would.
+    """
+    rise = fall = low = high = top = 0
+    for begin in range(0, len(b), BLOCK):
+        part = b[begin : begin + BLOCK]
+        first, after = max(0, begin - k), min(rows, begin + len(part) + k)
+        gone = (1 << (first - low)) - 1  # rows that leave the window at its top
+        top += (rise & gone).bit_count() - (fall & gone).bit_count()
+        rise = (rise >> (first - low)) | (((1 << (after - high)) - 1) << (high - first))
+        fall >>= first - low
+        low, high = first, after
+        full = (1 << (high - low)) - 1
+        seen: dict = {}
+        for x in part:
+            equal = seen.get(x)
+            if equal is None:
+                equal = seen[x] = (masks.get(x, 0) >> low) & full
+            equal |= fall
+            diagonal = ((rise + (equal & rise)) ^ rise) | equal
+            down = (rise & diagonal) << 1
+            up = ((fall | (full & ~(rise | diagonal))) << 1) | 1
+            fall = up & diagonal & full
+            rise = (down | ~(up | diagonal)) & full
+        top += len(part)
+    return top + rise.bit_count() - fall.bit_count() + rows - high
+
+
+@F.arrow_udf(IntegerType())
+def _char_edits(a: pa.Array, b: pa.Array) -> pa.Array:
+    pairs = zip(a.to_pylist(), b.to_pylist())
+    return pa.array([None if x is None or y is None else edit_distance(x, y) for x, y in pairs], pa.int32())
+
+
+@F.arrow_udf(IntegerType())
+def _word_edits(a: pa.Array, b: pa.Array) -> pa.Array:
+    pairs = ((x if x is None else x.split(" ") if x else [], y if y is None else y.split(" ") if y else []) for x, y in zip(a.to_pylist(), b.to_pylist()))
+    return pa.array([None if x is None or y is None else edit_distance(x, y) for x, y in pairs], pa.int32())
 
-    def encoded(words: Column, places: Column) -> Column:
-        codes = F.transform(
-            words, lambda w: F.lpad(F.hex(F.element_at(places, w) + (_FIRST_CODE - 1)), 8, "0")
-        )
-        return F.decode(F.unhex(F.array_join(codes, "")), "UTF-32")
 
-    near = bind(place, lambda m: F.levenshtein(encoded(ref, m), encoded(hyp, m)))
-    large = F.size(ref).cast("long") * F.size(hyp) > TABLE_CELLS
-    far = _long_edits(F.when(large, ref), F.when(large, hyp))
-    return F.when(F.size(known) == 0, 0).when(large, far).otherwise(near)
+def word_edits(reference: ColumnLike, hypothesis: ColumnLike) -> Column:
+    """Edit distance in words between two normalised texts of any length."""
+    return _word_edits(col(reference), col(hypothesis))
 
 
 def char_edits(reference: ColumnLike, hypothesis: ColumnLike) -> Column:
-    ref, hyp = col(reference), col(hypothesis)
-    large = F.char_length(ref).cast("long") * F.char_length(hyp) > TABLE_CELLS
-    far = _long_edits(F.when(large, ref), F.when(large, hyp))
-    return F.when(large, far).otherwise(F.levenshtein(ref, hyp))
+    """Edit distance in characters between two texts of any length."""
+    return _char_edits(col(reference), col(hypothesis))
 
 
 def scored_segments(hypotheses: DataFrame, truth: DataFrame) -> DataFrame:

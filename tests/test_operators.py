@@ -658,13 +658,30 @@ def test_neighbours(spark, blocks):
 def test_long_pairs(spark, seed, monkeypatch):
     rng = random.Random(seed)
     pairs = [("".join(rng.choices("abё c", k=rng.randint(0, 90))), "".join(rng.choices("abё c", k=rng.randint(0, 90)))) for _ in range(60)]
-    assert [speech.edit_distance(a, b) for a, b in pairs] == [edits(a, b) for a, b in pairs]
-    monkeypatch.setattr(speech, "TABLE_CELLS", 400)
-    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, a string, b string")
+    for band, block in ((64, 512), (1, 1), (2, 7), (5, 16)):
+        monkeypatch.setattr(speech, "FIRST_BAND", band)
+        monkeypatch.setattr(speech, "BLOCK", block)
+        assert [speech.edit_distance(a, b) for a, b in pairs] == [edits(a, b) for a, b in pairs]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)] + [(99, None, "a")], "i int, a string, b string")
     got = df.select("i", speech.char_edits("a", "b").alias("c"), speech.word_edits("a", "b").alias("w")).orderBy("i").collect()
-    assert [r.c for r in got] == [edits(a, b) for a, b in pairs]
+    assert [r.c for r in got] == [edits(a, b) for a, b in pairs] + [None]
     words = [[x.split(" ") if x else [] for x in p] for p in pairs]
-    assert [r.w for r in got] == [edits(a, b) for a, b in words]
+    assert [r.w for r in got] == [edits(a, b) for a, b in words] + [None]
+
+
+def test_band_widens(monkeypatch):
+    """Long pairs of few and of many edits: a narrow band is enough for the first, and grows for the second."""
+    rng = random.Random(4)
+    a = [rng.randrange(5) for _ in range(3000)]
+    b = [x for x in a if rng.random() < 0.95]
+    b = b[:200] + [9] * 150 + b[200:]
+    widths = []
+    banded = speech._banded
+    monkeypatch.setattr(speech, "_banded", lambda masks, n, b, k: widths.append(k) or banded(masks, n, b, k))
+    assert speech.edit_distance(a, b) == edits(a, b)
+    assert speech.edit_distance([1] * 4000, [2] * 4000) == 4000 and widths[-1] == 4000 and len(widths) < 6
+    far = a[::-1]
+    assert speech.edit_distance(a, far) == edits(a, far)
 
 
 def test_neighbours_of_odd_rows(spark):
