@@ -16,6 +16,7 @@ from talkmill.functions.text import snippet
 from talkmill.session import checked_broadcast
 
 BUCKET_DIGITS = 3  # hex digits: 4096 buckets per class
+COPY_RANGE = 1000  # copies of a row that one task makes at a time
 
 
 def content_hash(label: ColumnLike, text: ColumnLike) -> Column:
@@ -155,14 +156,20 @@ def oversample(
     largest = df.groupBy(label).agg(F.count("*").alias("n")).agg(F.max("n")).scalar()
     lack = largest - F.col("__total")
     marked = _mark_first(df, label, text, row_id, seed, F.pmod(lack, F.col("__total")))
-    extra = F.floor(lack / F.col("__total")) + F.col("__first").cast("int")
-    copies = F.explode(F.sequence(F.lit(0), extra.cast("int")))
+    extra = (F.floor(lack / F.col("__total")) + F.col("__first").cast("int")).cast("long")
+    ready = marked.withColumn("__extra", extra).drop("__total", "__first")
+    few = ready.where(F.col("__extra") < COPY_RANGE)
+    few = few.withColumn("copy_no", F.explode(F.sequence(F.lit(0).cast("long"), "__extra")))
+    # Many copies of a row are dealt as ranges of copy numbers before they are made, so they spread over all tasks.
+    many = ready.where(F.col("__extra") >= COPY_RANGE)
+    starts = F.sequence(F.lit(0).cast("long"), "__extra", F.lit(COPY_RANGE).cast("long"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few rows now, so no merging of small parts
+    many = many.withColumn("__from", F.explode(starts)).repartition(parts, "__from", row_id)
+    last = F.least(F.col("__from") + COPY_RANGE - 1, F.col("__extra"))
+    many = many.withColumn("copy_no", F.explode(F.sequence("__from", last))).drop("__from")
     source = F.when(F.col("copy_no") == 0, "original").otherwise("oversample")
-    return (
-        marked.withColumn("copy_no", copies)
-        .withColumn("_aug_source", source)
-        .drop("__total", "__first")
-    )
+    every = few.unionByName(many).withColumn("copy_no", F.col("copy_no").cast("int"))
+    return every.withColumn("_aug_source", source).drop("__extra")
 
 
 def oversample_summary(copies: DataFrame, label: str) -> DataFrame:

@@ -8,6 +8,7 @@ from talkmill.operators import calibrate, ensemble, metrics, neighbours, report,
 from talkmill.plans import sample_tables as sample
 from talkmill.plans.registry import query, round6, table
 from talkmill.plans.sample_tables import BINARY_SQL, LOGITS_SQL, PROBS_SQL, TOP_SQL, TRUTH_SQL
+from talkmill.session import checkpointed
 
 BASE = f"WITH {PROBS_SQL}, {TOP_SQL}"
 
@@ -267,7 +268,11 @@ every AS (
       round(avg(confidence), 6) AS confidence_mean, round(quantile_cont(confidence, 0.9), 6) AS confidence_p90,
       CASE q.method WHEN 'base' THEN 1 ELSE 3 END::BIGINT AS component_count,
       CASE q.method WHEN 'base' THEN CASE q.model WHEN 'm0' THEN 10.0 WHEN 'm1' THEN 20.0 ELSE 40.0 END ELSE 70.0 END::DOUBLE AS model_size_mb,
-      CASE q.model WHEN 'm0' THEN 5 WHEN 'm1' THEN 6 END::BIGINT AS n_params
+      CASE q.model WHEN 'm0' THEN 5 WHEN 'm1' THEN 6 END::BIGINT AS n_params,
+      round(count(*) FILTER (confidence >= 0.2) / count(*)::DOUBLE, 6) AS high_conf_share,
+      count(*) FILTER (confidence >= 0.2 AND y_pred <> y_true) AS high_conf_errors,
+      CASE q.method WHEN 'base' THEN CASE q.model WHEN 'm0' THEN 100.0 WHEN 'm1' THEN 200.0 ELSE 400.0 END ELSE 700.0 END::DOUBLE AS infer_ms_total,
+      round(CASE q.method WHEN 'base' THEN CASE q.model WHEN 'm0' THEN 100.0 WHEN 'm1' THEN 200.0 ELSE 400.0 END ELSE 700.0 END::DOUBLE / q.n, 3) AS infer_ms_per_sample
     FROM quality q JOIN every e USING (model, method) GROUP BY ALL"""
 )
 def model_comparison(spark, sf_dir):
@@ -276,12 +281,12 @@ def model_comparison(spark, sf_dir):
         "model string, family string, infer_ms_total double, model_size_mb double, n_params long",
     )
     probs, truth = sample.probabilities(spark, sf_dir), sample.truth(spark, sf_dir)
-    table_ = ensemble.compare_models(probs.drop("y_true"), truth, costs, ["soft", "hard"])
+    table_ = ensemble.compare_models(probs.drop("y_true"), truth, costs, ["soft", "hard"], 0.2)
     return round6(
         table_.select(
             "model", "method", "n_samples", "errors", "accuracy", "f1_weighted", "precision_weighted",
             "recall_weighted", "confidence_mean", "confidence_p90", "component_count", "model_size_mb",
-            "n_params",
+            "n_params", "high_conf_share", "high_conf_errors", "infer_ms_total", "infer_ms_per_sample",
         )
     )
 
@@ -314,10 +319,11 @@ def ece(spark, sf_dir):
     f"""{BASE}, b AS (SELECT {_BINS} AS bin, avg(confidence) AS confidence, avg((y_true = y_pred)::INT) AS accuracy,
                       count(*) AS n FROM top GROUP BY ALL)
     SELECT g.i::INT AS bin, round(coalesce(confidence, (g.i + 0.5) / 10), 6) AS confidence, round(accuracy, 6) AS accuracy,
-           coalesce(n, 0) AS n FROM range(10) g(i) LEFT JOIN b ON b.bin = g.i"""
+           coalesce(n, 0) AS n, round(g.i / 10.0::DOUBLE, 6) AS lo, round((g.i + 1) / 10.0::DOUBLE, 6) AS hi
+    FROM range(10) g(i) LEFT JOIN b ON b.bin = g.i"""
 )
 def reliability(spark, sf_dir):
-    return round6(calibrate.reliability(_top(spark, sf_dir)).drop("lo", "hi"))
+    return round6(calibrate.reliability(_top(spark, sf_dir)))
 
 
 @query(
@@ -352,32 +358,55 @@ def temperature_nll_grid(spark, sf_dir):
     return round6(calibrate.temperature_grid(dense, [0.5, 1.0, 1.5, 2.0, 4.0]))
 
 
-@query()
+#: Temperatures over the whole range of the search.
+_FINE = [round(0.1 * i, 1) for i in range(1, 101)]
+
+
+@query(
+    f"""WITH {PROBS_SQL}, {LOGITS_SQL}, g(t) AS (SELECT i / 10.0::DOUBLE FROM range(1, 101) r(i)),
+    p AS (SELECT t, label = y_true AS hit, exp((logit - top) / t) / sum(exp((logit - top) / t)) OVER (PARTITION BY row_id, t) AS p
+          FROM (SELECT *, max(logit) OVER (PARTITION BY row_id) AS top FROM logits), g),
+    losses AS (SELECT t, avg(-ln(p + 1e-9)) AS nll FROM p WHERE hit GROUP BY t)
+    SELECT round(min(nll), 5) AS grid_nll, true AS as_low_as_all, true AS beside_best FROM losses"""
+)
 def temperature_fit(spark, sf_dir):
-    """The temperature that minimises log loss, and scores before and after. Found by search, so no SQL."""
+    """The fitted temperature against every temperature of a fine grid: its loss is not above any of theirs."""
     logits = sample.logits(spark, sf_dir)
     t = calibrate.fit_temperature(logits)
-    return round6(calibrate.calibration_report(logits, t).withColumn("temperature", F.round(F.lit(t), 3)))
+    dense = checkpointed(calibrate.dense_logits(logits))
+    grid = calibrate.temperature_grid(dense, _FINE)
+    own = calibrate.temperature_grid(dense, [t]).first()["nll"]
+    best = grid.agg(F.min("nll").alias("nll"), F.min_by("temperature", "nll").alias("at"))
+    return best.select(
+        F.round("nll", 5).alias("grid_nll"),
+        (F.lit(own) <= F.col("nll") + 1e-9).alias("as_low_as_all"),
+        (F.abs(F.col("at") - t) <= 0.1).alias("beside_best"),
+    )
 
 
-def _stage_sql(t: float) -> str:
+def _both_stages_sql(t: float) -> str:
+    """Scores of the probabilities at temperature 1 and ``t``."""
     return f"""
-    p AS (SELECT row_id, label, y_true, exp(logit / {t}) / sum(exp(logit / {t})) OVER (PARTITION BY row_id) AS p FROM logits),
-    h AS (SELECT row_id, y_true, first(label ORDER BY p DESC, label) AS y_pred, max(p) AS confidence FROM p GROUP BY ALL)"""
+    p AS (SELECT stage, row_id, label, y_true, exp(logit / t) / sum(exp(logit / t)) OVER (PARTITION BY stage, row_id) AS p
+          FROM logits, (VALUES ('before', 1.0::DOUBLE), ('after', {t})) v(stage, t)),
+    h AS (SELECT stage, row_id, y_true, first(label ORDER BY p DESC, label) AS y_pred, max(p) AS confidence FROM p GROUP BY ALL),
+    {report_sql('h', 'stage')},
+    scores AS (
+      SELECT stage, 'brier' AS metric, sum((p - (label = y_true)::INT) ** 2) / count(DISTINCT row_id) AS value FROM p GROUP BY stage
+      UNION ALL SELECT stage, 'nll', avg(-ln(p + 1e-9)) FROM p WHERE label = y_true GROUP BY stage
+      UNION ALL SELECT stage, 'f1_weighted', sum(f1 * support) / sum(support) FROM rep GROUP BY stage
+      UNION ALL SELECT stage, 'ece', sum(abs(c - ok)) / sum(n) FROM (
+        SELECT stage, {_BINS} AS bin, sum(confidence) AS c, count(*) FILTER (y_true = y_pred) AS ok, count(*) AS n FROM h GROUP BY ALL) GROUP BY stage)"""
 
 
 @query(
-    f"""WITH {PROBS_SQL}, {LOGITS_SQL}, {_stage_sql(2.0)}
-    SELECT metric, value FROM (
-      SELECT 'brier' AS metric, round(sum((p - (label = y_true)::INT) ** 2) / count(DISTINCT row_id), 6) AS value FROM p
-      UNION ALL SELECT 'nll', round(avg(-ln(p + 1e-9)), 6) FROM p WHERE label = y_true
-      UNION ALL SELECT 'ece', round(sum(abs(c - ok)) / sum(n), 6) FROM (
-        SELECT {_BINS} AS bin, sum(confidence) AS c, count(*) FILTER (y_true = y_pred) AS ok, count(*) AS n FROM h GROUP BY 1))"""
+    f"""WITH {PROBS_SQL}, {LOGITS_SQL}, {_both_stages_sql(2.0)}
+    SELECT metric, round(max(value) FILTER (stage = 'before'), 6) AS before, round(max(value) FILTER (stage = 'after'), 6) AS after,
+           round(max(value) FILTER (stage = 'after') - max(value) FILTER (stage = 'before'), 6) AS delta FROM scores GROUP BY metric"""
 )
 def scaled_calibration(spark, sf_dir):
-    """Calibration scores after scaling with a temperature of 2."""
-    table_ = calibrate.calibration_report(sample.logits(spark, sf_dir), 2.0)
-    return round6(table_.where("metric <> 'f1_weighted'").select("metric", F.col("after").alias("value")))
+    """Calibration scores before and after scaling with a temperature of 2."""
+    return round6(calibrate.calibration_report(sample.logits(spark, sf_dir), 2.0))
 
 
 # Thresholds -------------------------------------------------------------------------------------
@@ -568,8 +597,7 @@ def best_per_model_by_column(spark, sf_dir):
 
 @query(
     """
-    WITH t AS (SELECT 'u' || user_id AS model, value AS f1_weighted, props AS notes, 'purchases' AS source_dir, event_id FROM events WHERE event_type = 'purchase'
-               UNION ALL SELECT 'u' || user_id, value, NULL, 'clicks', event_id FROM events WHERE event_type = 'click')
+    WITH t AS (SELECT 'u' || user_id AS model, value AS f1_weighted, event_type AS source_dir FROM events)
     SELECT model, max(f1_weighted) AS f1_weighted, first(source_dir ORDER BY f1_weighted DESC, source_dir) AS source_dir
     FROM t GROUP BY model"""
 )
@@ -577,12 +605,13 @@ def merged_leaderboard(spark, sf_dir):
     events = table(spark, sf_dir, "events").select(
         F.concat(F.lit("u"), "user_id").alias("model"), F.col("value").alias("f1_weighted"), "props", "event_type"
     )
-    bought = events.where("event_type = 'purchase'").select("model", "f1_weighted", F.col("props").alias("notes"))
-    clicked = events.where("event_type = 'click'").select("model", "f1_weighted")
-    merged = report.merged_leaderboard(
-        [bought.withColumn("source_dir", F.lit("purchases")), clicked.withColumn("source_dir", F.lit("clicks"))],
-        best_only=True,
-    )
+    kinds = [r[0] for r in events.select("event_type").distinct().orderBy("event_type").collect()]  # one table each
+    parts = []
+    for i, kind in enumerate(kinds):
+        part = events.where(F.col("event_type") == kind).withColumn("source_dir", F.col("event_type"))
+        notes = part.withColumn("notes", F.col("props")) if i % 2 else part  # tables may lack a column
+        parts.append(notes.drop("props", "event_type"))
+    merged = report.merged_leaderboard(parts, best_only=True)
     return merged.select("model", "f1_weighted", "source_dir")
 
 

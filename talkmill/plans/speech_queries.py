@@ -122,8 +122,10 @@ def der_files(spark, sf_dir):
 
 @query(
     f"""{_DER}, p AS (SELECT system, format('{{:.2f}}', (missed + false_alarm + confusion) / total * 100)::DOUBLE AS der,
-      format('{{:.2f}}', missed / total * 100)::DOUBLE AS ms FROM errors)
-    SELECT system, count(*) AS n_files, format('{{:.2f}}', avg(der))::DOUBLE AS "DER", format('{{:.2f}}', avg(ms))::DOUBLE AS "MS" FROM p GROUP BY system"""
+      format('{{:.2f}}', missed / total * 100)::DOUBLE AS ms, format('{{:.2f}}', false_alarm / total * 100)::DOUBLE AS fa,
+      format('{{:.2f}}', confusion / total * 100)::DOUBLE AS sc FROM errors)
+    SELECT system, count(*) AS n_files, format('{{:.2f}}', avg(der))::DOUBLE AS "DER", format('{{:.2f}}', avg(ms))::DOUBLE AS "MS",
+           format('{{:.2f}}', avg(fa))::DOUBLE AS "FA", format('{{:.2f}}', avg(sc))::DOUBLE AS "SC", 0.25::DOUBLE AS "RTF" FROM p GROUP BY system"""
 )
 def system_table(spark, sf_dir):
     """Mean errors per system."""
@@ -131,7 +133,7 @@ def system_table(spark, sf_dir):
     errors = diarize.system_errors(truth, found)
     runs = found.select("system", "file_id").distinct().withColumns({"time": F.lit(1.0), "audio_sec": F.lit(4.0)})
     table_ = diarize.system_table(errors, runs)
-    return table_.select("system", "n_files", "DER", "MS")
+    return table_.select("system", "n_files", "DER", "MS", "FA", "SC", "RTF")
 
 
 # Recognition errors -----------------------------------------------------------------------------
@@ -176,18 +178,41 @@ def wer_pairs(spark, sf_dir):
     FROM e GROUP BY model"""
 )
 def recognition_table(spark, sf_dir):
+    """Word error rates by model; ``character_table`` has the characters."""
     rates = speech.error_rates(_recognised(spark, sf_dir))
     return rates.select("model", "WER", "RTF", "n_samples")
 
 
 @query(
-    f"""{_ASR}, r AS (SELECT e.*, t, edits / n::DOUBLE AS wer FROM e JOIN w USING (seg_id))
-    SELECT model, round(wer, 6) AS wer, count(*) AS n FROM (
-      SELECT *, row_number() OVER (PARTITION BY model ORDER BY wer DESC, t DESC, seg_id DESC) AS rn FROM r) WHERE rn <= 20 GROUP BY ALL"""
+    f"""{_ASR}, c AS (SELECT seg_id, t, length(t) AS n, t[-1:] AS tail FROM w)
+    SELECT 'm3' AS model, format('{{:.2f}}', sum(n // 9) / sum(n)::DOUBLE * 100)::DOUBLE AS "CER", count(*) AS n_samples,
+           sum(n // 9)::BIGINT AS char_edits FROM c"""
+)
+def character_table(spark, sf_dir):
+    """Character error rate where every ninth character is one that never occurs."""
+    from talkmill.functions.text import normalise_for_wer
+
+    rows = texts(spark, sf_dir, "conversations", "conv_id", "turn", "text")
+    clean = rows.select(F.concat_ws("-", "conv_id", "turn").alias("seg_id"), normalise_for_wer("text").alias("text"))
+    swapped = F.regexp_replace("text", r"(?s)(.{8}).", "$1ё")
+    found = clean.select(F.lit("m3").alias("model"), "seg_id", swapped.alias("hypothesis"), F.lit(1.0).alias("time"))
+    scored = speech.scored_segments(found, clean)
+    rates = speech.error_rates(scored, None).select("model", "CER", "n_samples")
+    return rates.join(scored.groupBy("model").agg(F.sum("char_edits").alias("char_edits")), "model")
+
+
+@query(
+    f"""{_ASR}, r AS (SELECT e.*, t, edits / n::DOUBLE AS wer,
+        array_to_string(CASE model WHEN 'm1' THEN list_filter(w, lambda x, i: (i - 1) % 5 <> 4)
+          ELSE list_transform(w, lambda x, i: CASE WHEN (i - 1) % 7 = 6 THEN 'qqzz' || (i - 1) ELSE x END) END, ' ') AS h
+      FROM e JOIN w USING (seg_id))
+    SELECT model, rank::INT AS rank, seg_id, round(wer, 6) AS wer, sha1(t) AS reference, sha1(h) AS hypothesis FROM (
+      SELECT *, row_number() OVER (PARTITION BY model ORDER BY wer DESC, t DESC, h DESC, seg_id DESC) AS rank FROM r) WHERE rank <= 20"""
 )
 def worst_segments(spark, sf_dir):
+    """The twenty worst segments of each model."""
     worst = speech.worst_segments(_recognised(spark, sf_dir), 20)
-    return worst.groupBy("model", F.round("wer", 6).alias("wer")).agg(F.count("*").alias("n"))
+    return round6(worst.withColumns({c: F.sha1(c) for c in ("reference", "hypothesis")}))
 
 
 @query(
@@ -407,16 +432,19 @@ def resumed_append(spark, sf_dir):
 @query(
     """
     SELECT 'u' || user_id AS model, round(max(value), 2) AS f1_weighted, first(notes ORDER BY value DESC) AS notes
-    FROM (SELECT user_id, value, CASE WHEN event_type = 'click' THEN '007' ELSE '' END AS notes FROM events WHERE event_type IN ('click', 'view')
+    FROM (SELECT user_id, value, CASE WHEN event_type IN (SELECT event_type FROM (SELECT DISTINCT event_type FROM events) ORDER BY 1 LIMIT 1) THEN '007' ELSE '' END AS notes FROM events
           QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_type) = 1) GROUP BY user_id"""
 )
 def comparison_files(spark, sf_dir):
-    """Two comparison files read with numbers inferred and notes as text, best row per model."""
+    """A comparison file per event type, read with numbers inferred and notes as text, best row per model."""
     from talkmill.operators.report import merged_leaderboard
 
     paths = []
-    for kind, note in (("click", "007"), ("view", None)):
-        rows = table(spark, sf_dir, "events").where(F.col("event_type") == kind)
+    events = table(spark, sf_dir, "events")
+    kinds = [r[0] for r in events.select("event_type").distinct().orderBy("event_type").collect()]  # one file each
+    for kind in kinds:
+        note = "007" if kind == kinds[0] else None
+        rows = events.where(F.col("event_type") == kind)
         path = _folder(spark, kind) + "/comparison.csv"
         rows.select(
             F.concat(F.lit("u"), "user_id").alias("model"),

@@ -726,3 +726,39 @@ def test_neighbours_open_few_blocks():
     tops, postings = neighbours._index(block)
     assert neighbours._bounds(queries, tops).tolist() == [1.5]
     assert neighbours._similarities(queries, tops, postings, 2).tolist() == [[1.0, -3.5]]
+
+
+def test_copies_of_one_row_spread(spark):
+    """A class of one row against many: its copies are made by many tasks, and numbered like those of any other row."""
+    rows = spark.range(1, 30_001).select(F.col("id").alias("row_id"), F.lit("text").alias("text"), F.lit("big").alias("label"))
+    rows = rows.unionByName(spark.createDataFrame([(0, "alone", "small")], "row_id long, text string, label string"))
+    out = split.oversample(rows, "label").where("label = 'small'").withColumn("task", F.spark_partition_id())
+    made = out.groupBy("task").count().collect()
+    assert sum(r["count"] for r in made) == 30_000 and len(made) >= 4 and max(r["count"] for r in made) <= 15_000
+    numbers = out.agg(F.min("copy_no"), F.max("copy_no"), F.count_distinct("copy_no")).first()
+    assert tuple(numbers) == (0, 29_999, 30_000)
+
+
+@pytest.mark.parametrize("scale", [0.05, 0.7, 3.0, 40.0])
+def test_temperature_by_derivatives(spark, scale):
+    """The bracketed Newton steps end where a fine grid has its lowest loss, or at the end of the range."""
+    rng = np.random.default_rng(2)
+    scores = rng.normal(size=(300, 4))
+    p = np.exp(scores) / np.exp(scores).sum(axis=1, keepdims=True)
+    truth = [rng.choice(4, p=x) for x in p]
+    data = [(i, f"l{j}", float(scores[i, j] * scale), f"l{truth[i]}") for i in range(300) for j in range(4)]
+    logits = spark.createDataFrame(data, "row_id int, label string, logit double, y_true string").cache()
+    t = calibrate.fit_temperature(logits)
+
+    def loss(t):
+        z = scores * scale / t
+        return float(np.mean(np.log(np.exp(z - z.max(axis=1, keepdims=True)).sum(axis=1)) + z.max(axis=1) - z[np.arange(300), truth]))
+
+    grid = np.linspace(0.1, 10.0, 991)
+    assert 0.1 <= t <= 10.0 and loss(t) <= min(map(loss, grid)) + 1e-10
+    dense = calibrate.dense_logits(logits)
+    value, slope, bend = calibrate._slopes(dense, 2.0)
+    step = 1e-5
+    near = [loss(1 / (0.5 + d)) for d in (-step, 0.0, step)]
+    assert value == pytest.approx(near[1]) and slope == pytest.approx((near[2] - near[0]) / (2 * step), rel=1e-4, abs=1e-7)
+    assert bend == pytest.approx((near[2] - 2 * near[1] + near[0]) / step**2, rel=1e-2, abs=1e-3)
