@@ -38,7 +38,7 @@ from talkmill.llm.arrays import slices, text_bytes, words
 
 SAMPLE_TEXTS = 2500  # expected texts per class that are trained on
 SAMPLE_CHARS = 20_000_000  # of all texts trained on; those that come last in hash order are left out beyond it
-WINDOW = 6  # words
+WINDOW = 8  # words
 TOP, REACH = 8, 16  # savings of the lexicon, and of the toxic dictionary, are counted up to this many bytes
 COMMON_BYTES = 16_384
 CLASS_BYTES = 16_384  # of each dictionary: what the windows of one class alone train
@@ -121,7 +121,19 @@ class Toxicity:
     scales: np.ndarray
 
     def savings(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Savings of the lexicon from 0 to ``TOP``, those of the toxic dictionary within ``REACH``, and the window's row."""
+        """Savings of the lexicon from 0 to ``TOP``, those of the toxic dictionary within ``REACH``, and the window's row.
+
+        Rows are taken in chunks, so that the copies of their windows have a bound.
+        """
+        parts = []
+        for a, b in slices(offsets, CHUNK_BYTES):
+            at = offsets[a : b + 1]
+            foul, own, row = self._savings(data[at[0] : at[-1]], at - at[0])
+            parts.append((foul, own, row + a))
+        empty = np.zeros(0, np.int64)
+        return tuple(map(np.concatenate, zip(*parts))) if parts else (empty, empty, empty)
+
+    def _savings(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         spans, row = _windows(data, offsets, WINDOW)
         if not len(spans):
             return row, row, row
@@ -158,19 +170,30 @@ def _grams(word: str):
     return (word[i : i + GRAM] for i in range(len(word) - GRAM + 1))
 
 
-def _contexts(texts: list[list[str]]) -> list[str]:
-    """Words of all texts, one for each different pair of a word and the one before it."""
-    return [w for _, w in {p for t in texts for p in zip(["", *t], t)}]
+def _contexts(texts: list[str]) -> Counter:
+    """How many different words stand before each word.
 
-
-def _special(toxic: list[list[str]], ordinary: list[list[str]]) -> list[str]:
+    Words become numbers text by text, so only different words and pairs of numbers are held at once.
+    """
+    numbers: dict[str, int] = {"": 0}  # before the first word
+    pairs = []
+    for text in texts:
+        words = _WORD.findall(text)
+        own = np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.int64, len(words))
+        pairs.append(np.unique(np.append(0, own)[:-1] << 32 | own))
+    found = np.unique(np.concatenate(pairs)) & ((1 << 32) - 1) if pairs else np.zeros(0, np.int64)
+    times = np.bincount(found, minlength=len(numbers))
+    return Counter({w: int(times[i]) for w, i in numbers.items() if times[i]})
+
+
+def _special(toxic: list[str], ordinary: list[str]) -> list[str]:
     """Words and pieces of words that mark toxic texts, best first.
 
     Counted are the different words before a word, not texts or places: copies of a toxic text would
     otherwise make its rare words look typical.
     """
     foul, plain = _contexts(toxic), _contexts(ordinary)
-    n, m = max(len(foul), 1), max(len(plain), 1)
+    n, m = max(foul.total(), 1), max(plain.total(), 1)
     least = max(3, SUPPORT * len(toxic))
 
     def marks(part: str, a: Counter, b: Counter) -> bool:
@@ -179,14 +202,18 @@ def _special(toxic: list[list[str]], ordinary: list[list[str]]) -> list[str]:
         often = a[part] >= least and a[part] / n >= LIFT * (b[part] + 0.5) / m
         return often and apart >= DEVIATIONS * math.sqrt(share * (1 / n + 1 / m))
 
-    def holding(words: list[str], parts) -> Counter:
-        return Counter(g for w in words for g in set(parts(w)))
+    def holding(words: Counter) -> Counter:
+        out: Counter = Counter()
+        for w, times in words.items():
+            for g in set(_grams(w)):
+                out[g] += times
+        return out
 
-    grams_a, grams_b = (holding(w, _grams) for w in (foul, plain))
-    words_a, words_b = (Counter(f" {w} " for w in words) for words in (foul, plain))
+    grams_a, grams_b = holding(foul), holding(plain)
+    words_a, words_b = (Counter({f" {w} ": times for w, times in words.items()}) for words in (foul, plain))
     marked = {g for g in grams_a if marks(g, grams_a, grams_b)}
     pieces: Counter = Counter({w: c for w, c in words_a.items() if marks(w, words_a, words_b)})
-    for word, times in Counter(foul).items():
+    for word, times in foul.items():
         text = f" {word} "
         hit = [text[i : i + GRAM] in marked for i in range(len(text) - GRAM + 1)]
         begin = None
@@ -197,7 +224,7 @@ def _special(toxic: list[list[str]], ordinary: list[list[str]]) -> list[str]:
                 pieces[text[begin : i + GRAM - 1]] += times
                 begin = None
     kept: list[str] = []
-    inside = "\n".join(f" {w} " for w in set(plain))
+    inside = "\n".join(f" {w} " for w in plain)
     for piece, times in sorted(pieces.items(), key=lambda x: (-x[1], x[0])):
         if times >= least and len(piece.encode()) >= PIECE_BYTES and not any(piece in k for k in kept):
             if piece not in inside or piece in words_a:
@@ -242,8 +269,7 @@ def train(texts: list[str], labels: list[int], prior: float = 0.5) -> Toxicity |
     y = np.array(labels)
     if not 0 < y.sum() < len(y):
         return None
-    split = [_WORD.findall(t) for t in texts]
-    toxic, ordinary = ([w for w, l in zip(split, y) if l == k] for k in (1, 0))
+    toxic, ordinary = ([t for t, l in zip(texts, y) if l == k] for k in (1, 0))
     pieces = "".join(reversed(_special(toxic, ordinary))).encode()
     # The last bytes of a dictionary are not indexed, so filler follows the pieces.
     special = (pieces[-SPECIAL_BYTES + TAIL_BYTES :] + b"\xff" * TAIL_BYTES).rjust(SPECIAL_BYTES, b"\xff")
