@@ -104,7 +104,8 @@ class _Text(HasInputCol, HasOutputCol):
     minDF = Param(Params._dummy(), "minDF", "rows a term needs", TypeConverters.toInt)
     kind = Param(Params._dummy(), "kind", "counts or tfidf", TypeConverters.toString)
 
-    def _grams(self, df: DataFrame) -> DataFrame:
+    def grams(self, df: DataFrame) -> DataFrame:
+        """The rows with their n-grams in ``__terms``."""
         source, low, high = self.getInputCol(), self.getOrDefault("low"), self.getOrDefault("high")
         work = df.withColumn("__tokens", word_tokens(F.coalesce(F.col(source), F.lit(""))))
         return work.withColumn("__terms", word_ngrams("__tokens", low, high)).drop("__tokens")
@@ -124,11 +125,16 @@ class TermVectors(Estimator, _Text):
 
     def _fit(self, df: DataFrame) -> "TermVectorsModel":
         opt = self.getOrDefault
-        known = vocabulary(
-            df, self.getInputCol(), opt("low"), opt("high"), opt("maxFeatures"), opt("minDF")
-        ).collect()  # no more than maxFeatures rows
+        return self._of(_terms(df, self.getInputCol(), opt("low"), opt("high")), df.count())
+
+    def fit_terms(self, lists: DataFrame) -> "TermVectorsModel":
+        """Fit on rows whose n-grams are in ``__terms`` already, as ``grams`` makes them."""
+        return self._of(lists.select(F.inline(term_counts("__terms"))), lists.count())
+
+    def _of(self, terms: DataFrame, rows: int) -> "TermVectorsModel":
+        opt = self.getOrDefault
+        known = top_terms(terms, opt("maxFeatures"), opt("minDF")).collect()  # no more than maxFeatures rows
         known.sort(key=lambda r: r["term"])
-        rows = df.count()
         idf = [float(np.log((1 + rows) / (1 + r["df"])) + 1) for r in known]
         model = TermVectorsModel([r["term"] for r in known], idf)
         return self._copyValues(model)
@@ -145,8 +151,11 @@ class TermVectorsModel(Model, _Text, Saved):
         return {"terms": self.terms, "idf": self.idf}
 
     def _transform(self, df: DataFrame) -> DataFrame:
+        return self.vectors(self.grams(df))
+
+    def vectors(self, grams: DataFrame) -> DataFrame:
+        """Vectors of rows whose n-grams are in ``__terms``."""
         out = self.getOutputCol()
-        grams = self._grams(df)
         if not self.terms:
             raise ValueError("no terms left in the vocabulary")
         counter = CountVectorizerModel.from_vocabulary(

@@ -48,13 +48,13 @@ class LinearSvm(Estimator):
         packed, width = linear.blocks(df)
         try:
             classes = self.classes or int(df.agg(F.max("label_idx")).first()[0]) + 1
-            problems = [linear.Problem(i, 0, self.c) for i in _lines_of(classes)]
+            problems = [linear.Problem(i, 0, self.c) for i in lines_of(classes)]
             return LinearSvmModel(linear.solve(packed, width, problems, self.max_iter))
         finally:
             packed.unpersist()
 
 
-def _lines_of(classes: int) -> list[int]:
+def lines_of(classes: int) -> list[int]:
     """Classes that have a line: with two, the line of the second tells both apart."""
     return list(range(classes)) if classes > 2 else [classes - 1]
 
@@ -126,7 +126,7 @@ class CalibratedSvm(Estimator):
         try:
             # All folds have the classes of the whole table, also those that one of them lacks.
             classes = max(int(df.agg(F.max("label_idx")).first()[0]) + 1, 2)
-            own = _lines_of(classes)
+            own = lines_of(classes)
             problems = [linear.Problem(i, f, self.c) for f in range(1, self.folds + 1) for i in own]
             lines = linear.solve(packed, width, problems, self.max_iter)
             held = linear.held_margins(packed, problems, lines, classes).persist(StorageLevel.MEMORY_AND_DISK)

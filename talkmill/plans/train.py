@@ -25,9 +25,9 @@ from talkmill.operators.metrics import fold_scores, summary
 from talkmill.operators.neighbours import nearest, vote_of_neighbours
 from talkmill.operators.report import best_per_model
 from talkmill.operators.split import bag_weights, bootstrap, k_folds
-from talkmill.plans import bayes
+from talkmill.plans import bayes, linear
 from talkmill.plans.features import TermVectors
-from talkmill.plans.models import Spec, build, long_probabilities, score_rows, stacker
+from talkmill.plans.models import Spec, build, feature_stages, lines_of, long_probabilities, score_rows, stacker
 from talkmill.session import distinct_values, checkpointed
 
 
@@ -302,18 +302,22 @@ def grid_search(
     ``grid`` keys ``high`` and ``min_df`` change the features, others the classifier.
     """
     folds = checkpointed(k_folds(df, label, k, text, row_id, seed))
-    tried = []
-    for values in itertools.product(*grid.values()):
-        setting = dict(zip(grid, values))
-        one = _with(spec, setting)
-        scored = []
-        for f in range(1, k + 1):
-            model = build(one, text, label, row_id, **options).fit(folds.where(F.col("fold") != f))
-            rows = score_rows(model, folds.where(F.col("fold") == f))
-            scored.append(rows.select("fold", F.col(label).alias("y_true"), "y_pred"))
-        mean = fold_scores(_union(scored)).first()["f1_mean"]
-        tried.append((setting, mean))
-    best = max(tried, key=lambda t: t[1])[0]
+    joint = spec.classifier == "svm" and spec.features in ("counts", "tfidf") and set(grid) <= {"C", "high", "min_df", "max_features"}
+    if joint:
+        tried = _joint_grid(folds, spec, grid, k, text, label, **options)
+    else:
+        tried = []
+        for values in itertools.product(*grid.values()):
+            setting = dict(zip(grid, values))
+            one = _with(spec, setting)
+            scored = []
+            for f in range(1, k + 1):
+                model = build(one, text, label, row_id, **options).fit(folds.where(F.col("fold") != f))
+                rows = score_rows(model, folds.where(F.col("fold") == f))
+                scored.append(rows.select("fold", F.col(label).alias("y_true"), "y_pred"))
+            mean = fold_scores(_union(scored)).first()["f1_mean"]
+            tried.append((setting, mean))
+    best = max(tried, key=lambda t: t[1])[0]  # the first among equals
     table = df.sparkSession.createDataFrame(
         [(*[str(v) for v in s.values()], float(m)) for s, m in tried],
         ", ".join(f"`{n}` string" for n in grid) + ", f1_mean double",
@@ -321,6 +325,45 @@ def grid_search(
     return table, best, build(_with(spec, best), text, label, row_id, **options).fit(df)
 
 
+def _joint_grid(folds: DataFrame, spec: Spec, grid: Mapping[str, Sequence], k: int, text: str, label: str, max_iter: int = 100) -> list:
+    """Settings and their mean F1 for linear SVMs.
+
+    The texts are split into n-grams once per order. Each fold and feature setting has one matrix, and one solver fits all classes and
+    all values of ``C`` on it in the same passes.
+    """
+    strengths = list(grid.get("C", [spec.options.get("C", 1.0)]))
+    others = {n: v for n, v in grid.items() if n != "C"}
+    names = distinct_values(folds, label)
+    place = F.array_position(literal_array(names, dict(folds.dtypes)[label]), F.col(label)) - 1
+    counts = {(r["fold"], r[label]): r["count"] for r in folds.groupBy("fold", label).count().collect()}  # folds * classes
+    lists, scored = {}, []
+    for values in itertools.product(*others.values()):
+        setting = dict(zip(others, values))
+        one = _with(spec, setting)
+        stage = feature_stages(one, text)[0]
+        if one.high not in lists:
+            rows = folds.select("fold", place.cast("int").alias("label_idx"), text)
+            lists[one.high] = checkpointed(stage.grams(rows).select("fold", "label_idx", "__terms"))
+        for f in range(1, k + 1):
+            seen = [sum(n for (g, x), n in counts.items() if g != f and x == name) for name in names]
+            balanced = [sum(seen) / (sum(n > 0 for n in seen) * n) if n else 1.0 for n in seen]
+            fitted = stage.fit_terms(lists[one.high].where(F.col("fold") != f))
+            weight = F.get(literal_array(balanced, "double"), F.col("label_idx"))
+            packed, width = linear.blocks(fitted.vectors(lists[one.high]).withColumn("weight", weight), fold="fold")
+            own = lines_of(len(names))
+            problems = [linear.Problem(i, f, float(c)) for c in strengths for i in own]
+            lines = linear.solve(packed, width, problems, max_iter)
+            for n, c in enumerate(strengths):
+                part = slice(n * len(own), (n + 1) * len(own))
+                held = linear.held_margins(packed, problems[part], lines[part], len(names)).where(F.col("fold") == f)
+                best = F.array_position("margins", F.array_max("margins")).cast("int") - 1
+                key = F.lit(json.dumps({**setting, "C": c} if "C" in grid else setting)).alias("setting")
+                scored.append(checkpointed(held.select(key, "fold", F.col("label_idx").cast("int").alias("y_true"), best.alias("y_pred"))))
+            packed.unpersist()
+    means = {r["setting"]: r["f1_mean"] for r in fold_scores(_union(scored), ["setting"]).collect()}  # one row per setting
+    return [({n: json.loads(s)[n] for n in grid}, m) for s, m in sorted(means.items())]
+
+
 def _with(spec: Spec, setting: Mapping) -> Spec:
     known = {n: v for n, v in setting.items() if n in ("high", "min_df", "max_features")}
     other = {n: v for n, v in setting.items() if n not in known}

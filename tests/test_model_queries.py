@@ -6,7 +6,7 @@ from talkmill.plans.models import BASELINES, LEGACY
 
 @pytest.mark.parametrize(
     "name",
-    ["complement_naive_bayes", "logistic_regression", "linear_svm", "keyword_svm", "calibrated_svm", "decision_tree"],
+    ["logistic_regression", "linear_svm", "keyword_svm", "calibrated_svm", "decision_tree"],
 )
 def test_settings_of_the_catalogue(name, monkeypatch):
     monkeypatch.setattr(model_queries, "_scores", lambda spark, sf_dir, label, spec, **options: (spec, options))
