@@ -10,7 +10,9 @@ import json
 import time
 from collections.abc import Mapping, Sequence
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.util import DefaultParamsReader
@@ -31,6 +33,10 @@ from talkmill.plans.models import Spec, build, feature_stages, lines_of, long_pr
 from talkmill.session import distinct_values, checkpointed
 
 
+PARALLEL_FOLDS = 4
+GRID_TOLERANCE = 1e-3  # of a grid search's solver: settings are compared by labels, not by weights
+
+
 def _union(tables: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, tables)
 
@@ -295,9 +301,10 @@ def grid_search(
     label: str = "label",
     row_id: str = "row_id",
     seed: int = 42,
+    refit: bool = True,
     **options,
-) -> tuple[DataFrame, dict, PipelineModel]:
-    """Mean weighted F1 over folds for each setting, the best setting and its model on all rows.
+) -> tuple[DataFrame, dict, PipelineModel | None]:
+    """Mean weighted F1 over folds for each setting, the best setting and, unless ``refit`` is off, its model on all rows.
 
     ``grid`` keys ``high`` and ``min_df`` change the features, others the classifier.
     """
@@ -322,7 +329,7 @@ def grid_search(
         [(*[str(v) for v in s.values()], float(m)) for s, m in tried],
         ", ".join(f"`{n}` string" for n in grid) + ", f1_mean double",
     )
-    return table, best, build(_with(spec, best), text, label, row_id, **options).fit(df)
+    return table, best, build(_with(spec, best), text, label, row_id, **options).fit(df) if refit else None
 
 
 def _joint_grid(folds: DataFrame, spec: Spec, grid: Mapping[str, Sequence], k: int, text: str, label: str, max_iter: int = 100) -> list:
@@ -344,24 +351,37 @@ def _joint_grid(folds: DataFrame, spec: Spec, grid: Mapping[str, Sequence], k: i
         if one.high not in lists:
             rows = folds.select("fold", place.cast("int").alias("label_idx"), text)
             lists[one.high] = checkpointed(stage.grams(rows).select("fold", "label_idx", "__terms"))
-        for f in range(1, k + 1):
-            seen = [sum(n for (g, x), n in counts.items() if g != f and x == name) for name in names]
+
+        def fold(f: int) -> list[DataFrame]:
+            """Held-out predictions of one fold for every strength."""
+            seen = [sum(n for (g, x), n in counts.items() if g != f and x == name) for name in names]  # noqa: B023
             balanced = [sum(seen) / (sum(n > 0 for n in seen) * n) if n else 1.0 for n in seen]
-            fitted = stage.fit_terms(lists[one.high].where(F.col("fold") != f))
+            fitted = stage.fit_terms(lists[one.high].where(F.col("fold") != f))  # noqa: B023
             weight = F.get(literal_array(balanced, "double"), F.col("label_idx"))
-            packed, width = linear.blocks(fitted.vectors(lists[one.high]).withColumn("weight", weight), fold="fold")
-            own = lines_of(len(names))
+            packed, width = linear.blocks(fitted.vectors(lists[one.high]).withColumn("weight", weight), fold="fold")  # noqa: B023
+            own, out = lines_of(len(names)), []
             problems = [linear.Problem(i, f, float(c)) for c in strengths for i in own]
-            lines = linear.solve(packed, width, problems, max_iter)
+            lines = linear.solve(packed, width, problems, max_iter, GRID_TOLERANCE)
             for n, c in enumerate(strengths):
                 part = slice(n * len(own), (n + 1) * len(own))
                 held = linear.held_margins(packed, problems[part], lines[part], len(names)).where(F.col("fold") == f)
                 best = F.array_position("margins", F.array_max("margins")).cast("int") - 1
-                key = F.lit(json.dumps({**setting, "C": c} if "C" in grid else setting)).alias("setting")
-                scored.append(checkpointed(held.select(key, "fold", F.col("label_idx").cast("int").alias("y_true"), best.alias("y_pred"))))
+                key = F.lit(json.dumps({**setting, "C": c} if "C" in grid else setting)).alias("setting")  # noqa: B023
+                out.append(held.select(key, "fold", F.col("label_idx").cast("int").alias("y_true"), best.alias("y_pred")))
+            done = checkpointed(_union(out))
             packed.unpersist()
+            return [done]
+
+        # Folds run side by side: the jobs of one fill the gaps between those of another.
+        with ThreadPool(min(k, PARALLEL_FOLDS)) as pool:
+            scored += sum(pool.map(inheritable_thread_target(folds.sparkSession)(fold), range(1, k + 1)), [])
     means = {r["setting"]: r["f1_mean"] for r in fold_scores(_union(scored), ["setting"]).collect()}  # one row per setting
-    return [({n: json.loads(s)[n] for n in grid}, m) for s, m in sorted(means.items())]
+    settings = [dict(zip(grid, values)) for values in itertools.product(*grid.values())]
+
+    def key(setting: dict) -> str:
+        return json.dumps({n: setting[n] for n in [*others, *(["C"] if "C" in grid else [])]})
+
+    return [(setting, means[key(setting)]) for setting in settings]
 
 
 def _with(spec: Spec, setting: Mapping) -> Spec:

@@ -323,3 +323,19 @@ def test_bags_and_lengths_in_one_aggregation(rows):
             words = F.split("text", " ")
             cut = rows.withColumn("text", F.array_join(text.truncate_tokens(words, n, strategy), " "))
             held_against(model, cut, cut)
+
+
+def test_joint_grid(rows):
+    """All strengths of a fold in one solver give the scores of a pipeline per fold and strength."""
+    spec = Spec("tfidf", "svm", **SMALL)
+    table, best, model = train.grid_search(rows, spec, {"min_df": [1, 3], "C": [0.01, 1.0]}, k=2, refit=False)
+    got = {(r.min_df, r.C): r.f1_mean for r in table.collect()}
+    assert len(got) == 4 and model is None and set(best) == {"min_df", "C"}
+    assert got[str(best["min_df"]), str(best["C"])] == max(got.values())
+    folds = split.k_folds(rows, "label", 2).cache()
+    scored = []
+    for f in (1, 2):
+        one = models.build(Spec("tfidf", "svm", max_features=200, min_df=3, options={"C": 1.0})).fit(folds.where(F.col("fold") != f))
+        scored.append(models.score_rows(one, folds.where(F.col("fold") == f)).select("fold", F.col("label").alias("y_true"), "y_pred"))
+    want = metrics.fold_scores(scored[0].unionByName(scored[1])).first().f1_mean
+    assert got["3", "1.0"] == pytest.approx(want, abs=0.011)
