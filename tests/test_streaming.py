@@ -1,3 +1,6 @@
+import pytest
+
+from talkmill.plans.speech_queries import streamed_preparation
 from talkmill.sources.tables import transcript_rows
 from talkmill.streaming import calls
 
@@ -31,3 +34,17 @@ def test_routes(spark, tmp_path):
     calls.route_stream(calls.arriving(spark, inbox, df.schema), out, state).awaitTermination()
     got = {r.row_id: (r.route, r.y_pred) for r in spark.read.parquet(out).collect()}
     assert got == {1: ("review", "hr"), 2: ("review", "spam"), 3: ("auto", "it")}
+
+
+@pytest.mark.parametrize("files", [0, 3])
+def test_streamed_table(spark, tmp_path, files):
+    """The table may be one file or a folder of several."""
+    rows = [(n, "de" if n % 3 else "en", None if n == 4 else "word " * (n * 20)) for n in range(9)]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    if files:
+        df.repartition(files).write.parquet(str(tmp_path / "documents.parquet"))
+    else:
+        df.toPandas().to_parquet(tmp_path / "documents.parquet", index=False)
+    df.write.parquet(str(tmp_path / "labels.parquet"))
+    got = {r.lang: (r.n_rows, r.short) for r in streamed_preparation(spark, str(tmp_path)).collect()}
+    assert got == {"de": (6, 3), "en": (3, 1)}
