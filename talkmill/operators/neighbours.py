@@ -3,7 +3,8 @@
 Training rows are dealt by id range and written once, in blocks, each an inverted index: for every term the rows that hold it, and the
 largest and smallest weight in the block. Tasks over the query rows stream the blocks past a fixed block of queries. The weights bound
 every similarity from above, so a block is opened only for queries whose bound reaches the ``k``-th best found so far, the most
-promising blocks first. Shuffled are the training rows, once; queries stay where they are.
+promising blocks first. Terms that many queries and many rows of a block hold are multiplied as dense matrices, the others through their
+postings. Training rows and queries are shuffled once each.
 """
 
 from __future__ import annotations
@@ -16,12 +17,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from talkmill.session import checkpointed
 from talkmill.sources.shared import new_folder, read_file, write_file
 
 BLOCK_ROWS = 4096  # training rows of a block, fewer where they hold more than BLOCK_CELLS numbers
 BLOCK_CELLS = 1 << 20
 QUERY_ROWS = 1024  # query rows that a task holds at once
 EXPANDED = 1 << 21  # products of a query number and a posting that are formed at once
+DENSE = 100  # a product through postings costs about as much as so many of a dense matrix
+DENSE_CELLS = 1 << 21  # numbers of a dense matrix of training rows
+PARTS = 4  # parts of the queries for each core
 DIGITS = 9  # similarities are compared to this many decimals, ties go to the smaller id
 
 
@@ -148,18 +153,30 @@ class _Best:
 
     def meet(self, at: np.ndarray, sims: np.ndarray, before: int, rows: pa.Table) -> None:
         """Take the rows of a block into account for the queries ``at``."""
-        n = min(self.k, sims.shape[1])
-        # Rows at least as good as the n-th best, the first of them in the order of ids.
-        top = np.argsort(-sims, axis=1, kind="stable")[:, :n]
-        found = np.take_along_axis(sims, top, 1)
-        ids, labels = (np.array(rows.column(c).to_pylist() + [None], object)[:-1] for c in ("near_id", "label"))
-        sims = np.hstack([self.sims[at], found])
-        places = np.hstack([self.places[at], np.where(np.isfinite(found), top + before, np.iinfo(np.int64).max)])
-        order = np.lexsort((places, -sims))[:, : self.k]
-        self.sims[at] = np.take_along_axis(sims, order, 1)
-        self.places[at] = np.take_along_axis(places, order, 1)
-        for mine, new in ((self.ids, ids), (self.labels, labels)):
-            mine[at] = np.take_along_axis(np.hstack([mine[at], new[top]]), order, 1)
+        # All that may round to the k-th best so far, or, where these are many, the k best of the block, the first in the order of ids.
+        near = sims >= np.maximum(self.sims[at, -1:] - 10.0**-DIGITS, -1e300)
+        many = np.flatnonzero(np.count_nonzero(near, axis=1) > 4 * self.k + 16)
+        if len(many):
+            part = np.round(sims[many], DIGITS)
+            last = -np.partition(-part, self.k - 1, axis=1)[:, self.k - 1, None]
+            same = part == last
+            near[many] &= (part > last) | (same & (np.cumsum(same, axis=1) <= self.k))
+        line, spot = np.nonzero(near)
+        if not len(line):
+            return
+        found = np.round(sims[line, spot], DIGITS) + 0.0
+        met = np.unique(line)
+        line = np.append(np.repeat(met, self.k), line)
+        sims = np.append(self.sims[at[met]], found)
+        places = np.append(self.places[at[met]], spot + before)
+        order = np.lexsort((places, -sims, line))
+        first = np.searchsorted(line[order], met)
+        order = order[first[:, None] + np.arange(self.k)]
+        self.sims[at[met]], self.places[at[met]] = sims[order], places[order]
+        for mine, column in ((self.ids, "near_id"), (self.labels, "label")):
+            new = np.empty(len(spot), object)
+            new[:] = rows.column(column).take(pa.array(spot)).to_pylist()
+            mine[at[met]] = np.append(mine[at[met]], new)[order]
 
 
 def _bounds(queries: Sparse, tops: pa.Table) -> np.ndarray:
@@ -173,16 +190,44 @@ def _bounds(queries: Sparse, tops: pa.Table) -> np.ndarray:
     return np.round(np.bincount(queries.rows, share, len(queries.first) - 1) + 1e-12, DIGITS)
 
 
+def _product(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Matrix product; a number that is not finite counts only where the other side has one."""
+    good = np.isfinite(left), np.isfinite(right)
+    if good[0].all() and good[1].all():
+        return left @ right
+    bad = [(~g).astype(float) for g in good]
+    met = bad[0] @ (right != 0).astype(float) + (left != 0).astype(float) @ bad[1]
+    return np.where(met > 0, np.nan, np.where(good[0], left, 0.0) @ np.where(good[1], right, 0.0))
+
+
 def _similarities(queries: Sparse, tops: pa.Table, postings: pa.Table, rows: int) -> np.ndarray:
     """Products of all queries with all rows of the block, through the postings of the queries' terms."""
-    out = np.zeros((len(queries.first) - 1, rows))
+    count = len(queries.first) - 1
+    out = np.zeros((count, rows))
     terms, starts = (tops.column(c).to_numpy() for c in ("term", "start"))
     if not len(terms) or not len(queries.place):
         return out
     row, value = postings.column("row").to_numpy(), postings.column("value").to_numpy()
+    sizes = np.diff(np.append(starts, len(row)))
     at = np.minimum(np.searchsorted(terms, queries.place), len(terms) - 1)
-    size = np.where(terms[at] == queries.place, np.diff(np.append(starts, len(row)))[at], 0)
-    own = queries.rows
+    known = np.flatnonzero(terms[at] == queries.place)
+    at, own, weight = at[known], queries.rows[known], queries.value[known]
+    # Terms of so many queries and rows that a dense product is cheaper.
+    dense = np.bincount(at, minlength=len(terms)) * sizes * DENSE > count * rows
+    column = np.cumsum(dense) - 1
+    chosen, inside = np.flatnonzero(dense), dense[at]
+    step = max(1, DENSE_CELLS // max(rows, 1))
+    for begin in range(0, len(chosen), step):
+        part = chosen[begin : begin + step]
+        left, right = np.zeros((count, len(part))), np.zeros((len(part), rows))
+        mine = np.flatnonzero(inside & (column[at] >= begin) & (column[at] < begin + step))
+        np.add.at(left, (own[mine], column[at[mine]] - begin), weight[mine])
+        for n, t in enumerate(part):
+            cells = slice(starts[t], starts[t] + sizes[t])
+            right[n] = np.bincount(row[cells], value[cells], rows)
+        out += _product(left, right)
+    at, own, weight = at[~inside], own[~inside], weight[~inside]
+    size = sizes[at]
     ends = np.cumsum(size)
     begin = 0
     while begin < len(size):
@@ -193,7 +238,7 @@ def _similarities(queries: Sparse, tops: pa.Table, postings: pa.Table, rows: int
         spot = np.repeat(own[begin:end], n)
         low, high = own[begin], own[end - 1] + 1
         key = (spot - low) * rows + row[cells]
-        product = np.bincount(key, np.repeat(queries.value[begin:end], n) * value[cells], (high - low) * rows)
+        product = np.bincount(key, np.repeat(weight[begin:end], n) * value[cells], (high - low) * rows)
         out[low:high] += product.reshape(high - low, rows)
         begin = end
     return out
@@ -223,12 +268,11 @@ def nearest(query: DataFrame, train: DataFrame, k: int = 5, block_rows: int = BL
                         continue
                     rows = read_file(f"{name}-rows")
                     found = _similarities(queries.take(at), read_file(f"{name}-tops"), read_file(f"{name}-postings"), rows.num_rows)
-                    sims = np.round(found, DIGITS) + 0.0
                     if skip_self:
                         spot = pc.index_in(rows.column("near_id").combine_chunks(), part.column("id").take(pa.array(at)))
                         same = np.flatnonzero(spot.is_valid().to_numpy(zero_copy_only=False))
-                        sims[spot.to_numpy(zero_copy_only=False)[same].astype(int), same] = -np.inf
-                    best.meet(at, sims, before, rows)
+                        found[spot.to_numpy(zero_copy_only=False)[same].astype(int), same] = -np.inf
+                    best.meet(at, found, before, rows)
                 line, rank = np.nonzero(np.isfinite(best.sims))
                 kinds = [f.type for f in rows.schema] if blocks and len(line) else [pa.null(), pa.null()]
                 yield pa.record_batch(
@@ -244,7 +288,9 @@ def nearest(query: DataFrame, train: DataFrame, k: int = 5, block_rows: int = BL
 
     if not blocks:
         return query.sparkSession.createDataFrame([], schema)
-    return query.select("id", unit()).mapInArrow(search, schema)
+    # Every query meets every block, so the queries are dealt evenly over all cores.
+    dealt = query.select("id", unit()).repartition(PARTS * query.sparkSession.sparkContext.defaultParallelism)
+    return checkpointed(dealt).mapInArrow(search, schema)
 
 
 def vote_of_neighbours(near: DataFrame) -> DataFrame:

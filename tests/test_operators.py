@@ -728,6 +728,37 @@ def test_neighbours_open_few_blocks():
     assert neighbours._similarities(queries, tops, postings, 2).tolist() == [[1.0, -3.5]]
 
 
+def test_neighbours_in_dense_products(monkeypatch):
+    """Terms of many rows are multiplied as matrices, in pieces, next to rare terms and numbers that are not finite."""
+    rng = np.random.default_rng(5)
+    x, y = (np.where(rng.random((n, 40)) < np.linspace(0.02, 1, 40), rng.normal(size=(n, 40)), 0.0) for n in (30, 50))
+    x[3, 39], y[4, 39] = np.nan, np.nan
+    y[5] = 0.0
+    packed = []
+    for m in (x, y):
+        row, place = np.nonzero(m)
+        packed.append(neighbours.Sparse(np.append(0, np.cumsum((m != 0).sum(axis=1))), place, m[row, place]))
+    used = []
+    product = neighbours._product
+    monkeypatch.setattr(neighbours, "_product", lambda a, b: used.append(b.shape[0]) or product(a, b))
+    monkeypatch.setattr(neighbours, "DENSE_CELLS", 300)
+    monkeypatch.setattr(neighbours, "DENSE", 5)
+    got = neighbours._similarities(packed[0], *neighbours._index(packed[1]), 50)
+    met = ((x != 0) @ np.isnan(y).T) | (np.isnan(x) @ (y != 0).T)
+    want = np.where(met, np.nan, np.nan_to_num(x) @ np.nan_to_num(y).T)
+    assert np.allclose(got, want, equal_nan=True)
+    assert len(used) > 1 and max(used) <= 6 and 10 < sum(used) < 40
+
+
+def test_best_of_copies():
+    """A block full of equal rows gives the first of them, whichever block comes first."""
+    best = neighbours._Best(2, 3)
+    rows = pa.table({"near_id": list(range(100)), "label": ["x"] * 100})
+    for before in (100, 0):
+        best.meet(np.array([1]), np.full((1, 100), 0.5 + before * 1e-13), before, rows)
+    assert best.places[1].tolist() == [0, 1, 2] and best.sims[1].tolist() == [0.5] * 3 and not np.isfinite(best.sims[0]).any()
+
+
 def test_copies_of_one_row_spread(spark):
     """A class of one row against many: its copies are made by many tasks, and numbered like those of any other row."""
     rows = spark.range(1, 30_001).select(F.col("id").alias("row_id"), F.lit("text").alias("text"), F.lit("big").alias("label"))
