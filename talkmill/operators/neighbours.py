@@ -17,6 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from talkmill.functions.columns import bind
 from talkmill.session import checkpointed
 from talkmill.sources.shared import new_folder, read_file, write_file
 
@@ -42,7 +43,8 @@ def unit(vec: str = "vec"):
     """Vector scaled to length 1; a zero vector stays."""
     values = F.col(f"{vec}.values")
     norm = F.sqrt(F.aggregate(values, F.lit(0.0), lambda a, x: a + x * x))
-    scaled = F.transform(values, lambda x: F.when(norm > 0, x / norm).otherwise(x))
+    # Bound, so that the length is summed once a row and not once a number.
+    scaled = bind(norm, lambda n: F.transform(values, lambda x: F.when(n > 0, x / n).otherwise(x)))
     return F.struct(F.col(f"{vec}.indices").alias("indices"), scaled.alias("values")).alias(vec)
 
 

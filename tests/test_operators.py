@@ -750,6 +750,18 @@ def test_neighbours_in_dense_products(monkeypatch):
     assert len(used) > 1 and max(used) <= 6 and 10 < sum(used) < 40
 
 
+def test_unit_of_a_long_vector(spark):
+    """The length is summed once a row: a text of 60,000 terms takes no longer than so many short ones."""
+    import time
+
+    row = spark.range(1).select(F.struct(F.sequence(F.lit(1), F.lit(60_000)).alias("indices"),
+                                         F.array_repeat(F.lit(2.0), 60_000).alias("values")).alias("vec"))
+    begin = time.time()
+    length = F.aggregate("vec.values", F.lit(0.0), lambda a, x: a + x * x)
+    assert row.select(neighbours.unit()).select(length).first()[0] == pytest.approx(1)
+    assert time.time() - begin < 20
+
+
 def test_best_of_copies():
     """A block full of equal rows gives the first of them, whichever block comes first."""
     best = neighbours._Best(2, 3)
