@@ -99,7 +99,8 @@ def _index(rows: Sparse) -> tuple[pa.Table, pa.Table]:
 def write_blocks(train: DataFrame, block_rows: int = BLOCK_ROWS) -> list[tuple[int, str]]:
     """Write ``(id, label, vec)`` in blocks by id; returns rows before each block and its name, one entry per block."""
     folder = new_folder(train.sparkSession, "neighbours")
-    kept = train.select(F.col("id").alias("near_id"), "label", unit().alias("vec"))
+    # Written once: the ranges of ids are found by one pass and dealt out by another.
+    kept = checkpointed(train.select(F.col("id").alias("near_id"), "label", unit().alias("vec")))
     dealt = kept.repartitionByRange("near_id").sortWithinPartitions("near_id")
 
     def write(batches):
@@ -257,10 +258,18 @@ def nearest(query: DataFrame, train: DataFrame, k: int = 5, block_rows: int = BL
     schema = f"id {dict(query.dtypes)['id']}, near_id {types['id']}, label {types['label']}, similarity double, rank int"
     fields = pa.schema([("similarity", pa.float64()), ("rank", pa.int32())])
 
-    def search(batches):
+    def pack(batches):
         for batch in batches:
             for begin in range(0, batch.num_rows, QUERY_ROWS):
-                part = batch.slice(begin, QUERY_ROWS)
+                part, sink = batch.slice(begin, QUERY_ROWS), pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, part.schema) as out:
+                    out.write_batch(part)
+                yield pa.record_batch([pa.array([sink.getvalue().to_pybytes()])], names=["rows"])
+
+    def search(batches):
+        for batch in batches:
+            for cell in batch.column("rows"):
+                part = pa.ipc.open_stream(cell.as_buffer()).read_next_batch()
                 queries, best = Sparse.of(part.column("vec")), _Best(part.num_rows, k)
                 bounds = [_bounds(queries, read_file(f"{name}-tops")) for _, name in blocks]
                 for b in sorted(range(len(blocks)), key=lambda b: -bounds[b].sum()):
@@ -290,8 +299,9 @@ def nearest(query: DataFrame, train: DataFrame, k: int = 5, block_rows: int = BL
 
     if not blocks:
         return query.sparkSession.createDataFrame([], schema)
-    # Every query meets every block, so the queries are dealt evenly over all cores.
-    dealt = query.select("id", unit()).repartition(PARTS * query.sparkSession.sparkContext.defaultParallelism)
+    # Every query meets every block, so blocks of queries are dealt over all cores.
+    packed = query.select("id", unit()).mapInArrow(pack, "rows binary")
+    dealt = packed.repartition(PARTS * query.sparkSession.sparkContext.defaultParallelism)
     return checkpointed(dealt).mapInArrow(search, schema)
 
 
