@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLOCK_CELLS = 1 << 16  # stored numbers of a block of rows
+GRADIENT = 1 << 12  # weights whose sums are added by one task
 HISTORY, TOLERANCE = 10, 1e-4
 
 
@@ -65,45 +66,58 @@ class Rows:
         return out
 
 
-def sparse_lists(column) -> tuple[list, list]:
-    """Places and values per row of an Arrow column of ML vectors, sparse or dense."""
-    kinds, places, values = (column.field(n).to_pylist() for n in ("type", "indices", "values"))
-    places = [np.asarray(p if k == 0 else range(len(v)), np.int32) for k, p, v in zip(kinds, places, values)]
-    return places, [np.asarray(v, float) for v in values]
+def flat(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers per row, places and values of an Arrow column of ML vectors, sparse or dense."""
+    lists = column.field("values")
+    size = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    first = np.cumsum(size) - size
+    place = (np.arange(size.sum()) - np.repeat(first, size)).astype(np.int32)
+    sparse = column.field("type").to_numpy(zero_copy_only=False) == 0
+    place[np.repeat(sparse, size)] = column.field("indices").filter(pa.array(sparse)).flatten().to_numpy(zero_copy_only=False)
+    return size, place, lists.flatten().to_numpy(zero_copy_only=False).astype(float, copy=False)
 
 
-_BLOCKS = "n int, place binary, value binary, row binary, label binary, weight binary, fold binary"
+_BLOCKS = "n int, place binary, value binary, row binary, label binary, weight binary, fold binary, width int, top int"
 
 
 def blocks(df: DataFrame, features: str = "features", label: str = "label_idx", weight: str = "weight", fold: str | None = None):
     """Pack ``df`` into blocks, kept in memory and on disk; returns them and the width of the vectors."""
     vector = F.unwrap_udt(features)
-    first = df.select(vector["size"].alias("size"), F.size(vector["values"]).alias("dense")).first()
-    width = 0 if first is None else (first["size"] if first["size"] is not None else first["dense"])
     rows = df.select(
         vector.alias("v"), F.col(label).cast("int").alias("label"), F.col(weight).cast("double").alias("weight"),
         (F.col(fold) if fold else F.lit(0)).cast("int").alias("fold"),
+        F.coalesce(vector["size"], F.size(vector["values"])).alias("width"),
     )
 
     def pack(batches):
         for batch in batches:
             column = batch.column("v")
             column = column if isinstance(column, pa.StructArray) else column.combine_chunks()
-            places, values = sparse_lists(column)
+            size, place, value = flat(column)
             other = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("label", "weight", "fold")]
-            cells = np.cumsum([len(p) for p in places])
+            cells = np.append(0, np.cumsum(size))
             begin = 0
-            while begin < len(places):
-                limit = BLOCK_CELLS + (cells[begin - 1] if begin else 0)
-                end = max(begin + 1, int(np.searchsorted(cells, limit, "right")))
-                part = Rows.of(places[begin:end], values[begin:end])
-                arrays = [part.place, part.value, part.row, *(o[begin:end] for o in other)]
+            while begin < len(size):
+                end = max(begin + 1, int(np.searchsorted(cells, cells[begin] + BLOCK_CELLS, "right")) - 1)
+                n, own = end - begin, slice(cells[begin], cells[end])
+                row = np.repeat(np.arange(n), size[begin:end])
+                arrays = [place[own], value[own], row, *(o[begin:end] for o in other)]
                 kinds = [np.int32, np.float64, np.int32, np.int32, np.float64, np.int32]
                 packed = [pa.array([a.astype(k).tobytes()], pa.binary()) for a, k in zip(arrays, kinds)]
-                yield pa.record_batch([pa.array([part.n], pa.int32()), *packed], names=[c.split()[0] for c in _BLOCKS.split(", ")])
+                top = int(np.nanmax(np.append(other[0][begin:end], -1)))
+                whole = [pa.array([x], pa.int32()) for x in (n, batch.column("width")[begin].as_py(), top)]
+                yield pa.record_batch([whole[0], *packed, *whole[1:]], names=[c.split()[0] for c in _BLOCKS.split(", ")])
                 begin = end
 
-    return rows.mapInArrow(pack, _BLOCKS).persist(StorageLevel.MEMORY_AND_DISK), width
+    # As many parts as cores: each part of a pass hands on a gradient of every problem.
+    packed = rows.mapInArrow(pack, _BLOCKS).coalesce(df.sparkSession.sparkContext.defaultParallelism)
+    packed = packed.persist(StorageLevel.MEMORY_AND_DISK)
+    return packed, packed.agg(F.max("width")).first()[0] or 0
+
+
+def top_label(packed: DataFrame) -> int:
+    """Largest class number of the blocks."""
+    return packed.agg(F.max("top")).first()[0]
 
 
 def unpacked(batch):
@@ -115,26 +129,32 @@ def unpacked(batch):
 
 
 def _pass(packed: DataFrame, width: int, lines: np.ndarray, problems: list[Problem]) -> tuple[np.ndarray, np.ndarray]:
-    """Loss and gradient of every problem without the penalty: one job, a row per weight reaches the driver."""
-    names = [f"g{p}" for p in range(len(problems))]
+    """Loss and gradient of every problem without the penalty, in one job."""
     label, fold, strength = (np.array([getattr(p, n) for p in problems]) for n in ("label", "fold", "c"))
+    shared = packed.sparkSession.sparkContext.broadcast(lines)
+    schema = "part int, sums binary"
 
     def run(batches):
         total = np.zeros((len(problems), width + 2))
         for batch in batches:
             for rows, own, weight, part in unpacked(batch):
                 sign = np.where(own[:, None] == label[None, :], 1.0, -1.0)
-                gap = np.maximum(0.0, 1.0 - sign * rows.times(lines))
+                gap = np.maximum(0.0, 1.0 - sign * rows.times(shared.value))
                 scale = weight[:, None] * strength[None, :] * ((part[:, None] != fold[None, :]) | (fold[None, :] == 0))
                 total[:, :-1] += rows.back(-2.0 * scale * gap * sign, width)
                 total[:, -1] += (scale * gap * gap).sum(axis=0)
-        numbers = [pa.array(t) for t in total]
-        yield pa.record_batch([pa.array(np.arange(width + 2, dtype=np.int32)), *numbers], names=["i", *names])
-
-    parts = packed.mapInArrow(run, "i int, " + ", ".join(f"{c} double" for c in names))
-    found = parts.groupBy("i").agg(*[F.sum(c).alias(c) for c in names]).toArrow()
-    out = np.zeros((len(problems), width + 2))
-    out[:, found.column("i").to_numpy()] = [found.column(c).to_numpy() for c in names]
+        for n, begin in enumerate(range(0, width + 2, GRADIENT)):
+            yield pa.record_batch([pa.array([n], pa.int32()), pa.array([total[:, begin : begin + GRADIENT].tobytes()])], names=["part", "sums"])
+
+    def add(table):
+        sums = sum(np.frombuffer(s.as_buffer()) for s in table.column("sums"))
+        return pa.table({"part": table.column("part")[:1], "sums": pa.array([sums.tobytes()], pa.binary())})
+
+    # A row per range of weights reaches the driver, summed over the parts.
+    found = packed.mapInArrow(run, schema).groupBy("part").applyInArrow(add, schema).toArrow().sort_by("part")
+    shared.destroy()
+    out = [np.frombuffer(s.as_buffer()).reshape(len(problems), -1) for s in found.column("sums")]
+    out = np.hstack(out) if out else np.zeros((len(problems), width + 2))
     return out[:, -1], out[:, :-1]
 
 

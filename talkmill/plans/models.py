@@ -47,7 +47,7 @@ class LinearSvm(Estimator):
     def _fit(self, df: DataFrame) -> "LinearSvmModel":
         packed, width = linear.blocks(df)
         try:
-            classes = self.classes or int(df.agg(F.max("label_idx")).first()[0]) + 1
+            classes = self.classes or linear.top_label(packed) + 1
             problems = [linear.Problem(i, 0, self.c) for i in lines_of(classes)]
             return LinearSvmModel(linear.solve(packed, width, problems, self.max_iter))
         finally:
@@ -125,7 +125,7 @@ class CalibratedSvm(Estimator):
         packed, width = linear.blocks(dealt, fold="fold")
         try:
             # All folds have the classes of the whole table, also those that one of them lacks.
-            classes = max(int(df.agg(F.max("label_idx")).first()[0]) + 1, 2)
+            classes = max(linear.top_label(packed) + 1, 2)
             own = lines_of(classes)
             problems = [linear.Problem(i, f, self.c) for f in range(1, self.folds + 1) for i in own]
             lines = linear.solve(packed, width, problems, self.max_iter)

@@ -339,3 +339,16 @@ def test_joint_grid(rows):
         scored.append(models.score_rows(one, folds.where(F.col("fold") == f)).select("fold", F.col("label").alias("y_true"), "y_pred"))
     want = metrics.fold_scores(scored[0].unionByName(scored[1])).first().f1_mean
     assert got["3", "1.0"] == pytest.approx(want, abs=0.011)
+
+
+def test_flat_vectors():
+    """Places and values of sparse and dense vectors of one batch, without lists of Python numbers."""
+    import pyarrow as pa
+
+    kinds, places, values = [0, 1, 0, 0], [[1, 4], None, [], [2]], [[0.5, 2.0], [1.0, 0.0, 3.0], [], [7.0]]
+    column = pa.StructArray.from_arrays(
+        [pa.array(kinds, pa.int8()), pa.array(places, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float64()))],
+        names=["type", "indices", "values"],
+    )
+    for part, want in ((column, ([2, 3, 0, 1], [1, 4, 0, 1, 2, 2], [0.5, 2, 1, 0, 3, 7])), (column[1:], ([3, 0, 1], [0, 1, 2, 2], [1, 0, 3, 7]))):
+        assert [x.tolist() for x in linear.flat(part)] == list(want)
