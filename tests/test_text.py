@@ -1,9 +1,12 @@
+import random
 import re
 import unicodedata
 
 import pytest
+from pyspark.sql import functions as F
 
-from talkmill.functions import fixed, redact, text
+from talkmill.functions import columns, fixed, redact, text
+from talkmill.functions.columns import unicode_re
 from talkmill.functions.numbers import exact_round, fixed_text
 
 
@@ -247,3 +250,55 @@ def test_long_runs_do_not_recurse(spark):
     runs = ["a " * 5000, "один " * 5000, "1 " * 5000, "нет " * 5000, "a" * 20000]
     got = one(spark, runs, text.remove_noise(redact.redact_pii("x")))
     assert got[1] == "[ТЕЛЕФОН]" and got[2] == "[ТЕЛЕФОН]" and got[3] == "" and len(got[4]) == 20000
+
+
+PLAIN_RULES = [(k, unicode_re(p, i), fixed.PLACEHOLDERS[k]) for k, p, i in fixed.REDACTIONS]
+
+
+def test_rules_run_only_on_texts_that_can_match_and_find_the_same(spark):
+    bits = [
+        "а", "б ", " at ", "собака", "x", " ", "\n", "+7 (912) 345-67-89", "9 1 1 2 3 4 5", "один два три четыре пять шесть семь ",
+        "1.2.3.4", "договор 12345", "ID a1234", "ı", "# 123x", "a.b@c.de1@f.gh", "@", "http://a.b", "www.x", "12345678", "٣٤٥٦٧٨٩٠",
+        "с ᲂ ", "точка ру", "как", "ſ", "İd 123",
+    ]
+    rng = random.Random(3)
+    rows = [("".join(rng.choices(bits, k=rng.randint(0, 12))),) for _ in range(800)] + [(None,)]
+    df = spark.createDataFrame(rows, "text string")
+    plain = F.col("text")
+    for _, pattern, token in PLAIN_RULES:
+        plain = F.regexp_replace(plain, F.lit(pattern), F.lit(token))
+    got = df.select("text", plain.alias("plain"), redact.redact_pii("text").alias("quick")).collect()
+    assert all(r["plain"] == r["quick"] for r in got) and sum(r["plain"] != r["text"] for r in got if r["text"]) > 300
+    # Rules stand behind a condition.
+    assert str(redact.redact_pii("text")).count("CASE WHEN") + str(redact.redact_names("text")).count("CASE WHEN") >= 5
+
+
+def test_white_space_and_short_texts_as_before(spark):
+    rng = random.Random(4)
+    rows = [("".join(rng.choices([" ", "  ", "\t", "\x1c", "\xa0", " ", "a", "bc", "."], k=rng.randint(0, 14))),) for _ in range(500)]
+    df = spark.createDataFrame([*rows, (None,), ("[TRANSCRIPTION_ERROR x",)], "text string")
+    runs = F.btrim(F.regexp_replace("text", r"(?U)[\s\x1c-\x1f]+", " "), F.lit(" "))
+    checks = [columns.collapse_spaces("text").eqNullSafe(runs)]
+    for n in (0, 1, 2, 3, 5, 501):
+        plain = ~F.col("text").startswith("[TRANSCRIPTION_ERROR") & (text.token_count("text") < n)
+        checks.append(text.too_short("text", n).eqNullSafe(plain))
+    assert df.where(~F.forall(F.array(*checks), lambda x: x)).isEmpty()
+    assert "regexp_count" not in str(text.too_short("text", 50))
+
+
+def test_unicode_step_holds_a_few_texts_at_a_time(monkeypatch):
+    import pyarrow as pa
+
+    sizes, plain = [], pa.array
+    monkeypatch.setattr(text.pa, "array", lambda values, *more: (sizes.append(len(values)), plain(values, *more))[1])
+    found = text._nfkc.func(plain(["ｆｕｌｌ", None, "①"] * 1000))
+    assert max(sizes) <= 256 and found.to_pylist() == ["full", None, "1"] * 1000
+
+
+def test_a_small_dictionary_meets_the_words_before_the_shuffle(spark):
+    docs = spark.createDataFrame([(1, "the cat"), (2, None), (1, "the cat")], "row_id long, text string")
+    pairs = spark.createDataFrame([("the", "a")], "form string, lemma string")
+    done = redact.lemmatise(docs, pairs)
+    assert sorted(r["text"] or "" for r in done.collect()) == ["", "a cat", "a cat"]
+    plan = done._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan
