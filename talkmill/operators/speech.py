@@ -14,7 +14,7 @@ from talkmill.functions.columns import ColumnLike, col
 from talkmill.functions.numbers import exact_round
 from talkmill.functions.text import normalise_for_wer
 
-FIRST_BAND, BLOCK = 64, 512  # rows on each side of the diagonal at first; columns that share a window of rows
+FIRST_BAND, BLOCK = 64, 128  # edits looked for at first; columns that share a window of rows
 
 
 def _words(text: ColumnLike) -> Column:
@@ -25,8 +25,10 @@ def _words(text: ColumnLike) -> Column:
 def edit_distance(a: Sequence, b: Sequence) -> int:
     """Levenshtein distance, by a band of bits that widens until its answer is proven.
 
-    Equal ends are cut off first. A band of ``k`` rows on each side of the diagonal gives an alignment, so never less than the
-    distance, and the distance itself if that is at most ``k``. So a band as wide as the last answer is always enough.
+    Equal ends are cut off first. The table is crossed from the diagonal of one corner to that of the other, as far apart as the
+    lengths differ. A path that leaves the space between them by some rows goes that far twice, so one of ``k`` edits stays within
+    half of what ``k`` is above the difference. A band that wide gives an alignment, so never less than the distance, and the
+    distance itself if that is at most ``k``; one that is made for the last answer is always enough.
     """
     begin, end = 0, min(len(a), len(b))
     while begin < end and a[begin] == b[begin]:
@@ -52,32 +54,34 @@ def edit_distance(a: Sequence, b: Sequence) -> int:
 
 
 def _banded(masks: dict, rows: int, b: Sequence, k: int) -> int:
-    """Cost of the best alignment whose steps stay about ``k`` rows around the diagonal.
+    """Cost of the best alignment whose steps stay about where one of ``k`` edits can go.
 
     Columns of the table are kept as two bit sets: where they rise and where they fall (Myers 1999, Hyyro 2003). A block of
     columns sees a window of rows; a cell beyond it counts one more than its neighbour inside, as an insertion or deletion would.
     """
     rise = fall = low = high = top = 0
+    more = rows - len(b)
+    beyond = (k - more) // 2
     for begin in range(0, len(b), BLOCK):
         part = b[begin : begin + BLOCK]
-        first, after = max(0, begin - k), min(rows, begin + len(part) + k)
+        first, after = max(0, begin - beyond), min(rows, begin + len(part) + more + beyond)
         gone = (1 << (first - low)) - 1  # rows that leave the window at its top
         top += (rise & gone).bit_count() - (fall & gone).bit_count()
         rise = (rise >> (first - low)) | (((1 << (after - high)) - 1) << (high - first))
         fall >>= first - low
         low, high = first, after
         full = (1 << (high - low)) - 1
+        wide = 2 * full + 1  # what is flipped by it stays positive, which is quicker than a complement
         seen: dict = {}
         for x in part:
             equal = seen.get(x)
             if equal is None:
                 equal = seen[x] = (masks.get(x, 0) >> low) & full
             equal |= fall
-            diagonal = ((rise + (equal & rise)) ^ rise) | equal
-            down = (rise & diagonal) << 1
-            up = ((fall | (full & ~(rise | diagonal))) << 1) | 1
-            fall = up & diagonal & full
-            rise = (down | ~(up | diagonal)) & full
+            diagonal = (((rise + (equal & rise)) ^ rise) | equal) & full
+            up = ((fall | ((rise | diagonal) ^ full)) << 1) | 1
+            fall = up & diagonal
+            rise = (((rise & diagonal) << 1) | ((up | diagonal) ^ wide)) & full
         top += len(part)
     return top + rise.bit_count() - fall.bit_count() + rows - high
 

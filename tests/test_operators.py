@@ -805,3 +805,42 @@ def test_temperature_by_derivatives(spark, scale):
     near = [loss(1 / (0.5 + d)) for d in (-step, 0.0, step)]
     assert value == pytest.approx(near[1]) and slope == pytest.approx((near[2] - near[0]) / (2 * step), rel=1e-4, abs=1e-7)
     assert bend == pytest.approx((near[2] - 2 * near[1] + near[0]) / step**2, rel=1e-2, abs=1e-3)
+
+
+def test_the_band_of_an_edit_distance_follows_the_lengths(monkeypatch):
+    from talkmill.operators import speech
+
+    rng = random.Random(8)
+    a = "".join(rng.choices("abcdefgh ", k=6600))
+    b = "".join(x for i, x in enumerate(a) if i % 11 != 10)
+    seen = []
+
+    class Mask(int):
+        """A mask that tells how many rows a window keeps of it."""
+
+        def __rshift__(self, n):
+            return Mask(int(self) >> n)
+
+        def __and__(self, full):
+            seen.append(full.bit_length())
+            return int(self) & full
+
+    masks = {x: Mask(sum(1 << i for i, y in enumerate(a) if x == y)) for x in set(a)}
+    # 600 edits, all of them for the length: the band holds the 600 rows between the corners and little more.
+    assert speech.edit_distance(a, b) == 600
+    assert speech._banded(masks, len(a), b, len(a) // 8) == 600 and max(seen) < 1000
+
+    def brute(a, b):
+        prev = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row = [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(prev[j] + 1, row[-1] + 1, prev[j - 1] + (x != y)))
+            prev = row
+        return prev[-1]
+
+    monkeypatch.setattr(speech, "FIRST_BAND", 1)
+    monkeypatch.setattr(speech, "BLOCK", 3)
+    for _ in range(300):
+        a, b = ("".join(rng.choices("abc", k=rng.randint(0, 40))) for _ in range(2))
+        assert speech.edit_distance(a, b) == brute(a, b) == speech.edit_distance(b, a)
