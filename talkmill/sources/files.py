@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Iterator, Sequence
 from functools import reduce
+from itertools import groupby
+from operator import itemgetter
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,6 +19,7 @@ from talkmill.functions import fixed
 from talkmill.functions.columns import collapse_spaces, strip, unicode_re
 from talkmill.functions.jsonx import expected_keywords, json_fields, strict_json, text_field
 from talkmill.functions.numbers import fixed_text
+from talkmill.sources import shared
 
 TRUTH = "map<string,struct<file:string,start_ms:bigint,duration_ms:bigint,text:string>>"
 
@@ -111,10 +117,31 @@ def rttm_lines(turns: DataFrame) -> DataFrame:
 def write_rttm(turns: DataFrame, path: str) -> None:
     """One folder per file, lines sorted by start.
 
-    Turns are range-partitioned on file and start, so a long file is spread over several parts.
+    Turns are range-partitioned on file and start, so a long file is spread over several parts. The tasks write the parts
+    themselves: a job that moves every folder in the driver at its end takes as long as there are files. A task that is
+    repeated writes the same names again; ``_SUCCESS`` comes last.
     """
+    place = shared.emptied(turns.sparkSession, path)
     lines = rttm_lines(turns).repartitionByRange("file_id", "start").sortWithinPartitions("file_id", "start")
-    lines.select("file_id", "value").write.mode("overwrite").partitionBy("file_id").text(path)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name = f"part-{TaskContext.get().partitionId():05d}.txt"
+        rows = ((_folder_name(f), line) for b in batches for f, line in zip(*(c.to_pylist() for c in b.columns)))
+        written = 0
+        for folder, own in groupby(rows, key=itemgetter(0)):
+            shared.write_lines(f"{place}/{folder}/{name}", (line for _, line in own))
+            written += 1
+        yield pa.RecordBatch.from_arrays([pa.array([written], pa.int64())], ["files"])
+
+    parts = lines.select(F.col("file_id").cast("string"), F.coalesce("value", F.lit("")).alias("value"))
+    parts.mapInArrow(write, "files long").agg(F.sum("files")).collect()  # one row
+    shared.write_lines(f"{place}/_SUCCESS", [])
+
+
+def _folder_name(value: str | None) -> str:
+    """A file's name as Spark names a partition folder."""
+    plain = re.sub(r"""[\x01-\x1f\x7f"#%'*/:=?\\{\[\]^]""", lambda m: f"%{ord(m[0]):02X}", value or "")
+    return f"file_id={plain or '__HIVE_DEFAULT_PARTITION__'}"
 
 
 def parse_intervals(lines: DataFrame) -> DataFrame:

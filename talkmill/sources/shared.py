@@ -1,9 +1,10 @@
-"""Arrow tables as files in the cluster's shared folder, written by tasks and read by tasks."""
+"""Arrow tables and lines as files in the cluster's shared folder, written by tasks and read by tasks."""
 
 from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Iterable
 
 import pyarrow as pa
 from pyarrow import fs
@@ -40,3 +41,24 @@ def read_file(uri: str) -> pa.Table:
         return pa.ipc.open_file(pa.memory_map(path)).read_all()
     with store.open_input_file(path) as source:
         return pa.ipc.open_file(source).read_all()
+
+
+def emptied(spark: SparkSession, path: str) -> str:
+    """Full name of a folder, made empty; Spark's own settings say which store a path without one is in."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    store.delete(place, True)
+    store.mkdirs(place)
+    return store.makeQualified(place).toString()
+
+
+def write_lines(uri: str, lines: Iterable[str]) -> None:
+    """A text file; until it is whole its name begins with ``_``, which readers pass over."""
+    store, path = _place(uri)
+    folder = os.path.dirname(path)
+    store.create_dir(folder, recursive=True)
+    part = f"{folder}/_{uuid.uuid4().hex}"
+    with store.open_output_stream(part) as out:
+        for line in lines:
+            out.write(f"{line}\n".encode())
+    store.move(part, path)

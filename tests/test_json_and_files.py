@@ -230,3 +230,22 @@ def test_truth_lines(spark, tmp_path):
     df = spark.createDataFrame(rows, "seg_id string, file string, start_ms long, duration_ms long, text string")
     files.write_truth(df, str(tmp_path / "t"))
     assert [tuple(r) for r in files.read_truth(spark, str(tmp_path / "t"), lines=True).collect()] == rows[:1]
+
+
+def test_rttm_files_are_written_by_the_tasks(spark, tmp_path):
+    """Every file has its folder, named as Spark names one, and no folder is moved at the end of the job."""
+    ids = ["a/b=1", "50%", "", None, *[f"f{i:03d}" for i in range(60)]]
+    rows = [(f, float(t), 1.0, "S") for f in ids for t in (2, 0, 1)]
+    turns = spark.createDataFrame(rows, "file_id string, start double, dur double, speaker string")
+    path = tmp_path / "r"
+    (path / "file_id=old").mkdir(parents=True)
+    (path / "file_id=old" / "part-0.txt").write_text("SPEAKER old 1 0 1 <NA> <NA> S <NA> <NA>\n")
+    files.write_rttm(turns, str(path))
+    folders = {p.name for p in path.iterdir() if p.is_dir()}
+    assert folders == {"file_id=a%2Fb%3D1", "file_id=50%25", "file_id=__HIVE_DEFAULT_PARTITION__", *[f"file_id=f{i:03d}" for i in range(60)]}
+    # Spark's committer names its files after the job.
+    assert {p.name.removeprefix("part-").removesuffix(".txt").isdigit() for p in path.glob("*/part-*")} == {True}
+    back = files.read_rttm(spark, f"{path}/*").where("file_id like 'f%' or file_id like 'a%' or file_id like '50%'")
+    assert sorted((r.file_id, r.start) for r in back.collect()) == sorted((f, t) for f, t, *_ in rows if f)
+    lines = "".join(p.read_text() for p in sorted((path / "file_id=f007").glob("*.txt"))).splitlines()
+    assert [line.split()[3] for line in lines] == ["0.000", "1.000", "2.000"]
