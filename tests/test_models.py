@@ -352,3 +352,31 @@ def test_flat_vectors():
     )
     for part, want in ((column, ([2, 3, 0, 1], [1, 4, 0, 1, 2, 2], [0.5, 2, 1, 0, 3, 7])), (column[1:], ([3, 0, 1], [0, 1, 2, 2], [1, 0, 3, 7]))):
         assert [x.tolist() for x in linear.flat(part)] == list(want)
+
+
+def test_frequent_terms_are_counted_by_number(spark, tmp_path, monkeypatch):
+    """Vocabulary and vectors equal those of the long tables, ties included, and no text is cut into strings of n-grams."""
+    from talkmill.plans import terms
+
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(40)]
+    texts = [" ".join(rng.choice(words, size=n, p=np.arange(40, 0, -1) / 820)) for n in rng.integers(0, 60, 90)]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None, "", "one", "w1 W1 w1"])], "row_id int, text string")
+    filled = rows.fillna({"text": ""})
+    for low, high, most, rare in ((1, 1, 15, 1), (1, 2, 60, 1), (1, 3, 200, 2), (1, 3, 5000, 1), (2, 3, 30, 1)):
+        vocab = {r["term"]: r["df"] for r in features.vocabulary(filled, "text", low, high, most, rare).collect()}
+        with monkeypatch.context() as m:
+            if low == 1:
+                m.setattr(features, "word_ngrams", None)
+            fitted = features.TermVectors(kind="counts", low=low, high=high, maxFeatures=most, minDF=rare).fit(rows)
+            got = {r["row_id"]: r["features"] for r in fitted.transform(rows).collect()}
+        assert fitted.terms == sorted(vocab)
+        assert fitted.idf == [float(np.log((1 + len(got)) / (1 + vocab[t])) + 1) for t in fitted.terms]
+        long = features.term_rows(filled, "text", "row_id", low, high).collect()
+        want = {(r["row_id"], r["term"]): r["tf"] for r in long if r["term"] in vocab}
+        assert {(i, fitted.terms[j]): c for i, v in got.items() for j, c in zip(v.indices, v.values)} == want
+    # More parts than can be numbered: the strings are counted instead.
+    monkeypatch.setattr(terms, "SLACK", 1)
+    monkeypatch.setattr(terms, "MOST", 3)
+    fitted = features.TermVectors(high=2, maxFeatures=5000).fit(rows)
+    assert fitted.terms == sorted(r["term"] for r in features.vocabulary(filled, "text", 1, 2, 5000).collect())
