@@ -380,3 +380,22 @@ def test_frequent_terms_are_counted_by_number(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(terms, "MOST", 3)
     fitted = features.TermVectors(high=2, maxFeatures=5000).fit(rows)
     assert fitted.terms == sorted(r["term"] for r in features.vocabulary(filled, "text", 1, 2, 5000).collect())
+
+
+def test_second_level_brings_probabilities_together_once(spark, monkeypatch):
+    """The folds and the final stacker share one table of meta features."""
+    ids = [(i, "ab"[i % 2], 1 + i // 2 % 3) for i in range(60)]
+    truth = spark.createDataFrame(ids, "row_id long, y_true string, fold int")
+    cells = [(i, m, x, 0.5 + (0.1 + i % 7 / 20) * (1 if (x == y) != (i % 11 == 0) else -1)) for i, y, _ in ids for m in ("m1", "m2") for x in "ab"]
+    probs = spark.createDataFrame(cells, "row_id long, model string, label string, proba double")
+    calls, plain = [], train.meta_features
+    monkeypatch.setattr(train, "meta_features", lambda *a: calls.append(a) or plain(*a))
+    predicted, final = train.stack_out_of_fold(probs, truth, ["m1", "m2"], ["a", "b"])
+    assert len(calls) == 1
+    got = {r["row_id"]: (r["y_pred"], round(r["confidence"], 9)) for r in predicted.collect()}
+    want = {}
+    for f in (1, 2, 3):
+        fitted = train.fit_stacker(probs, truth.where(F.col("fold") != f), ["m1", "m2"], ["a", "b"])
+        held = probs.join(truth.where(F.col("fold") == f), "row_id", "left_semi")
+        want |= {r["row_id"]: (r["y_pred"], round(r["confidence"], 9)) for r in train.stack(fitted, held, ["m1", "m2"], ["a", "b"]).collect()}
+    assert got == want and len(got) == 60
