@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 SLACK = 5_000  # rows fetched besides the terms wanted, for terms as frequent as the last of them
 MOST = 200_000  # n-grams of one order that are numbered
-ROWS = 4_096  # texts that are counted together
+ROWS = 4_096  # texts that are counted together, at most
+COUNTED, SCALED = 1 << 20, 1 << 18  # words that are counted together, and that are made into vectors together, but for longer texts
 
 
 @dataclass
@@ -91,9 +92,16 @@ def _numbers(wanted: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def _slices(words: pa.Array) -> Iterator[pa.Array]:
-    for begin in range(0, len(words), ROWS):
-        yield words.slice(begin, ROWS)
+def _slices(words: pa.Array, most: int) -> Iterator[pa.Array]:
+    """Runs of rows with no more than ``most`` words together, so that the memory of a task does not follow the batch."""
+    sizes = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes, dtype=np.int64)
+    begin = 0
+    while begin < len(words):
+        before = ends[begin - 1] if begin else 0
+        end = min(max(int(np.searchsorted(ends, before + most, "right")), begin + 1), begin + ROWS)
+        yield words.slice(begin, end - begin)
+        begin = end
 
 
 def _counts(row: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -112,7 +120,7 @@ def _counts(row: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for words in _slices(batch.column(0)):
+        for words in _slices(batch.column(0), COUNTED):
             flat, row = _flat(words)
             coded = flat.dictionary_encode()
             key, tf, df = _counts(row, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64))
@@ -124,7 +132,7 @@ def _gram_counts(shared, n: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels = shared.value
         for batch in batches:
-            for words in _slices(batch.column(0)):
+            for words in _slices(batch.column(0), COUNTED):
                 *_, (row, gram, word) = levels.codes(words)
                 key = _keys(row, gram, word, n, len(levels.words))
                 # The last n - 1 words must be frequent too.
@@ -185,7 +193,7 @@ def _last(counts: list[int], limit: int) -> int:
 
 def vectors(words: pa.Array, levels: Levels, width: int, idf: np.ndarray | None) -> pa.Array:
     """Sparse vectors of counts, or with ``idf`` of ``(1 + ln count) * idf`` scaled to length 1."""
-    parts = [_vectors(w, levels, width, idf) for w in _slices(words)]
+    parts = [_vectors(w, levels, width, idf) for w in _slices(words, SCALED)]
     kind = pa.struct([("type", pa.int8()), ("size", pa.int32()), ("indices", pa.list_(pa.int32())), ("values", pa.list_(pa.float64()))])
     return pa.chunked_array(parts, kind).combine_chunks() if len(parts) != 1 else parts[0]
 

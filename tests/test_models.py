@@ -399,3 +399,22 @@ def test_second_level_brings_probabilities_together_once(spark, monkeypatch):
         held = probs.join(truth.where(F.col("fold") == f), "row_id", "left_semi")
         want |= {r["row_id"]: (r["y_pred"], round(r["confidence"], 9)) for r in train.stack(fitted, held, ["m1", "m2"], ["a", "b"]).collect()}
     assert got == want and len(got) == 60
+
+
+def test_words_are_made_into_vectors_in_bounded_runs():
+    """The numbers that are in memory together do not follow the size of a batch or the length of its texts."""
+    import pyarrow as pa
+
+    from talkmill.plans import terms
+
+    texts = [["a", "b"] * 700, [], ["b"] * 3, None, *[["a"] * 90] * 40, ["b", "c"]]
+    words = pa.array(texts, pa.list_(pa.string()))
+    runs = list(terms._slices(words, 1000))
+    assert pa.concat_arrays(runs).equals(words)
+    assert [len(r.flatten()) for r in runs] == [1400, 993, 990, 990, 632]
+    out = terms.vectors(words, terms.Levels.of(["a", "a b", "c"], 1, 2), 3, None)
+    assert out.slice(0, 3).to_pylist() == [
+        {"type": 0, "size": 3, "indices": [0, 1], "values": [700.0, 700.0]},
+        {"type": 0, "size": 3, "indices": [], "values": []}, {"type": 0, "size": 3, "indices": [], "values": []},
+    ]
+    assert out.to_pylist()[-1]["indices"] == [2]
