@@ -844,3 +844,14 @@ def test_the_band_of_an_edit_distance_follows_the_lengths(monkeypatch):
     for _ in range(300):
         a, b = ("".join(rng.choices("abc", k=rng.randint(0, 40))) for _ in range(2))
         assert speech.edit_distance(a, b) == brute(a, b) == speech.edit_distance(b, a)
+
+
+def test_an_empty_text_has_no_character_error_rate(spark, tmp_path):
+    from talkmill.plans.speech_queries import cer_pairs
+
+    spark.createDataFrame([(1, ""), (2, "abcdefghijklmnopqrstuv"), (3, None), (4, "ab")], "doc_id long, text string").write.parquet(
+        f"{tmp_path}/documents.parquet"
+    )
+    got = {r["doc_id"]: (r["char_edits"], r["cer"]) for r in cer_pairs(spark, str(tmp_path)).collect()}
+    assert got[1][0] == 0 and np.isnan(got[1][1])
+    assert got[2] == (2, 9.090909) and got[3] == (None, None) and got[4] == (0, 0.0)
