@@ -4,7 +4,8 @@ Training rows are dealt by id range and written once, in blocks, each an inverte
 largest and smallest weight in the block. Tasks over the query rows stream the blocks past a fixed block of queries. The weights bound
 every similarity from above, so a block is opened only for queries whose bound reaches the ``k``-th best found so far, the most
 promising blocks first. Terms that many queries and many rows of a block hold are multiplied as dense matrices, the others through their
-postings. Training rows and queries are shuffled once each.
+postings. That is done in single precision, whose error is bounded; only pairs that can be among the ``k`` best by that bound are summed
+in double precision. Training rows and queries are shuffled once each.
 """
 
 from __future__ import annotations
@@ -24,9 +25,10 @@ from talkmill.sources.shared import new_folder, read_file, write_file
 BLOCK_ROWS = 4096  # training rows of a block, fewer where they hold more than BLOCK_CELLS numbers
 BLOCK_CELLS = 1 << 20
 QUERY_ROWS = 1024  # query rows that a task holds at once
-EXPANDED = 1 << 21  # products of a query number and a posting that are formed at once
-DENSE = 100  # a product through postings costs about as much as so many of a dense matrix
+EXPANDED = 1 << 18  # products of a query number and a posting that are formed at once
+DENSE = 800  # a product through postings costs about as much as so many of a dense matrix
 DENSE_CELLS = 1 << 21  # numbers of a dense matrix of training rows
+FEW = 16  # of so many pairs one is summed anew; if it is more, all products are formed in double precision
 PARTS = 4  # parts of the queries for each core
 DIGITS = 9  # similarities are compared to this many decimals, ties go to the smaller id
 
@@ -70,9 +72,14 @@ class Sparse:
 
     def take(self, at: np.ndarray) -> "Sparse":
         size = np.diff(self.first)[at]
-        ends = np.cumsum(size)
-        cells = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.first[:-1][at] - (ends - size), size)
-        return Sparse(np.append(0, ends), self.place[cells], self.value[cells])
+        cells = _ranges(self.first[:-1][at], size)
+        return Sparse(np.append(0, np.cumsum(size)), self.place[cells], self.value[cells])
+
+
+def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Numbers of all ranges that begin at ``first``, one after another."""
+    ends = np.cumsum(size)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - (ends - size), size)
 
 
 def _spans(first: np.ndarray, rows: int, cells: int):
@@ -96,6 +103,14 @@ def _index(rows: Sparse) -> tuple[pa.Table, pa.Table]:
     return tops, pa.table({"row": row.astype(np.int32), "value": value})
 
 
+def _by_row(rows: Sparse) -> pa.Table:
+    """Where the postings of ``_index`` have the numbers of the rows, one row after another."""
+    order = np.argsort(rows.place, kind="stable")
+    spot = np.empty(len(order), np.int32)
+    spot[order] = np.arange(len(order), dtype=np.int32)
+    return pa.table({"spot": spot})
+
+
 def write_blocks(train: DataFrame, block_rows: int = BLOCK_ROWS) -> list[tuple[int, str]]:
     """Write ``(id, label, vec)`` in blocks by id; returns rows before each block and its name, one entry per block."""
     folder = new_folder(train.sparkSession, "neighbours")
@@ -113,7 +128,8 @@ def write_blocks(train: DataFrame, block_rows: int = BLOCK_ROWS) -> list[tuple[i
             tops, postings = _index(rows)
             write_file(f"{name}-tops", tops)
             write_file(f"{name}-postings", postings)
-            write_file(f"{name}-rows", batch.select(["near_id", "label"]))
+            write_file(f"{name}-cells", _by_row(rows))
+            write_file(f"{name}-rows", batch.select(["near_id", "label"]).append_column("end", pa.array(rows.first[1:])))
             return pa.record_batch([[part], [number], [batch.num_rows], [name]], names=["part", "number", "n", "name"])
 
         for batch in batches:
@@ -165,9 +181,13 @@ class _Best:
             same = part == last
             near[many] &= (part > last) | (same & (np.cumsum(same, axis=1) <= self.k))
         line, spot = np.nonzero(near)
+        self.add(at, line, spot, sims[line, spot], before, rows)
+
+    def add(self, at: np.ndarray, line: np.ndarray, spot: np.ndarray, sims: np.ndarray, before: int, rows: pa.Table) -> None:
+        """Take pairs into account: the query ``at[line]`` and the row ``spot`` of the block, in the order of the queries."""
         if not len(line):
             return
-        found = np.round(sims[line, spot], DIGITS) + 0.0
+        found = np.round(sims, DIGITS) + 0.0
         met = np.unique(line)
         line = np.append(np.repeat(met, self.k), line)
         sims = np.append(self.sims[at[met]], found)
@@ -203,10 +223,14 @@ def _product(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return np.where(met > 0, np.nan, np.where(good[0], left, 0.0) @ np.where(good[1], right, 0.0))
 
 
-def _similarities(queries: Sparse, tops: pa.Table, postings: pa.Table, rows: int) -> np.ndarray:
-    """Products of all queries with all rows of the block, through the postings of the queries' terms."""
+def _similarities(queries: Sparse, tops: pa.Table, postings: pa.Table, rows: int, kind: type = float) -> np.ndarray:
+    """Products of all queries with all rows of the block, through the postings of the queries' terms.
+
+    In single precision all numbers must be finite.
+    """
     count = len(queries.first) - 1
-    out = np.zeros((count, rows))
+    out = np.zeros((count, rows), kind)
+    share = 8 // out.itemsize
     terms, starts = (tops.column(c).to_numpy() for c in ("term", "start"))
     if not len(terms) or not len(queries.place):
         return out
@@ -216,19 +240,19 @@ def _similarities(queries: Sparse, tops: pa.Table, postings: pa.Table, rows: int
     known = np.flatnonzero(terms[at] == queries.place)
     at, own, weight = at[known], queries.rows[known], queries.value[known]
     # Terms of so many queries and rows that a dense product is cheaper.
-    dense = np.bincount(at, minlength=len(terms)) * sizes * DENSE > count * rows
+    dense = np.bincount(at, minlength=len(terms)) * sizes * DENSE * share > count * rows
     column = np.cumsum(dense) - 1
     chosen, inside = np.flatnonzero(dense), dense[at]
-    step = max(1, DENSE_CELLS // max(rows, 1))
+    step = max(1, DENSE_CELLS * share // max(rows, 1))
     for begin in range(0, len(chosen), step):
         part = chosen[begin : begin + step]
-        left, right = np.zeros((count, len(part))), np.zeros((len(part), rows))
+        left, right = np.zeros((count, len(part)), kind), np.zeros((len(part), rows), kind)
         mine = np.flatnonzero(inside & (column[at] >= begin) & (column[at] < begin + step))
         np.add.at(left, (own[mine], column[at[mine]] - begin), weight[mine])
         for n, t in enumerate(part):
             cells = slice(starts[t], starts[t] + sizes[t])
             right[n] = np.bincount(row[cells], value[cells], rows)
-        out += _product(left, right)
+        out += _product(left, right) if kind is float else left @ right
     at, own, weight = at[~inside], own[~inside], weight[~inside]
     size = sizes[at]
     ends = np.cumsum(size)
@@ -237,7 +261,7 @@ def _similarities(queries: Sparse, tops: pa.Table, postings: pa.Table, rows: int
         done = ends[begin - 1] if begin else 0
         end = max(begin + 1, int(np.searchsorted(ends, done + EXPANDED, "right")))
         n = size[begin:end]
-        cells = np.arange(n.sum()) + np.repeat(starts[at[begin:end]] - (np.cumsum(n) - n), n)
+        cells = _ranges(starts[at[begin:end]], n)
         spot = np.repeat(own[begin:end], n)
         low, high = own[begin], own[end - 1] + 1
         key = (spot - low) * rows + row[cells]
@@ -247,6 +271,63 @@ def _similarities(queries: Sparse, tops: pa.Table, postings: pa.Table, rows: int
     return out
 
 
+def _pairs(queries: Sparse, tops: pa.Table, postings: pa.Table, name: str, ends: np.ndarray, floor: np.ndarray, k: int, skip) -> tuple | None:
+    """``(line, row, similarity)`` of all pairs that can be among the ``k`` best of a query, if these are few, else ``None``.
+
+    ``floor`` has the ``k``-th best of every query so far. The rough products are at most ``off`` from the exact ones: vectors have
+    length 1, or, where their squares are too small to be summed well, less than 2.
+    """
+    rows, count = len(ends), len(queries.first) - 1
+    value = postings.column("value").to_numpy()
+    if not (np.isfinite(queries.value).all() and np.isfinite(value).all()):
+        return None
+    rough = _similarities(queries, tops, postings, rows, np.float32)
+    off = (tops.num_rows + 16) * 2.0**-22 + 10.0**-DIGITS
+    rough[skip] = -np.inf
+    least = np.where(np.isfinite(floor), floor - off, np.finfo(np.float32).min)
+    near = rough >= least[:, None].astype(np.float32)
+    line, row = np.divmod(np.flatnonzero(near), rows)
+    many = np.flatnonzero(np.bincount(line, minlength=count) > 4 * k + 16)
+    if len(many) and rows > k:
+        part = rough[many]
+        last = -np.partition(-part, k - 1, axis=1)[:, k - 1, None]
+        near[many] &= part >= last - np.float32(2 * off)
+        line, row = np.divmod(np.flatnonzero(near), rows)
+    if len(line) * FEW > count * rows + 64 * FEW * (k + 1):
+        return None
+    terms, starts = (tops.column(c).to_numpy() for c in ("term", "start"))
+    sizes = np.diff(np.append(starts, len(value)))
+    spot = read_file(f"{name}-cells").column("spot").to_numpy()
+    own = np.repeat(np.arange(len(terms), dtype=np.int32), sizes)
+    first = np.append(0, ends)
+    sims = np.zeros(len(line))
+    # Queries are spread out over the terms of the block, some at a time, and meet the numbers of their rows.
+    batch = max(1, DENSE_CELLS // 2 // max(len(terms), 1))
+    wide = np.zeros((min(batch, count), len(terms)))
+    at = np.minimum(np.searchsorted(terms, queries.place), max(len(terms) - 1, 0))
+    known = terms[at] == queries.place if len(terms) else np.zeros(len(at), bool)
+    holder = queries.rows
+    begin = 0
+    while begin < len(line):
+        low = line[begin]
+        end = int(np.searchsorted(line, low + batch))
+        mine = np.arange(queries.first[low], queries.first[min(low + batch, count)])
+        mine = mine[known[mine]]
+        held = holder[mine] - low, at[mine]
+        np.add.at(wide, held, queries.value[mine])
+        while begin < end:
+            size = ends[row[begin:end]] - first[row[begin:end]]
+            # No more than so many numbers at once.
+            size = size[: max(1, int(np.searchsorted(np.cumsum(size), EXPANDED, "right")))]
+            part = slice(begin, begin + len(size))
+            cells = spot[_ranges(first[row[part]], size)]
+            pair = np.repeat(np.arange(len(size)), size)
+            sims[part] = np.bincount(pair, wide[(line[part] - low)[pair], own[cells]] * value[cells], len(size))
+            begin += len(size)
+        wide[held] = 0.0
+    return line, row, sims
+
+
 def nearest(query: DataFrame, train: DataFrame, k: int = 5, block_rows: int = BLOCK_ROWS, skip_self: bool = False) -> DataFrame:
     """The ``k`` nearest training rows of each query row, exactly.
 
@@ -277,12 +358,18 @@ def nearest(query: DataFrame, train: DataFrame, k: int = 5, block_rows: int = BL
                     at = best.open(bounds[b], before)
                     if not len(at):
                         continue
-                    rows = read_file(f"{name}-rows")
-                    found = _similarities(queries.take(at), read_file(f"{name}-tops"), read_file(f"{name}-postings"), rows.num_rows)
+                    rows, tops, postings = (read_file(f"{name}-{x}") for x in ("rows", "tops", "postings"))
+                    own, skip = queries.take(at), (np.empty(0, int), np.empty(0, int))
                     if skip_self:
                         spot = pc.index_in(rows.column("near_id").combine_chunks(), part.column("id").take(pa.array(at)))
                         same = np.flatnonzero(spot.is_valid().to_numpy(zero_copy_only=False))
-                        found[spot.to_numpy(zero_copy_only=False)[same].astype(int), same] = -np.inf
+                        skip = spot.to_numpy(zero_copy_only=False)[same].astype(int), same
+                    pairs = _pairs(own, tops, postings, name, rows.column("end").to_numpy(), best.sims[at, -1], k, skip)
+                    if pairs:
+                        best.add(at, *pairs, before, rows)
+                        continue
+                    found = _similarities(own, tops, postings, rows.num_rows)
+                    found[skip] = -np.inf
                     best.meet(at, found, before, rows)
                 line, rank = np.nonzero(np.isfinite(best.sims))
                 kinds = [f.type for f in rows.schema] if blocks and len(line) else [pa.null(), pa.null()]

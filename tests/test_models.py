@@ -418,3 +418,25 @@ def test_words_are_made_into_vectors_in_bounded_runs():
         {"type": 0, "size": 3, "indices": [], "values": []}, {"type": 0, "size": 3, "indices": [], "values": []},
     ]
     assert out.to_pylist()[-1]["indices"] == [2]
+
+
+def test_words_of_latin_texts_are_those_of_the_jvm(spark):
+    """Every Latin-1 character, in and between words, next to texts that the JVM splits; runs of any size give the same."""
+    from talkmill.functions.text import word_tokens
+    from talkmill.plans import terms
+
+    rng = np.random.default_rng(1)
+    chars = [chr(i) for i in range(256)]
+    texts = ["".join(rng.choice(chars, size=n)) for n in rng.integers(0, 60, 200)]
+    texts += [f"a{c}b {c}{c} x{c} {c}Y" for c in chars] + ["", "\n", "x", "xy", "Привет мир x", None, "ÀÉÎ ß µm ½ x²", "İstanbul ok", "naïve — 漢字 two"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").coalesce(1)
+    text = F.coalesce("text", F.lit(""))
+    rows = df.select("i", word_tokens(text).alias("want"), terms.words_column(text).alias("t"), terms.word_lists(terms.words_column(text)).alias("lists"))
+    found = rows.orderBy("i").toArrow()
+    want = found.column("want").to_pylist()
+    assert found.column("lists").to_pylist() == want
+    assert sum(x is not None for x in found.column("t").combine_chunks().field("text").to_pylist()) == len(texts) - 3
+    for most in (1, 50, terms.CHARS):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(terms, "CHARS", most)
+            assert [w for run in terms.words_of(found.column("t")) for w in run.to_pylist()] == want

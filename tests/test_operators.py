@@ -855,3 +855,32 @@ def test_an_empty_text_has_no_character_error_rate(spark, tmp_path):
     got = {r["doc_id"]: (r["char_edits"], r["cer"]) for r in cer_pairs(spark, str(tmp_path)).collect()}
     assert got[1][0] == 0 and np.isnan(got[1][1])
     assert got[2] == (2, 9.090909) and got[3] == (None, None) and got[4] == (0, 0.0)
+
+
+def test_rough_products_leave_few_pairs(monkeypatch):
+    """Only pairs that may be among the best are summed in double precision, and the best are those of all pairs."""
+    rng = np.random.default_rng(6)
+    x, y = (np.where(rng.random((n, 200)) < np.linspace(0.02, 0.6, 200), rng.random((n, 200)), 0.0) for n in (40, 900))
+    y[100:130] = y[3]
+    x[7] = 0.0
+    packed, files = [], {}
+    for m in (x, y):
+        m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+        row, place = np.nonzero(m)
+        packed.append(neighbours.Sparse(np.append(0, np.cumsum((m != 0).sum(axis=1))), place, m[row, place]))
+    monkeypatch.setattr(neighbours, "read_file", files.get)
+    want, got = neighbours._Best(40, 5), neighbours._Best(40, 5)
+    rows = pa.table({"near_id": list(range(450)), "label": ["x"] * 450})
+    at, none = np.arange(40), (np.empty(0, int), np.empty(0, int))
+    for before in (0, 450):
+        block = packed[1].take(np.arange(before, before + 450))
+        tops, postings = neighbours._index(block)
+        files["b-cells"] = neighbours._by_row(block)
+        want.meet(at, neighbours._similarities(packed[0], tops, postings, 450), before, rows)
+        line, row, sims = neighbours._pairs(packed[0], tops, postings, "b", block.first[1:], got.sims[:, -1], 5, none)
+        assert len(line) < 40 * 450 / 8 and np.allclose(sims, (x @ y[before : before + 450].T)[line, row], atol=1e-15)
+        got.add(at, line, row, sims, before, rows)
+    assert (got.places == want.places).all() and (got.sims == want.sims).all()
+    # Queries without numbers are as near to all rows: nothing is gained by looking at pairs.
+    empty = neighbours.Sparse(np.zeros(41, int), np.empty(0, int), np.empty(0))
+    assert neighbours._pairs(empty, tops, postings, "b", block.first[1:], np.full(40, -np.inf), 5, none) is None
