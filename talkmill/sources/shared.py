@@ -52,6 +52,12 @@ def emptied(spark: SparkSession, path: str) -> str:
     return store.makeQualified(place).toString()
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a folder of files that nothing reads any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def write_lines(uri: str, lines: Iterable[str]) -> None:
     """A text file; until it is whole its name begins with ``_``, which readers pass over."""
     store, path = _place(uri)

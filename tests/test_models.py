@@ -440,3 +440,52 @@ def test_words_of_latin_texts_are_those_of_the_jvm(spark):
         with pytest.MonkeyPatch.context() as m:
             m.setattr(terms, "CHARS", most)
             assert [w for run in terms.words_of(found.column("t")) for w in run.to_pylist()] == want
+
+
+def test_blocks_of_rows_lie_in_files(spark, tmp_path, monkeypatch):
+    """The solver keeps no rows in the memory of the JVM, its files hold the rows of any width, and they are gone at the end."""
+    import os
+
+    from pyspark.ml.linalg import Vectors
+
+    monkeypatch.setattr(linear, "new_folder", lambda spark, name: f"{tmp_path}/{name}")
+    monkeypatch.setattr(linear, "BLOCK_CELLS", 4)
+    monkeypatch.setattr(linear, "FILE_CELLS", 9)
+    data = [(Vectors.sparse(70_000, [i, 69_000 + i], [1.0, 0.5 * i + 0.25]), float(i % 3), 1.5, 1 + i % 2) for i in range(40)]
+    data += [(Vectors.sparse(70_000, [], []), 1.0, 1.0, 2)]
+    df = spark.createDataFrame(data, ["features", "label_idx", "weight", "fold"])
+    before = len(spark.sparkContext._jsc.getPersistentRDDs())
+    packed, width = linear.blocks(df, fold="fold")
+    assert width == 70_000 and linear.top_label(packed) == 2
+    assert len(spark.sparkContext._jsc.getPersistentRDDs()) == before
+    got = []
+    for names in packed.files.toArrow().to_batches():
+        for rows, label, weight, fold in linear.unpacked(names):
+            for r in range(rows.n):
+                own = rows.row == r
+                got.append((rows.place[own].tolist(), rows.value[own].tolist(), float(label[r]), weight[r], int(fold[r])))
+    assert sorted(got) == sorted((v.indices.tolist(), v.values.tolist(), y, w, f) for v, y, w, f in data)
+    assert len(os.listdir(packed.folder)) > 4
+    packed.unpersist()
+    assert not os.path.exists(packed.folder)
+
+
+def test_ended_problems_take_no_part_in_a_pass(spark, monkeypatch):
+    """A pass has only the problems that go on, and rows without a slope add nothing to a gradient."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(60, 4))
+    from pyspark.ml.functions import array_to_vector
+
+    df = spark.createDataFrame([(v.tolist(), float(v[0] > 0), 1.0) for v in x], "v array<double>, label_idx double, weight double")
+    packed, width = linear.blocks(df.withColumn("features", array_to_vector("v")))
+    seen, plain = [], linear._pass
+    monkeypatch.setattr(linear, "_pass", lambda packed, width, lines, own: seen.append(len(own)) or plain(packed, width, lines, own))
+    problems = [linear.Problem(1, 0, c) for c in (0.0001, 50.0)]
+    both = linear.solve(packed, width, problems)
+    assert seen[0] == 2 and seen[-1] == 1 and seen == sorted(seen, reverse=True)
+    alone = [linear.solve(packed, width, [p])[0] for p in problems]
+    assert np.allclose(both, alone, rtol=1e-12, atol=1e-12)
+    packed.unpersist()
+    rows = linear.Rows.of([[0, 2], [1], [2, 3], [0]], [[1.0, 2.0], [3.0], [4.0, 5.0], [6.0]])
+    slopes = np.array([[0.0, 1.0], [2.0, 0.0], [0.0, 3.0], [0.0, 4.0]])
+    assert rows.back(slopes, 4).tolist() == [[0.0, 6.0, 0.0, 0.0, 2.0], [25.0, 0.0, 14.0, 15.0, 8.0]]
