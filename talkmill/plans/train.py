@@ -33,7 +33,7 @@ from talkmill.plans.models import Spec, build, feature_stages, lines_of, long_pr
 from talkmill.session import distinct_values, checkpointed
 
 
-PARALLEL_FOLDS = 4
+PARALLEL_FOLDS = 2  # of a grid search; each has its blocks of rows on the disk
 GRID_TOLERANCE = 1e-3  # of a grid search's solver: settings are compared by labels, not by weights
 
 
