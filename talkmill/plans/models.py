@@ -29,6 +29,7 @@ from talkmill.operators.split import k_folds
 from talkmill.plans import linear
 from talkmill.plans.features import ClassIndex, ClassIndexModel, KeywordFlags, TermVectors, WordList
 from talkmill.plans.saved import Saved
+from talkmill.plans.tree import SparseTree
 
 FEATURES = {"featuresCol": "features", "labelCol": "label_idx"}
 WEIGHTED = {**FEATURES, "weightCol": "weight"}
@@ -361,9 +362,10 @@ def classifier(name: str, **options) -> Estimator:
         return RandomForestClassifier(**{**WEIGHTED, "numTrees": 200, "maxDepth": 30, "seed": 42, **options})
     if name == "decision_tree":
         # Trees stop at depth 30.
-        return DecisionTreeClassifier(
+        base = DecisionTreeClassifier(
             **{**WEIGHTED, "maxDepth": 30, "minInstancesPerNode": 2, "seed": 42, **options}
         )
+        return SparseTree(base)
     if name == "boosted_trees":
         tree = GBTClassifier(**{"maxIter": 200, "stepSize": 0.1, "maxDepth": 6, "seed": 42, **options})
         return OneAgainstRest(tree)

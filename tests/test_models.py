@@ -489,3 +489,40 @@ def test_ended_problems_take_no_part_in_a_pass(spark, monkeypatch):
     rows = linear.Rows.of([[0, 2], [1], [2, 3], [0]], [[1.0, 2.0], [3.0], [4.0, 5.0], [6.0]])
     slopes = np.array([[0.0, 1.0], [2.0, 0.0], [0.0, 3.0], [0.0, 4.0]])
     assert rows.back(slopes, 4).tolist() == [[0.0, 6.0, 0.0, 0.0, 2.0], [25.0, 0.0, 14.0, 15.0, 8.0]]
+
+
+def test_sparse_tree_equals_that_of_spark(spark, tmp_path):
+    """Probabilities and leaves of a tree on stored numbers are those of Spark's, which bins every feature of every row."""
+    from pyspark.ml.linalg import Vectors
+
+    from talkmill.plans import tree
+
+    rng = np.random.default_rng(4)
+    base = models.classifier("decision_tree").base
+    for values in (lambda: rng.integers(1, 6, (300, 20)).astype(float), lambda: rng.normal(size=(300, 20))):
+        x = np.where(rng.random((300, 20)) < 0.4, values(), 0.0)
+        y = (x[:, 0] + x[:, 1] + rng.normal(size=300) > 1.5).astype(int) + (x[:, 2] > x[:, 3])
+        data = [(i, Vectors.sparse(20, np.flatnonzero(r).tolist(), r[r != 0].tolist()), float(k), [0.5, 1.25, 2.0][k]) for i, (r, k) in enumerate(zip(x, y))]
+        df = spark.createDataFrame(data, ["i", "features", "label_idx", "weight"]).coalesce(2).cache()
+        plain, fitted = base.fit(df), tree.SparseTree(base).fit(df)
+        assert isinstance(fitted, tree.SparseTreeModel)
+        want = plain.transform(df).select("i", vector_to_array("probability").alias("p"), "prediction").orderBy("i").collect()
+        got = fitted.transform(df).select("i", F.col("probability").alias("p"), "prediction").orderBy("i").collect()
+        assert np.allclose([r.p for r in got], [r.p for r in want]) and [r.prediction for r in got] == [r.prediction for r in want]
+        fitted.write().save(f"{tmp_path}/{fitted.uid}")
+        again = tree.SparseTreeModel.load(f"{tmp_path}/{fitted.uid}").transform(df).select("i", F.col("probability").alias("p")).orderBy("i").collect()
+        assert [r.p for r in again] == [r.p for r in got]
+    # Rows of one class with different weights are left to Spark.
+    mixed = df.withColumn("weight", F.col("i") % 3 + 1.0)
+    assert not isinstance(tree.SparseTree(base).fit(mixed), tree.SparseTreeModel)
+
+
+def test_thresholds_of_many_numbers():
+    """Few different numbers are parted in their middles, many by their weight; what is not stored counts as zero."""
+    from talkmill.plans import tree
+
+    assert tree.thresholds(np.array([1.0, 3.0]), np.array([2.0, 2.0]), 4, 10.0, 32).tolist() == [0.5, 2.0]
+    assert tree.thresholds(np.array([-1.0, 3.0]), np.array([5.0, 5.0]), 10, 10.0, 32).tolist() == [1.0]
+    found = tree.thresholds(np.arange(1, 101.0), np.ones(100), 100, 100.0, 4)
+    assert found.tolist() == [25.5, 50.5, 75.5]
+    assert not len(tree.thresholds(np.empty(0), np.empty(0), 0, 10.0, 32))
